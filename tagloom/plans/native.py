@@ -141,12 +141,19 @@ def attributes(df: DataFrame, content: str = "content", keep: list[str] | None =
 def text_lines(df: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
     """``keep, token_no, line_no, value``: text runs split at line breaks, without those of orphan closing tags."""
     keep = [c for c in df.columns if c != content] if keep is None else keep
-    t = F.col("token")
-    is_text = ~t.startswith("<") | t.rlike(rf"^<(?![!/?>{NAME_START}])")
-    runs = _of_kind(df, content, keep, is_text, F.posexplode(F.split(t, "\n")).alias("line_no", "line"))
-    value = F.when(F.col("line_no") == 0, F.col("line")).otherwise(F.regexp_replace("line", r"^[\x00-\x20]+", ""))
     cols = [F.col(f"`{c}`") for c in keep]
-    return runs.select(*cols, "token_no", F.col("line_no").cast("bigint").alias("line_no"), value.alias("value")).where("value <> ''")
+    found = df.select(*cols, token_array(content).alias("__all"))
+
+    def entry(x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.element_at("__all", i))
+        return F.struct(i.cast("bigint").alias("no"), x.alias("token"), F.coalesce(token_kind(before) == "Declaration", F.lit(False)).alias("bare"))
+
+    runs = F.filter(F.transform("__all", entry), lambda x: token_kind(x["token"]) == "Text")
+    runs = found.select(*cols, F.explode(runs).alias("r"))
+    lines = runs.select(*cols, F.col("r.no").alias("token_no"), F.col("r.bare").alias("bare"), F.posexplode(F.split("r.token", "\n")).alias("line_no", "line"))
+    # blanks in front are passed over behind a line break and behind a declaration
+    value = F.when((F.col("line_no") == 0) & ~F.col("bare"), F.col("line")).otherwise(F.regexp_replace("line", r"^[\x00-\x20]+", ""))
+    return lines.select(*cols, "token_no", F.col("line_no").cast("bigint").alias("line_no"), value.alias("value")).where("value <> ''")
 
 
 def comments(df: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:

@@ -50,10 +50,10 @@ offsets as (
 _FOLD = f"""
 tags as (
   select page_id, list_filter(list_transform(regexp_extract_all(html, '{_TOKEN}'), lambda x, i: {{'t': x, 'i': i - 1}}), lambda x: regexp_matches(x.t, '^</?[A-Za-z_:]')) as t from pages),
-walked(page_id, t, at, st, closed, orphans) as (
+walked(page_id, t, pos, st, closed, orphans) as (
   select page_id, t, 1, cast([] as struct(n varchar, i bigint)[]), cast([] as struct(name varchar, open_no bigint, close_no bigint, implicit boolean)[]), cast([] as struct(name varchar, token_no bigint)[]) from tags
   union all
-  select page_id, t, at + 1,
+  select page_id, t, pos + 1,
     case when x.t like '</%' then case when k is null then st else st[:len(st) - k] end
          when x.t like '%/>' then st
          else list_append(st, {{'n': n, 'i': x.i}}) end,
@@ -64,8 +64,8 @@ walked(page_id, t, at, st, closed, orphans) as (
     case when x.t like '</%' and k is null then list_append(orphans, {{'name': n, 'token_no': x.i}}) else orphans end
   from (
     select *, case when x.t like '</%' then nullif(coalesce(list_position(list_reverse(list_transform(st, lambda y: y.n)), n), 0), 0) end as k
-    from (select *, t[at] as x, regexp_extract(t[at].t, '^</?([^>/ \\n\\t\\r]*)', 1) as n from walked where at <= len(t)))),
-done as (select * from walked where at > len(t))"""
+    from (select *, t[pos] as x, regexp_extract(t[pos].t, '^</?([^>/ \\n\\t\\r]*)', 1) as n from walked where pos <= len(t)))),
+done as (select * from walked where pos > len(t))"""
 
 
 # ---- tokens and relations over pages
@@ -124,8 +124,8 @@ def unclosed_elements_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"with recursive {_FOLD}, {_OFFSETS.lstrip()}, lines as ("
     " select page_id, byte_start, l, k, coalesce(list_sum(list_transform(l[:k - 1], lambda x: octet_length(encode(x)) + 1)), 0)::bigint as before"
     " from (select page_id, byte_start, l, unnest(range(1, len(l) + 1)) as k from (select page_id, byte_start, string_split(token, chr(10)) as l from offsets where token not like '<%'))),"
-    " cut as (select page_id, byte_start + before as at, l[k] as line, case when k = 1 then l[k] else regexp_replace(l[k], '^[\\x00-\\x20]+', '') end as value from lines)"
-    " select page_id, value, (at + octet_length(encode(line)) - octet_length(encode(value)))::bigint as byte_start, (at + octet_length(encode(line)))::bigint as byte_end from cut where value <> ''"
+    " cut as (select page_id, byte_start + before as spot, l[k] as line, case when k = 1 then l[k] else regexp_replace(l[k], '^[\\x00-\\x20]+', '') end as value from lines)"
+    " select page_id, value, (spot + octet_length(encode(line)) - octet_length(encode(value)))::bigint as byte_start, (spot + octet_length(encode(line)))::bigint as byte_end from cut where value <> ''"
     " union all select o.page_id, '</' || o.o.name || '>', f.byte_start, (f.byte_start + octet_length(encode(f.token)))::bigint"
     " from (select page_id, unnest(orphans) as o from done) o join offsets f on f.page_id = o.page_id and f.token_no = o.o.token_no"
 )
@@ -385,7 +385,7 @@ def attribute_syntax_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """select * from (values (0::int, 'div', false, 0::bigint, 19::bigint, 33::bigint), (1, 'div', false, 3, 8, 8), (1, 'p', false, 15, 18, 18), (1, '', false, 0, 2, 23),
-    (2, 'path', true, 3, 21, 0), (2, 'g', false, 0, 3, 21)) t(doc_id, name, self_closing, open_start_char, open_end_char, close_start_char)"""
+    (2, 'path', true, 3, 22, 0), (2, 'g', false, 0, 3, 22)) t(doc_id, name, self_closing, open_start_char, open_end_char, close_start_char)"""
 )
 def element_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _inline(spark, '<div class="myDiv">This is my div</div>', "<> <div></div> <p></p> </>", '<g><path d="M0,12.5"/></g>')

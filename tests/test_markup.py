@@ -130,10 +130,11 @@ def test_markup_source_pushes_kinds_into_the_scan(spark, tmp_path):
     assert sorted((r.seq, r.event_mask) for r in df.select("seq", "event_mask").collect()) == sorted(want)
     some = df.where("event_type in ('Comment', 'Cdata')")
     assert some.count() == sum(m in (16, 512) for _, m in want)
-    assert "pushed" in some._jdf.queryExecution().executedPlan().toString().lower() or "event_type" not in some._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0].split("Filter")[-1]
+    plan = some._jdf.queryExecution().executedPlan().toString().replace("RuntimeFilters", "")
+    assert "Filter" not in plan, plan  # all of it is the scan's
     assert df.where("event_type = 'Nothing'").count() == 0
     assert spark.read.format("markup").option("path", str(tmp_path)).option("events", "Text, Comment").load().select("event_type").distinct().count() == 2
-    assert markup.binary_documents(spark, str(tmp_path)).count() == len(CASES)
+    assert markup.binary_documents(spark, str(tmp_path)).count() == sum(map(bool, CASES))  # empty files have no row
 
 
 def test_markup_source_as_a_stream(spark, tmp_path):
