@@ -30,10 +30,12 @@ NOT_CONTENT = frozenset(
     "aside audio button canvas datalist dialog embed footer form head iframe menu nav noscript object option script select style svg template textarea title video".split()
 )
 ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsbygoogle banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer"
-    " disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted"
+    "ad ads advert adverts advertisement advertising adsbygoogle banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer"
+    " disqus footer gdpr login menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted"
     " recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+HEADER_WORDS = frozenset("header masthead".split())
+LAYOUT_WORDS = frozenset("has layout no with without".split())  # beside such a word the others name what surrounds an element
 ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MAIN_WORDS = frozenset("articlebody".split())
 MAIN_CLASSES = re.compile(r"(?:^|\s)(?:article|article[-_]?(?:body|content|text)|(?:post|entry|story|page|main)[-_]?(?:body|content|text)|post|entry|content|main)(?=\s|$)", re.I)
@@ -51,7 +53,7 @@ _MASK = (1 << 63) - 1
 class Element:
     name: str
     path: int
-    aside: bool
+    aside: int  # 1 beside the content, 2 a header, which an article may have for its own heading, 0 neither
     main: int  # 3 article, 2 main or article body, 1 a class that says content, 0 none
     link: bool
 
@@ -69,28 +71,26 @@ class Item:
     close: int = -1  # of an opening tag: where its element ends
 
 
-def _describe(name: str, attrs: str) -> tuple[str, bool, int]:
+def _describe(name: str, attrs: str) -> tuple[str, int, int]:
     """Label for paths, whether it is beside the content, and how much it says that it holds the content."""
-    label, aside, main = name, name in NOT_CONTENT, 3 if name == "article" else 2 if name == "main" else 0
+    label, aside, main = name, int(name in NOT_CONTENT) or 2 * (name == "header"), 3 if name == "article" else 2 if name == "main" else 0
     if attrs:
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 label += ("." if key == "class" else "#") + _DIGITS.sub("0", value)
                 words = {w.lower() for w in _WORD.findall(value)}
-                if name not in ("html", "body") and words & ASIDE_WORDS:
-                    aside = True
+                if name not in ("html", "body") and not words & LAYOUT_WORDS:
+                    aside = 1 if aside == 1 or words & ASIDE_WORDS else 2 if aside or words & HEADER_WORDS else 0
                 if name not in ("html", "body") and MAIN_CLASSES.search(value):
                     main = main or 1
             elif key == "role":
-                aside = aside or value.lower() in ASIDE_ROLES
+                aside = 1 if value.lower() in ASIDE_ROLES else aside
                 main = max(main, 2 if value.lower() == "main" else 3 if value.lower() == "article" else 0)
             elif key == "itemprop":
                 main = max(main, 3 if value.lower() in MAIN_WORDS else 0)
             elif key == "hidden" or value.lower() == "true":
-                aside = True
-    if name == "header":
-        aside = True
+                aside = 1
     return label, aside, main
 
 
@@ -101,7 +101,7 @@ def tokenize(page: str) -> list[Item]:
     element is ignored; what is open at the end is closed there.
     """
     out: list[Item] = []
-    root = Element("", 7, False, 0, False)
+    root = Element("", 7, 0, 0, False)
     stack: list[tuple[Element, int]] = [(root, -1)]
     pos, end = 0, len(page)
 
@@ -197,7 +197,7 @@ def _nests(inner: list[int], outer: list[int]) -> bool:
     return len({sum(1 for o in outer if o < i) for i in inner}) == 1
 
 
-def _blocks(items: list[Item], start: int, stop: int, skip: set[int], drop_form: bool = True) -> list[str]:
+def _blocks(items: list[Item], start: int, stop: int, skip: set[int]) -> list[str]:
     """Text of the blocks between two places, without elements beside the content and without ``skip``."""
     out: list[str] = []
     held: list[str] = []
@@ -215,7 +215,7 @@ def _blocks(items: list[Item], start: int, stop: int, skip: set[int], drop_form:
             if at not in skip:
                 held.append(x.text)
         elif x.kind == "o":
-            if x.element.aside and not (x.name == "header" and start > 0 and items[start - 1].name == "article"):
+            if x.element.aside == 1 or (x.element.aside == 2 and (start == 0 or not _has_heading(items, at))):
                 if x.name in BLOCKS:
                     flush()
                 at = max(at + 1, x.close)
@@ -229,6 +229,10 @@ def _blocks(items: list[Item], start: int, stop: int, skip: set[int], drop_form:
     return out
 
 
+def _has_heading(items: list[Item], at: int) -> bool:
+    return any(x.kind == "o" and x.name in ("h1", "h2", "h3") for x in items[at + 1 : max(at + 1, items[at].close)])
+
+
 def main_text(page: str | None, template: Template | None = None) -> str:
     """The article's text: blocks in page order, white space inside each as one space, joined by one space.
 
