@@ -15,21 +15,37 @@ from pyspark.sql import functions as F
 SAMPLE = 4000  # labelled documents of each class at most: the bound of what is fitted on
 FEATURES = 4096  # features that are fitted, those that tell grades apart best
 GRADES = 3
-MIN_DOCS = 3
+MIN_DOCS = 5
+NOISE = 4.0
+PENALTY = 1.0
 THRESHOLD = 0.5
 CACHE = 400_000
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
+LEVELS = (1, 2, 4)  # occurrences at which a beginning counts anew
 SEED = 4
 _word = re.compile(r"\w+")
 
 
-def word_features(word: str) -> tuple[str, ...]:
-    """A word itself, and what it begins with (words with the same stem and other endings share these)."""
+def word_bases(word: str) -> tuple[str, ...]:
+    """A word itself, and what it begins with: words with the same stem and other endings share these."""
     return (word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n))
 
 
-def text_words(text: str | None) -> set[str]:
-    return set(_word.findall(text.lower())) if text else set()
+def text_features(words: Counter) -> set[str]:
+    """Features of a text: its words, and their beginnings at each level of occurrences that they reach."""
+    totals: Counter = Counter()
+    for word, n in words.items():
+        for base in word_bases(word):
+            totals[base] += n
+    return {f for base, n in totals.items() for f in _reached(base, n)}
+
+
+def _reached(base: str, n: int) -> list[str]:
+    return [f"{base}{level}" for level in LEVELS if n >= level] if base.endswith("*") else [base]
+
+
+def text_words(text: str | None) -> Counter:
+    return Counter(_word.findall(text.lower())) if text else Counter()
 
 
 @dataclass
@@ -41,27 +57,28 @@ class Model:
 
     def __post_init__(self):
         self.known: dict[str, tuple[str, ...]] = {}
+        self.bases = {f[: f.index("*") + 1] if "*" in f else f for f in self.weights}
 
     def __getstate__(self):
         return self.weights, self.cuts
 
     def __setstate__(self, state):
         self.weights, self.cuts = state
-        self.known = {}
+        self.__post_init__()
 
     def score(self, text: str | None) -> float:
         """w.x over the whole text."""
-        found: set[str] = set()
-        known, weights = self.known, self.weights
-        for word in text_words(text):
+        totals: dict[str, int] = {}
+        known, bases = self.known, self.bases
+        for word, n in text_words(text).items():
             own = known.get(word)
             if own is None:
                 if len(known) >= CACHE:
                     known.clear()
-                own = known[word] = tuple(f for f in word_features(word) if f in weights)
-            if own:
-                found.update(own)
-        return sum(weights[f] for f in sorted(found))
+                own = known[word] = tuple(f for f in word_bases(word) if f in bases)
+            for base in own:
+                totals[base] = totals.get(base, 0) + n
+        return sum(self.weights.get(f, 0.0) for base in sorted(totals) for f in _reached(base, totals[base]))
 
     def grades(self, scores: np.ndarray) -> np.ndarray:
         """Probabilities of the grades, a row for each score."""
@@ -75,7 +92,7 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def severity_grades(words: list[Counter], toxic: np.ndarray) -> np.ndarray:
-    """Grades of labelled texts: 0 where not toxic; toxic ones 1, or 2 above the median of their density of markers.
+    """Grades of labelled texts: 0 where not toxic; toxic ones 1, or 2 if they have more markers than the median has.
 
     Markers are words at least 20 times as common among toxic as among other documents of the sample.
     """
@@ -84,65 +101,76 @@ def severity_grades(words: list[Counter], toxic: np.ndarray) -> np.ndarray:
     for w, t in zip(words, toxic):
         df[int(t)].update(w.keys())
     markers = {w for w, n in df[1].items() if n >= MIN_DOCS and n / n1 >= 20 * (df[0][w] + 0.5) / n0}
-    density = np.array([sum(n for x, n in w.items() if x in markers) / max(1, sum(w.values())) for w in words])
+    count = np.array([sum(x in markers for x in w) for w in words])
     grades = toxic.astype(np.int64)
     if toxic.any():
-        grades[toxic & (density > np.median(density[toxic]))] = 2
+        grades[toxic & (count > np.median(count[toxic]))] = 2
     return grades
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 300, l1: float = 2e-4) -> Model:
-    """Proximal gradient steps on the cumulative-link likelihood; an L1 penalty leaves few weights.
+def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 400) -> Model:
+    """Accelerated proximal gradient steps on the cumulative-link likelihood, both classes weighing alike.
 
-    Without both classes the model has no weights and calls nothing toxic.
+    Features that tell the classes apart by ``NOISE`` standard deviations or more are fitted, each with an L1 penalty in
+    proportion to its own noise, so that what a few documents share by chance has no weight. Without both
+    classes the model has no weights and calls nothing toxic.
     """
-    words = [Counter(_word.findall((t or "").lower())) for t in texts]
+    words = [text_words(t) for t in texts]
     if not len(texts) or toxic.all() or not toxic.any():
         return Model({}, np.arange(GRADES - 1) + 8.0)
     y = severity_grades(words, toxic)
-    features = [sorted({f for w in c for f in word_features(w)}) for c in words]
-    df: dict[str, np.ndarray] = {}
-    for fs, t in zip(features, toxic):
+    features = [sorted(text_features(c)) for c in words]
+    df: dict[str, list[int]] = {}
+    for fs, t in zip(features, toxic.tolist()):
         for f in fs:
-            df.setdefault(f, np.zeros(2))[int(t)] += 1
-    n = np.array([(~toxic).sum(), toxic.sum()], float)
-    seen = {f: c for f, c in df.items() if c.sum() >= MIN_DOCS}
+            df.setdefault(f, [0, 0])[t] += 1
+    share = float(toxic.mean())
 
-    def apart(c: np.ndarray) -> float:
-        p = (c.sum() + 1) / (n.sum() + 2)
-        return abs(c[1] / n[1] - c[0] / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
+    def apart(c: list[int]) -> float:
+        n = c[0] + c[1]
+        return abs(c[1] - n * share) / np.sqrt(n * share * (1 - share))
 
-    chosen = sorted(sorted(seen), key=lambda f: -apart(seen[f]))[:FEATURES]
+    seen = {f: apart(c) for f, c in df.items() if c[0] + c[1] >= MIN_DOCS}
+    chosen = sorted((f for f, z in seen.items() if z >= NOISE), key=lambda f: (-seen[f], f))[:FEATURES]
     column = {f: k for k, f in enumerate(chosen)}
     rows = [np.array([column[f] for f in fs if f in column], np.int64) for fs in features]
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    cols = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    scale = 1.0 / np.sqrt(np.maximum(np.bincount(cols, minlength=len(chosen)), 1) / len(rows))  # rare features may move as far
-    w, cuts = np.zeros(len(chosen)), np.array([0.0, 1.0])
-    share = np.bincount(y, minlength=GRADES) / len(y)
-    cuts = np.array([np.log(c / (1 - c)) for c in np.clip(np.cumsum(share)[:-1], 0.01, 0.99)])
+    cols = np.concatenate(rows)
+    n, k = len(rows), len(chosen)
+    weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
+    spread = float((weight**2).mean())
+    noise = 0.5 * np.sqrt(np.bincount(cols, minlength=k) * spread)  # of a feature's slope, were it to mean nothing
+    penalty = PENALTY * noise
+
+    def product(w: np.ndarray) -> np.ndarray:
+        return np.bincount(at, w[cols], minlength=n)
+
+    v, size = np.ones(k), 1.0
+    for _ in range(30):  # the largest curvature, by powers
+        v = np.bincount(cols, (weight * product(v))[at], minlength=k)
+        size = float(np.sqrt(v @ v)) or 1.0
+        v /= size
+    step = 1.0 / (0.5 * (size + 2.0))  # weights and cuts move together
+    balanced = np.bincount(y, weight, minlength=GRADES)
+    cuts = np.array([np.log(c / (1 - c)) for c in np.clip(np.cumsum(balanced)[:-1], 0.02, 0.98)])
     cuts[1] = max(cuts[1], cuts[0] + 0.5)
-    sums = np.zeros(len(chosen))
-    cut_sums = np.zeros(2)
+    w = u = np.zeros(k)
+    t, i = 1.0, np.arange(n)
     for _ in range(rounds):
-        s = np.bincount(at, w[cols], minlength=len(rows))
-        below = np.hstack([np.zeros((len(s), 1)), _logistic(cuts[None, :] - s[:, None]), np.ones((len(s), 1))])
+        s = product(u)
+        below = np.hstack([np.zeros((n, 1)), _logistic(cuts[None, :] - s[:, None]), np.ones((n, 1))])
         slope = below * (1 - below)
-        i = np.arange(len(s))
-        p = np.maximum(below[i, y + 1] - below[i, y], 1e-12)
-        d_s = (slope[i, y + 1] - slope[i, y]) / p / len(s)
-        g = np.bincount(cols, d_s[at], minlength=len(chosen))
-        g_cut = np.zeros(2)
-        np.add.at(g_cut, y[y < 2], -(slope[i, y + 1] / p / len(s))[y < 2])
-        np.add.at(g_cut, y[y > 0] - 1, (slope[i, y] / p / len(s))[y > 0])
-        sums += g * g
-        cut_sums += g_cut * g_cut
-        step = 0.3 / np.sqrt(sums + 1e-10)
-        w = w - step * g
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1 / scale.clip(1, 5), 0)
-        cuts = cuts - 0.1 * g_cut / np.sqrt(cut_sums + 1e-10)
+        p = np.maximum(below[i, y + 1] - below[i, y], 1e-9)
+        upper, lower = weight * slope[i, y + 1] / p, weight * slope[i, y] / p
+        g = np.bincount(cols, (upper - lower)[at], minlength=k)
+        moved = u - step * g
+        after = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
+        t_after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        w, u, t = after, after + (t - 1) / t_after * (after - w), t_after
+        g_cut = np.array([lower[y == c + 1].sum() - upper[y == c].sum() for c in range(GRADES - 1)])
+        cuts = cuts - step * g_cut
         cuts[1] = max(cuts[1], cuts[0] + 0.1)
-    return Model({f: float(w[k]) for f, k in column.items() if w[k]}, cuts)
+    return Model({f: float(w[c]) for f, c in column.items() if w[c]}, cuts)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", size: int = SAMPLE) -> tuple[list, np.ndarray]:

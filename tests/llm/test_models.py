@@ -1,0 +1,151 @@
+"""Toxicity and language identification: held-out accuracy, and odd rows."""
+
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tagloom.llm import langid, toxicity
+
+BIG = "/root/testdata/sf0.1"
+
+
+@pytest.fixture(scope="module")
+def big(sf):
+    import os
+
+    return BIG if os.path.isdir(BIG) else sf
+
+
+def test_held_out_toxicity(spark, big):
+    docs = spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    fitted = labels.where("crc32(cast(doc_id as string)) % 4 <> 0")
+    model = toxicity.fit_on(docs, fitted)
+    rest = labels.where("crc32(cast(doc_id as string)) % 4 = 0").select("doc_id", "toxic")
+    rows = toxicity.score_documents(docs, model).withColumnRenamed("toxic", "called").join(rest, "doc_id").collect()
+    hit = sum(r.called and r.toxic == 1 for r in rows)
+    assert hit >= 0.95 * sum(r.toxic for r in rows) and sum(r.called and r.toxic == 0 for r in rows) <= 0.01 * len(rows)
+    assert all(0 <= r.severity <= 2 and r.grade in (0, 1, 2) and r.called == (r.p_toxic > 0.5) for r in rows)
+
+
+def test_grades_are_ordered_and_share_weights():
+    rng = np.random.default_rng(0)
+    clean = [" ".join(rng.choice(["sun", "moon", "sea", "hill", "tree"], 30)) for _ in range(200)]
+    mild = [f"{t} vilething" for t in clean[:60]]
+    harsh = [f"{t} vilething vilething grimword grimword grimword" for t in clean[60:120]]
+    texts = clean + mild + harsh
+    model = toxicity.fit(texts, np.array([False] * 200 + [True] * 120))
+    s = [model.score(t) for t in (clean[0], mild[0], harsh[0])]
+    p = model.grades(np.array(s))
+    severity = p @ np.arange(3)
+    assert severity[0] < severity[1] < severity[2] and model.cuts[0] < model.cuts[1]
+    assert np.allclose(p.sum(1), 1) and (p >= 0).all() and (np.diff(p.cumsum(1), axis=1) >= 0).all()
+    assert p[0].argmax() == 0 and p[2].argmax() == 2
+
+
+def test_odd_texts_are_scored(spark):
+    rows = [(1, None, "a"), (2, "", "b"), (None, "fine day", "c"), (3, "badword " * 50_000, "d"), (4, "good badword", "e"), (4, "good badword", "e")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, severity string")
+    empty = spark.createDataFrame([], "doc_id bigint, toxic int")
+    none = toxicity.fit_on(df, empty)
+    assert not any(r.toxic for r in toxicity.score_documents(df, none).collect())
+    assert toxicity.drop_toxic(df, none).collect() == df.collect()
+    model = toxicity.Model({"badword": 9.0}, np.array([3.0, 6.0]))
+    got = toxicity.score_documents(df, model).collect()
+    assert [r.toxic for r in got] == [False, False, False, True, True, True] and got[2].doc_id is None
+    kept = toxicity.drop_toxic(df, model)
+    assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [1, 2, None]
+    assert toxicity.score_documents(df.limit(0), model).count() == 0
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, None), (None, 1), (99, 1), (3, 7)], "doc_id bigint, toxic int")
+    texts, y = toxicity.labelled_sample(df, labels)
+    assert sorted(zip(map(str, texts), y.tolist())) == [("", False), ("None", True)]
+
+
+@pytest.fixture(scope="module")
+def net(spark, big):
+    return langid.fit_on(spark.read.parquet(f"{big}/documents.parquet"))
+
+
+def test_held_out_languages(spark, big, net):
+    docs = spark.read.parquet(f"{big}/documents.parquet")
+    rows = langid.identify(docs, net).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows)
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
+
+
+def test_nothing_is_learned_from_held_out_documents(spark):
+    rows = [(i, f"word{i} " * 40, "aa" if i % 2 else "bb") for i in range(40)] + [(41, None, "aa"), (42, "x", None), (43, "77 88", "bb")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    x, y, langs = langid.labelled_windows(df)
+    seen = {bytes(w).split(b" ")[1] for w in x}
+    assert langs == ["aa", "bb"] and seen and not seen & {f"word{i}".encode() for i in range(40) if langid.held_out(i)}
+
+
+def test_tables_equal_the_convolution(net):
+    """Lookups give what the filters give."""
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 256, (5, langid.WINDOW)).astype(np.uint8)
+    pooled = []
+    for width, f, b in zip(langid.WIDTHS, net.filters, net.bias):
+        n = langid.WINDOW - width + 1
+        conv = sum(net.embed[x[:, k : k + n].astype(int)] @ f[k * langid.EMBED : (k + 1) * langid.EMBED] for k in range(width)) + b
+        pooled.append(conv.max(axis=1))
+    want = langid._softmax(np.maximum(np.hstack(pooled), 0) @ net.out + net.out_bias)
+    assert np.allclose(net.probabilities(x), want, atol=1e-4)
+
+
+def test_gradients_are_the_loss_s():
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 256, (6, 40)), rng.integers(0, 3, 6)
+    net = langid.Network(
+        ["a", "b", "c"], rng.normal(size=(256, 8)), [rng.normal(size=(w * 8, langid.FILTERS)) * 0.3 for w in langid.WIDTHS], [np.zeros(langid.FILTERS) for _ in langid.WIDTHS],
+        rng.normal(size=(langid.FILTERS * 3, 3)) * 0.2, np.zeros(3),
+    )
+
+    def loss():
+        e, pooled = net.embed[x], []
+        for width, f, b in zip(langid.WIDTHS, net.filters, net.bias):
+            n = x.shape[1] - width + 1
+            pooled.append((sum(e[:, k : k + n] @ f[k * 8 : (k + 1) * 8] for k in range(width)) + b).max(axis=1))
+        p = langid._softmax(np.maximum(np.hstack(pooled), 0) @ net.out + net.out_bias)
+        return -np.log(p[np.arange(len(y)), y]).mean()
+
+    grads = langid._gradients(net, x, y)
+    params = [net.embed, *net.filters, *net.bias, net.out, net.out_bias]
+    for p, g in zip(params, grads):
+        flat = np.argsort(-np.abs(g).reshape(-1))[:3]
+        for i in flat:
+            at = np.unravel_index(i, p.shape)
+            old = p[at]
+            p[at] = old + 1e-5
+            up = loss()
+            p[at] = old - 1e-5
+            down = loss()
+            p[at] = old
+            assert abs((up - down) / 2e-5 - g[at]) < 2e-3 + 0.02 * abs(g[at])
+
+
+def test_odd_texts_are_identified(spark, net):
+    rows = [(1, None, 1), (2, "", 1), (3, "12 34 !?", 1), (None, "the of and", 1), (5, "the of and thing " * 20_000, 1), (5, "the of and thing " * 20_000, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, score int")
+    got = langid.identify(df, net).collect()
+    assert [(r.lang_pred, r.score) for r in got[:3]] == [("und", 0.0)] * 3 and not got[3].held_out
+    assert got[4].lang_pred == got[5].lang_pred == "en" and 0 < got[4].score <= 1
+    assert [r.doc_id for r in langid.keep_identified(df, net).collect()] == [None, 5, 5] and langid.keep_identified(df, net).columns == df.columns
+    assert langid.identify(df.limit(0), net).count() == 0
+    nothing = langid.fit_on(spark.createDataFrame([(1, "text", None)], "doc_id bigint, text string, lang string"))
+    assert nothing is None and langid.identify(df, nothing).where("lang_pred <> 'und'").count() == 0
+
+
+def test_every_window_counts(net):
+    """A long text's score is the byte-weighted mean of its windows'."""
+    text = "the of and thing " * 700 + "und der die das ist nicht " * 300
+    langs, scores = langid.predict(net, pa.array([text]))
+    raw = text.encode()
+    w = langid.windows(raw)
+    n = np.full(len(w), langid.WINDOW, float)
+    n[-1] = len(raw) - langid.WINDOW * (len(w) - 1)
+    mean = (net.probabilities(w) * n[:, None]).sum(0) / n.sum()
+    assert langs[0] == net.langs[int(mean.argmax())] and abs(scores[0] - mean.max()) < 1e-6
