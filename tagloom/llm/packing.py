@@ -91,8 +91,8 @@ def token_pieces(df: DataFrame, doc: str = "doc_id", text: str = "text", capacit
         enc = encoder(name)
         for b in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(b.column("text")):
-                raw = enc.raw([t.as_py() if t.is_valid else ""])[0] + tail
+            for i, ids in enumerate(enc.each(b.column("text"))):
+                raw = ids + tail
                 for k, at in enumerate(range(0, len(raw), step)):
                     part = raw[at : at + step]
                     rows.append(i)
@@ -100,8 +100,8 @@ def token_pieces(df: DataFrame, doc: str = "doc_id", text: str = "text", capacit
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-            ids = b.column("doc").take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc", "piece", "start", "length", "ids_crc32"])
+            docs = b.column("doc").take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([docs, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc", "piece", "start", "length", "ids_crc32"])
 
     return slim.mapInArrow(run, f"doc {kind}, piece int, start bigint, length bigint, ids_crc32 bigint").withColumnRenamed("doc", doc)
 

@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 300_000  # chunks a worker remembers; a full memory is emptied, never the work left out
+CACHE = 400_000  # chunks of a generation of a worker's memory; what is forgotten is encoded again
 BLOCK = 1 << 16  # ids of a block of a flat file
 SUPER = 1024  # blocks that are summed at the first level of the prefix scan
 
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+NOT_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+ENDING = re.compile(r"(?<=[a-zà-öø-ÿ])([,.])(?=\s|\Z)")
+ONE_PIECE = re.compile("[a-zß-öø-ÿ]+")
+AT_ONCE = 1 << 20  # characters whose chunks are learned together
 END = 49407  # the vocabulary's end-of-text id, which ordinary text never has
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
@@ -28,12 +32,27 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """Ids by chunk in two generations: what is still asked for moves from the older one to the younger."""
+
+    def __init__(self, older: dict):
+        super().__init__()
+        self.older = older
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older[chunk]
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts, equal to the tokenizer's own for the whole text.
 
     The tokenizer cuts at white space before all else and maps each piece by itself, so ids of white-space-separated
-    chunks are remembered and joined. Texts with separators U+001C to U+001F, which are white space to Python only, are
-    encoded whole. ``plain``: the strings of special tokens are ordinary text.
+    chunks are remembered and joined. In texts of Latin letters, where lower case is the same to all, chunks are lower
+    case and part with a comma or full stop at their end, so that fewer are to be known. Texts with separators U+001C
+    to U+001F, which are white space to Python only, are encoded whole. ``plain``: the strings of special tokens are
+    ordinary text.
     """
 
     def __init__(self, name: str = VOCABULARY, plain: bool = False, limit: int = CACHE):
@@ -41,36 +60,66 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.tokenizer.encode_special_tokens = plain
-        self.known: dict[str, bytes] = {}
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.limit = limit
+        self.known = _Known({})
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, "<u4") for x in self.raw(texts)]
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
+        out: list[bytes] = []
+        held: list[list[str] | bytes] = []
+        size = 0
         for text in texts:
             if ODD_SPACE.search(text):
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, "<u4").tobytes())
-                continue
-            chunks = text.split()
-            known = self.known
-            try:
-                out.append(b"".join([known[c] for c in chunks]))
-            except KeyError:
-                self._learn(set(chunks))
-                out.append(b"".join([self.known[c] for c in chunks]))
-        return out
-
-    def _learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = list(chunks)
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
+                held.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                held.append((ENDING.sub(r" \1", text.lower()) if NOT_LATIN.search(text) is None else text).split())
+            size += len(text)
+            if size >= AT_ONCE:
+                out += self._join(held)
+                held, size = [], 0
+        return out + self._join(held)
+
+    def each(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of a column of texts, null ones empty, a bounded number of characters at a time."""
+        held, size = [], 0
+        for t in texts:
+            text = t.as_py() if t.is_valid else ""
+            held.append(text)
+            size += len(text)
+            if size >= AT_ONCE:
+                yield from self.raw(held)
+                held, size = [], 0
+        yield from self.raw(held)
+
+    def _join(self, held: list[list[str] | bytes]) -> list[bytes]:
+        """Ids of some texts' chunks, learned together where they are new."""
+        if len(self.known) >= self.limit:
+            self.known.older = {}
+            self.known = _Known(self.known)
+        asked = set().union(*[x for x in held if type(x) is list])
+        known = self.known
+        self._learn([c for c in asked if c not in known and c not in known.older])
+        return [x if type(x) is bytes else b"".join(map(known.__getitem__, x)) for x in held]
+
+    def _learn(self, new: list[str]) -> None:
+        """Words of one piece are encoded in rows and parted behind the ids that end a word; others one by one."""
+        words = [c for c in new if ONE_PIECE.fullmatch(c)]
+        for a in range(0, len(words), 4096):
+            part = words[a : a + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            assert len(stops) == len(part)
+            raw = ids.tobytes()
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops[:-1].tolist()], stops.tolist()))))
+        rest = [c for c in new if not ONE_PIECE.fullmatch(c)]
+        for a in range(0, len(rest), 4096):
+            part = rest[a : a + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[c] = np.array(e.ids, "<u4").tobytes()
 
@@ -107,8 +156,8 @@ def flat_token_blocks(df: DataFrame, doc: str = "doc_id", text: str = "text", en
 
         for b in batches:
             doc_type = b.schema.field("doc").type
-            for d, t in zip(b.column("doc").to_pylist(), b.column("text")):
-                ids = np.frombuffer(enc.raw([t.as_py() or "" if t.is_valid else ""])[0], "<u4")
+            for d, raw in zip(b.column("doc").to_pylist(), enc.each(b.column("text"))):
+                ids = np.frombuffer(raw, "<u4")
                 if (ids == end).any():
                     raise ValueError(f"the end-of-document id {end} occurs inside a text")
                 begun.append(d)

@@ -1,5 +1,6 @@
 """Encoding, the separator scan and packing."""
 
+import functools
 import math
 import zlib
 from collections import defaultdict
@@ -12,10 +13,15 @@ from hypothesis import strategies as st
 from tagloom.llm import packing, tokens
 
 
-def plain(text, specials_as_text=False):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.vocabulary())
+    return Tokenizer.from_file(tokens.vocabulary())
+
+
+def plain(text, specials_as_text=False):
+    t = tokenizer()
     t.encode_special_tokens = specials_as_text
     return t.encode(text, add_special_tokens=False).ids
 
@@ -29,10 +35,18 @@ def test_ids_equal_the_tokenizer_s(text):
 
 def test_a_full_memory_is_emptied():
     e = tokens.Encoder(limit=3)
-    for text in ("a b c d e", "f g", "a f", "one two three four"):
+    for text in ("a b c d e", "f g", "a f", "one two three four", "it's, it.", "e..., f.,", "A b f g one", "We're. I'd!"):
         assert e.ids([text])[0].tolist() == plain(text)
 
 
+def test_ids_of_the_corpus_equal_the_tokenizer_s(sf):
+    import duckdb
+
+    texts = [r[0] for r in duckdb.sql(f"select text from '{sf}/documents.parquet' where text is not null").fetchall()]
+    got = tokens.Encoder(limit=500).ids(texts)
+    assert all(g.tolist() == plain(t) for g, t in zip(got, texts))
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
 def test_scan_of_blocks_equals_a_whole_scan(spark, monkeypatch, size):
     monkeypatch.setattr(tokens, "SUPER", 3)
