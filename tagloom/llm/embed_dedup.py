@@ -18,6 +18,7 @@ NEAREST = 6
 SHARED = 2
 BLOCK = 1024  # vectors of an inverted list that one group holds
 BROADCAST_KEYS = 20_000
+APART = (0.6, 0.7, 0.8, 0.9, 0.95)
 SEED = 3
 
 
@@ -49,15 +50,35 @@ def _units(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def fit_pivots(nodes: DataFrame, pivots: int = PIVOTS) -> dict[int, np.ndarray]:
-    """Reference points by dimension: at most ``pivots`` of ``nodes(node, vec)``, those with the least hashes.
+    """Reference points by dimension: at most ``pivots`` of ``nodes(node, vec)`` that stand apart from each other.
 
-    A bounded sample whatever the input's size: each partition sends ``pivots`` rows at most.
+    They are taken from the rows with the least hashes, ``4 * pivots`` of them whatever the input's size; each partition
+    sends as many at most.
     """
-    rows = nodes.select("vec").orderBy(F.xxhash64(F.lit(SEED), "vec"), "vec").limit(pivots).collect()
+    rows = nodes.select("vec").orderBy(F.xxhash64(F.lit(SEED), "vec"), "vec").limit(4 * pivots).collect()
     out: dict[int, list] = {}
     for r in rows:
         out.setdefault(len(r.vec) // 8, []).append(np.frombuffer(r.vec))
-    return {d: np.array(x) for d, x in out.items()}
+    return {d: _apart(np.array(x), pivots) for d, x in out.items()}
+
+
+def _apart(points: np.ndarray, pivots: int) -> np.ndarray:
+    """Points of which none is near another: copies of one vector would take each other's places among the nearest.
+
+    The least cosine that leaves half of the asked number is the limit, or the last.
+    """
+    kept = points[:1]
+    for limit in APART:
+        places = np.empty((pivots, points.shape[1]))
+        n = 0
+        for x in points:
+            if n < pivots and (not n or (places[:n] @ x).max() < limit):
+                places[n] = x
+                n += 1
+        kept = places[:n]
+        if 2 * n >= min(pivots, len(points)):
+            break
+    return kept
 
 
 def describe(nodes: DataFrame, points: dict[int, np.ndarray], nearest: int = NEAREST) -> DataFrame:
