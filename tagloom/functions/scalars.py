@@ -90,3 +90,31 @@ def remaining_bytes(raw: Column) -> Column:
         need = F.when(lead(back) >= 0xF0, 4).when(lead(back) >= 0xE0, 3).when(lead(back) >= 0xC0, 2).otherwise(1)
         out = F.when((n >= back) & (need > back), F.substring(raw, n - back + 1, F.lit(back))).otherwise(out)
     return out
+
+
+def read_u32(raw: Column, at: Column | int = 0) -> Column:
+    """The little-endian unsigned 32-bit number at a byte offset."""
+    return _number(raw, at, 4).cast("bigint")
+
+
+def read_u64(raw: Column, at: Column | int = 0) -> Column:
+    """The little-endian unsigned 64-bit number at a byte offset, as a decimal."""
+    return _number(raw, at, 8).cast("decimal(20,0)")
+
+
+def _number(raw: Column, at: Column | int, n: int) -> Column:
+    spot = (at if isinstance(at, Column) else F.lit(at)) + 1
+    digits = [F.hex(F.substring(raw, (spot + k).cast("int"), F.lit(1))) for k in reversed(range(n))]
+    return F.conv(F.concat(*digits), 16, 10)
+
+
+def read_position(raw: Column, at: Column | int = 0) -> Column:
+    """Line and character from two 64-bit numbers at a byte offset."""
+    at = at if isinstance(at, Column) else F.lit(at)
+    return F.struct(read_u64(raw, at).cast("bigint").alias("line"), read_u64(raw, at + 8).cast("bigint").alias("character"))
+
+
+def read_string(raw: Column, start: Column | int, length: Column | int) -> Column:
+    """The text of ``length`` bytes at a byte offset."""
+    start, length = (x if isinstance(x, Column) else F.lit(x) for x in (start, length))
+    return F.decode(F.substring(raw, (start + 1).cast("int"), length.cast("int")), "UTF-8")

@@ -115,8 +115,10 @@ class _Places:
 class Lexer:
     """Feed text with ``write``, finish with ``end``; both return events as (number, mask bit, entity).
 
-    ``events`` chooses which are returned; it changes neither what they hold nor their numbers, which count all kinds. ``compat`` gives declarations the code of
-    CDATA, as older consumers expect. The state is plain data: a lexer can be pickled between writes.
+    ``events`` chooses which are returned; it changes neither what they hold nor their numbers, which count all kinds. ``compat`` gives what
+    older consumers expect: declarations with the code of CDATA, no '<' at the start of a text, ``<!>`` as a declaration
+    up to the next '>', and nothing behind ``<![``, ``<!-`` or ``<!D`` that begins no CDATA, comment or doctype. The state
+    is plain data: a lexer can be pickled between writes.
     """
 
     def __init__(self, events: int = int(ALL_EVENTS), compat: bool = False):
@@ -195,6 +197,8 @@ class Lexer:
         return i
 
     def _emit_text(self, s: str, i: int, stop: int) -> None:
+        if self.compat and i < stop and s[i] == "<":
+            i += 1
         if i < stop:
             if self.events & (TEXT | CLOSE):
                 self._add_text(self._node(s, i, stop))
@@ -360,9 +364,15 @@ class Lexer:
             return self._doctype(s, i)
         if n - i < 9 and any(x.startswith(head) for x in ("<!--", "<![cdata[", "<!doctype")):
             return None  # it can still become one of them
-        j = s.find(">", i + 2)
+        if self.compat and head[2:3] in ("-", "[", "d"):
+            return None
+        j = s.find(">", i + 3 if self.compat and head[2:3] == ">" else i + 2)
         if j == -1:
             return None
+        if self.compat and head[2:3] == ">":
+            self._declare(s, i, j + 1, s[_BLANK.match(s, i + 3).end() : j] or ">")
+            self.skipping = True
+            return j + 1
         start = _KEYWORD.match(s, i + 2, j).end()
         start = min(j, _BLANK.match(s, start).end())
         self._declare(s, i, j + 1, s[start:j] or (">" if j > i + 2 else ""))

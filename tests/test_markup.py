@@ -12,7 +12,7 @@ from tagloom.operators.lexer import Lexer
 from tagloom.plans import native
 from tagloom.schema import event_fields
 from tagloom.sources import markup
-from tagloom.streaming import chunks
+from tagloom.streaming import chunks, sinks
 from test_lexer import CASES, DIV, DTD
 
 SF = "/root/testdata/sf0.001"
@@ -115,6 +115,32 @@ def test_scanner_functions(spark):
     assert [r.c for r in names if r.s] == list("aZ_:é🚀") and [r.c for r in names if r.n] == list("aZ_1-.é·🚀")
 
 
+def test_numbers_in_bytes(spark):
+    raw = (7).to_bytes(4, "little") + (2**40 + 5).to_bytes(8, "little") + (3).to_bytes(8, "little") + (2**64 - 1).to_bytes(8, "little") + "né".encode()
+    b = F.col("b")
+    row = spark.createDataFrame([(raw,)], "b binary").select(
+        scalars.read_u32(b).alias("a"), scalars.read_u64(b, 4).alias("c"), scalars.read_position(b, F.lit(4)).alias("p"), scalars.read_u64(b, 20).alias("m"), scalars.read_string(b, 28, 3).alias("s")
+    ).first()
+    assert (row.a, int(row.c), tuple(row.p), int(row.m), row.s) == (7, 2**40 + 5, (2**40 + 5, 3), 2**64 - 1, "né")
+
+
+def test_sinks(spark, docs, tmp_path):
+    seen = []
+    sinks.push(events.markup_events(docs.where("doc_id < 3"), keep=["doc_id"]), lambda kind, event: seen.append((kind, event["doc_id"])), order=["doc_id"])
+    assert [k for k, _ in seen] == [m for c in CASES[:3] for _, m, _ in Lexer().parse(c)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xml").write_text(DIV)
+    markup.register(spark)
+    stream = spark.readStream.format("markup").option("path", str(tmp_path / "in")).load()
+    got = []
+    q = sinks.push_stream(stream, lambda kind, event: got.append(kind), str(tmp_path / "c"), order=["path"])
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert got == [m for _, m, _ in Lexer().parse(DIV)]
+
+
 def test_table_function(spark):
     udtf.register(spark)
     rows = spark.sql("select name, value, attr_type, byte_start, byte_end from markup_events('<p a=\"b\">c</p>', 64 + 1)").collect()
