@@ -67,4 +67,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# the other operators' hashes, tokenizers and models have no counterpart in SQL: they are tested against plain Python
+ORACLE_SQL: dict[str, str] = {
+    "op3_embedding_near_dedup": """
+with recursive units as (
+  select vec_id, cast(embedding as double[]) as e from embeddings where embedding is not null),
+valid as (
+  select * from units where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from valid a join valid b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) as (
+  select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on l.a = r.b)
+select r.a as vec_id, (select count(*) from links where links.a = r.a) as n_links, min(r.b) as component_id, min(r.b) = r.a as kept from reach r group by r.a""",
+}
