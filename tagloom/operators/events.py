@@ -101,8 +101,11 @@ def _instructions(items: list[ProcInst], missing: np.ndarray | None = None) -> p
     )
 
 
-def event_columns(found: list[tuple[int, int, object]]) -> list[pa.Array]:
-    """The columns of ``event_fields`` for lexed events."""
+ENTITIES = ("text", "attribute", "tag", "proc_inst")
+
+
+def event_columns(found: list[tuple[int, int, object]], entities: tuple[str, ...] = ENTITIES) -> list[pa.Array]:
+    """The columns of ``event_fields`` for lexed events, of the entities that are asked for."""
 
     def of(kind: type, nothing: object, build: Callable) -> pa.StructArray:
         missing = np.array([not isinstance(e, kind) for _, _, e in found], bool)
@@ -113,13 +116,13 @@ def event_columns(found: list[tuple[int, int, object]]) -> list[pa.Array]:
         _longs([n for n, _, _ in found]),
         pa.array([names[m] for _, m, _ in found], pa.string()),
         pa.array([m for _, m, _ in found], pa.int32()),
-        of(TextNode, _NO_TEXT, _texts),
-        of(Attr, _NO_ATTR, _attributes),
-        of(Tag, _NO_TAG, _tags),
-        of(ProcInst, _NO_PI, _instructions),
+        *[of(*_BUILD[e]) for e in ENTITIES if e in entities],
     ]
 
 
+_BUILD = {"text": (TextNode, _NO_TEXT, _texts), "attribute": (Attr, _NO_ATTR, _attributes), "tag": (Tag, _NO_TAG, _tags), "proc_inst": (ProcInst, _NO_PI, _instructions)}
+
+
 def _text_columns(found: list) -> list[pa.Array]:
     nodes = [e for _, _, e in found]
     return [
@@ -217,14 +220,18 @@ def _lexed(df: DataFrame, content: str, keep: list[str] | None, mask: int, compa
     return out.withColumnsRenamed({f"__k{i}": c for i, c in enumerate(keep)})
 
 
-def markup_events(df: DataFrame, content: str = "content", keep: list[str] | None = None, events=None, compat: bool = False) -> DataFrame:
+def markup_events(df: DataFrame, content: str = "content", keep: list[str] | None = None, events=None, compat: bool = False, entities: tuple[str, ...] | list[str] = ENTITIES) -> DataFrame:
     """Every event of every document as a row: ``keep`` columns, then ``event_fields``.
 
+    Of the entity columns only ``entities`` are built and returned; what isn't read needn't be built.
+
     ``content`` is a string or binary column. ``events`` (a mask, kinds' names, or several) is applied while lexing.
     ``seq`` counts a document's events of all kinds, so ordering by it gives the order of completion whatever the
     mask. Null and empty documents have no events; rows are documents, repeated or not.
     """
-    return _lexed(df, content, keep, mask_of(events), compat, event_columns, event_fields())
+    entities = tuple(entities)
+    fields = [f for f in event_fields() if f.name not in ENTITIES or f.name in entities]
+    return _lexed(df, content, keep, mask_of(events), compat, lambda found: event_columns(found, entities), fields)
 
 
 def relation(df: DataFrame, kind: str, content: str = "content", keep: list[str] | None = None) -> DataFrame:
@@ -292,7 +299,7 @@ def tag_attributes(events: DataFrame, keep: list[str]) -> DataFrame:
 def unclosed_elements(df: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
     """``keep, name, byte_start, byte_end`` of elements still open at a document's end, which have no closing event."""
     keep = [c for c in df.columns if c != content] if keep is None else keep
-    both = markup_events(df, content, keep, ["OpenTag", "CloseTag"])
+    both = markup_events(df, content, keep, ["OpenTag", "CloseTag"], entities=["tag"])
     opened = both.where("event_type = 'OpenTag' and not tag.self_closing")
     # an element's start is its own: a closing event has the start of its opening tag
     closed = both.where("event_type = 'CloseTag' and not tag.self_closing")

@@ -44,9 +44,14 @@ def _text(content: str) -> Column:
 
 def token_array(content: str = "content") -> Column:
     """The document's tokens in order; from the first '<' on that begins what never ends, nothing is a token."""
+
+    def ended(found: Column) -> Column:
+        lone = F.array_position(found, "<")
+        return F.when(lone > 0, F.slice(found, 1, (lone - 1).cast("int"))).otherwise(found)
+
+    # bound to a lambda's variable the expression is evaluated once, wherever it is used
     found = F.regexp_extract_all(_text(content), F.lit(TOKEN), F.lit(0))
-    lone = F.array_position(found, "<")
-    return F.when(lone > 0, F.slice(found, 1, (lone - 1).cast("int"))).otherwise(found)
+    return F.element_at(F.transform(F.array(found), ended), 1)
 
 
 def token_kind(token: Column) -> Column:
@@ -68,14 +73,14 @@ def token_kind(token: Column) -> Column:
 def tokens(df: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
     """``keep, token_no, token, kind``: a row per token; nothing is shuffled."""
     keep = [c for c in df.columns if c != content] if keep is None else keep
-    out = df.select(*[F.col(f"`{c}`") for c in keep], F.posexplode(token_array(content)).alias("token_no", "token"))
+    out = df.select(*[F.col(f"`{c}`") for c in keep], F.posexplode_outer(token_array(content)).alias("token_no", "token")).where("token is not null")
     return out.select(*[F.col(f"`{c}`") for c in keep], F.col("token_no").cast("bigint").alias("token_no"), "token", token_kind(F.col("token")).alias("kind"))
 
 
 def _of_kind(df: DataFrame, content: str, keep: list[str] | None, test: Column, *columns: Column) -> DataFrame:
     """``keep`` and ``columns`` of tokens that pass ``test`` on ``token``: others are filtered in the array."""
     keep = [c for c in df.columns if c != content] if keep is None else keep
-    out = df.select(*[F.col(f"`{c}`") for c in keep], F.posexplode(token_array(content)).alias("token_no", "token")).where(test)
+    out = df.select(*[F.col(f"`{c}`") for c in keep], F.posexplode_outer(token_array(content)).alias("token_no", "token")).where(test)
     return out.select(*[F.col(f"`{c}`") for c in keep], F.col("token_no").cast("bigint").alias("token_no"), *columns)
 
 
@@ -123,7 +128,7 @@ def attributes(df: DataFrame, content: str = "content", keep: list[str] | None =
     t = F.col("token")
     tags = _of_kind(df, content, keep, _is_open(t) & t.rlike(r"[\x00-\x20/]"), tag_name(t).alias("tag_name"), _attribute_tokens(t).alias("__found"))
     cols = [F.col(f"`{c}`") for c in keep]
-    found = tags.select(*cols, "token_no", "tag_name", F.posexplode("__found").alias("attr_no", "a"))
+    found = tags.select(*cols, "token_no", "tag_name", F.posexplode_outer("__found").alias("attr_no", "a")).where("a is not null")
     a = F.col("a")
     name = F.regexp_extract(a, r"^([^= \t\n>]*)", 1)
     value = F.regexp_replace(a, r"(?s)^[^= \t\n>]*+[\x00-\x20]*+=?[\x00-\x20]*+", "")
@@ -149,7 +154,7 @@ def text_lines(df: DataFrame, content: str = "content", keep: list[str] | None =
         return F.struct(i.cast("bigint").alias("no"), x.alias("token"), F.coalesce(token_kind(before) == "Declaration", F.lit(False)).alias("bare"))
 
     runs = F.filter(F.transform("__all", entry), lambda x: token_kind(x["token"]) == "Text")
-    runs = found.select(*cols, F.explode(runs).alias("r"))
+    runs = found.select(*cols, F.explode_outer(runs).alias("r")).where("r is not null")
     lines = runs.select(*cols, F.col("r.no").alias("token_no"), F.col("r.bare").alias("bare"), F.posexplode(F.split("r.token", "\n")).alias("line_no", "line"))
     # blanks in front are passed over behind a line break and behind a declaration
     value = F.when((F.col("line_no") == 0) & ~F.col("bare"), F.col("line")).otherwise(F.regexp_replace("line", r"^[\x00-\x20]+", ""))
@@ -230,21 +235,21 @@ def close_tags(df: DataFrame, content: str = "content", keep: list[str] | None =
     """``keep, close_order, name, open_no, close_no, implicit``: elements in the order in which they close."""
     out, keep = _folded(df, content, keep)
     cols = [F.col(f"`{c}`") for c in keep]
-    return out.select(*cols, F.posexplode("__folded.closed").alias("close_order", "c")).select(*cols, F.col("close_order").cast("bigint").alias("close_order"), "c.*")
+    return out.select(*cols, F.posexplode_outer("__folded.closed").alias("close_order", "c")).where("c is not null").select(*cols, F.col("close_order").cast("bigint").alias("close_order"), "c.*")
 
 
 def orphan_closings(df: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
     """``keep, name, token_no``: closing tags that close nothing, which are text."""
     out, keep = _folded(df, content, keep)
     cols = [F.col(f"`{c}`") for c in keep]
-    return out.select(*cols, F.explode("__folded.orphans").alias("o")).select(*cols, F.col("o.name").alias("name"), F.col("o.at").alias("token_no"))
+    return out.select(*cols, F.explode_outer("__folded.orphans").alias("o")).where("o is not null").select(*cols, F.col("o.name").alias("name"), F.col("o.at").alias("token_no"))
 
 
 def unclosed_elements(df: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
     """``keep, name, token_no``: elements that are open at the end."""
     out, keep = _folded(df, content, keep)
     cols = [F.col(f"`{c}`") for c in keep]
-    return out.select(*cols, F.explode("__folded.st").alias("s")).select(*cols, F.col("s.n").alias("name"), F.col("s.i").alias("token_no"))
+    return out.select(*cols, F.explode_outer("__folded.st").alias("s")).where("s is not null").select(*cols, F.col("s.n").alias("name"), F.col("s.i").alias("token_no"))
 
 
 def token_offsets(df: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:

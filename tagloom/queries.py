@@ -172,7 +172,7 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ATTRIBUTES_SQL)
 def attributes_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = events.markup_events(_pages(spark, sf_dir), "html", events="OpenTag")
+    found = events.markup_events(_pages(spark, sf_dir), "html", events="OpenTag", entities=["tag"])
     return events.tag_attributes(found, ["page_id"]).select("page_id", "tag_name", "name", "value", "attr_type")
 
 
@@ -205,7 +205,7 @@ def token_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mask_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mask of two kinds gives the union of their relations."""
-    found = events.markup_events(_pages(spark, sf_dir), "html", events=EventType.Comment | EventType.Doctype)
+    found = events.markup_events(_pages(spark, sf_dir), "html", events=EventType.Comment | EventType.Doctype, entities=[])
     return found.groupBy("event_type", "event_mask").agg(F.count("*").alias("n"))
 
 
@@ -224,7 +224,7 @@ select event_type, n::bigint as n from n"""
 )
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ten relations, counted by kind."""
-    return events.markup_events(_pages(spark, sf_dir), "html").groupBy("event_type").agg(F.count("*").alias("n"))
+    return events.markup_events(_pages(spark, sf_dir), "html", entities=[]).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("select count(*) as n_pages, count(*) as n_lossless from pages")
@@ -268,7 +268,7 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def elements_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed elements as JSON, with their attributes and text nodes."""
-    found = events.markup_events(_pages(spark, sf_dir), "html", events="CloseTag")
+    found = events.markup_events(_pages(spark, sf_dir), "html", events="CloseTag", entities=["tag"])
     return found.select("page_id", "seq", render.tag_json(F.col("tag")).alias("json"))
 
 
@@ -277,7 +277,7 @@ def elements_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def elements_with_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed elements by name, each with an array of its own text nodes."""
-    found = events.markup_events(_pages(spark, sf_dir), "html", events="CloseTag")
+    found = events.markup_events(_pages(spark, sf_dir), "html", events="CloseTag", entities=["tag"])
     return found.where("tag.text_nodes is not null").groupBy(F.col("tag.name").alias("name")).agg(F.count("*").alias("n_elements"))
 
 

@@ -32,6 +32,8 @@ def test_the_tagged_union(spark, docs):
     assert all(sum(x is not None for x in (r.text, r.attribute, r.tag, r.proc_inst)) == 1 for r in rows)
     tag = next(r.tag for r in rows if r.doc_id == 0 and r.event_type == "CloseTag")
     assert tag.attributes[0].value.value == "myDiv" and tag.text_nodes[0].start.character == 19 and tag.byte_offsets.end == 39
+    few = events.markup_events(docs, keep=["doc_id"], entities=["tag"])
+    assert few.columns == ["doc_id", "seq", "event_type", "event_mask", "tag"] and few.where("tag is not null").count() == sum(r.tag is not None for r in rows)
     clash = events.markup_events(docs)  # a column named seq beside the event's own
     assert clash.columns[:3] == ["doc_id", "seq", "seq"] and clash.count() == len(want)
     assert events.markup_events(docs.limit(0)).count() == 0
