@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._base import settle
+
 SAMPLE = 4000  # labelled documents of each class at most: the bound of what is fitted on
 FEATURES = 4096  # features that are fitted, those that tell grades apart best
 GRADES = 3
@@ -91,51 +93,51 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def severity_grades(words: list[Counter], toxic: np.ndarray) -> np.ndarray:
-    """Grades of labelled texts: 0 where not toxic; toxic ones 1, or 2 if they have more markers than the median has.
+def is_marker(feature: str, other: int, toxic: int, n_other: int, n_toxic: int) -> bool:
+    """Words at least 20 times as common among toxic as among other documents of the sample."""
+    return "*" not in feature and toxic / n_toxic >= 20 * (other + 0.5) / n_other
 
-    Markers are words at least 20 times as common among toxic as among other documents of the sample.
-    """
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    df = [Counter(), Counter()]
-    for w, t in zip(words, toxic):
-        df[int(t)].update(w.keys())
-    markers = {w for w, n in df[1].items() if n >= MIN_DOCS and n / n1 >= 20 * (df[0][w] + 0.5) / n0}
-    count = np.array([sum(x in markers for x in w) for w in words])
+
+def severity_grades(markers: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Grades of labelled texts: 0 where not toxic; toxic ones 1, or 2 if they have more markers than the median has."""
     grades = toxic.astype(np.int64)
     if toxic.any():
-        grades[toxic & (count > np.median(count[toxic]))] = 2
+        grades[toxic & (markers > np.median(markers[toxic]))] = 2
     return grades
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 400) -> Model:
-    """Accelerated proximal gradient steps on the cumulative-link likelihood, both classes weighing alike.
-
-    Features that tell the classes apart by ``NOISE`` standard deviations or more are fitted, each with an L1 penalty in
-    proportion to its own noise, so that what a few documents share by chance has no weight. Without both
-    classes the model has no weights and calls nothing toxic.
-    """
-    words = [text_words(t) for t in texts]
-    if not len(texts) or toxic.all() or not toxic.any():
-        return Model({}, np.arange(GRADES - 1) + 8.0)
-    y = severity_grades(words, toxic)
-    features = [sorted(text_features(c)) for c in words]
-    df: dict[str, list[int]] = {}
+def fit(texts: list[str | None], toxic: np.ndarray) -> Model:
+    """A model fitted on texts at hand; ``fit_on`` does the same for tables."""
+    features = [text_features(text_words(t)) for t in texts]
+    counts: dict[str, list[int]] = {}
     for fs, t in zip(features, toxic.tolist()):
         for f in fs:
-            df.setdefault(f, [0, 0])[t] += 1
-    share = float(toxic.mean())
+            counts.setdefault(f, [0, 0])[t] += 1
+    n = [int((~toxic).sum()), int(toxic.sum())]
+    if not all(n):
+        return _nothing()
+    share = n[1] / sum(n)
+    apart = {f: abs(c[1] - sum(c) * share) / np.sqrt(sum(c) * share * (1 - share)) for f, c in counts.items() if sum(c) >= MIN_DOCS}
+    chosen = sorted((f for f, z in apart.items() if z >= NOISE), key=lambda f: (-apart[f], f))[:FEATURES]
+    column = {f: k for k, f in enumerate(chosen)}
+    marks = {f for f in chosen if is_marker(f, *counts[f], *n)}
+    return solve(chosen, [sorted(column[f] for f in fs if f in column) for fs in features], np.array([len(fs & marks) for fs in features]), toxic)
 
-    def apart(c: list[int]) -> float:
-        n = c[0] + c[1]
-        return abs(c[1] - n * share) / np.sqrt(n * share * (1 - share))
 
-    seen = {f: apart(c) for f, c in df.items() if c[0] + c[1] >= MIN_DOCS}
-    chosen = sorted((f for f, z in seen.items() if z >= NOISE), key=lambda f: (-seen[f], f))[:FEATURES]
-    column = {f: k for k, f in enumerate(chosen)}
-    rows = [np.array([column[f] for f in fs if f in column], np.int64) for fs in features]
+def _nothing() -> Model:
+    """Without both classes there is nothing to learn: no weights, and nothing is toxic."""
+    return Model({}, np.arange(GRADES - 1) + 8.0)
+
+
+def solve(chosen: list[str], rows: list[list[int]], markers: np.ndarray, toxic: np.ndarray, rounds: int = 400) -> Model:
+    """Accelerated proximal gradient steps on the cumulative-link likelihood, both classes weighing alike.
+
+    ``rows`` lists the places in ``chosen`` of each document's features. An L1 penalty in proportion to a feature's own
+    noise keeps what a few documents share by chance without weight.
+    """
+    y = severity_grades(markers, toxic)
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    cols = np.concatenate(rows)
+    cols = np.array([c for r in rows for c in r], np.int64)
     n, k = len(rows), len(chosen)
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     spread = float((weight**2).mean())
@@ -170,27 +172,57 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 400) -> Model:
         g_cut = np.array([lower[y == c + 1].sum() - upper[y == c].sum() for c in range(GRADES - 1)])
         cuts = cuts - step * g_cut
         cuts[1] = max(cuts[1], cuts[0] + 0.1)
-    return Model({f: float(w[c]) for f, c in column.items() if w[c]}, cuts)
+    return Model({f: float(w[c]) for c, f in enumerate(chosen) if w[c]}, cuts)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", size: int = SAMPLE) -> tuple[list, np.ndarray]:
-    """Texts and labels of at most ``size`` documents of each class, those with the least hashes of their identifier.
+def labelled_sample(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", size: int = SAMPLE) -> DataFrame:
+    """``doc, text, y`` of at most ``size`` documents of each class, those with the least hashes of their identifier.
 
-    Rows of identifiers are chosen first; the texts come through a broadcast of these, bounded by ``2 * size`` rows.
-    Labels that are null or neither 0 nor 1 are left out, as are labels whose document isn't there.
+    Identifiers are chosen first; the texts come through a broadcast of these, bounded by ``2 * size`` rows. Labels that
+    are null or neither 0 nor 1 are left out, as are labels whose document isn't there.
     """
     rows = labels.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1) and doc is not null")
     order = F.xxhash64(F.lit(SEED), "doc")
     parts = [rows.where(F.col("y") == y).dropDuplicates(["doc"]).orderBy(order, "doc").limit(size) for y in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
     texts = docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
-    got = texts.join(F.broadcast(chosen), "doc").orderBy("doc", "text").collect() if size else []
-    return [r.text for r in got], np.array([bool(r.y) for r in got], bool)
+    return settle(texts.join(F.broadcast(parts[0].unionByName(parts[1])), "doc"))
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, **names: str) -> Model:
-    texts, toxic = labelled_sample(docs, labels, size=size, **names)
-    return fit(texts, toxic)
+    """A model fitted on a bounded sample of ``labels``.
+
+    Features are counted on the executors. The driver gets those that tell the classes apart by ``NOISE`` standard
+    deviations or more, ``FEATURES`` at most, and for each document of the sample which of them it has.
+    """
+    sample = labelled_sample(docs, labels, size=size, **names)
+    found = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n = [found.get(0, 0), found.get(1, 0)]
+    if not all(n):
+        return _nothing()
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for y, text in zip(b.column("y").to_pylist(), b.column("text")):
+                own = pa.array(sorted(text_features(text_words(text.as_py() if text.is_valid else None))), pa.string())
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(own), y, np.int32))], ["feature", "y"])
+
+    share = n[1] / sum(n)
+    counts = sample.mapInArrow(features, "feature string, y int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("y").cast("bigint").alias("n1"))
+    apart = F.abs(F.col("n1") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    counts = counts.where(F.col("n") >= MIN_DOCS).withColumn("z", apart).where(F.col("z") >= NOISE)
+    top = counts.orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+    column = {r["feature"]: k for k, r in enumerate(top)}
+    marks = {r["feature"] for r in top if is_marker(r["feature"], r["n"] - r["n1"], r["n1"], *n)}
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            has = [text_features(text_words(t.as_py() if t.is_valid else None)) for t in b.column("text")]
+            cols = [sorted(column[f] for f in fs if f in column) for fs in has]
+            yield pa.RecordBatch.from_arrays([b.column("doc").cast(pa.string()), b.column("y"), pa.array(cols, pa.list_(pa.int32())), pa.array([len(fs & marks) for fs in has], pa.int32())], ["doc", "y", "cols", "markers"])
+
+    rows = sample.mapInArrow(reduce, "doc string, y int, cols array<int>, markers int").collect()
+    rows.sort(key=lambda r: (r["doc"], r["cols"]))  # the order in which rows arrive decides nothing
+    return solve([r["feature"] for r in top], [r["cols"] for r in rows], np.array([r["markers"] for r in rows]), np.array([bool(r["y"]) for r in rows], bool))
 
 
 def score_documents(df: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -63,8 +63,14 @@ def test_odd_texts_are_scored(spark):
     assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [1, 2, None]
     assert toxicity.score_documents(df.limit(0), model).count() == 0
     labels = spark.createDataFrame([(1, 1), (2, 0), (4, None), (None, 1), (99, 1), (3, 7)], "doc_id bigint, toxic int")
-    texts, y = toxicity.labelled_sample(df, labels)
-    assert sorted(zip(map(str, texts), y.tolist())) == [("", False), ("None", True)]
+    assert sorted((str(r.text), r.y) for r in toxicity.labelled_sample(df, labels).collect()) == [("", 0), ("None", 1)]
+
+
+def test_tables_are_fitted_as_texts_at_hand(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = docs.join(labels, "doc_id").orderBy(docs["doc_id"].cast("string")).collect()
+    a, b = toxicity.fit_on(docs, labels), toxicity.fit([r.text for r in rows], np.array([r.toxic == 1 for r in rows]))
+    assert a.weights.keys() == b.weights.keys() and a.weights and all(abs(a.weights[f] - b.weights[f]) < 1e-6 for f in a.weights) and np.allclose(a.cuts, b.cuts)
 
 
 @pytest.fixture(scope="module")
