@@ -33,10 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tagloom-{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what this application has settled, once no result of an operator is to be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, and no lost executor takes it along."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tagloom/{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
