@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +17,10 @@ BLOCK = 1 << 16  # ids of a block of a flat file
 SUPER = 1024  # blocks that are summed at the first level of the prefix scan
 
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-NOT_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+NOT_LATIN = re.compile("[^\x00-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]")
 ENDING = re.compile(r"(?<=[a-zà-öø-ÿ])([,.])(?=\s|\Z)")
 ONE_PIECE = re.compile("[a-zß-öø-ÿ]+")
-AT_ONCE = 1 << 20  # characters whose chunks are learned together
+AT_ONCE = 1 << 22  # characters whose chunks are learned together
 END = 49407  # the vocabulary's end-of-text id, which ordinary text never has
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
@@ -71,19 +72,48 @@ class Encoder:
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes] = []
-        held: list[list[str] | bytes] = []
-        size = 0
-        for text in texts:
+        out: list[bytes] = [b""] * len(texts)
+        latin, others, size = [], [], 0
+        for i, text in enumerate(texts):
             if ODD_SPACE.search(text):
-                held.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            elif NOT_LATIN.search(text) is None:
+                latin.append((i, ENDING.sub(r" \1", text.lower())))
             else:
-                held.append((ENDING.sub(r" \1", text.lower()) if NOT_LATIN.search(text) is None else text).split())
+                others.append((i, text.split()))
             size += len(text)
-            if size >= AT_ONCE:
-                out += self._join(held)
-                held, size = [], 0
-        return out + self._join(held)
+            if size >= AT_ONCE or i + 1 == len(texts):
+                self._fill(out, latin, others)
+                latin, others, size = [], [], 0
+        return out
+
+    def _fill(self, out: list[bytes], latin: list[tuple[int, str]], others: list[tuple[int, list[str]]]) -> None:
+        """Ids of some texts' chunks, learned together where they are new."""
+        if len(self.known) >= self.limit:
+            self.known.older = {}
+            self.known = _Known(self.known)
+        if others:
+            self._learn(set().union(*[x for _, x in others]))
+            for i, x in others:
+                out[i] = b"".join(map(self.known.__getitem__, x))
+        if not latin:
+            return
+        # each distinct chunk is looked up once; its ids are then copied to where it stands
+        lists = pc.ascii_split_whitespace(pa.array([x for _, x in latin], pa.string()))
+        chunks = lists.flatten().dictionary_encode()
+        distinct, at = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        self._learn(distinct)
+        found = [self.known[c] if c else b"" for c in distinct]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.array([len(x) // 4 for x in found], np.int64)
+        start = np.cumsum(size) - size
+        each = size[at]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = ids[np.repeat(start[at] - (ends - each), each) + np.arange(total)].tobytes()
+        cuts = np.append(0, ends)[lists.offsets.to_numpy()] * 4
+        for (i, _), a, z in zip(latin, cuts[:-1].tolist(), cuts[1:].tolist()):
+            out[i] = flat[a:z]
 
     def each(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of a column of texts, null ones empty, a bounded number of characters at a time."""
@@ -97,18 +127,10 @@ class Encoder:
                 held, size = [], 0
         yield from self.raw(held)
 
-    def _join(self, held: list[list[str] | bytes]) -> list[bytes]:
-        """Ids of some texts' chunks, learned together where they are new."""
-        if len(self.known) >= self.limit:
-            self.known.older = {}
-            self.known = _Known(self.known)
-        asked = set().union(*[x for x in held if type(x) is list])
-        known = self.known
-        self._learn([c for c in asked if c not in known and c not in known.older])
-        return [x if type(x) is bytes else b"".join(map(known.__getitem__, x)) for x in held]
-
-    def _learn(self, new: list[str]) -> None:
-        """Words of one piece are encoded in rows and parted behind the ids that end a word; others one by one."""
+    def _learn(self, asked) -> None:
+        """New words of one piece are encoded in rows and parted behind the ids that end a word; others one by one."""
+        known, older = self.known, self.known.older
+        new = [c for c in asked if c not in known and c not in older]
         words = [c for c in new if ONE_PIECE.fullmatch(c)]
         for a in range(0, len(words), 4096):
             part = words[a : a + 4096]
