@@ -117,7 +117,7 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Model:
     if not all(n):
         return _nothing()
     share = n[1] / sum(n)
-    apart = {f: abs(c[1] - sum(c) * share) / np.sqrt(sum(c) * share * (1 - share)) for f, c in counts.items() if sum(c) >= MIN_DOCS}
+    apart = {f: (c[1] - sum(c) * share) / np.sqrt(sum(c) * share * (1 - share)) for f, c in counts.items() if sum(c) >= MIN_DOCS}
     chosen = sorted((f for f, z in apart.items() if z >= NOISE), key=lambda f: (-apart[f], f))[:FEATURES]
     column = {f: k for k, f in enumerate(chosen)}
     marks = {f for f in chosen if is_marker(f, *counts[f], *n)}
@@ -129,11 +129,12 @@ def _nothing() -> Model:
     return Model({}, np.arange(GRADES - 1) + 8.0)
 
 
-def solve(chosen: list[str], rows: list[list[int]], markers: np.ndarray, toxic: np.ndarray, rounds: int = 400) -> Model:
+def solve(chosen: list[str], rows: list[list[int]], markers: np.ndarray, toxic: np.ndarray, rounds: int = 1500) -> Model:
     """Accelerated proximal gradient steps on the cumulative-link likelihood, both classes weighing alike.
 
-    ``rows`` lists the places in ``chosen`` of each document's features. An L1 penalty in proportion to a feature's own
-    noise keeps what a few documents share by chance without weight.
+    ``rows`` lists the places in ``chosen`` of each document's features. Weights are never negative: features add to a
+    severity, and a text without any is what the cuts say. An L1 penalty in proportion to a feature's own noise keeps what
+    a few documents share by chance without weight.
     """
     y = severity_grades(markers, toxic)
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -166,7 +167,7 @@ def solve(chosen: list[str], rows: list[list[int]], markers: np.ndarray, toxic:
         upper, lower = weight * slope[i, y + 1] / p, weight * slope[i, y] / p
         g = np.bincount(cols, (upper - lower)[at], minlength=k)
         moved = u - step * g
-        after = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
+        after = np.maximum(moved - step * penalty, 0)
         t_after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         w, u, t = after, after + (t - 1) / t_after * (after - w), t_after
         g_cut = np.array([lower[y == c + 1].sum() - upper[y == c].sum() for c in range(GRADES - 1)])
@@ -191,8 +192,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", tex
 def fit_on(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, **names: str) -> Model:
     """A model fitted on a bounded sample of ``labels``.
 
-    Features are counted on the executors. The driver gets those that tell the classes apart by ``NOISE`` standard
-    deviations or more, ``FEATURES`` at most, and for each document of the sample which of them it has.
+    Features are counted on the executors. The driver gets those that are more common in toxic documents by ``NOISE``
+    standard deviations or more, ``FEATURES`` at most, and for each document of the sample which of them it has.
     """
     sample = labelled_sample(docs, labels, size=size, **names)
     found = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -208,7 +209,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, **names: str)
 
     share = n[1] / sum(n)
     counts = sample.mapInArrow(features, "feature string, y int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("y").cast("bigint").alias("n1"))
-    apart = F.abs(F.col("n1") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    apart = (F.col("n1") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
     counts = counts.where(F.col("n") >= MIN_DOCS).withColumn("z", apart).where(F.col("z") >= NOISE)
     top = counts.orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
     column = {r["feature"]: k for k, r in enumerate(top)}

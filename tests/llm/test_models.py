@@ -31,6 +31,7 @@ def test_held_out_toxicity(spark, big):
     shown = [r for r in rows if r.toxic == 1 and model.score(texts[r.doc_id]) > 0]
     assert sum(r.called for r in shown) >= 0.97 * len(shown)
     assert hit >= 0.9 * sum(r.toxic for r in rows) and sum(r.called and r.toxic == 0 for r in rows) <= 0.01 * len(rows)
+    assert model.grades(np.zeros(1))[0, 0] > 0.8 and min(model.weights.values()) > 0
     assert all(0 <= r.severity <= 2 and r.grade in (0, 1, 2) and r.called == (r.p_toxic > 0.5) for r in rows)
 
 
@@ -47,6 +48,7 @@ def test_grades_are_ordered_and_share_weights():
     assert severity[0] < severity[1] < severity[2] and model.cuts[0] < model.cuts[1]
     assert np.allclose(p.sum(1), 1) and (p >= 0).all() and (np.diff(p.cumsum(1), axis=1) >= 0).all()
     assert p[0].argmax() == 0 and p[2].argmax() == 2
+    assert min(model.weights.values()) > 0 and model.grades(np.zeros(1))[0, 0] > 0.8  # nothing found is nothing toxic
 
 
 def test_odd_texts_are_scored(spark):
