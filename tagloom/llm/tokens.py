@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 400_000  # chunks of a generation of a worker's memory; what is forgotten is encoded again
+CACHE = 250_000  # chunks of a generation of a worker's memory; what is forgotten is encoded again
 BLOCK = 1 << 16  # ids of a block of a flat file
 SUPER = 1024  # blocks that are summed at the first level of the prefix scan
 
@@ -20,7 +20,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 NOT_LATIN = re.compile("[^\x00-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]")
 ENDING = re.compile(r"(?<=[a-zà-öø-ÿ])([,.])(?=\s|\Z)")
 ONE_PIECE = re.compile("[a-zß-öø-ÿ]+")
-AT_ONCE = 1 << 22  # characters whose chunks are learned together
+AT_ONCE = 1 << 21  # characters whose chunks are learned together
 END = 49407  # the vocabulary's end-of-text id, which ordinary text never has
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}

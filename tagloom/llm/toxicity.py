@@ -21,7 +21,7 @@ MIN_DOCS = 5
 NOISE = 4.0
 PENALTY = 1.0
 THRESHOLD = 0.5
-CACHE = 400_000
+CACHE = 200_000
 PREFIXES = (4, 5, 6, 7)
 LEVELS = (1, 2, 4)  # occurrences at which a beginning counts anew
 SEED = 4
