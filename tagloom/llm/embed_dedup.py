@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import arrow_groups, settle
+from ._base import arrow_groups, least_hashes, settle
 from .components import connected_components
 
 COSINE = 0.95
@@ -52,10 +52,9 @@ def _units(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 def fit_pivots(nodes: DataFrame, pivots: int = PIVOTS) -> dict[int, np.ndarray]:
     """Reference points by dimension: at most ``pivots`` of ``nodes(node, vec)`` that stand apart from each other.
 
-    They are taken from the rows with the least hashes, ``4 * pivots`` of them whatever the input's size; each partition
-    sends as many at most.
+    They are taken from the rows with the least hashes, ``4 * pivots`` of them whatever the input's size.
     """
-    rows = nodes.select("vec").orderBy(F.xxhash64(F.lit(SEED), "vec"), "vec").limit(4 * pivots).collect()
+    rows = least_hashes(nodes.select("vec"), ["vec"], 4 * pivots, SEED, nodes.count()).collect()
     out: dict[int, list] = {}
     for r in rows:
         out.setdefault(len(r.vec) // 8, []).append(np.frombuffer(r.vec))

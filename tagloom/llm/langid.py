@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._base import least_hashes, settle
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -154,21 +156,23 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
 def labelled_windows(df: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", size: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows of at most ``size`` documents of each language, never of held-out ones.
 
-    A document gives at most 6 windows, from places that its text's hash decides. Documents are numbered within their
-    language's smallest hashes, each partition sending ``size`` at most; texts come by a broadcast of the chosen.
+    A document gives at most 6 windows, from places that its text's hash decides. Identifiers are chosen first, those with
+    the least hashes in their language; texts come by a broadcast of the chosen. Of several rows with an identifier and a
+    language the least text stands for all.
     """
     k, y = F.col(f"`{doc}`"), F.col(f"`{lang}`")
-    rows = df.where(k.isNotNull() & y.isNotNull() & (F.pmod(F.crc32(k.cast("string").cast("binary")), F.lit(FOLDS)) != 0)).where(F.trim(y) != "")
-    langs = sorted(r[0] for r in rows.select(y.alias("lang")).distinct().collect())
-    h = F.xxhash64(F.lit(SEED), k)
+    fit = k.isNotNull() & y.isNotNull() & (F.pmod(F.crc32(k.cast("string").cast("binary")), F.lit(FOLDS)) != 0) & (F.trim(y) != "")
+    rows = settle(df.where(fit).select(k.alias("doc"), y.alias("lang")).distinct())
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(counts)
     chosen = None
     for name in langs:
-        part = rows.where(y == name).select(k.alias("doc"), y.alias("lang")).orderBy(h, k).limit(size)
+        part = least_hashes(rows.where(F.col("lang") == name), ["doc"], size, SEED, counts[name])
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
     texts = df.select(k.alias("doc"), y.alias("lang"), F.col(f"`{text}`").alias("text")).where("text is not null")
-    picked = texts.join(F.broadcast(chosen.distinct()), ["doc", "lang"])
+    picked = texts.join(F.broadcast(chosen), ["doc", "lang"]).groupBy("doc", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import settle
+from ._base import least_hashes, settle
 
 SAMPLE = 4000  # labelled documents of each class at most: the bound of what is fitted on
 FEATURES = 4096  # features that are fitted, those that tell grades apart best
@@ -180,13 +180,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", tex
     """``doc, text, y`` of at most ``size`` documents of each class, those with the least hashes of their identifier.
 
     Identifiers are chosen first; the texts come through a broadcast of these, bounded by ``2 * size`` rows. Labels that
-    are null or neither 0 nor 1 are left out, as are labels whose document isn't there.
+    are null or neither 0 nor 1 are left out, as are labels whose document isn't there. Of several rows with an identifier
+    one stands for all: the highest label, the least text.
     """
     rows = labels.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1) and doc is not null")
-    order = F.xxhash64(F.lit(SEED), "doc")
-    parts = [rows.where(F.col("y") == y).dropDuplicates(["doc"]).orderBy(order, "doc").limit(size) for y in (0, 1)]
+    rows = settle(rows.groupBy("doc").agg(F.max("y").alias("y")))
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    parts = [least_hashes(rows.where(F.col("y") == y), ["doc"], size, SEED, n.get(y, 0)) for y in (0, 1)]
     texts = docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
-    return settle(texts.join(F.broadcast(parts[0].unionByName(parts[1])), "doc"))
+    found = texts.join(F.broadcast(parts[0].unionByName(parts[1])), "doc")
+    return settle(found.groupBy("doc").agg(F.min("text").alias("text"), F.max("y").alias("y")))
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, **names: str) -> Model:

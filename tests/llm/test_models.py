@@ -6,7 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from tagloom.llm import langid, toxicity
+from tagloom.llm._base import least_hashes
 
 BIG = "/root/testdata/sf0.1"
 
@@ -68,6 +71,19 @@ def test_odd_texts_are_scored(spark):
     assert sorted((str(r.text), r.y) for r in toxicity.labelled_sample(df, labels).collect()) == [("", 0), ("None", 1)]
 
 
+def test_samples_stay_bounded_whatever_is_repeated(spark):
+    rows = [(i, f"text {i}", "en") for i in range(3000)] + [(7, "text 7", "en")] * 3000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)] * 2 + [(7, 0)] * 500, "doc_id bigint, toxic int")
+    sample = toxicity.labelled_sample(df, labels, size=100).collect()
+    assert sorted(r.y for r in sample) == [0] * 100 + [1] * 100 and len({r.doc for r in sample}) == 200
+    x, _, langs = langid.labelled_windows(df, size=100)
+    assert langs == ["en"] and 90 <= len(x) <= 600
+    few = least_hashes(spark.range(10_000), ["id"], 50, 1, 10_000)
+    every = spark.range(10_000).orderBy(F.xxhash64(F.lit(1), "id")).limit(50)
+    assert sorted(few.collect()) == sorted(every.collect())
+
+
 def test_tables_are_fitted_as_texts_at_hand(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     rows = docs.join(labels, "doc_id").orderBy(docs["doc_id"].cast("string")).collect()
