@@ -124,7 +124,7 @@ def test_last_passes_are_prefixes_of_their_permutation(spark, sf):
 def test_odd_documents_are_mixed(spark):
     df = spark.createDataFrame(ODD, ODD_SCHEMA)
     out = mixing.mix_documents(df, max_repeats=2.0).collect()
-    first = sorted((str(r.doc_id), r.source, r.n_tokens) for r in out if r.epoch == 0) if False else sorted(((r.doc_id, r.source, r.n_tokens) for r in out if r.epoch == 0), key=str)
+    first = sorted(((r.doc_id, r.source, r.n_tokens) for r in out if r.epoch == 0), key=str)
     assert first == sorted(((d, s, len((t or "").split())) for d, t, s, _ in ODD), key=str)
     rows = mixing.mix_rows(df)
     assert rows.columns == df.columns and rows.distinct().count() == df.distinct().count()
