@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 120_000  # chunks of a generation of a worker's memory; what is forgotten is encoded again
+CACHE = 320_000  # chunks of a generation of a worker's memory; what is forgotten is encoded again
 BLOCK = 1 << 16  # ids of a block of a flat file
 SUPER = 1024  # blocks that are summed at the first level of the prefix scan
 
