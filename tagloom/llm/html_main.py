@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ._base import settle
 
-SUPPORT = 0.5  # of a host's pages that hold a template's token, at least
+SUPPORT = 0.5  # of the pages of a host, or of one kind of its pages, that hold a template's token, at least
+LEAST_PAGES = 3  # that hold a text before it is taken for a fixed one inside of content elements
+ROOT = 7  # the path above a page's elements; as a token it counts pages
 BROADCAST_TOKENS = 200_000
 
 # Elements and words of the web's vocabulary
@@ -101,7 +103,7 @@ def tokenize(page: str) -> list[Item]:
     element is ignored; what is open at the end is closed there.
     """
     out: list[Item] = []
-    root = Element("", 7, 0, 0, False)
+    root = Element("", ROOT, 0, 0, False)
     stack: list[tuple[Element, int]] = [(root, -1)]
     pos, end = 0, len(page)
 
@@ -160,9 +162,9 @@ def tokenize(page: str) -> list[Item]:
 
 @dataclass
 class Template:
-    """Tokens of a host's template: their class and their place in the order of the host's pages."""
+    """Tokens of a host's template: their class, their place in the order of the host's pages, and how many hold them."""
 
-    classes: dict[int, tuple[int, float]] = field(default_factory=dict)
+    classes: dict[int, tuple[int, float, int]] = field(default_factory=dict)
 
 
 def template_positions(items: list[Item], template: Template | None) -> set[int]:
@@ -233,18 +235,61 @@ def _has_heading(items: list[Item], at: int) -> bool:
     return any(x.kind == "o" and x.name in ("h1", "h2", "h3") for x in items[at + 1 : max(at + 1, items[at].close)])
 
 
+def page_kind(items: list[Item]) -> int:
+    """What a page is among its host's: the path of the element that says most that it is the content, or of the body."""
+    rank, kind = 0, ROOT
+    for x in items:
+        if x.kind == "o":
+            e = x.element
+            if e.main > rank and not e.aside:
+                rank, kind = e.main, e.path & _MASK
+            elif not rank and x.name in ("html", "body"):
+                kind = e.path & _MASK
+    return kind
+
+
+def fixed_blocks(items: list[Item], template: Template | None, fixed: set[int]) -> set[int]:
+    """Texts of the blocks that have nothing but the template's texts; a block with a word of its own stays whole."""
+    out: set[int] = set()
+    if template is None or not template.classes:
+        return out
+    seen = Counter(x.token for x in items if x.kind == "t" and x.token)
+    run: list[int] = []
+
+    def judge() -> None:
+        for at in run:
+            own = template.classes.get(items[at].token)
+            if own is None or own[2] < LEAST_PAGES or (at not in fixed and seen[items[at].token] == 1):
+                break
+        else:
+            out.update(run)
+        run.clear()
+
+    for at, x in enumerate(items):
+        if x.kind == "t":
+            if x.token:
+                run.append(at)
+        elif x.name in BLOCKS:
+            judge()
+    judge()
+    return out
+
+
 def main_text(page: str | None, template: Template | None = None) -> str:
     """The article's text: blocks in page order, white space inside each as one space, joined by one space.
 
-    The slot of the template that an article (or else a main element, or an element whose class says that it is the
-    content) opens and closes is taken whole, less what stands beside the content in it; on hosts whose pages are too
-    few or too unlike for a template the same element is taken without one. Where no element says so, all slots
+    Of the slot of the template that an article (or else a main element, or an element whose class says that it is the
+    content) opens and closes, the blocks that vary are taken, less what stands beside the content; on hosts whose pages
+    are too few or too unlike for a template the same element is taken without one. Where no element says so, all slots
     outside of elements beside the content are taken, without the template's own texts and without blocks of links.
+    Where nothing varies, pages are copies of each other and the template decides nothing.
     """
-    if not page:
-        return ""
-    items = tokenize(page)
+    return items_text(tokenize(page), template) if page else ""
+
+
+def items_text(items: list[Item], template: Template | None) -> str:
     fixed = template_positions(items, template)
+    own = fixed_blocks(items, template, fixed)
     beside = _beside(items)
     for rank in (3, 2, 1):
         spans, upto = [], -1
@@ -255,11 +300,13 @@ def main_text(page: str | None, template: Template | None = None) -> str:
         if fixed:  # tags of the template itself outrank those that only this page has
             framed = [s for s in spans if s[0] - 1 in fixed]
             spans = framed or spans
-        text = " ".join(b for a, z in spans for b in _blocks(items, a, z, set()))
-        if text:
-            return text
-    skip = {at for at in fixed if items[at].kind == "t"} | _link_blocks(items)
-    return " ".join(_blocks(items, 0, len(items), skip))
+        for skip in (own, set()):
+            text = " ".join(b for a, z in spans for b in _blocks(items, a, z, skip))
+            if text:
+                return text
+    links = _link_blocks(items)
+    blocks = _blocks(items, 0, len(items), {at for at in fixed if items[at].kind == "t"} | links)
+    return " ".join(blocks or _blocks(items, 0, len(items), links))
 
 
 def _beside(items: list[Item]) -> set[int]:
@@ -296,49 +343,69 @@ def _link_blocks(items: list[Item]) -> set[int]:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """``host, token, n, place, page_hash`` of each page's distinct tokens; ``pages(host, page, html)``."""
+    """``host, kind, token, n, place, page_hash`` of each page's distinct tokens, and of ROOT; ``pages(host, page, html)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            who, token, n, place, page = [], [], [], [], []
+            who, kind, token, n, place, page = [], [], [], [], [], []
             for i, h in enumerate(b.column("html")):
                 raw = h.as_py() if h.is_valid else ""
-                seen: dict[int, list[int]] = {}
-                for at, x in enumerate(tokenize(raw)):
+                items = tokenize(raw)
+                seen: dict[int, list[int]] = {ROOT: [1, -1]}
+                for at, x in enumerate(items):
                     if x.token:
                         own = seen.setdefault(x.token, [0, at])
                         own[0] += 1
                 own_hash = xxhash.xxh64_intdigest(raw, i) >> 1
+                own_kind = page_kind(items)
                 for k, (count, at) in seen.items():
                     who.append(i)
+                    kind.append(own_kind)
                     token.append(k)
                     n.append(count)
                     place.append(at)
                     page.append(xxhash.xxh64_intdigest(count.to_bytes(8), own_hash) >> 32)
-            yield pa.RecordBatch.from_arrays([b.column("host").take(pa.array(who, pa.int64())), pa.array(token, pa.int64()), pa.array(n, pa.int64()), pa.array(place, pa.int64()), pa.array(page, pa.int64())], ["host", "token", "n", "place", "page_hash"])
+            columns = [b.column("host").take(pa.array(who, pa.int64())), *(pa.array(x, pa.int64()) for x in (kind, token, n, place, page))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "kind", "token", "n", "place", "page_hash"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, token bigint, n bigint, place bigint, page_hash bigint")
+    return pages.select("host", "html").mapInArrow(run, "host string, kind bigint, token bigint, n bigint, place bigint, page_hash bigint")
 
 
 def deduce(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """``host, token, class, place``: tokens of the equivalence classes that make a host's template.
+    """``host, kind, token, class, place, pages``: tokens of the equivalence classes that make a host's template.
 
-    An occurrence vector is how often a token occurs on each page of the host; it is held as pages, occurrences and a
-    sum of hashes of (page, count), so vectors are added up before they are shuffled and no host's pages are gathered.
-    Tokens with the same vector are a class; classes of two tokens or more that occur on two pages and on ``support``
-    of the host's pages at least are kept.
+    An occurrence vector is how often a token occurs on each page of the host (``kind`` 0) or on its pages of one kind;
+    it is held as pages, occurrences and a sum of hashes of (page, count), so vectors are added up before they are
+    shuffled and no host's pages are gathered. Tokens with the same vector are a class; classes of two tokens or more
+    that occur on two pages and on ``support`` of those pages at least are kept. A kind that all pages of a host are of
+    is the host's.
     """
-    hosts = pages.groupBy("host").agg(F.count("*").alias("n_host"))
-    vectors = (
+    vectors = settle(
         page_tokens(pages)
-        .groupBy("host", "token")
+        .withColumn("kind", F.explode(F.array(F.lit(0).cast("long"), "kind")))
+        .groupBy("host", "kind", "token")
         .agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.sum("page_hash").alias("sig"), F.avg("place").alias("place"))
         .where("pages >= 2")
     )
-    kept = settle(vectors.join(hosts, "host").where(F.col("pages") >= F.col("n_host") * support).drop("n_host"))
+    counts = vectors.where(F.col("token") == ROOT).selectExpr("host", "kind", "pages as n_kind")
+    hosts = counts.where("kind = 0").selectExpr("host", "n_kind as n_host")
+    counts = counts.join(hosts, "host").where("kind = 0 or n_kind < n_host").select("host", "kind", "n_kind")
+    kept = settle(vectors.where(F.col("token") != ROOT).join(counts, ["host", "kind"]).where(F.col("pages") >= F.col("n_kind") * support).drop("n_kind"))
     cls = F.xxhash64("pages", "total", "sig")
-    sizes = kept.groupBy("host", cls.alias("class")).agg(F.count("*").alias("size")).where("size >= 2")
-    return settle(kept.select("host", "token", cls.alias("class"), "place").join(sizes, ["host", "class"]).select("host", "token", "class", "place"))
+    sizes = kept.groupBy("host", "kind", cls.alias("class")).agg(F.count("*").alias("size")).where("size >= 2")
+    found = kept.select("host", "kind", "token", cls.alias("class"), "place", "pages").join(sizes, ["host", "kind", "class"])
+    return settle(found.select("host", "kind", "token", "class", "place", "pages"))
+
+
+def add_kind(rows: DataFrame) -> DataFrame:
+    """``rows`` with the kind of each page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds = pa.array([page_kind(tokenize(h or "")) for h in b.column("html").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, kinds], [*b.schema.names, "kind"])
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", kind bigint")
 
 
 def extract_main_text(df: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -346,29 +413,39 @@ def extract_main_text(df: DataFrame, page: str = "page_id", url: str = "url", ht
 
     Null pages are empty; pages without a host have no template; repeated rows are rows and count as pages of their
     host; an empty table has an empty result. Templates are broadcast up to a checked number of tokens; beyond it they
-    come by a join on the host, whose array holds no more tokens than twice a page's.
+    come by joins on the host and on its kind of page, whose arrays hold no more tokens than twice a page's.
     """
     host = F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
     rows = df.select(F.col(f"`{page}`").alias("page"), F.col(f"`{url}`").alias("url"), host.alias("host"), F.col(f"`{html}`").alias("html"))
     tokens = deduce(rows.where("host <> ''"))
     few = tokens.count() <= BROADCAST_TOKENS
-    known: dict[str, Template] = {}
+    known: dict[tuple[str, int], dict] = {}
     if few:
         for r in tokens.toLocalIterator():
-            known.setdefault(r.host, Template()).classes[r.token] = (r["class"], r.place)
+            known.setdefault((r.host, r.kind), {})[r.token] = (r["class"], r.place, r.pages)
     else:
-        per_host = tokens.groupBy("host").agg(F.collect_list(F.struct("token", "class", "place")).alias("template"))
-        rows = rows.join(per_host, "host", "left").select("page", "url", "host", "html", "template")
+        part = F.collect_list(F.struct("token", "class", "place", "pages"))
+        of_host = tokens.where("kind = 0").groupBy("host").agg(part.alias("of_host"))
+        of_kind = tokens.where("kind <> 0").groupBy("host", "kind").agg(part.alias("of_kind"))
+        rows = add_kind(rows).join(of_host, "host", "left").join(of_kind, ["host", "kind"], "left").select("page", "url", "host", "html", "of_host", "of_kind")
     shared = df.sparkSession.sparkContext.broadcast(known)
     kind = rows.schema["page"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged: dict[tuple[str, int], Template] = {}
         for b in batches:
-            if few:
-                templates = [shared.value.get(h) for h in b.column("host").to_pylist()]
-            else:
-                templates = [Template({t["token"]: (t["class"], t["place"]) for t in x}) if x else None for x in b.column("template").to_pylist()]
-            texts = [main_text(h.as_py() if h.is_valid else None, t) for h, t in zip(b.column("html"), templates)]
+            texts = []
+            for i, (host, page) in enumerate(zip(b.column("host").to_pylist(), b.column("html").to_pylist())):
+                items = tokenize(page) if page else []
+                if few:
+                    key = (host, page_kind(items))
+                    if key not in merged:
+                        merged[key] = Template(shared.value.get((host, 0), {}) | shared.value.get(key, {}))
+                    template = merged[key]
+                else:
+                    parts = [b.column(c)[i].as_py() or [] for c in ("of_host", "of_kind")]
+                    template = Template({t["token"]: (t["class"], t["place"], t["pages"]) for x in parts for t in x})
+                texts.append(items_text(items, template))
             yield pa.RecordBatch.from_arrays([b.column("page"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page", "url", "text", "n_chars"])
 
     out = rows.mapInArrow(run, f"page {kind}, url string, text string, n_chars bigint")

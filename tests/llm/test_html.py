@@ -130,3 +130,17 @@ def test_only_ordered_and_nesting_classes_are_valid():
     assert html_main.template_positions(items, crossing) == {0, 4, 5}
     disordered = html_main.Template({t[0]: (1, 9.0), t[6]: (1, 1.0)})
     assert html_main.template_positions(items, disordered) == set()
+
+
+def test_fixed_blocks_inside_articles_go_by_page_kind(spark):
+    """Boxes of a host's articles under neutral classes go, on a kind that a third of the host's pages are of."""
+    page = "<html><body><article class='{}'><h1>Head {}</h1><div class=box1><p>Tell your friends</p><p>Ann writes here.</p></div><p>By <b>{}</b></p><p>Story {}.</p></article></body></html>"
+    plain_page = "<html><body><div class=list><p>Entry {} of many</p></div></body></html>"
+    rows = [(k, f"http://h.example/{k}", page.format("story", k, f"Name {k}", f"with words {k}")) for k in range(6)]
+    rows += [(k, f"http://h.example/{k}", plain_page.format("x" * k)) for k in range(10, 22)]
+    copy = "<html><body><article><p>The same story</p></article></body></html>"
+    rows += [(k, f"http://copies.example/{k}", copy) for k in range(30, 35)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_main.extract_main_text(df).collect()}
+    assert {k: got[k] for k in range(6)} == {k: f"Head {k} By Name {k} Story with words {k}." for k in range(6)}
+    assert all(got[k] == "The same story" for k in range(30, 35))
