@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -36,6 +37,16 @@ ASIDE_WORDS = frozenset(
     " disqus footer gdpr login menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted"
     " recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+# Beside an aside word these say no more than that it is a part of a page; any other word makes it a weak hint
+PART_WORDS = frozenset(
+    "area article bar block body bottom box btn button buttons card center column container content desktop element entry fixed floating form global"
+    " group head heading holder home icon icons inline inner item items label layer left link links list main media mobile module outer overlay page"
+    " panel post posts primary right row secondary section site slot sticky story tab text title toggle top unit wrap wrapper zone".split()
+)
+OTHERS_WORDS = frozenset("ad ads advert adverts advertisement adsbygoogle comment comments promo promoted recommended related replies reply sponsored".split())  # on articles too
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+WEAK = 3
+HOLDS = 0.5  # of a page's text, at least, in a form that holds the page
 HEADER_WORDS = frozenset("header masthead".split())
 LAYOUT_WORDS = frozenset("has layout no with without".split())  # beside such a word the others name what surrounds an element
 ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -45,7 +56,8 @@ MAIN_CLASSES = re.compile(r"(?:^|\s)(?:article|article[-_]?(?:body|content|text)
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S
 )
-_ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_KEYS = frozenset("class id role itemprop hidden aria-hidden".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGITS = re.compile(r"\d+")
 _MASK = (1 << 63) - 1
@@ -55,7 +67,7 @@ _MASK = (1 << 63) - 1
 class Element:
     name: str
     path: int
-    aside: int  # 1 beside the content, 2 a header, which an article may have for its own heading, 0 neither
+    aside: int  # 1 beside the content, 2 a header, which an article may have for its own heading, 3 a weak hint, 0 neither
     main: int  # 3 article, 2 main or article body, 1 a class that says content, 0 none
     link: bool
 
@@ -77,13 +89,15 @@ def _describe(name: str, attrs: str) -> tuple[str, int, int]:
     """Label for paths, whether it is beside the content, and how much it says that it holds the content."""
     label, aside, main = name, int(name in NOT_CONTENT) or 2 * (name == "header"), 3 if name == "article" else 2 if name == "main" else 0
     if attrs:
+        named = []
         for m in _ATTR.finditer(attrs):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            key = m[1].lower()
+            if key not in _KEYS:
+                continue
+            value = m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 label += ("." if key == "class" else "#") + _DIGITS.sub("0", value)
-                words = {w.lower() for w in _WORD.findall(value)}
-                if name not in ("html", "body") and not words & LAYOUT_WORDS:
-                    aside = 1 if aside == 1 or words & ASIDE_WORDS else 2 if aside or words & HEADER_WORDS else 0
+                named.append(value)
                 if name not in ("html", "body") and MAIN_CLASSES.search(value):
                     main = main or 1
             elif key == "role":
@@ -93,9 +107,30 @@ def _describe(name: str, attrs: str) -> tuple[str, int, int]:
                 main = max(main, 3 if value.lower() in MAIN_WORDS else 0)
             elif key == "hidden" or value.lower() == "true":
                 aside = 1
+        if named and aside != 1 and name not in ("html", "body") and name not in HEADINGS:
+            found = [_hint(value, main) for value in named]
+            aside = 1 if 1 in found else 2 if aside or 2 in found else max(found)
     return label, aside, main
 
 
+def _hint(value: str, main: int) -> int:
+    """What a class or an id says: an aside by all words of one of its names, a weak hint by some of them.
+
+    Names of an element that says that it is the content count only if they are one aside word, those of articles and
+    main elements only if that word stands for other people's or other pages' texts.
+    """
+    if main:
+        return int(any(n.lower() in (OTHERS_WORDS if main > 1 else ASIDE_WORDS) for n in value.split()))
+    names = [{w.lower() for w in _WORD.findall(n)} for n in value.split()]
+    words = set().union(*names)
+    if words & LAYOUT_WORDS:
+        return 0
+    hits = [n for n in names if n & ASIDE_WORDS]
+    if any(all(w in ASIDE_WORDS or w in PART_WORDS or w in HEADER_WORDS or len(w) < 3 for w in n) for n in hits):
+        return 1
+    return 2 if words & HEADER_WORDS else WEAK if hits else 0
+
+
 def tokenize(page: str) -> list[Item]:
     """The page's tags and text in order, each with a token that its path and its own label or text decide.
 
@@ -157,6 +192,7 @@ def tokenize(page: str) -> list[Item]:
             pos = stop.start() if stop else end
     text(end)
     shut(1)
+    free_forms(out)
     return out
 
 
@@ -217,7 +253,8 @@ def _blocks(items: list[Item], start: int, stop: int, skip: set[int]) -> list[st
             if at not in skip:
                 held.append(x.text)
         elif x.kind == "o":
-            if x.element.aside == 1 or (x.element.aside == 2 and (start == 0 or not _has_heading(items, at))):
+            aside = x.element.aside
+            if aside == 1 or (aside == 2 and (start == 0 or not _has_heading(items, at))) or (aside == WEAK and _of_links(items, at)):
                 if x.name in BLOCKS:
                     flush()
                 at = max(at + 1, x.close)
@@ -235,13 +272,29 @@ def _has_heading(items: list[Item], at: int) -> bool:
     return any(x.kind == "o" and x.name in ("h1", "h2", "h3") for x in items[at + 1 : max(at + 1, items[at].close)])
 
 
+def _of_links(items: list[Item], at: int) -> bool:
+    """Whether most of an element's characters are links."""
+    own = [(len(x.text.strip()), x.element.link) for x in items[at + 1 : max(at + 1, items[at].close)] if x.kind == "t"]
+    return sum(n for n, link in own if link) > 0.5 * sum(n for n, _ in own)
+
+
+def free_forms(items: list[Item]) -> None:
+    """A form that holds most of a page's text is no aside."""
+    forms = [(at, x) for at, x in enumerate(items) if x.kind == "o" and x.name == "form" and x.element.aside]
+    if forms:
+        sums = list(accumulate((len(x.text.strip()) if x.kind == "t" else 0 for x in items), initial=0))
+        for at, x in forms:
+            if sums[max(x.close, at)] - sums[at] > HOLDS * sums[-1]:
+                x.element.aside = 0
+
+
 def page_kind(items: list[Item]) -> int:
     """What a page is among its host's: the path of the element that says most that it is the content, or of the body."""
     rank, kind = 0, ROOT
     for x in items:
         if x.kind == "o":
             e = x.element
-            if e.main > rank and not e.aside:
+            if e.main > rank and e.aside in (0, WEAK):
                 rank, kind = e.main, e.path & _MASK
             elif not rank and x.name in ("html", "body"):
                 kind = e.path & _MASK
@@ -294,7 +347,7 @@ def items_text(items: list[Item], template: Template | None) -> str:
     for rank in (3, 2, 1):
         spans, upto = [], -1
         for at, x in enumerate(items):
-            if x.kind == "o" and x.element.main == rank and at >= upto and at not in beside and not x.element.aside and x.close > at + 1:
+            if x.kind == "o" and x.element.main == rank and at >= upto and at not in beside and x.element.aside in (0, WEAK) and x.close > at + 1:
                 spans.append((at + 1, x.close))
                 upto = x.close
         if fixed:  # tags of the template itself outrank those that only this page has
@@ -317,7 +370,7 @@ def _beside(items: list[Item]) -> set[int]:
         if x.kind == "o":
             if at < upto:
                 out.add(at)
-            elif x.element.aside and x.name != "form":
+            elif x.element.aside in (1, 2) and x.name != "form":
                 upto = x.close
     return out
 

@@ -144,3 +144,20 @@ def test_fixed_blocks_inside_articles_go_by_page_kind(spark):
     got = {r.page_id: r.text for r in html_main.extract_main_text(df).collect()}
     assert {k: got[k] for k in range(6)} == {k: f"Head {k} By Name {k} Story with words {k}." for k in range(6)}
     assert all(got[k] == "The same story" for k in range(30, 35))
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ("<article class='post category-social-media tag-search hentry'><p>Story</p></article>", "Story"),
+        ("<article><p>A</p><section id='related-work'><h2 id='search'>Search</h2><p>B</p></section></article>", "A Search B"),
+        ("<article><h1 class=page-header>Head</h1><div class='post-content share-enabled'><p>A</p></div></article>", "Head A"),
+        ("<div style='overflow:hidden'><article data-id='search-3' title='x class=ad hidden'><p>Story</p></article></div>", "Story"),
+        ('<div style="overflow: hidden"><article><p>Story</p></article></div>', "Story"),
+        ("<form id=aspnetForm action=/><p>A whole page in a form</p><p>of two blocks</p><input></form>", "A whole page in a form of two blocks"),
+        ("<article><p>A</p><div class='grid related-posts-plugin'><a href=/b>Other story</a></div><p hidden>no</p></article>", "A"),
+        ("<article><p>A story</p></article><article class='comment even'><p>rude</p></article>", "A story"),
+    ],
+)
+def test_single_words_of_names_drop_no_content(body, want):
+    assert main_text(WRAP.format(body)) == want
