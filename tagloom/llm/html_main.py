@@ -46,7 +46,7 @@ PART_WORDS = frozenset(
 OTHERS_WORDS = frozenset("ad ads advert adverts advertisement adsbygoogle comment comments promo promoted recommended related replies reply sponsored".split())  # on articles too
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WEAK = 3
-HOLDS = 0.5  # of a page's text, at least, in a form that holds the page
+HOLDS = 0.5  # of a page's text, at least, in a form that holds the page; of a larger element's, in one that stands for it
 HEADER_WORDS = frozenset("header masthead".split())
 LAYOUT_WORDS = frozenset("has layout no with without".split())  # beside such a word the others name what surrounds an element
 ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -343,23 +343,54 @@ def main_text(page: str | None, template: Template | None = None) -> str:
 def items_text(items: list[Item], template: Template | None) -> str:
     fixed = template_positions(items, template)
     own = fixed_blocks(items, template, fixed)
+    spans = _choose(items, fixed, own)
+    for skip in (own, set()):
+        text = " ".join(b for a, z in spans for b in _blocks(items, a, z, skip))
+        if text:
+            return text
+    links = _link_blocks(items)
+    blocks = _blocks(items, 0, len(items), {at for at in fixed if items[at].kind == "t"} | links)
+    return " ".join(blocks or _blocks(items, 0, len(items), links))
+
+
+def _choose(items: list[Item], fixed: set[int], own: set[int]) -> list[tuple[int, int]]:
+    """The spans of the elements that hold the content.
+
+    Articles go before main elements, these before content classes, unless one element of a later rank, around or beside
+    all that was chosen, has so much more that this is less than ``HOLDS`` of it. An element of a later rank that has
+    more than all that was chosen and stands apart from it comes besides. Elements are measured by their characters
+    without fixed blocks and blocks of links.
+    """
     beside = _beside(items)
+    chosen: list[tuple[int, int]] = []
+    lengths: dict[tuple[int, int], int] = {}
+    skip: set[int] = set()
+
+    def length(span: tuple[int, int]) -> int:
+        if not lengths:
+            skip.update(own, _link_blocks(items))
+        if span not in lengths:
+            lengths[span] = sum(map(len, _blocks(items, *span, skip)))
+        return lengths[span]
+
     for rank in (3, 2, 1):
         spans, upto = [], -1
         for at, x in enumerate(items):
             if x.kind == "o" and x.element.main == rank and at >= upto and at not in beside and x.element.aside in (0, WEAK) and x.close > at + 1:
                 spans.append((at + 1, x.close))
                 upto = x.close
-        if fixed:  # tags of the template itself outrank those that only this page has
-            framed = [s for s in spans if s[0] - 1 in fixed]
-            spans = framed or spans
-        for skip in (own, set()):
-            text = " ".join(b for a, z in spans for b in _blocks(items, a, z, skip))
-            if text:
-                return text
-    links = _link_blocks(items)
-    blocks = _blocks(items, 0, len(items), {at for at in fixed if items[at].kind == "t"} | links)
-    return " ".join(blocks or _blocks(items, 0, len(items), links))
+        framed = [s for s in spans if s[0] - 1 in fixed]
+        if framed and len(framed) < len(spans):  # tags of the template itself outrank those that only this page has, unless one holds more
+            most = sum(map(length, framed))
+            spans = [s for s in spans if s in framed or length(s) > most]
+        if not chosen:
+            chosen = [s for s in spans if _blocks(items, *s, set())]
+        elif spans:
+            size = sum(map(length, chosen))
+            larger = [s for s in spans if HOLDS * length(s) > size]
+            apart = [s for s in spans if length(s) > size and all(s[1] <= a or z <= s[0] for a, z in chosen)]
+            chosen = larger or sorted(chosen + apart)
+    return chosen
 
 
 def _beside(items: list[Item]) -> set[int]:

@@ -161,3 +161,20 @@ def test_fixed_blocks_inside_articles_go_by_page_kind(spark):
 )
 def test_single_words_of_names_drop_no_content(body, want):
     assert main_text(WRAP.format(body)) == want
+
+
+LONG = " ".join(f"long story {k}" for k in range(40))
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        (f"<main><div class='post-body'><p>{LONG}</p></div><div class='more'><article><p>teaser</p></article></div></main>", f"{LONG} teaser"),
+        (f"<div class='post-content'><p>{LONG}</p></div><div class=more><article><p>teaser</p></article></div>", LONG),
+        (f"<main><article><p>{LONG}</p></article><p>Short note of the site</p></main>", LONG),
+        ("<div class=content><article><p>A short story</p></article>" + "<ul>" + "<li><a href=x>Another story's headline</a></li>" * 9 + "</ul></div>", "A short story"),
+        (f"<article><p>{LONG}</p></article>" + "<div class=entry><p>One more entry of a list</p></div>" * 90, LONG),
+    ],
+)
+def test_a_small_article_displaces_no_larger_element(body, want):
+    assert main_text(WRAP.format(body)) == want
