@@ -252,6 +252,19 @@ def plain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.text_events(docs, "text").where("byte_start = 0").select("doc_id", "value", "byte_start")
 
 
+@query(
+    "with lines as ("
+    " select doc_id, l[k] as line, k, coalesce(list_sum(list_transform(l[:k - 1], lambda x: octet_length(encode(x)) + 1)), 0)::bigint as before"
+    " from (select doc_id, l, unnest(range(1, len(l) + 1)) as k from (select doc_id, string_split(text, chr(10)) as l from documents))),"
+    " cut as (select *, case when k = 1 then line else regexp_replace(line, '^[\\x00-\\x20]+', '') end as value from lines)"
+    " select doc_id, value, (before + octet_length(encode(line)) - octet_length(encode(value)))::bigint as byte_start from cut where value <> ''"
+)
+def plain_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without markup are text: all of their lines."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return events.text_events(docs, "text").select("doc_id", "value", "byte_start")
+
+
 @query(
     f"with {_TOKENS} select n.page_id, n.names from (select page_id, string_agg(regexp_extract(token, '^<([^>/ \\n\\t\\r]*)', 1), ' ' order by token_no) as names from tokens"
     " where regexp_matches(token, '^<[A-Za-z_:]') group by 1) n"

@@ -59,3 +59,19 @@ def test_queries_without_sql_run(spark):
 
     for name in set(QUERIES) - set(ORACLE_SQL):
         assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_plain_document_lines_are_whole_texts(spark):
+    """Every line of every document, in plain Python."""
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables here")
+    want = set()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        at = 0
+        for k, line in enumerate(r.text.split("\n")):
+            value = line if k == 0 else line.lstrip("".join(map(chr, range(33))))
+            if value:
+                want.add((r.doc_id, value, at + len(line.encode()) - len(value.encode())))
+            at += len(line.encode()) + 1
+    got = entry.queries()["plain_document_lines"](spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(r.byte_start > 0 for r in got)
