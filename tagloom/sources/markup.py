@@ -1,7 +1,8 @@
 """The ``markup`` data source: files of markup as flat event rows, with the event kinds pushed into the scan.
 
 ``spark.read.format("markup").option("path", folder).load()`` reads every file below a folder, each as a document. As a
-stream, files that appear are read once each. Files are opened by the session's Hadoop file systems where a path has a
+stream, files that appear are read once each, in whatever order of names; the offset has the names of all files read, so it
+grows with them. Files are opened by the session's Hadoop file systems where a path has a
 scheme (through ``binary_documents``), by the file system of the executors otherwise.
 """
 
@@ -77,24 +78,29 @@ class MarkupReader(DataSourceReader):
 
 
 class MarkupStreamReader(SimpleDataSourceStreamReader):
-    """Files in the order of their names; the offset is the last one read."""
+    """Files in the order of their names; the offset has all that were read, whatever name or time a later one has.
+
+    Offsets of earlier versions have the last name read (``after``); what sorts up to it counts as read.
+    """
 
     def __init__(self, path: str, mask: int, chunk: int):
         self.path, self.mask, self.chunk = path, mask, chunk
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
-
-    def _between(self, start: str, end: str | None) -> list[str]:
-        return [p for p in _files(self.path) if p > start and (end is None or p <= end)]
+        return {"after": "", "seen": []}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        files = self._between(start["after"], None)
-        end = {"after": files[-1]} if files else start
+        after, seen = start["after"], set(start.get("seen", ()))
+        new = [p for p in _files(self.path) if p > after and p not in seen]
+        end = {"after": after, "seen": sorted(seen.union(new))} if new else start
         return self.readBetweenOffsets(start, end), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([row for p in self._between(start["after"], end["after"]) for row in read_file(p, self.mask, self.chunk)])
+        after, seen = start["after"], set(start.get("seen", ()))
+        new = [p for p in end.get("seen", ()) if p not in seen]
+        if end["after"] > after:  # a batch that an earlier version planned
+            new = [p for p in _files(self.path) if after < p <= end["after"]]
+        return iter([row for p in new for row in read_file(p, self.mask, self.chunk)])
 
 
 class MarkupSource(DataSource):

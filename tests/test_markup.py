@@ -181,6 +181,30 @@ def test_markup_source_as_a_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(Lexer().parse(DIV)) + len(Lexer().parse(DTD))
 
 
+def test_markup_stream_reads_files_that_sort_before_earlier_ones(spark, tmp_path):
+    folder = tmp_path / "in"
+    (folder / "a").mkdir(parents=True)
+    markup.register(spark)
+    late = [("part-00007.xml", DIV), ("part-00001.xml", DTD), ("a/z.xml", DIV), ("part-00009.xml", DTD)]
+    for k, (name, content) in enumerate(late):
+        (folder / name).write_text(content)
+        stream = spark.readStream.format("markup").option("path", str(folder)).load()
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).start(str(tmp_path / "out"))
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        got = spark.read.parquet(str(tmp_path / "out")).groupBy("path").count().collect()
+        assert {r["path"]: r["count"] for r in got} == {str(folder / n): len(Lexer().parse(c)) for n, c in late[: k + 1]}
+    reader = markup.MarkupStreamReader(str(folder), 1023, 64)
+    old = {"after": str(folder / "part-00001.xml")}
+    rows, end = reader.read(old)
+    rows = list(rows)
+    assert {r[0] for r in rows} == {str(folder / "part-00007.xml"), str(folder / "part-00009.xml")}
+    assert list(reader.readBetweenOffsets(old, end)) == rows and reader.read(end)[1] == end
+    assert {r[0] for r in reader.readBetweenOffsets(reader.initialOffset(), old)} == {str(folder / "a/z.xml"), str(folder / "part-00001.xml")}
+
+
 @pytest.mark.parametrize("size", [7, 64])
 def test_chunks_in_a_stream_equal_whole_documents(spark, docs, tmp_path, size):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
