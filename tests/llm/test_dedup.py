@@ -167,3 +167,28 @@ def test_many_near_copies_are_counted_once(spark):
     n, _ = brute(rows, 0.95)
     got = {r.vec_id: r.n_links for r in embed_dedup.near_vectors(df, block=32).collect()}
     assert sum(got.values()) >= 0.97 * sum(n) and all(got[i] <= n[i] for i in got)
+
+
+def test_links_near_the_threshold_are_found(spark):
+    """near_vectors itself, on 4,000 vectors of 64 dimensions: pairs planted at cosines of 0.95 to 0.97, and clusters."""
+    rng = np.random.default_rng(7)
+    normed = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    a = normed(rng.normal(size=(600, 64)))
+    side = rng.normal(size=a.shape)
+    side = normed(side - (side * a).sum(1, keepdims=True) * a)
+    cos = rng.uniform(0.9501, 0.97, size=(600, 1))
+    b = cos * a + np.sqrt(1 - cos**2) * side
+    centers = normed(rng.normal(size=(40, 64)))
+    clusters = normed(np.repeat(centers, 20, axis=0) + rng.normal(size=(800, 64)) * 0.026)
+    x = np.concatenate([a, b, clusters, normed(rng.normal(size=(2000, 64)))])
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(x, rng.uniform(0.5, 2, len(x))))]
+    close = x @ x.T >= 0.95
+    np.fill_diagonal(close, False)
+    n = close.sum(1)
+    assert n[:1200].min() >= 1 and n[1200:2000].sum() > 10_000
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_vectors(df).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    print("recall of pairs", found[:1200].sum(), n[:1200].sum(), "of clusters", found[1200:2000].sum(), n[1200:2000].sum())
+    assert (found <= n).all()
+    assert found[:1200].sum() >= 0.9 * n[:1200].sum() and found[1200:].sum() >= 0.9 * n[1200:].sum()
