@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ._base import settle
 
 SEED = 6
+BASE = 8  # shards in full racks and regions, whatever the number of shards
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,7 @@ class Tree:
     regions: tuple[Node, ...] = field(default_factory=tuple)
 
 
-def tree(n_shards: int, base: int = 8, racks: int = 2, shards_a_rack: int = 2) -> Tree:
+def tree(n_shards: int, base: int = BASE, racks: int = 2, shards_a_rack: int = 2) -> Tree:
     """The tree for ``n_shards``: the first ``base`` in full racks and regions, every later one a region of its own.
 
     A later shard thus changes no weight inside the regions that were there: their draws stay, the new region outbids
@@ -85,11 +86,13 @@ def shard_of(key: Column, of: Tree) -> Column:
     return _descend(key, of.regions).cast("int")
 
 
-def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int = 8) -> DataFrame:
+def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int = 8, base: int = BASE) -> DataFrame:
     """Every row of ``df`` to a shard: ``key, size, text_crc32, law, shard, slot, grown_shard``.
 
     The law is ``key``: key and shard count decide, so equal keys share a shard and equal texts need not.
-    ``grown_shard`` is the shard with one more. ``size`` is the text's UTF-8 bytes (null: none) plus 1; a null text has
+    ``grown_shard`` is the shard with one more: what a call with ``n_shards + 1`` and the same ``base`` gives. From
+    ``base`` shards on, rows move into the new shard only; below it, a new shard makes its rack and region heavier, which
+    may also take rows into their other shards. ``size`` is the text's UTF-8 bytes (null: none) plus 1; a null text has
     the empty one's CRC. ``slot`` numbers a shard's rows without gaps from 0: rows keep their partition, of which the
     shared folder holds one fixed copy without texts, and take its offset plus their rank there; however many rows one
     key or text has, no window sees more than a partition. The table of offsets has a row per partition and shard.
@@ -101,8 +104,8 @@ def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards:
         (F.octet_length(t).cast("long") + 1).alias("size"),
         F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        shard_of(k, tree(n_shards, n_shards)).alias("shard"),
-        shard_of(k, tree(n_shards + 1, n_shards)).alias("grown_shard"),
+        shard_of(k, tree(n_shards, base)).alias("shard"),
+        shard_of(k, tree(n_shards + 1, base)).alias("grown_shard"),
         F.spark_partition_id().alias("__part"),
         F.monotonically_increasing_id().alias("__at"),
     )

@@ -136,3 +136,12 @@ def test_words_are_counted_by_ascii_blanks(spark):
     texts = ["a b", " a\n\tb ", "", None, "  ", "a　b c", "x\x0by\x1cz"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(mixing.n_tokens(F.col("t"))).collect()] == [len((t or "").encode().split()) for t in texts]
+
+
+def test_growing_keeps_what_was_announced(spark):
+    """The shard with one more is the shard of the call with one more."""
+    df = spark.range(4_000).selectExpr("id as doc_id", "'x' as text")
+    calls = {n: {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard_rows(df, n_shards=n).collect()} for n in (3, 4, 8, 9, 10)}
+    for n in (3, 8, 9):
+        assert {k: grown for k, (_, grown) in calls[n].items()} == {k: shard for k, (shard, _) in calls[n + 1].items()}
+    assert all(b[0] in (a[0], 9) for a, b in ((calls[9][k], calls[10][k]) for k in calls[9])) and 0 < sum(b[0] == 9 for b in calls[10].values()) < 800
