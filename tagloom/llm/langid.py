@@ -51,6 +51,7 @@ class Network:
     bias: list[np.ndarray]
     out: np.ndarray
     out_bias: np.ndarray
+    letters: frozenset[str] = frozenset()  # characters of the texts that were learned from
 
     def tables(self) -> list[list[np.ndarray]]:
         """What each byte adds at each place of a filter; the first two places are one table of byte pairs."""
@@ -194,7 +195,17 @@ def labelled_windows(df: DataFrame, doc: str = "doc_id", text: str = "text", lan
 def fit_on(df: DataFrame, size: int = SAMPLE, **names: str) -> Network | None:
     """A network trained on ``df``'s labelled documents; None where there is nothing to learn from."""
     x, y, langs = labelled_windows(df, size=size, **names)
-    return train(x, y, langs) if len(x) else None
+    if not len(x):
+        return None
+    net = train(x, y, langs)
+    net.letters = frozenset("".join(bytes(w).decode(errors="ignore") for w in x))
+    return net
+
+
+def foreign(net: Network, text: str) -> bool:
+    """Whether most of a text's letters are ones that no text has that the network learned from, in either case."""
+    unseen = {c for c in set(text) - net.letters if _letter.match(c) and c.lower() not in net.letters and c.upper() not in net.letters}
+    return bool(unseen) and sum(map(text.count, unseen)) > 0.5 * len(_letter.findall(text))
 
 
 def predict(net: Network | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -252,12 +263,16 @@ def identify(df: DataFrame, net: Network | None, doc: str = "doc_id", text: str
 
 
 def keep_identified(df: DataFrame, net: Network | None, text: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of ``df``, all columns, whose language is known with a score of ``least`` or more."""
+    """The rows of ``df``, all columns, whose language is known with a score of ``least`` or more.
+
+    Texts mostly of letters that no learned text has are in no known language, whatever their score.
+    """
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, scores = predict(net, b.column(at))
-            yield b.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()).to_numpy(zero_copy_only=False) & (scores >= least))
+            known = (x != UNKNOWN and not (net.letters and foreign(net, t.as_py())) for x, t in zip(langs, b.column(at)))
+            yield b.filter(pa.array(list(known), pa.bool_()).to_numpy(zero_copy_only=False) & (scores >= least))
 
     return df.mapInArrow(run, df.schema)

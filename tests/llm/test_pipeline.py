@@ -138,3 +138,12 @@ def test_the_rest_stands_without_this_subpackage(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     env = {**os.environ, "PYTHONPATH": ""}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+
+
+def test_texts_of_unknown_scripts_go_and_clean_ones_stay(spark, sf):
+    docs = table(spark, sf, "documents")
+    net = langid.fit_on(docs)
+    foreign = ["Это обычный русский текст о погоде и о людях. " * 8, "这是一段关于天气和城市的中文文字，没有任何已知语言。" * 12, "Η γλώσσα αυτή είναι ελληνικά. " * 8]
+    more = spark.createDataFrame([(-1 - k, t, "xx", "s", len(t)) for k, t in enumerate(foreign)], docs.schema)
+    kept = {r.doc_id for r in langid.keep_identified(docs.unionByName(more), net, least=corpus_pipeline.LEAST_SCORE).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
