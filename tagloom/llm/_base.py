@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (local tests) the context's own folder is used, and one is made where that is
-    missing too.
+    Where the session names none the context's own folder is used, and on a local master (tests) one is made where that
+    is missing too; on a cluster that is an error, as its machines share no temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -29,25 +30,51 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="tagloom-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
-def _own_dir(spark: SparkSession) -> str:
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
     return f"{shared_dir(spark)}/tagloom-{spark.sparkContext.applicationId}"
 
 
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """A path's file system for workers: the machine's (with what is mounted there), or what a URI's scheme names."""
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def open_file(path: str, mode: str) -> pa.NativeFile:
+    """A file of the shared folder, for reading ("r") with seeks or for writing ("w"), on driver or executors."""
+    system, at = _file_system(path)
+    if mode == "r":
+        return system.open_input_file(at)
+    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(at)
+
+
+def file_size(path: str) -> int:
+    system, at = _file_system(path)
+    return system.get_file_info(at).size
+
+
 def forget(spark: SparkSession) -> None:
     """Delete what this application has settled, once no result of an operator is to be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, and no lost executor takes it along."""
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

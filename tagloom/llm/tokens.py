@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._base import file_size, open_file, own_dir, settle
+
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 320_000  # chunks of a generation of a worker's memory; what is forgotten is encoded again
-BLOCK = 1 << 16  # ids of a block of a flat file
+CACHE = 64 << 20  # bytes of a generation of a worker's memory, two at most; what is forgotten is encoded again
+LONG = 256  # characters; longer chunks (texts without blanks) are not remembered
+ENTRY = 180  # bytes that a remembered chunk takes besides its characters and ids
+BLOCK = 1 << 18  # ids of a block of a flat file
+DTYPE = "<u2"  # of ids in files: the vocabulary's are below 65,536
 SUPER = 1024  # blocks that are summed at the first level of the prefix scan
 
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -38,22 +44,27 @@ class _Known(dict):
 
     def __init__(self, older: dict):
         super().__init__()
-        self.older = older
+        self.older, self.size = older, 0
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older[chunk]
-        self[chunk] = ids
+        self.keep(chunk, ids)
         return ids
 
+    def keep(self, chunk: str, ids: bytes) -> None:
+        self[chunk] = ids
+        self.size += ENTRY + 4 * len(chunk) + len(ids)  # at most four bytes a character
+
 
 class Encoder:
     """Ids of texts, equal to the tokenizer's own for the whole text.
 
     The tokenizer cuts at white space before all else and maps each piece by itself, so ids of white-space-separated
     chunks are remembered and joined. In texts of Latin letters, where lower case is the same to all, chunks are lower
-    case and part with a comma or full stop at their end, so that fewer are to be known. Texts with separators U+001C
-    to U+001F, which are white space to Python only, are encoded whole. ``plain``: the strings of special tokens are
-    ordinary text.
+    case and part with a comma or full stop at their end, so that fewer are to be known; texts with "<|" keep their case, as
+    special tokens' strings are told by it. Texts with separators U+001C to U+001F, which are white space to Python only,
+    are encoded whole. ``plain``: the strings of special tokens are ordinary text. ``limit`` bounds what is remembered, in
+    bytes.
     """
 
     def __init__(self, name: str = VOCABULARY, plain: bool = False, limit: int = CACHE):
@@ -77,7 +88,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if ODD_SPACE.search(text):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            elif NOT_LATIN.search(text) is None:
+            elif "<|" not in text and NOT_LATIN.search(text) is None:
                 latin.append((i, ENDING.sub(r" \1", text.lower())))
             else:
                 others.append((i, text.split()))
@@ -89,21 +100,21 @@ class Encoder:
 
     def _fill(self, out: list[bytes], latin: list[tuple[int, str]], others: list[tuple[int, list[str]]]) -> None:
         """Ids of some texts' chunks, learned together where they are new."""
-        if len(self.known) >= self.limit:
+        if self.known.size >= self.limit:
             self.known.older = {}
             self.known = _Known(self.known)
         if others:
-            self._learn(set().union(*[x for _, x in others]))
+            long = self._learn(set().union(*[x for _, x in others]))
             for i, x in others:
-                out[i] = b"".join(map(self.known.__getitem__, x))
+                out[i] = b"".join([long[c] if c in long else self.known[c] for c in x] if long else map(self.known.__getitem__, x))
         if not latin:
             return
         # each distinct chunk is looked up once; its ids are then copied to where it stands
         lists = pc.ascii_split_whitespace(pa.array([x for _, x in latin], pa.string()))
         chunks = lists.flatten().dictionary_encode()
         distinct, at = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
-        self._learn(distinct)
-        found = [self.known[c] if c else b"" for c in distinct]
+        long = self._learn(distinct)
+        found = [long[c] if c in long else self.known[c] if c else b"" for c in distinct]
         ids = np.frombuffer(b"".join(found), "<u4")
         size = np.array([len(x) // 4 for x in found], np.int64)
         start = np.cumsum(size) - size
@@ -127,9 +138,12 @@ class Encoder:
                 held, size = [], 0
         yield from self.raw(held)
 
-    def _learn(self, asked) -> None:
-        """New words of one piece are encoded in rows and parted behind the ids that end a word; others one by one."""
-        known, older = self.known, self.known.older
+    def _learn(self, asked) -> dict[str, bytes]:
+        """New words of one piece are encoded in rows and parted behind the ids that end a word; others one by one.
+
+        Ids of chunks too long to be remembered are returned.
+        """
+        known, older, long = self.known, self.known.older, {}
         new = [c for c in asked if c not in known and c not in older]
         words = [c for c in new if ONE_PIECE.fullmatch(c)]
         for a in range(0, len(words), 4096):
@@ -138,12 +152,21 @@ class Encoder:
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             assert len(stops) == len(part)
             raw = ids.tobytes()
-            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops[:-1].tolist()], stops.tolist()))))
+            for c, x, y in zip(part, [0, *stops[:-1].tolist()], stops.tolist()):
+                if len(c) <= LONG:
+                    known.keep(c, raw[x:y])
+                else:
+                    long[c] = raw[x:y]
         rest = [c for c in new if not ONE_PIECE.fullmatch(c)]
         for a in range(0, len(rest), 4096):
             part = rest[a : a + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+                own = np.array(e.ids, "<u4").tobytes()
+                if len(c) <= LONG:
+                    known.keep(c, own)
+                else:
+                    long[c] = own
+        return long
 
 
 def encoder(name: str = VOCABULARY, plain: bool = False) -> Encoder:
@@ -153,13 +176,15 @@ def encoder(name: str = VOCABULARY, plain: bool = False) -> Encoder:
     return _encoders[name, plain]
 
 
-def flat_token_blocks(df: DataFrame, doc: str = "doc_id", text: str = "text", end: int = END, name: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
-    """``file, block, ids, docs``: documents as flat token files, cut into blocks of ``block`` ids that know no document.
+def write_token_files(
+    df: DataFrame, folder: str, doc: str = "doc_id", text: str = "text", end: int = END, name: str = VOCABULARY, dtype: str = DTYPE
+) -> DataFrame:
+    """Documents as flat token files below ``folder``, and the writer's list ``file, path, ordinal, doc``, lazily.
 
-    A file is a partition's documents in order, each one's ids followed by ``end``. ``ids`` are little-endian unsigned
-    32-bit. ``docs`` lists the documents that the writer began
-    in that block; the scan does not look at it. Ids equal to ``end`` inside a text would end a document: such texts
-    raise an error. Null texts are empty: a separator alone.
+    A file is a partition's documents in order, each one's ids followed by ``end``, as numbers of ``dtype`` and nothing
+    else. Files of tasks that were lost or tried again are in no list. Ids equal to ``end`` inside a text would end a
+    document: such texts raise an error. Null texts are empty: a separator alone. Read the list once (settle it): every
+    reading writes files anew.
     """
     slim = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     kind = slim.schema["doc"].dataType.simpleString()
@@ -167,41 +192,96 @@ def flat_token_blocks(df: DataFrame, doc: str = "doc_id", text: str = "text", en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, enc = TaskContext.get().partitionId(), 0, encoder(name, True)
-        held, size, begun = [], 0, []
-        doc_type = None
-
-        def cut(flat: bytes, docs: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([flat], pa.binary()), pa.array([docs], pa.list_(doc_type))], ["file", "block", "ids", "docs"]
-            )
+        part, n, enc, out = TaskContext.get().partitionId(), 0, encoder(name, True), None
+        path = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.bin"
+        tail = np.array([end], dtype).tobytes()
+        try:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                out = out or open_file(path, "w")
+                for raw in enc.each(b.column("text")):
+                    ids = np.frombuffer(raw, "<u4")
+                    if (ids == end).any():
+                        raise ValueError(f"the end-of-document id {end} occurs inside a text")
+                    out.write(ids.astype(dtype).tobytes() + tail)
+                k = b.num_rows
+                made = [pa.array(np.full(k, part, np.int32)), pa.array([path] * k, pa.string()), pa.array(np.arange(n, n + k)), b.column("doc")]
+                n += k
+                yield pa.RecordBatch.from_arrays(made, ["file", "path", "ordinal", "doc"])
+        finally:
+            if out:
+                out.close()
+
+    return slim.mapInArrow(run, f"file int, path string, ordinal bigint, doc {kind}")
+
+
+def scan_token_files(files: DataFrame, end: int = END, dtype: str = DTYPE, block: int = BLOCK) -> DataFrame:
+    """``file, block, n_ends, head, inner, tail`` (see ``scan_separators``) of flat token files, ``files(file, path)``.
+
+    Files are cut into byte ranges of ``block`` ids that know nothing of documents; each range is read and searched where
+    it is dealt to, so a single large file is read by all executors. Bytes that are no whole id raise an error; an empty
+    file has no block.
+    """
+    width = np.dtype(dtype).itemsize
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc_type = b.schema.field("doc").type
-            for d, raw in zip(b.column("doc").to_pylist(), enc.each(b.column("text"))):
-                ids = np.frombuffer(raw, "<u4")
-                if (ids == end).any():
-                    raise ValueError(f"the end-of-document id {end} occurs inside a text")
-                begun.append(d)
-                held.append(np.append(ids, end).astype("<u4"))
-                size += len(held[-1])
-                while size >= block:
-                    flat = np.concatenate(held)
-                    yield cut(flat[:block].tobytes(), begun)
-                    held, size, begun = [flat[block:]], size - block, []
-                    at += 1
-        if size:
-            yield cut(np.concatenate(held).tobytes(), begun)
-
-    return slim.mapInArrow(run, f"file int, block bigint, ids binary, docs array<{kind}>")
+            sizes = [file_size(p) for p in b.column("path").to_pylist()]
+            if any(n % width for n in sizes):
+                raise ValueError(f"a token file of {dtype} ids has a number of bytes that {width} doesn't divide")
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("path"), pa.array(sizes, pa.int64())], ["file", "path", "size"])
+
+    kind = files.schema["file"].dataType.simpleString()
+    sized = files.select("file", "path").mapInArrow(measure, f"file {kind}, path string, size bigint").where("size > 0")
+    ranges = sized.select("file", "path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / (block * width)) - 1)).alias("block"))
+    tasks = max(1, files.sparkSession.sparkContext.defaultParallelism)
+    # blocks in a row go to one task, which reads on where it is
+    ranges = ranges.repartitionByRange(4 * tasks, "file", "block").sortWithinPartitions("file", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, source = None, None
+        try:
+            for b in batches:
+                rows = []
+                for p, k in zip(b.column("path").to_pylist(), b.column("block").to_pylist()):
+                    if p != path:
+                        if source:
+                            source.close()
+                        path, source = p, open_file(p, "r")
+                    source.seek(k * block * width)
+                    rows.append(_separators(source.read(block * width), end, dtype))
+                yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), *_scan_columns(rows)], ["file", "block", *SCAN])
+        finally:
+            if source:
+                source.close()
+
+    return ranges.select("file", "path", "block").mapInArrow(run, f"file {kind}, block bigint, {SCAN_DDL}")
+
+
+SCAN = ["n_ends", "head", "inner", "tail"]
+SCAN_DDL = "n_ends bigint, head bigint, inner array<bigint>, tail bigint"
+
+
+def _separators(raw: bytes, end: int, dtype: str) -> tuple[int, int, np.ndarray, int]:
+    ids = np.frombuffer(raw, dtype)
+    at = np.flatnonzero(ids == end)
+    if len(at):
+        return len(at), int(at[0]), np.diff(at) - 1, len(ids) - 1 - int(at[-1])
+    return 0, len(ids), at[:0], 0
+
+
+def _scan_columns(rows: list[tuple]) -> list[pa.Array]:
+    n, head, inner, tail = zip(*rows) if rows else [()] * 4
+    return [pa.array(list(n), pa.int64()), pa.array(list(head), pa.int64()), pa.array([x.astype(np.int64) for x in inner], pa.list_(pa.int64())), pa.array(list(tail), pa.int64())]
 
 
 def scan_separators(blocks: DataFrame, end: int = END, dtype: str = "<u4", keep: list[str] | None = None) -> DataFrame:
-    """``keep, file, block, n_ends, head, inner, tail`` of each block of flat token files, by one vectorised search.
+    """``keep, file, block, n_ends, head, inner, tail`` of blocks ``(file, block, ids)`` of flat token files.
 
     ``head`` counts the ids up to the block's first separator (all of them if it has none), ``inner`` holds the counts
-    between separators, ``tail`` counts the ids after the last. Separators count for no document. An empty block has
-    zeros.
+    between separators, ``tail`` counts the ids after the last. Separators count for no document. An empty or null block
+    has zeros.
     """
     keep = [] if keep is None else keep
     slim = blocks.select(*keep, F.col("file"), F.col("block"), F.col("ids"))
@@ -209,20 +289,11 @@ def scan_separators(blocks: DataFrame, end: int = END, dtype: str = "<u4", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for raw in b.column("ids"):
-                ids = np.frombuffer(raw.as_py() if raw.is_valid else b"", dtype)
-                at = np.flatnonzero(ids == end)
-                if len(at):
-                    rows.append((len(at), int(at[0]), np.diff(at) - 1, len(ids) - 1 - int(at[-1])))
-                else:
-                    rows.append((0, len(ids), at[:0], 0))
-            cols = list(zip(*rows)) if rows else [()] * 4
-            made = [pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.int64()), pa.array([x.astype(np.int64) for x in cols[2]], pa.list_(pa.int64())), pa.array(list(cols[3]), pa.int64())]
+            rows = [_separators(raw.as_py() if raw.is_valid else b"", end, dtype) for raw in b.column("ids")]
             others = [n for n in b.schema.names if n != "ids"]
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in others] + made, [*others, "n_ends", "head", "inner", "tail"])
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in others] + _scan_columns(rows), [*others, *SCAN])
 
-    return slim.mapInArrow(run, f"{fields}, n_ends bigint, head bigint, inner array<bigint>, tail bigint")
+    return slim.mapInArrow(run, f"{fields}, {SCAN_DDL}")
 
 
 def stitch(scanned: DataFrame) -> DataFrame:
@@ -274,13 +345,10 @@ def document_counts(stitched: DataFrame) -> DataFrame:
 def token_counts(df: DataFrame, doc: str = "doc_id", text: str = "text", end: int = END, name: str = VOCABULARY) -> DataFrame:
     """``doc, file, ordinal, n_tokens`` of every document, counted in flat token files by the separator scan.
 
-    Documents are written as flat files (lazily, block by block), scanned, and matched with the writer's list by their
-    ordinal in the file. Null and empty texts count 0; repeated rows are rows; an empty table has an empty result.
+    Documents are written as flat token files to the shared folder, the files are read back by byte ranges, and counts are
+    matched with the writer's list by their ordinal in the file. Null and empty texts count 0; repeated rows are rows, and
+    equal ordinals don't occur; an empty table has an empty result; columns besides ``doc`` and ``text`` are not looked at.
     """
-    from ._base import settle
-
-    scanned = settle(scan_separators(flat_token_blocks(df, doc, text, end, name), end, keep=["docs"]))
-    # documents begin where the writer says; those begun before a block are counted by the same two-level scan
-    begun = scanned.selectExpr("file", "block", "docs", "cast(size(docs) as bigint) as n_ends", "0L as head", "array(0L) as inner", "0L as tail")
-    begun = stitch(begun).select("file", "first", F.posexplode("docs").alias("i", doc)).select("file", (F.col("first") + F.col("i")).alias("ordinal"), doc)
-    return begun.join(document_counts(stitch(scanned.drop("docs"))), ["file", "ordinal"]).select(doc, "file", "ordinal", "n_tokens")
+    written = settle(write_token_files(df, own_dir(df.sparkSession), doc, text, end, name))
+    counts = document_counts(stitch(settle(scan_token_files(written.select("file", "path").distinct(), end))))
+    return written.join(counts, ["file", "ordinal"]).select(F.col("doc").alias(doc), "file", "ordinal", "n_tokens")

@@ -33,8 +33,22 @@ def test_ids_equal_the_tokenizer_s(text):
     assert tokens.encoder(tokens.VOCABULARY, True).ids([text])[0].tolist() == plain(text, True)
 
 
-def test_a_full_memory_is_emptied():
-    e = tokens.Encoder(limit=3)
+def test_special_strings_are_told_by_their_case():
+    for text in ("<|ENDOFTEXT|>", "<|endoftext|>", "A <|EndOfText|>, b <|endoftext|>c"):
+        assert tokens.encoder().ids([text])[0].tolist() == plain(text)
+
+
+def test_memory_is_bounded_in_bytes():
+    e = tokens.Encoder(limit=50_000)
+    for k in range(40):
+        e.ids([f"{chr(97 + k % 26) * 5000} 漢{'字' * 3000} " + " ".join(f"w{k}x{i}" for i in range(300))])
+        assert e.known.size < 50_000 + 300 * 300 and max(map(len, e.known), default=0) <= tokens.LONG
+    assert e.ids(["字" * 3000 + " a" * 3])[0].tolist() == plain("字" * 3000 + " a" * 3)
+
+
+@pytest.mark.parametrize("limit", [3, 700])
+def test_a_full_memory_is_emptied(limit):
+    e = tokens.Encoder(limit=limit)
     for text in ("a b c d e", "f g", "a f", "one two three four", "it's, it.", "e..., f.,", "A b f g one", "We're. I'd!"):
         assert e.ids([text])[0].tolist() == plain(text)
 
@@ -62,8 +76,29 @@ def test_scan_of_blocks_equals_a_whole_scan(spark, monkeypatch, size):
     assert sorted(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("block", [1, 5, 1 << 18])
+def test_a_flat_file_is_cut_into_byte_ranges(spark, tmp_path, block):
+    """Files that nothing but their ids is known of: large, empty, without a separator, ending in an open document."""
+    rng = np.random.default_rng(block)
+    want, rows = [], []
+    for f, n in enumerate([400, 0, 30, 1]):
+        ids = rng.choice([1, 2, 9], n, p=[0.5, 0.3, 0.2] if f != 2 else [0.5, 0.5, 0]).astype("<u2")
+        (tmp_path / f"{f}.bin").write_bytes(ids.tobytes())
+        rows.append((f, f"file:{tmp_path}/{f}.bin" if f % 2 else f"{tmp_path}/{f}.bin"))
+        want += [(f, k, int(x)) for k, x in enumerate(np.diff(np.append(-1, np.flatnonzero(ids == 9))) - 1)]
+    files = spark.createDataFrame(rows, "file int, path string")
+    got = tokens.document_counts(tokens.stitch(tokens.scan_token_files(files, 9, "<u2", block))).collect()
+    assert sorted(map(tuple, got)) == want
+    (tmp_path / "0.bin").write_bytes(b"odd")
+    with pytest.raises(Exception, match="doesn't divide"):
+        tokens.scan_token_files(files, 9, "<u2", block).collect()
+
+
 def test_token_counts(spark, sf):
-    odd = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (3, "word " * 70_000), (3, "word " * 70_000), (4, "<|endoftext|>")], "doc_id bigint, text string").coalesce(1)
+    odd = spark.createDataFrame(
+        [(1, None, 0, "x"), (2, "", 0, "x"), (None, "a b", 1, "x"), (3, "word " * 270_000, 0, "x"), (3, "word " * 270_000, 0, "x"), (4, "<|endoftext|>", 0, None)],
+        "doc_id bigint, text string, file int, ordinal string",
+    ).coalesce(1)
     corpus = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "n_chars")
     for df in (odd, corpus, odd.limit(0)):
         want = [(r.doc_id, len(plain(r.text or "", True))) for r in df.collect()]
@@ -88,6 +123,14 @@ def brute_best_fit(lengths, capacity, limit):
     return closed, out
 
 
+def test_columns_of_the_result_replace_those_of_the_pieces(spark):
+    df = spark.range(50).selectExpr("id", "id % 9 + 1 as length", "'x' as sequence_id", "id as offset", "1 as __seed")
+    for window in (1, 7):
+        out = packing.best_fit(df, capacity=10, window=window)
+        assert out.columns == ["id", "length", "__seed", "sequence_id", "offset"] and out.count() == 50
+        assert out.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 10").count() == 0
+
+
 @pytest.mark.parametrize("limit", [1, 3, 1000])
 def test_best_fit_takes_the_space_that_brute_force_takes(limit):
     rng = np.random.default_rng(limit)
