@@ -121,20 +121,72 @@ def brute(rows, cosine):
     return n, pairs
 
 
-@pytest.mark.parametrize("block", [1024, 16])
+@pytest.mark.parametrize("block", [2048, 16])
 def test_embeddings_of_the_corpus(spark, sf, block):
-    """The index finds at least 0.9 of the links, and nothing that is none."""
+    """The table has no links: none is found. Tests below have some."""
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.orderBy("vec_id").collect()]
     x = np.array([embed_dedup.unit(e) for _, e in rows])
     close = x @ x.T >= 0.95
     np.fill_diagonal(close, False)
     got = {r.vec_id: r for r in embed_dedup.near_vectors(df, block=block).collect()}
-    found = sum(r.n_links for r in got.values())
-    assert len(got) == len(rows) and found <= close.sum()
-    assert found >= 0.99 * close.sum()
-    assert all(got[i].n_links <= close[k].sum() for k, (i, _) in enumerate(rows))
-    assert all(r.kept == (r.component_id == r.vec_id) for r in got.values())
+    assert len(got) == len(rows) and not close.any()
+    assert all(r.n_links == 0 and r.kept and r.component_id == i for i, r in got.items())
+
+
+def normed(v):
+    return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+
+def turned(rng, x, other, low, high):
+    """Each vector turned towards another one to a cosine between ``low`` and ``high``."""
+    side = other - x
+    side = normed(side - (side * x).sum(1, keepdims=True) * x)
+    cos = rng.uniform(low, high, size=(len(x), 1))
+    return cos * x + np.sqrt(1 - cos**2) * side
+
+
+@pytest.mark.parametrize(
+    "dims,mean_cosine,clusters,short",
+    [(64, 0.0, 0, True), (64, 0.5, 0, True), (64, 0.7, 40, False), (64, 0.8, 0, True), (32, 0.5, 40, True), (256, 0.7, 40, True), (768, 0.5, 10, True), (32, 0.9, 0, False)],
+)
+def test_recall_on_clouds_with_links(spark, dims, mean_cosine, clusters, short):
+    """near_vectors itself against brute force: round and narrow clouds, clusters and copies; pairs just over the threshold."""
+    rng = np.random.default_rng(dims)
+    axis = np.zeros(dims)
+    axis[0] = np.sqrt(mean_cosine)
+    cloud = lambda n: normed(axis + np.sqrt(1 - mean_cosine) * normed(rng.normal(size=(n, dims))))
+    base = cloud(1600)
+    pairs = turned(rng, base[:400], base[400:800], 0.9501, 0.96)
+    parts = [base, pairs, base[:50]]
+    if clusters:
+        parts.append(normed(np.repeat(cloud(clusters), 15, axis=0) + rng.normal(size=(clusters * 15, dims)) * 0.1 / np.sqrt(dims)))
+    x = np.concatenate(parts)
+    x = normed(x.astype(np.float32).astype(np.float64)) if short else x
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32) if short else x)]
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{'float' if short else 'double'}>")
+    close = x @ x.T >= 0.95
+    np.fill_diagonal(close, False)
+    n = close.sum(1)
+    assert n[1600:2000].min() >= 1
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_vectors(df).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    print(dims, mean_cosine, "recall", found.sum() / n.sum(), "of pairs just over the threshold", found[1600:2000].sum() / n[1600:2000].sum())
+    assert (found <= n).all() and found.sum() >= 0.9 * n.sum() and found[1600:2000].sum() >= 0.9 * n[1600:2000].sum()
+
+
+def test_lists_in_blocks_find_the_same(spark):
+    """Long lists cut into pairs of blocks: each link is counted once, whatever the blocks."""
+    rng = np.random.default_rng(5)
+    centers = normed(rng.normal(size=(3, 48)))
+    x = np.concatenate([normed(np.repeat(centers, 150, axis=0) + rng.normal(size=(450, 48)) * 0.03), normed(rng.normal(size=(600, 48)))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    close = x @ x.T >= 0.95
+    np.fill_diagonal(close, False)
+    runs = [{r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_vectors(df, block=b).collect()} for b in (2048, 40)]
+    assert runs[0] == runs[1]
+    found = np.array([runs[0][i][0] for i in range(len(x))])
+    assert (found <= close.sum(1)).all() and found.sum() >= 0.97 * close.sum() > 10_000
 
 
 def test_odd_vectors(spark):
@@ -153,7 +205,8 @@ def test_pivots_stand_apart():
     rng = np.random.default_rng(0)
     points = np.repeat(rng.normal(size=(40, 16)), 50, axis=0) + rng.normal(size=(2000, 16)) * 0.01
     points /= np.linalg.norm(points, axis=1)[:, None]
-    kept = embed_dedup._apart(points, 64)
+    kept, places = embed_dedup._apart(points, 64)
+    assert (kept == points[places]).all()
     cos = kept @ kept.T - np.eye(len(kept))
     assert 32 <= len(kept) <= 40 and cos.max() < 0.95
 
