@@ -12,7 +12,7 @@ from ._base import table
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return media.media_digest(media.text_media(docs)).drop("error")
+    return media.media_digest(media.text_media(docs))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,99 @@ def test_damaged_containers_raise_malformed():
         media.tracks(nested)
 
 
+def fragmented(per_sample=True, base_is_moof=True, head=False):
+    """A movie without samples of its own and two fragments of a track; the samples and which of them are sync."""
+    rng = np.random.default_rng(3)
+    trex = _full(b"trex", 0, 0, struct.pack(">IIIII", 7, 1, 20, 4, 0x10000 if head else 0))
+    empty = [
+        _full(b"stsd", 0, 0, struct.pack(">I", 1), _box(b"avc1", bytes(78))), _full(b"stts", 0, 0, bytes(4)), _full(b"stsc", 0, 0, bytes(4)),
+        _full(b"stsz", 0, 0, bytes(8)), _full(b"stco", 0, 0, bytes(4)),
+    ]
+    mdhd = _full(b"mdhd", 0, 0, struct.pack(">IIII", 0, 0, 1000, 0), bytes(4))
+    tkhd = _full(b"tkhd", 0, 0, struct.pack(">IIIII", 0, 0, 7, 0, 0), bytes(60))
+    out = _box(b"ftyp", b"isom", bytes(4)) + _box(b"moov", _box(b"trak", tkhd, _box(b"mdia", mdhd, _box(b"minf", _box(b"stbl", *empty)))), _box(b"mvex", trex))
+    samples, sync = [], []
+    for k in range(2):
+        sizes = [5, 0, 9] if per_sample else [4, 4, 4]
+        own = [rng.bytes(n) for n in sizes]
+        flags = [0, 0x10000, 0]
+        rows = b"".join(struct.pack(">III", 30, n, f) for n, f in zip(sizes, flags)) if per_sample else b""
+        bits = 1 | (0x700 if per_sample else 0) | (4 if head else 0)
+
+        def moof(at):
+            run = _full(b"trun", 0, bits, struct.pack(">Ii", 3, at), struct.pack(">I", 0) if head else b"", rows)
+            return _box(b"moof", _full(b"mfhd", 0, 0, bytes(4)), _box(b"traf", _full(b"tfhd", 0, 0x20000 if base_is_moof else 0, struct.pack(">I", 7)), run))
+
+        out += moof(len(moof(0)) + 8) + _box(b"mdat", b"".join(own))
+        samples += own
+        sync += [s for s, f in zip(own, flags) if not f] if per_sample else own[:1] if head else own
+    return out, samples, sync
+
+
+@pytest.mark.parametrize("how", [{}, {"base_is_moof": False}, {"per_sample": False}, {"per_sample": False, "head": True}, {"head": True}])
+def test_fragments(how):
+    raw, samples, sync = fragmented(**how)
+    (t,) = media.tracks(raw)
+    assert (t["n_samples"], t["n_bytes"], t["duration"]) == (6, sum(map(len, samples)), 0.18 if how.get("per_sample", True) else 0.12)
+    assert media.read_payload(raw) == b"".join(samples)
+    assert b"".join(raw[k["start"] : k["stop"]] for k in t["keyframes"]) == b"".join(sync)
+
+
+def damaged():
+    whole = [container([5, 3, 9, 0, 2], 2, [1, 3])[0], container([5, 3, 9], 2, [1], compact=4)[0], container([7] * 5, 2, [2], wide=True, version=1)[0]]
+    return [*whole, fragmented()[0], fragmented(per_sample=False, head=True)[0], media.store(media.pad(b"x" * 5000))]
+
+
+@pytest.mark.parametrize("which", range(6))
+def test_every_field_can_be_wrong(which):
+    """Each place of a container takes extreme values in turn: it is read or Malformed, and no count allocates beyond the file."""
+    import tracemalloc
+
+    raw = damaged()[which]
+    tracemalloc.start()
+    for at in range(len(raw) if len(raw) < 1500 else 0) or [*range(60), *range(len(raw) - 700, len(raw))]:
+        for value in (b"\0\0\0\0", b"\xff\xff\xff\xff", b"\xff\xff\xff\xf0", b"\0\0\0\1", b"\x7f\xff\xff\xff", b"\x80"):
+            b = raw[:at] + value + raw[at + len(value) :]
+            for read in (media.tracks, media.read_payload):
+                try:
+                    read(b)
+                except media.Malformed:
+                    pass
+        for read in (media.tracks, media.read_payload):
+            try:
+                read(raw[:at])
+            except media.Malformed:
+                pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+
+
+def test_a_count_alone_allocates_nothing():
+    """Samples of one byte each: their number is a field, not a table."""
+    n = 300_000
+    ftyp = _box(b"ftyp", b"isom", bytes(4))
+    at = len(ftyp) + 8
+    boxes = [
+        _full(b"stsd", 0, 0, bytes(4)), _full(b"stts", 0, 0, struct.pack(">III", 1, n, 1)), _full(b"stsc", 0, 0, struct.pack(">IIII", 1, 1, n, 1)),
+        _full(b"stsz", 0, 0, struct.pack(">II", 1, n)), _full(b"stco", 0, 0, struct.pack(">II", 1, at)),
+    ]
+    trak = _box(b"trak", _box(b"mdia", _full(b"mdhd", 0, 0, struct.pack(">IIII", 0, 0, 0, 0), bytes(4)), _box(b"minf", _box(b"stbl", *boxes))))
+    raw = ftyp + _box(b"mdat", bytes(n)) + _box(b"moov", trak)
+    (t,) = media.tracks(raw)
+    assert (t["n_samples"], t["codec"], t["duration"], t["keyframes"]) == (n, None, None, [{"start": at, "stop": at + n}])
+    assert media.read_payload(raw) == bytes(n)
+
+
+def test_damaged_containers_have_a_reason(spark):
+    good = media.store(media.pad(b"text"))
+    df = spark.createDataFrame([(1, 4, good), (2, 4, b"no box at all, surely"), (3, 4, None), (4, 4, good[:-9])], "doc_id int, n_bytes bigint, media binary")
+    out = media.media_digest(df)
+    assert out.columns[:8] == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[1].error is None and rows[1].feature and all(rows[k].error and rows[k].feature is None for k in (2, 3, 4))
+
+
 def test_probe_media(spark):
     good, _ = container([5, 3, 9], 2, [1])
     df = spark.createDataFrame([(1, good, "a"), (2, b"nonsense that is no box", "b"), (3, None, "c"), (4, b"", "d")], "id int, media binary, error string")
