@@ -47,13 +47,13 @@ class _Known(dict):
         self.older, self.size = older, 0
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.older[chunk]
-        self.keep(chunk, ids)
+        ids = self[chunk] = self.older[chunk]
+        self.size += ENTRY + 4 * len(chunk) + len(ids)  # at most four bytes a character
         return ids
 
-    def keep(self, chunk: str, ids: bytes) -> None:
-        self[chunk] = ids
-        self.size += ENTRY + 4 * len(chunk) + len(ids)  # at most four bytes a character
+    def keep(self, chunks: list[str], ids: list[bytes]) -> None:
+        self.update(zip(chunks, ids))
+        self.size += ENTRY * len(chunks) + 4 * sum(map(len, chunks)) + sum(map(len, ids))
 
 
 class Encoder:
@@ -114,7 +114,8 @@ class Encoder:
         chunks = lists.flatten().dictionary_encode()
         distinct, at = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
         long = self._learn(distinct)
-        found = [long[c] if c in long else self.known[c] if c else b"" for c in distinct]
+        known = self.known
+        found = [long[c] if c in long else known[c] if c else b"" for c in distinct] if long else [known[c] if c else b"" for c in distinct]
         ids = np.frombuffer(b"".join(found), "<u4")
         size = np.array([len(x) // 4 for x in found], np.int64)
         start = np.cumsum(size) - size
@@ -144,6 +145,14 @@ class Encoder:
         Ids of chunks too long to be remembered are returned.
         """
         known, older, long = self.known, self.known.older, {}
+
+        def keep(chunks: list[str], ids: list[bytes]) -> None:
+            if max(map(len, chunks)) > LONG:
+                long.update((c, x) for c, x in zip(chunks, ids) if len(c) > LONG)
+                ids = [x for c, x in zip(chunks, ids) if len(c) <= LONG]
+                chunks = [c for c in chunks if len(c) <= LONG]
+            known.keep(chunks, ids)
+
         new = [c for c in asked if c not in known and c not in older]
         words = [c for c in new if ONE_PIECE.fullmatch(c)]
         for a in range(0, len(words), 4096):
@@ -152,20 +161,11 @@ class Encoder:
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             assert len(stops) == len(part)
             raw = ids.tobytes()
-            for c, x, y in zip(part, [0, *stops[:-1].tolist()], stops.tolist()):
-                if len(c) <= LONG:
-                    known.keep(c, raw[x:y])
-                else:
-                    long[c] = raw[x:y]
+            keep(part, list(map(raw.__getitem__, map(slice, [0, *stops[:-1].tolist()], stops.tolist()))))
         rest = [c for c in new if not ONE_PIECE.fullmatch(c)]
         for a in range(0, len(rest), 4096):
             part = rest[a : a + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                own = np.array(e.ids, "<u4").tobytes()
-                if len(c) <= LONG:
-                    known.keep(c, own)
-                else:
-                    long[c] = own
+            keep(part, [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
         return long
 
 
