@@ -71,7 +71,7 @@ def _ring_keys(nodes: DataFrame) -> DataFrame:
     differences summed over its first 1, 2 and 3 segments stay within 0, 1 and 2 (3/4 a segment, rounded down). So
     segment i is equal and its successor differs in one bit at most. A fingerprint is found under its own two segments
     (``own``) and looks under those with one bit of the successor taken away: of two that differ in that bit, the one
-    that has it looks. The third budget is checked with the distance.
+    that has it looks. The budget of the third segment, and those of two that both look, are checked in the group.
     """
     fp = F.col("fp")
     keys = []
@@ -103,10 +103,24 @@ def _hot_keys(nodes: DataFrame, block: int) -> DataFrame:
     return met.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("cuts"))
 
 
-def _forest(fp: np.ndarray, node: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def _chained(differ: np.ndarray, segment: int, distance: int) -> np.ndarray:
+    """Of differing bits ``differ``: whether the chain of segments from ``segment`` on stays within its budgets.
+
+    The differences summed over its first 1, 2 and 3 segments are at most 1/4, 2/4 and 3/4 of ``distance``, rounded down.
+    """
+    at = np.uint64(WIDTH * segment)
+    turned = differ >> at | (differ << (np.uint64(64) - at) if segment else np.uint64(0))
+    ok = np.ones(len(differ), bool)
+    for k in range(1, SEGMENTS):
+        ok &= np.bitwise_count(turned & np.uint64((1 << WIDTH * k) - 1)) <= distance * k // SEGMENTS
+    return ok
+
+
+def _forest(fp: np.ndarray, node: np.ndarray, segment: int, distance: int) -> list[tuple[int, int]]:
     """Edges that join what is linked within a group, through the fewest comparisons: a search from node to node.
 
-    The chain's third budget is not needed for right results, as every pair is checked by its full distance.
+    Only pairs whose chain from the group's segment on keeps its budgets are checked by their full distance; any linked pair
+    has such a chain from one of its segments on, and meets in that segment's group.
     """
     edges = []
     left = np.arange(len(fp))
@@ -114,8 +128,9 @@ def _forest(fp: np.ndarray, node: np.ndarray, distance: int) -> list[tuple[int,
         queue, left = [int(left[0])], left[1:]
         root = queue[0]
         while queue and len(left):
-            at = queue.pop()
-            near = np.bitwise_count(fp[left] ^ fp[at]) <= distance
+            differ = fp[left] ^ fp[queue.pop()]
+            near = _chained(differ, segment, distance)
+            near[near] = np.bitwise_count(differ[near]) <= distance
             if near.any():
                 reached = left[near]
                 edges += [(int(node[r]), int(node[root])) for r in reached]
@@ -151,7 +166,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Dat
             if not own.any():
                 continue
             fp = g.column("fp").to_numpy().view(np.uint64)
-            out += _forest(fp, g.column("node").to_numpy(), distance)
+            segment = g.column("key")[0].as_py() >> 2 * WIDTH
+            out += _forest(fp, g.column("node").to_numpy(), segment, distance)
             if len(out) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
                 out = []

@@ -48,6 +48,28 @@ def test_shingles_in_blocks_count_alike(monkeypatch):
     assert simhash.fingerprint(text) == whole
 
 
+@pytest.mark.parametrize("distance", [0, 1, 2, 3])
+def test_linked_fingerprints_have_a_chain_and_meet_where_it_begins(spark, distance):
+    """Pigeonring: some chain keeps the budgets of one, two and three segments; far pairs are mostly pruned by them."""
+    rng = np.random.default_rng(distance)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    differ = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, distance + 1), replace=False)) for _ in base], np.uint64)
+    chains = np.array([simhash._chained(differ, i, distance) for i in range(4)])
+    assert chains.any(axis=0).all()
+    budgets = [distance * k // 4 for k in (1, 2, 3)]
+    for d, own in zip(differ.tolist(), chains.T):
+        for i in range(4):
+            bits = [(d >> 16 * ((i + k) % 4) & 0xFFFF).bit_count() for k in range(3)]
+            assert own[i] == all(sum(bits[: k + 1]) <= budgets[k] for k in range(3))
+    spread = np.array([sum(1 << int(b) for b in rng.choice(64, 4 + distance, replace=False)) for _ in range(400)], np.uint64)
+    assert np.mean([simhash._chained(spread, i, distance) for i in range(4)]) < 0.2
+    fps = sorted(set(base.tolist()) | set((base ^ differ).tolist()))
+    nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(fps)], "fp bigint, node bigint")
+    got = {r.node: r.component for r in components.connected_components(simhash.links(nodes, distance)).collect()}
+    want = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= distance])
+    assert [got.get(i, i) for i in range(len(fps))] == want
+
+
 @pytest.mark.parametrize("block", [2048, 8])
 def test_links_reach_what_brute_force_reaches(spark, block):
     """Random fingerprints with planted neighbours of 1 to 4 bits, and a dense cloud around one of them."""
