@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ._base import settle
 
-BLOCKS = 4096
+BLOCKS = 4096  # at least
+BLOCK_ROWS = 1 << 16  # rows of a block on average, beyond as many blocks: what one window sees of a source stays bounded
 SEED = 9
 GRID, ROUNDS = 64, 5
 BROADCAST_SOURCES = 10_000
@@ -28,6 +29,7 @@ class Mixture:
     entropy: float
     plan: DataFrame
     n_sources: int
+    n_blocks: int
 
 
 def n_tokens(text: Column) -> Column:
@@ -36,10 +38,14 @@ def n_tokens(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"[ \t\n\x0B\f\r]+"))).cast("long")
 
 
-def _place(epoch: Column, doc: Column, text: Column) -> tuple[Column, Column]:
-    """Block of a row and its place in the permutation of an epoch: blocks are permuted, and rows within a block."""
-    block = F.pmod(F.xxhash64(F.lit(SEED), doc, text), F.lit(BLOCKS)).cast("int")
-    return block, F.xxhash64(F.lit(SEED), epoch, block)
+def blocks_for(n: int) -> int:
+    """Blocks that ``n`` rows are dealt into: a power of two, ``BLOCKS`` at least."""
+    return max(BLOCKS, 1 << max(0, -(-n // BLOCK_ROWS) - 1).bit_length())
+
+
+def _block(doc: Column, text: Column, blocks: int) -> Column:
+    """Block of a row; an epoch permutes blocks, and rows within a block."""
+    return F.pmod(F.xxhash64(F.lit(SEED), doc, text), F.lit(blocks)).cast("int")
 
 
 def _bisect(sources: DataFrame, target_entropy: float | None, max_repeats: float | None) -> tuple[float, float]:
@@ -89,8 +95,9 @@ def mixture(rows: DataFrame, target_entropy: float | None = None, max_repeats: f
     epoch's permutation: whole blocks up to the source's budget, and of the block on the border the rows that fit.
     Rows with equal keys in the permutation are all in or all out.
     """
+    blocks = blocks_for(rows.count())
     by_block = settle(
-        rows.select("source", "tokens", _place(F.lit(0), F.col("doc"), F.col("th"))[0].alias("block"))
+        rows.select("source", "tokens", _block(F.col("doc"), F.col("th"), blocks).alias("block"))
         .groupBy("source", "block")
         .agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     )
@@ -122,7 +129,7 @@ def mixture(rows: DataFrame, target_entropy: float | None = None, max_repeats: f
         "sum(tokens) over (partition by source order by place, block) as upto",
     )
     border = last.where("before <= rest and upto > rest").selectExpr("source", "block", "passes", "place", "rest - before as room")
-    inner = rows.select("source", "doc", "th", "tokens", _place(F.lit(0), F.col("doc"), F.col("th"))[0].alias("block"))
+    inner = rows.select("source", "doc", "th", "tokens", _block(F.col("doc"), F.col("th"), blocks).alias("block"))
     inner = (
         inner.alias("r")
         .join(border.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.block") == F.col("b.block")))
@@ -142,7 +149,7 @@ def mixture(rows: DataFrame, target_entropy: float | None = None, max_repeats: f
         .select("p.source", "p.tokens", "weight", "repeats", "passes", "rest", "cut_block", "cut_place", "cut_inner")
     )
     plan = settle(plan)
-    return Mixture(exponent, entropy, plan, plan.count())
+    return Mixture(exponent, entropy, plan, plan.count(), blocks)
 
 
 def realise(rows: DataFrame, mix: Mixture, keep: list[str]) -> DataFrame:
@@ -153,7 +160,7 @@ def realise(rows: DataFrame, mix: Mixture, keep: list[str]) -> DataFrame:
     """
     plan = mix.plan.withColumnRenamed("source", "__source").drop("tokens")
     plan = F.broadcast(plan) if mix.n_sources <= BROADCAST_SOURCES else plan
-    block = _place(F.lit(0), F.col("doc"), F.col("th"))[0]
+    block = _block(F.col("doc"), F.col("th"), mix.n_blocks)
     at = rows.join(plan, F.col("source").eqNullSafe(F.col("__source"))).withColumn("block", block)
     place = F.xxhash64(F.lit(SEED), F.col("passes"), F.col("block"))
     inner = F.xxhash64(F.lit(SEED), F.col("passes"), F.col("doc"), F.col("th"))

@@ -1,10 +1,12 @@
 """Sharding and mixing."""
 
 import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tagloom.llm import mixing, sharding
@@ -33,6 +35,47 @@ def test_shards(spark, sf, which):
     assert all(sorted(x) == list(range(len(x))) for x in by_shard.values()) and all(len(x) == 1 for x in by_key.values())
 
 
+def plain_draw(key, node):
+    """Minus the logarithm of a uniform number from the hash of key, seed and name, divided by the node's weight."""
+    h = 42
+    if key is not None:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+    h = xxhash.xxh64_intdigest(struct.pack("<i", sharding.SEED), h)
+    h = xxhash.xxh64_intdigest(node.name.encode(), h)
+    return -math.log(((h >> 11) + 0.5) * 2.0**-53) / node.weight
+
+
+def plain_shard(key, nodes):
+    """One level after another: of the nodes with weight the one with the least draw."""
+    best = min((n for n in nodes if n.weight > 0), key=lambda n: plain_draw(key, n))
+    return best.shard if best.shard is not None else plain_shard(key, best.children)
+
+
+@pytest.mark.parametrize("n", range(1, 21))
+def test_the_descent_equals_a_plain_one(spark, n):
+    keys = [None, -1, 0, 1 << 62, *range(100, 160)]
+    df = spark.createDataFrame([(k, "x") for k in keys], "doc_id bigint, text string")
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard_rows(df, n_shards=n).collect()}
+    now, grown = sharding.tree(n), sharding.tree(n + 1)
+    assert got == {k: (plain_shard(k, now.regions), plain_shard(k, grown.regions)) for k in keys}
+    if n >= sharding.BASE:
+        assert all(b in (a, n) for a, b in got.values())
+
+
+def test_the_corpus_is_sharded_as_a_plain_descent_says(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    t8, t9 = sharding.tree(8), sharding.tree(9)
+    for r in sharding.shard_rows(df).collect():
+        assert (r.shard, r.grown_shard) == (plain_shard(r.doc_id, t8.regions), plain_shard(r.doc_id, t9.regions))
+
+
+def test_weights_are_drawn_by(spark):
+    leaf = lambda s, w: sharding.Node(f"shard{s}", w, (), s)
+    some = sharding.Tree((sharding.Node("a", children=(leaf(0, 0.5), leaf(1, 0.0))), sharding.Node("b", children=(leaf(2, 3.0), leaf(3, 1.5)))))
+    got = {r[0]: r[1] for r in spark.range(3000).select("id", sharding.shard_of(F.col("id"), some)).collect()}
+    assert got == {k: plain_shard(k, some.regions) for k in range(3000)} and 1 not in got.values()
+
+
 def test_shares_follow_weights(spark):
     n = 40_000
     got = Counter(r[0] for r in spark.range(n).select(sharding.shard_of(F.col("id"), sharding.tree(8))).collect())
@@ -121,6 +164,21 @@ def test_last_passes_are_prefixes_of_their_permutation(spark, sf):
             assert all(places[b] == border for b in missing.block if b in places)
 
 
+def test_more_blocks_for_more_rows(spark, sf, monkeypatch):
+    """Blocks follow the input; what is taken of each source stays within its budget."""
+    assert [mixing.blocks_for(n) for n in (0, 1, 4096 << 16, (4096 << 16) + 1, 10**10)] == [4096, 4096, 4096, 8192, 262144]
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    monkeypatch.setattr(mixing, "BLOCKS", 1)
+    taken = []
+    for rows in (1 << 16, 4):
+        monkeypatch.setattr(mixing, "BLOCK_ROWS", rows)
+        out = mixing.mix_documents(df)
+        taken.append({r.source: r.n for r in out.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()})
+        assert out.where("epoch = 0").count() == df.count()
+    longest = df.agg(F.max(mixing.n_tokens(F.col("text")))).first()[0]
+    assert taken[0].keys() == taken[1].keys() and all(abs(taken[0][k] - taken[1][k]) <= longest + 1 for k in taken[0])
+
+
 def test_odd_documents_are_mixed(spark):
     df = spark.createDataFrame(ODD, ODD_SCHEMA)
     out = mixing.mix_documents(df, max_repeats=2.0).collect()
