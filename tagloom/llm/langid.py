@@ -10,16 +10,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._base import least_hashes, settle
+from ._base import settle
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-SAMPLE = 400  # labelled documents of a language that are fitted on, at most
-WINDOWS_A_DOC = 6
+SAMPLE = 400  # labelled documents of a language that are fitted on, at most, whole
 EPOCHS = 6
 FOLDS = 5
 SEED = 10
@@ -155,37 +155,33 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
 
 
 def labelled_windows(df: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", size: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows of at most ``size`` documents of each language, never of held-out ones.
+    """All windows of at most ``size`` documents of each language, never of held-out ones.
 
-    A document gives at most 6 windows, from places that its text's hash decides. Identifiers are chosen first, those with
-    the least hashes in their language; texts come by a broadcast of the chosen. Of several rows with an identifier and a
-    language the least text stands for all.
+    Identifiers are chosen first, those with the least hashes in their language, all languages in one pass; texts come by a
+    broadcast of the chosen. Of several rows with an identifier and a language the least text stands for all.
     """
     k, y = F.col(f"`{doc}`"), F.col(f"`{lang}`")
     fit = k.isNotNull() & y.isNotNull() & (F.pmod(F.crc32(k.cast("string").cast("binary")), F.lit(FOLDS)) != 0) & (F.trim(y) != "")
     rows = settle(df.where(fit).select(k.alias("doc"), y.alias("lang")).distinct())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(counts)
-    chosen = None
-    for name in langs:
-        part = least_hashes(rows.where(F.col("lang") == name), ["doc"], size, SEED, counts[name])
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = sorted(r["lang"] for r in counts.collect())
+    if not langs:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
+    # rows far beyond a language's border stay where they are, so that no window sees many more than are chosen
+    h = F.xxhash64(F.lit(SEED), "doc")
+    place = F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(2**63))), 11) / F.lit(2.0**53)
+    near = rows.join(counts, "lang").where(place < F.lit(1.5 * size) / F.col("n")).select("doc", "lang", h.alias("h"))
+    ranked = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc"))).where(F.col("r") <= size)
+    chosen = settle(ranked.select("doc", "lang"))
     texts = df.select(k.alias("doc"), y.alias("lang"), F.col(f"`{text}`").alias("text")).where("text is not null")
     picked = texts.join(F.broadcast(chosen), ["doc", "lang"]).groupBy("doc", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                raw = t.encode()
-                if not _letter.search(t):
-                    continue
-                rng = np.random.default_rng(zlib.crc32(raw))
-                last = max(1, len(raw) - WINDOW + 1)
-                starts = np.unique(rng.integers(0, last, WINDOWS_A_DOC))
-                cut = [windows(raw[s : s + WINDOW])[0].tobytes() for s in starts]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cut), pa.string()), pa.array(cut, pa.binary())], ["lang", "window"])
+                if _letter.search(t):
+                    cut = [w.tobytes() for w in windows(t.encode())]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(cut), pa.string()), pa.array(cut, pa.binary())], ["lang", "window"])
 
     got = picked.mapInArrow(run, "lang string, window binary").orderBy("lang", "window").collect()
     x = np.frombuffer(b"".join(bytes(r.window) for r in got), np.uint8).reshape(-1, WINDOW)

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from ._base import least_hashes, settle
 
 SAMPLE = 4000  # labelled documents of each class at most: the bound of what is fitted on
-FEATURES = 4096  # features that are fitted, those that tell grades apart best
 GRADES = 3
 MIN_DOCS = 5
 NOISE = 4.0
 PENALTY = 1.0
 THRESHOLD = 0.5
-CACHE = 200_000
+CACHE = 200_000  # words that a worker remembers, none longer than ``LONG`` characters
+LONG = 64
 PREFIXES = (4, 5, 6, 7)
 LEVELS = (1, 2, 4)  # occurrences at which a beginning counts anew
 SEED = 4
@@ -77,7 +77,9 @@ class Model:
             if own is None:
                 if len(known) >= CACHE:
                     known.clear()
-                own = known[word] = tuple(f for f in word_bases(word) if f in bases)
+                own = tuple(f for f in word_bases(word) if f in bases)
+                if len(word) <= LONG:
+                    known[word] = own
             for base in own:
                 totals[base] = totals.get(base, 0) + n
         return sum(self.weights.get(f, 0.0) for base in sorted(totals) for f in _reached(base, totals[base]))
@@ -99,7 +101,11 @@ def is_marker(feature: str, other: int, toxic: int, n_other: int, n_toxic: int)
 
 
 def severity_grades(markers: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Grades of labelled texts: 0 where not toxic; toxic ones 1, or 2 if they have more markers than the median has."""
+    """Grades of labelled texts: 0 where not toxic; toxic ones 1, or 2 if they have more markers than the median has.
+
+    Labels only say toxic or not. The two grades of toxic texts are derived, from words that the same sample marks: grade 2
+    says that a text has more of what tells toxic texts than most toxic texts have, not that somebody called it worse.
+    """
     grades = toxic.astype(np.int64)
     if toxic.any():
         grades[toxic & (markers > np.median(markers[toxic]))] = 2
@@ -118,7 +124,7 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Model:
         return _nothing()
     share = n[1] / sum(n)
     apart = {f: (c[1] - sum(c) * share) / np.sqrt(sum(c) * share * (1 - share)) for f, c in counts.items() if sum(c) >= MIN_DOCS}
-    chosen = sorted((f for f, z in apart.items() if z >= NOISE), key=lambda f: (-apart[f], f))[:FEATURES]
+    chosen = sorted((f for f, z in apart.items() if z >= NOISE), key=lambda f: (-apart[f], f))
     column = {f: k for k, f in enumerate(chosen)}
     marks = {f for f in chosen if is_marker(f, *counts[f], *n)}
     return solve(chosen, [sorted(column[f] for f in fs if f in column) for fs in features], np.array([len(fs & marks) for fs in features]), toxic)
@@ -196,7 +202,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, **names: str)
     """A model fitted on a bounded sample of ``labels``.
 
     Features are counted on the executors. The driver gets those that are more common in toxic documents by ``NOISE``
-    standard deviations or more, ``FEATURES`` at most, and for each document of the sample which of them it has.
+    standard deviations or more, all of them (each is in five documents of the bounded sample or more), and for each
+    document of the sample which of them it has.
     """
     sample = labelled_sample(docs, labels, size=size, **names)
     found = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -214,7 +221,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, **names: str)
     counts = sample.mapInArrow(features, "feature string, y int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("y").cast("bigint").alias("n1"))
     apart = (F.col("n1") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
     counts = counts.where(F.col("n") >= MIN_DOCS).withColumn("z", apart).where(F.col("z") >= NOISE)
-    top = counts.orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+    top = sorted(counts.collect(), key=lambda r: (-r["z"], r["feature"]))
     column = {r["feature"]: k for k, r in enumerate(top)}
     marks = {r["feature"] for r in top if is_marker(r["feature"], r["n"] - r["n1"], r["n1"], *n)}
 

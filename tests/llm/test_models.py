@@ -1,5 +1,6 @@
 """Toxicity and language identification: held-out accuracy, and odd rows."""
 
+import math
 import zlib
 
 import numpy as np
@@ -54,6 +55,48 @@ def test_grades_are_ordered_and_share_weights():
     assert min(model.weights.values()) > 0 and model.grades(np.zeros(1))[0, 0] > 0.8  # nothing found is nothing toxic
 
 
+def plain_loss(w, cuts, rows, y, weight, penalty):
+    """Weighted negative log-likelihood of a cumulative-link model and its penalty, term by term."""
+    out = sum(p * x for p, x in zip(penalty, w))
+    for cols, grade, g in zip(rows, y, weight):
+        s = sum(w[c] for c in cols)
+        below = [0.0, *(1 / (1 + math.exp(s - c)) for c in cuts), 1.0]
+        out -= g * math.log(max(below[grade + 1] - below[grade], 1e-300))
+    return out
+
+
+def test_the_fit_is_what_another_optimiser_finds():
+    """Coordinate descent by step halving on the plain loss, from zero, and from the fit: neither finds less."""
+    rng = np.random.default_rng(4)
+    n, k = 160, 6
+    toxic = np.arange(n) % 3 == 0
+    x = rng.random((n, k)) < np.where(toxic[:, None], [0.8, 0.6, 0.5, 0.3, 0.4, 0.2], [0.1, 0.05, 0.2, 0.2, 0.3, 0.2])
+    rows = [np.flatnonzero(r).tolist() for r in x]
+    markers = x[:, :3].sum(1)
+    model = toxicity.solve([str(c) for c in range(k)], rows, markers, toxic, rounds=6000)
+    y = toxicity.severity_grades(markers, toxic)
+    assert set(y) == {0, 1, 2}
+    weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
+    penalty = toxicity.PENALTY * 0.5 * np.sqrt(x.sum(0) * (weight**2).mean())
+    fit = [model.weights.get(str(c), 0.0) for c in range(k)] + model.cuts.tolist()
+    loss = lambda p: plain_loss(p[:k], p[k:], rows, y, weight, penalty)
+
+    def descend(p):
+        p, best, step = list(p), loss(p), 1.0
+        while step > 1e-4:
+            moved = False
+            for i in range(len(p)):
+                for d in (step, -step):
+                    q = [*p]
+                    q[i] = max(q[i] + d, 0.0) if i < k else q[i] + d
+                    if q[k + 1] - q[k] >= 0.1 and (at := loss(q)) < best - 1e-12:
+                        p, best, moved = q, at, True
+            step = step if moved else step / 2
+        return best
+
+    assert loss(fit) <= descend([0.0] * k + [0.0, 1.0]) + 1e-5 and loss(fit) <= descend(fit) + 1e-5
+
+
 def test_odd_texts_are_scored(spark):
     rows = [(1, None, "a"), (2, "", "b"), (None, "fine day", "c"), (3, "badword " * 50_000, "d"), (4, "good badword", "e"), (4, "good badword", "e")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, severity string")
@@ -111,6 +154,19 @@ def test_nothing_is_learned_from_held_out_documents(spark):
     assert langs == ["aa", "bb"] and seen and not seen & {f"word{i}".encode() for i in range(40) if langid.held_out(i)}
 
 
+def test_learned_windows_are_all_of_the_chosen_documents(spark):
+    """Of each language the documents with the least hashes, whole; those of rare languages all."""
+    rows = [(i, f"{'word ' * (i % 300)}x{i} end", "aa") for i in range(4000)] + [(i, f"rare {i} " * 90, "bb") for i in range(5000, 5030)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    x, y, langs = langid.labelled_windows(df, size=50)
+    fit = df.where("crc32(cast(doc_id as string)) % 5 <> 0")
+    want = []
+    for lang in langs:
+        for r in fit.where(F.col("lang") == lang).orderBy(F.xxhash64(F.lit(langid.SEED), "doc_id")).limit(50).collect():
+            want += [(w.tobytes(), langs.index(lang)) for w in langid.windows(r.text.encode())]
+    assert langs == ["aa", "bb"] and sorted((w.tobytes(), int(k)) for w, k in zip(x, y)) == sorted(want)
+
+
 def test_tables_equal_the_convolution(net):
     """Lookups give what the filters give."""
     rng = np.random.default_rng(0)
