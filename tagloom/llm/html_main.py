@@ -140,6 +140,7 @@ def tokenize(page: str) -> list[Item]:
     out: list[Item] = []
     root = Element("", ROOT, 0, 0, False)
     stack: list[tuple[Element, int]] = [(root, -1)]
+    open_names: Counter = Counter()
     pos, end = 0, len(page)
 
     def text(stop: int) -> None:
@@ -153,6 +154,7 @@ def tokenize(page: str) -> list[Item]:
     def shut(k: int) -> None:
         while len(stack) > k:
             e, opened = stack.pop()
+            open_names[e.name] -= 1
             out[opened].close = len(out)
             out.append(Item("c", xxhash.xxh64_intdigest(b"/", e.path) & _MASK, e.name, element=stack[-1][0], depth=len(stack)))
 
@@ -165,7 +167,7 @@ def tokenize(page: str) -> list[Item]:
             continue
         name = name.lower()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_names[name] > 0 else ():
                 if stack[k][0].name == name:
                     shut(k)
                     break
@@ -187,6 +189,7 @@ def tokenize(page: str) -> list[Item]:
             out[-1].close = len(out)
             continue
         stack.append((e, len(out) - 1))
+        open_names[name] += 1
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, pos)
             pos = stop.start() if stop else end
@@ -207,7 +210,7 @@ def template_positions(items: list[Item], template: Template | None) -> set[int]
     """Places of a page's tokens that stand in valid classes of the template.
 
     A class is valid on a page if its tokens that occur once there keep the template's order and if it nests: seen from
-    another class, all of it lies in one gap. Of two that cross, the smaller one goes.
+    another class, all of it lies in one gap. Of two that cross, the smaller one goes, or else the one that begins later.
     """
     if template is None or not template.classes:
         return set()
@@ -217,26 +220,74 @@ def template_positions(items: list[Item], template: Template | None) -> set[int]
         own = template.classes.get(x.token)
         if own and seen[x.token] == 1:
             by_class.setdefault(own[0], []).append((own[1], at))
-    ordered = []
-    for members in by_class.values():
+    ordered = {}
+    for key, members in by_class.items():
         places = [at for _, at in sorted(members)]
         if all(a < b for a, b in zip(places, places[1:])):
-            ordered.append(places)
-    ordered.sort(key=len, reverse=True)
-    valid: list[list[int]] = []
-    for places in ordered:
-        if all(_nests(places, other) or _nests(other, places) for other in valid):
-            valid.append(places)
-    return {at for places in valid for at in places}
+            ordered[key] = places
+    return {at for key in _nested(ordered) for at in ordered[key]}
 
 
-def _nests(inner: list[int], outer: list[int]) -> bool:
-    """Whether all of ``inner`` lies in one gap of ``outer``."""
-    return len({sum(1 for o in outer if o < i) for i in inner}) == 1
+def _nested(classes: dict[int, list[int]]) -> set[int]:
+    """Classes that nest, by one sweep over the page with a stack of those that are open.
 
+    A class that is met again below others on the stack crosses these. Sizes on the stack are kept in a tree of maxima, so a
+    step costs the logarithm of the number of classes.
+    """
+    steps = sorted((at, key) for key, places in classes.items() for at in places)
+    last = {key: places[-1] for key, places in classes.items()}
+    width = 1 << max(0, len(classes) - 1).bit_length()
+    tree = [0] * (2 * width)
+
+    def put(k: int, size: int) -> None:
+        k += width
+        tree[k] = size
+        while k > 1:
+            k >>= 1
+            tree[k] = max(tree[2 * k], tree[2 * k + 1])
+
+    def most(k: int) -> int:
+        """The largest size at stack place ``k`` or above."""
+        out, a, z = 0, k + width, 2 * width
+        while a < z:
+            if a & 1:
+                out, a = max(out, tree[a]), a + 1
+            if z & 1:
+                z -= 1
+                out = max(out, tree[z])
+            a, z = a >> 1, z >> 1
+        return out
 
-def _blocks(items: list[Item], start: int, stop: int, skip: set[int]) -> list[str]:
-    """Text of the blocks between two places, without elements beside the content and without ``skip``."""
+    stack: list[int] = []
+    place: dict[int, int] = {}
+    gone: set[int] = set()
+    for at, key in steps:
+        if key in gone:
+            continue
+        if key not in place:
+            while stack and stack[-1] in gone:
+                put(len(stack) - 1, 0)
+                stack.pop()
+            place[key] = len(stack)
+            stack.append(key)
+            put(place[key], len(classes[key]))
+        elif place[key] + 1 < len(stack):
+            if most(place[key] + 1) > len(classes[key]):
+                gone.add(key)
+                put(place[key], 0)
+                continue
+            while len(stack) > place[key] + 1:
+                gone.add(stack[-1])
+                put(len(stack) - 1, 0)
+                stack.pop()
+        if at == last[key]:
+            put(len(stack) - 1, 0)
+            stack.pop()
+    return set(classes) - gone
+
+
+def _blocks(items: list[Item], start: int, stop: int, take: set[int] | None) -> list[str]:
+    """Text of the blocks between two places, of the texts in ``take`` (None: all), without elements beside the content."""
     out: list[str] = []
     held: list[str] = []
 
@@ -250,7 +301,7 @@ def _blocks(items: list[Item], start: int, stop: int, skip: set[int]) -> list[st
     while at < stop:
         x = items[at]
         if x.kind == "t":
-            if at not in skip:
+            if take is None or at in take:
                 held.append(x.text)
         elif x.kind == "o":
             aside = x.element.aside
@@ -331,30 +382,52 @@ def fixed_blocks(items: list[Item], template: Template | None, fixed: set[int])
 def main_text(page: str | None, template: Template | None = None) -> str:
     """The article's text: blocks in page order, white space inside each as one space, joined by one space.
 
-    Of the slot of the template that an article (or else a main element, or an element whose class says that it is the
-    content) opens and closes, the blocks that vary are taken, less what stands beside the content; on hosts whose pages
-    are too few or too unlike for a template the same element is taken without one. Where no element says so, all slots
-    outside of elements beside the content are taken, without the template's own texts and without blocks of links.
-    Where nothing varies, pages are copies of each other and the template decides nothing.
+    The template's texts are taken out of the page; what remains between its tokens are its slots, and their blocks are the
+    result. Which slots hold the article is said by elements: those beside the content (menus, footers, adverts, ...) never
+    do; among the others an article, or else a main element, or one whose class says that it is the content, decides.
+    Where no element says so, all other slots are taken but blocks of links. Without a template (hosts with too few or too
+    unlike pages) the page is one slot. Where nothing varies, pages are copies of each other and the page is one slot too.
     """
     return items_text(tokenize(page), template) if page else ""
 
 
+def slots(items: list[Item], fixed: set[int], own: set[int]) -> list[tuple[int, int]]:
+    """The template's slots on a page, as places from and to: what has text between its tags ``fixed`` and its blocks ``own``.
+
+    A fixed text inside a block that varies is part of the slot.
+    """
+    out, start, text = [], 0, False
+    for at, x in enumerate(items):
+        if at in own or (at in fixed and x.kind != "t"):
+            if text:
+                out.append((start, at))
+            start, text = at + 1, False
+        elif x.kind == "t" and x.token:
+            text = True
+    return [*out, (start, len(items))] if text else out
+
+
 def items_text(items: list[Item], template: Template | None) -> str:
     fixed = template_positions(items, template)
     own = fixed_blocks(items, template, fixed)
+    held = slots(items, fixed, own)
     spans = _choose(items, fixed, own)
-    for skip in (own, set()):
-        text = " ".join(b for a, z in spans for b in _blocks(items, a, z, skip))
+    for inside in (held, [(0, len(items))]):
+        out = {at for a, z in inside for at in range(a, z) if items[at].kind == "t"}
+        text = " ".join(b for a, z in spans for b in _blocks(items, a, z, out))
         if text:
             return text
     links = _link_blocks(items)
-    blocks = _blocks(items, 0, len(items), {at for at in fixed if items[at].kind == "t"} | links)
-    return " ".join(blocks or _blocks(items, 0, len(items), links))
+    for inside in (held, [(0, len(items))]):
+        out = {at for a, z in inside for at in range(a, z) if items[at].kind == "t" and at not in links}
+        text = " ".join(_blocks(items, 0, len(items), out))
+        if text:
+            return text
+    return ""
 
 
 def _choose(items: list[Item], fixed: set[int], own: set[int]) -> list[tuple[int, int]]:
-    """The spans of the elements that hold the content.
+    """The spans of the elements that say that they hold the content: they decide among slots.
 
     Articles go before main elements, these before content classes, unless one element of a later rank, around or beside
     all that was chosen, has so much more that this is less than ``HOLDS`` of it. An element of a later rank that has
@@ -364,13 +437,13 @@ def _choose(items: list[Item], fixed: set[int], own: set[int]) -> list[tuple[int
     beside = _beside(items)
     chosen: list[tuple[int, int]] = []
     lengths: dict[tuple[int, int], int] = {}
-    skip: set[int] = set()
+    counted: set[int] = set()
 
     def length(span: tuple[int, int]) -> int:
         if not lengths:
-            skip.update(own, _link_blocks(items))
+            counted.update({at for at, x in enumerate(items) if x.kind == "t"} - own - _link_blocks(items))
         if span not in lengths:
-            lengths[span] = sum(map(len, _blocks(items, *span, skip)))
+            lengths[span] = sum(map(len, _blocks(items, *span, counted)))
         return lengths[span]
 
     for rank in (3, 2, 1):
@@ -384,7 +457,7 @@ def _choose(items: list[Item], fixed: set[int], own: set[int]) -> list[tuple[int
             most = sum(map(length, framed))
             spans = [s for s in spans if s in framed or length(s) > most]
         if not chosen:
-            chosen = [s for s in spans if _blocks(items, *s, set())]
+            chosen = [s for s in spans if _blocks(items, *s, None)]
         elif spans:
             size = sum(map(length, chosen))
             larger = [s for s in spans if HOLDS * length(s) > size]

@@ -54,6 +54,76 @@ def test_the_join_path_gives_the_same(spark, sf, monkeypatch):
     assert {r.page_id: r.text for r in html_main.extract_main_text(df).collect()} == want
 
 
+SITE = (
+    "<html><head><title>{title} - Site</title></head><body><div class=c1><div class=c2><b>The Daily Site</b> <span>News you can use</span></div>"
+    "<table><tr><td><a href=/a>World</a></td><td><a href=/b>Sport</a></td></tr></table></div><div class=c3><div class=c4><h2>{title}</h2>{story}</div>"
+    "<div class=c5><p>Tell your friends about us</p><p>Printed on paper</p></div></div><div class=c6><ul>{links}</ul></div>"
+    "<div class=c7><p>All rights reserved by the publisher</p><span>Imprint and contact</span></div></body></html>"
+)
+
+
+def site(n):
+    """Pages of a host without any telling element, class or id, and their stories."""
+    pages, want = [], []
+    for k in range(n):
+        story = [f"Story {k} begins here", f"and goes on with words {k * 7} of its own"][: 1 + k % 2] + [f"and ends with {k * 3} more"]
+        links = "".join(f"<li><a href=/{k}/{i}>Other story {k + i}</a></li>" for i in range(3 + k % 3))
+        pages.append(SITE.format(title=f"Head {k}", story="".join(f"<p data-id='menu-{k}' title='the id=menu field' data-hidden='false'>{b}</p>" for b in story), links=links))
+        want.append(" ".join([f"Head {k}", *story]))
+    return pages, want
+
+
+def test_slots_are_the_result_where_no_element_tells(spark):
+    """The template of a site without article, main or telling classes leaves the stories; without it they are not told."""
+    pages, want = site(12)
+    df = spark.createDataFrame([(k, f"http://plain.example/{k}", p, "h", "t", 1) for k, p in enumerate(pages)], "page_id int, url string, html string, host string, text string, kind int")
+    got = {r.page_id: r.text for r in html_main.extract_main_text(df).collect()}
+    assert got == dict(enumerate(want))
+    assert all(main_text(p) != w for p, w in zip(pages, want))
+
+
+def test_repeated_pages_of_a_host(spark):
+    """A row that comes many times is as many pages of its host; a host of copies alone keeps their texts."""
+    pages, want = site(6)
+    rows = [(k, f"http://plain.example/{k}", p) for k, p in enumerate(pages)] + [(0, "http://plain.example/0", pages[0])] * 20 + [(9, "http://copies.example/", pages[1])] * 9
+    got = html_main.extract_main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert len(got) == len(rows) and {r.text for r in got if 1 <= r.page_id < 6} == set(want[1:])
+    assert all(want[0].removeprefix("Head 0 ") in r.text for r in got if r.page_id == 0) and all(want[1] in r.text for r in got if r.page_id == 9)
+
+
+def test_large_templates_and_deep_stacks_take_little_time():
+    import random
+    import time
+
+    rng = random.Random(0)
+    page = "<body>" + "".join(f"<b{k}>x{k}</b{k}>" for k in range(4000))
+    items = html_main.tokenize(page)
+    tokens = [x.token for x in items if x.token]
+    crossing = html_main.Template({t: (rng.randrange(2500), float(k), 5) for k, t in enumerate(tokens)})
+    began = time.perf_counter()
+    found = html_main.template_positions(items, crossing)
+    html_main.tokenize("<div>" * 20_000 + "</b>" * 20_000)
+    assert time.perf_counter() - began < 5 and found
+
+
+def test_what_the_sweep_keeps_nests():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        n = rng.randrange(1, 14)
+        classes: dict = {}
+        for at in range(n):
+            classes.setdefault(rng.randrange(5), []).append(at)
+        kept = html_main._nested(classes)
+        for a in kept:
+            for b in kept - {a}:
+                gaps = lambda x, y: {sum(o < i for o in y) for i in x}
+                assert len(gaps(classes[a], classes[b])) == 1 or len(gaps(classes[b], classes[a])) == 1
+        crosses = lambda a, b: len({sum(o < i for o in classes[b]) for i in classes[a]}) > 1 and len({sum(o < i for o in classes[a]) for i in classes[b]}) > 1
+        assert {a for a in classes if not any(crosses(a, b) for b in classes if b != a)} <= kept
+
+
 WRAP = "<!DOCTYPE html><html><head><title>T</title><script>var a='</p>';</script></head><body>{}</body></html>"
 
 
