@@ -48,12 +48,17 @@ class _Known(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self[chunk] = self.older[chunk]
-        self.size += ENTRY + 4 * len(chunk) + len(ids)  # at most four bytes a character
+        self.size += ENTRY + len(chunk) + len(ids) if chunk.isascii() else _held([chunk], [ids])
         return ids
 
     def keep(self, chunks: list[str], ids: list[bytes]) -> None:
         self.update(zip(chunks, ids))
-        self.size += ENTRY * len(chunks) + 4 * sum(map(len, chunks)) + sum(map(len, ids))
+        self.size += _held(chunks, ids)
+
+
+def _held(chunks: list[str], ids: list[bytes]) -> int:
+    """Bytes that chunks and their ids take at most: a character has one, or up to four beyond ASCII."""
+    return ENTRY * len(chunks) + sum(len(c) if c.isascii() else 4 * len(c) for c in chunks) + sum(map(len, ids))
 
 
 class Encoder:
