@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import render, scalars
@@ -68,6 +68,57 @@ walked(page_id, t, pos, st, closed, orphans) as (
 done as (select * from walked where pos > len(t))"""
 
 
+_PLACES = f"""{_TOKENS},
+measured as (
+  select *, octet_length(encode(token)) as b, len(token) - len(replace(token, chr(10), '')) as br, len(token) as u, len(string_split(token, chr(10))[-1]) as tail from tokens),
+summed as (
+  select *, coalesce(sum(b) over w, 0)::bigint as byte_start, coalesce(sum(br) over w, 0)::bigint as start_line, coalesce(sum(u) over w, 0)::bigint as units from measured
+  window w as (partition by page_id order by token_no rows between unbounded preceding and 1 preceding)),
+broken as (
+  select *, arg_max(units + u - tail, token_no) filter (where br > 0) over (partition by page_id order by token_no rows between unbounded preceding and 1 preceding) as since from summed),
+places as (
+  select page_id, token_no, token, byte_start, (byte_start + b)::bigint as byte_end, start_line, (units - coalesce(since, 0))::bigint as start_char,
+    (start_line + br)::bigint as end_line, (case when br > 0 then tail else units - coalesce(since, 0) + u end)::bigint as end_char from broken)"""
+# attributes of the tables' tags stand one behind the other, on the tag's line
+_ATTRIBUTE_PLACES = """
+named as (
+  select *, regexp_extract(token, '^<([^>/ \\n\\t\\r]*)', 1) as tag_name, regexp_extract_all(token, ' [^= >]+="[^"]*"') as l from places where regexp_matches(token, '^<[A-Za-z_:]')),
+listed as (select *, unnest(range(1, len(l) + 1)) as k from named),
+cut_attributes as (
+  select *, regexp_extract(l[k], ' ([^= >]+)="([^"]*)"', 1) as name, regexp_extract(l[k], ' ([^= >]+)="([^"]*)"', 2) as value,
+    coalesce(list_sum(list_transform(l[:k - 1], lambda x: len(x))), 0)::bigint + 2 + len(tag_name) as chars,
+    coalesce(list_sum(list_transform(l[:k - 1], lambda x: octet_length(encode(x)))), 0)::bigint + 2 + octet_length(encode(tag_name)) as octets from listed),
+attribute_places as (
+  select page_id, token_no, k, tag_name, name, value, start_line as line, (start_char + chars)::bigint as name_start, (start_char + chars + len(name))::bigint as name_end,
+    (start_char + chars + len(name) + 2)::bigint as value_start, (start_char + chars + len(name) + 2 + len(value))::bigint as value_end,
+    (byte_start + octets)::bigint as byte_start, (byte_start + octets + octet_length(encode(name)))::bigint as name_byte_end,
+    (byte_start + octets + octet_length(encode(name)) + 2)::bigint as value_byte_start, (byte_start + octets + octet_length(encode(name)) + 2 + octet_length(encode(value)))::bigint as value_byte_end
+  from cut_attributes)"""
+_TEXT_PLACES = """
+text_lines as (select *, unnest(range(1, len(l) + 1)) as k from (select *, string_split(token, chr(10)) as l from places where token not like '<%')),
+cut_lines as (
+  select *, case when k = 1 then l[k] else regexp_replace(l[k], '^[\\x00-\\x20]+', '') end as value, case when k = 1 then start_char else 0 end as base,
+    byte_start + coalesce(list_sum(list_transform(l[:k - 1], lambda x: octet_length(encode(x)) + 1)), 0) as spot from text_lines),
+text_places as (
+  select page_id, token_no, k, value, (start_line + k - 1)::bigint as line, (base + len(l[k]) - len(value))::bigint as c0, (base + len(l[k]))::bigint as c1,
+    (spot + octet_length(encode(l[k])) - octet_length(encode(value)))::bigint as b0, (spot + octet_length(encode(l[k])))::bigint as b1, false as orphan from cut_lines where value <> ''
+  union all
+  select o.page_id, o.o.token_no, 1, '</' || o.o.name || '>', p.start_line, p.start_char, p.end_char, p.byte_start, p.byte_end, true
+  from (select page_id, unnest(orphans) as o from done) o join places p on p.page_id = o.page_id and p.token_no = o.o.token_no)"""
+# the element that is innermost where a text stands: the top of the stack between two tags
+_OWNED = """
+owners as (
+  select page_id, st[len(st)].i as owner, coalesce(case when pos > 1 then t[pos - 1].i end, -1) as after, coalesce(case when pos <= len(t) then t[pos].i end, 9223372036854775807) as before
+  from walked where len(st) > 0),
+owned as (
+  select x.*, o.owner from text_places x join owners o on x.page_id = o.page_id and x.token_no > o.after and (x.token_no < o.before or (x.orphan and x.token_no = o.before))),
+elements as (
+  select d.page_id, c.name as name, c.open_no as open_no, c.close_no as close_no, c.implicit as implicit, a.start_line as l0, a.start_char as c0, a.end_line as l1, a.end_char as c1, a.byte_start as b0,
+    c.open_no = c.close_no as self_closing, z.start_line as l2, z.start_char as c2, z.end_line as l3, z.end_char as c3, a.byte_end as open_end, z.byte_end as close_end
+  from (select page_id, unnest(closed) as c from done) d
+  join places a on a.page_id = d.page_id and a.token_no = d.c.open_no join places z on z.page_id = d.page_id and z.token_no = d.c.close_no)"""
+
+
 # ---- tokens and relations over pages
 
 
@@ -176,16 +227,7 @@ def attributes_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.tag_attributes(found, ["page_id"]).select("page_id", "tag_name", "name", "value", "attr_type")
 
 
-@query(
-    f"""with {_TOKENS}, measured as (
-  select *, octet_length(encode(token)) as b, len(token) - len(replace(token, chr(10), '')) as br, len(token) as u, len(string_split(token, chr(10))[-1]) as tail from tokens),
-summed as (
-  select *, coalesce(sum(b) over w, 0)::bigint as byte_start, coalesce(sum(br) over w, 0)::bigint as start_line, coalesce(sum(u) over w, 0)::bigint as units from measured
-  window w as (partition by page_id order by token_no rows between unbounded preceding and 1 preceding)),
-broken as (
-  select *, arg_max(units + u - tail, token_no) filter (where br > 0) over (partition by page_id order by token_no rows between unbounded preceding and 1 preceding) as since from summed)
-select page_id, token_no, byte_start, (byte_start + b)::bigint as byte_end, start_line, (units - coalesce(since, 0))::bigint as start_char from broken"""
-)
+@query(f"with {_PLACES} select page_id, token_no, byte_start, byte_end, start_line, start_char from places")
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = native.token_offsets(_pages(spark, sf_dir), "html")
     return out.select("page_id", "token_no", "byte_start", "byte_end", "start_line", "start_char")
@@ -227,29 +269,29 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.markup_events(_pages(spark, sf_dir), "html", entities=[]).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("select count(*) as n_pages, count(*) as n_lossless from pages")
+@query(f"select count(*) as n_pages, count(*) filter (where array_to_string(regexp_extract_all(html, '{_TOKEN}'), '') = html) as n_lossless from pages")
 def lossless_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of a page, joined, are the page."""
     pages = _pages(spark, sf_dir)
     return pages.agg(F.count("*").alias("n_pages"), F.count_if(F.concat_ws("", native.token_array("html")) == F.col("html")).alias("n_lossless"))
 
 
-@query("select count(*) as n, count(*) as n_same from (select 1 from pages)")
-def slices_of_doctypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"with {_TOKENS} select page_id, token as slice from tokens where lower(token) like '<!doctype%' or token like '<!--%'")
+def slices_of_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of an entity is found again by its byte offsets."""
     pages = _pages(spark, sf_dir)
-    found = events.doctypes(pages, "html", ["page_id", "html"])
-    text = render.slice_bytes(F.col("html"), F.col("byte_start"), F.col("byte_end"))
-    return found.agg(F.count("*").alias("n"), F.count_if(text.startswith("<!") & text.endswith(">") & text.contains(F.col("value"))).alias("n_same"))
+    cut = render.slice_bytes(F.col("html"), F.col("byte_start"), F.col("byte_end"))
+    found = [kind(pages, "html", ["page_id", "html"]).select("page_id", cut.alias("slice")) for kind in (events.doctypes, events.comments)]
+    return found[0].unionByName(found[1])
 
 
-@query(
-    "select doc_id, text as value, 0::bigint as byte_start from (select doc_id, string_split(text, chr(10)) as l from documents) d, unnest(d.l) with ordinality as u(text, k) where k = 1 and text <> ''"
-)
-def plain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without markup are text: their first lines."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return events.text_events(docs, "text").where("byte_start = 0").select("doc_id", "value", "byte_start")
+@query(f"with {_PLACES}, {_ATTRIBUTE_PLACES.lstrip()} select page_id, name, value, '\"' || value || '\"' as quoted from attribute_places")
+def slices_of_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of an attribute's value is found again by its line and columns, with the quotes around it one column further."""
+    found = events.attributes(_pages(spark, sf_dir), "html", ["page_id", "html"])
+    at = [F.col(f"value_{x}") for x in ("start_line", "start_char", "end_char")]
+    value = render.slice_position(F.col("html"), *at)
+    return found.select("page_id", "name", value.alias("value"), render.slice_position(F.col("html"), at[0], at[1] - 1, at[2] + 1).alias("quoted"))
 
 
 @query(
@@ -259,7 +301,7 @@ def plain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     " cut as (select *, case when k = 1 then line else regexp_replace(line, '^[\\x00-\\x20]+', '') end as value from lines)"
     " select doc_id, value, (before + octet_length(encode(line)) - octet_length(encode(value)))::bigint as byte_start from cut where value <> ''"
 )
-def plain_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without markup are text: all of their lines."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return events.text_events(docs, "text").select("doc_id", "value", "byte_start")
@@ -278,20 +320,90 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("page_id").agg(F.array_join(F.transform(names, lambda x: x["name"]), " ").alias("names"))
 
 
-@query()
+def _json_place(line: str, character: str) -> str:
+    return f"{{'line': {line}, 'character': {character}}}"
+
+
+def _json_text(line: str, c0: str, c1: str, value: str, b0: str, b1: str) -> str:
+    return f"{{'start': {_json_place(line, c0)}, 'end': {_json_place(line, c1)}, 'value': {value}, 'byteOffsets': {{'start': {b0}, 'end': {b1}}}}}"
+
+
+@query(
+    f"""with recursive {_FOLD}, {_PLACES.lstrip()}, {_ATTRIBUTE_PLACES.lstrip()}, {_TEXT_PLACES.lstrip()}, {_OWNED.lstrip()},
+  of_tags as (
+    select page_id, token_no, list({{'name': {_json_text("line", "name_start", "name_end", "name", "byte_start", "name_byte_end")},
+      'value': {_json_text("line", "value_start", "value_end", "value", "value_byte_start", "value_byte_end")},
+      'type': 8, 'byteOffsets': {{'start': byte_start, 'end': value_byte_end + 1}}}} order by k) as attributes from attribute_places group by all),
+  of_texts as (select page_id, owner, list({_json_text("line", "c0", "c1", "value", "b0", "b1")} order by token_no, k) as nodes from owned group by all),
+  none as (select attributes[:0] as no_attributes, (select nodes[:0] from of_texts limit 1) as no_nodes from of_tags limit 1)
+  select e.page_id, to_json({{'openStart': {_json_place("l0", "c0")}, 'openEnd': {_json_place("l1", "c1")},
+    'closeStart': {_json_place("if(implicit or self_closing, 0, l2)", "if(implicit or self_closing, 0, c2)")},
+    'closeEnd': {_json_place("if(implicit or self_closing, 0, l3)", "if(implicit or self_closing, 0, c3)")},
+    'name': name, 'attributes': coalesce(attributes, no_attributes), 'textNodes': coalesce(nodes, no_nodes), 'selfClosing': self_closing,
+    'byteOffsets': {{'start': b0, 'end': if(implicit or self_closing, open_end, close_end)}}}})::varchar as json
+  from elements e cross join none left join of_tags a on a.page_id = e.page_id and a.token_no = e.open_no left join of_texts x on x.page_id = e.page_id and x.owner = e.open_no"""
+)
 def elements_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed elements as JSON, with their attributes and text nodes."""
+    """Closed elements as JSON, with places, attributes and text nodes."""
     found = events.markup_events(_pages(spark, sf_dir), "html", events="CloseTag", entities=["tag"])
-    return found.select("page_id", "seq", render.tag_json(F.col("tag")).alias("json"))
+    return found.select("page_id", render.tag_json(F.col("tag")).alias("json"))
+
+
+@query(
+    f"""with recursive {_FOLD}, {_PLACES.lstrip()}, {_TEXT_PLACES.lstrip()}, {_OWNED.lstrip()}
+  select page_id, name, self_closing, implicit, l0 as open_start_line, c0 as open_start_char, l1 as open_end_line, c1 as open_end_char,
+    if(implicit or self_closing, 0, l2)::bigint as close_start_line, if(implicit or self_closing, 0, c2)::bigint as close_start_char,
+    if(implicit or self_closing, 0, l3)::bigint as close_end_line, if(implicit or self_closing, 0, c3)::bigint as close_end_char,
+    b0 as byte_start, if(implicit or self_closing, open_end, close_end)::bigint as byte_end from elements"""
+)
+def element_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed elements with all their places."""
+    return events.close_tags(_pages(spark, sf_dir), "html").drop("seq", "n_attributes", "n_text_nodes")
 
 
 @query(
-    f"with recursive {_FOLD} select c.name as name, count(*) as n_elements from (select page_id, unnest(closed) as c from done) group by 1"
+    f"""with recursive {_FOLD}, {_PLACES.lstrip()}, {_TEXT_PLACES.lstrip()}, {_OWNED.lstrip()},
+  of_texts as (select page_id, owner, count(*) as n_text_nodes, string_agg(value, '|' order by token_no, k) as texts, min(b0) as first_byte from owned group by all)
+  select e.page_id, e.name, e.b0 as byte_start, coalesce(n_text_nodes, 0)::int as n_text_nodes, coalesce(texts, '') as texts, first_byte from elements e
+  left join of_texts x on x.page_id = e.page_id and x.owner = e.open_no"""
 )
 def elements_with_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed elements by name, each with an array of its own text nodes."""
+    """Closed elements with the contents of their own text nodes, in order."""
+    tag = F.col("tag")
+    nodes = tag["text_nodes"]
     found = events.markup_events(_pages(spark, sf_dir), "html", events="CloseTag", entities=["tag"])
-    return found.where("tag.text_nodes is not null").groupBy(F.col("tag.name").alias("name")).agg(F.count("*").alias("n_elements"))
+    return found.select(
+        "page_id", tag["name"].alias("name"), tag["byte_offsets"]["start"].alias("byte_start"), F.size(nodes).alias("n_text_nodes"),
+        F.array_join(F.transform(nodes, lambda x: x["value"]), "|").alias("texts"), F.array_min(F.transform(nodes, lambda x: x["byte_offsets"]["start"])).alias("first_byte"),
+    )
+
+
+@query(
+    f"""with {_PLACES}, {_ATTRIBUTE_PLACES.lstrip()}
+  select page_id, name, value, 8 as attr_type, line as name_start_line, name_start as name_start_char, line as name_end_line, name_end as name_end_char, line as value_start_line,
+    value_start as value_start_char, line as value_end_line, value_end as value_end_char, byte_start, (value_byte_end + 1)::bigint as byte_end from attribute_places"""
+)
+def attribute_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes with the places of their names and values."""
+    return events.attributes(_pages(spark, sf_dir), "html").drop("seq")
+
+
+@query(
+    f"""with recursive {_FOLD}, {_PLACES.lstrip()}, {_TEXT_PLACES.lstrip()}
+  select page_id, value, line as start_line, c0 as start_char, line as end_line, c1 as end_char, b0 as byte_start, b1 as byte_end from text_places"""
+)
+def text_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text runs with lines, columns and bytes."""
+    return events.text_events(_pages(spark, sf_dir), "html").drop("seq")
+
+
+@query(
+    f"""with recursive {_FOLD}, {_PLACES.lstrip()}
+  select d.page_id, d.s.n as name, p.byte_start, p.byte_end from (select page_id, unnest(st) as s from done) d join places p on p.page_id = d.page_id and p.token_no = d.s.i"""
+)
+def unclosed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that are open at the end of their page, with the bytes of their opening tags."""
+    return events.unclosed_elements(_pages(spark, sf_dir), "html")
 
 
 @query(
@@ -337,31 +449,29 @@ def _values(*rows: tuple, names: str) -> str:
 
 @query(
     _values(
-        (0, 'did you know "x < y" & "z > y"? so I [guess] that means that z > x ', 0, 5, 0, 84), (1, "", 0, 5, 0, 17), (1, "something", 0, 17, 0, 38),
+        (0, 'sow if "t > 8" & "w < 3", else [wait] ', 0, 5, 0, 55), (1, "", 0, 5, 0, 17), (1, "leek", 0, 17, 0, 33),
         names="doc_id value start_line start_char end_line end_char",
     )
 )
 def cdata_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _inline(
-        spark, '<div><![CDATA[did you know "x < y" & "z > y"? so I [guess] that means that z > x ]]></div>', "<div><![CDATA[]]><![cdata[something]]></div>", "<p><![CDATA[never ends ]] ></p>"
-    )
+    docs = _inline(spark, '<row><![CDATA[sow if "t > 8" & "w < 3", else [wait] ]]></row>', "<row><![CDATA[]]><![cdata[leek]]></row>", "<q><![CDATA[has no end ]] ></q>")
     return events.cdata(docs).drop("seq", "byte_start", "byte_end")
 
 
-@query(_values((0, "xml", 'version="1.0" encoding="utf-8"', 0, 38), (1, ">", "", 2, 5), (2, "x?>", "", 0, 5), (3, "a", "", 0, 6), names="doc_id target content byte_start byte_end"))
+@query(_values((0, "garden", 'plan="2" scale="1:50"', 0, 32), (1, ">", "", 2, 5), (2, "r?>", "", 0, 5), (3, "t", "", 0, 6), names="doc_id target content byte_start byte_end"))
 def processing_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _inline(spark, '<?xml version="1.0" encoding="utf-8"?>', "a <?>", "<?x?>", "<?a b>c?>")
+    docs = _inline(spark, '<?garden plan="2" scale="1:50"?>', "p <?>", "<?r?>", "<?t u>v?>")
     return events.processing_instructions(docs).select("doc_id", "target", "content", "byte_start", "byte_end")
 
 
-@query(_values((0, "xml", 'version="1.0"'), (1, ">", ""), (2, "x?>", ""), (3, "a", ""), names="doc_id target content"))
+@query(_values((0, "garden", 'plan="2"'), (1, ">", ""), (2, "r?>", ""), (3, "t", ""), names="doc_id target content"))
 def processing_instruction_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _inline(spark, '<?xml version="1.0"?>', "a <?>", "<?x?>", "<?a b>c?>")
+    docs = _inline(spark, '<?garden plan="2"?>', "p <?>", "<?r?>", "<?t u>v?>")
     return native.processing_instructions(docs).drop("token_no")
 
 
-_DTD = '<!DOCTYPE movie [\n  <!ENTITY COM "Comedy">\n  <!ELEMENT movie (title+,genre)>\n]><!ELEMENT p (a)><!foo><![if IE]><movie/>'
-_DECLARED = [(0, 'ENTITY COM "Comedy"'), (0, "ELEMENT movie (title+,genre)"), (0, "p (a)"), (0, ">"), (0, "if IE]")]
+_DTD = '<!DOCTYPE catalogue [\n  <!ENTITY pH "acid to neutral">\n  <!ELEMENT catalogue (herb*,shrub?)>\n]><!ELEMENT q (r)><!sow><![if SUN]><catalogue/>'
+_DECLARED = [(0, 'ENTITY pH "acid to neutral"'), (0, "ELEMENT catalogue (herb*,shrub?)"), (0, "q (r)"), (0, ">"), (0, "if SUN]")]
 
 
 @query(_values(*_DECLARED, names="doc_id value"))
@@ -375,14 +485,14 @@ def declaration_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ATTR_DOCS = (
-    '<button disabled class="primary-btn"></button>', "<body class='main' id=1234></body>", "<Component props={() => { return this.props } }></Component>",
-    '<component data-id="user_1234"key="23" disabled />', "<x xmlns:edi='http://ecommerce.example.org/schema'></x>", '<button *ngIf="something" (click)="changeHour(hourStep)"> </button>',
-    "<a b=c/><a/b c><input disabled/>", '<plugin\n    version       =   "1.0.0"   >\n</plugin>',
+    '<gate locked paint="dark-green"></gate>', "<page kind='plan' no=77></page>", "<Gate open={() => { return { key: [1] } } }></Gate>",
+    '<plant key-no="k_77"lot="5" hardy />', "<q xmlns:bot='urn:plants:list'></q>", '<b *each="plants" (pick)="go(row)"> </b>',
+    "<a b=c/><a/b c><seed dry/>", '<bed\n   depth    =     "0.4"  >\n</bed>',
 )
 _ATTRS = (
-    (0, "disabled", "", 0), (0, "class", "primary-btn", 8), (1, "class", "main", 4), (1, "id", "1234", 2), (2, "props", "() => { return this.props } ", 1), (3, "data-id", "user_1234", 8),
-    (3, "key", "23", 8), (3, "disabled", "", 0), (4, "xmlns:edi", "http://ecommerce.example.org/schema", 4), (5, "*ngIf", "something", 8), (5, "(click)", "changeHour(hourStep)", 8),
-    (6, "b", "c/", 2), (6, "c", "", 0), (6, "disabled/", "", 0), (7, "version", "1.0.0", 8),
+    (0, "locked", "", 0), (0, "paint", "dark-green", 8), (1, "kind", "plan", 4), (1, "no", "77", 2), (2, "open", "() => { return { key: [1] } } ", 1), (3, "key-no", "k_77", 8),
+    (3, "lot", "5", 8), (3, "hardy", "", 0), (4, "xmlns:bot", "urn:plants:list", 4), (5, "*each", "plants", 8), (5, "(pick)", "go(row)", 8),
+    (6, "b", "c/", 2), (6, "c", "", 0), (6, "dry/", "", 0), (7, "depth", "0.4", 8),
 )
 
 
@@ -397,57 +507,114 @@ def attribute_syntax_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select * from (values (0::int, 'div', false, 0::bigint, 19::bigint, 33::bigint), (1, 'div', false, 3, 8, 8), (1, 'p', false, 15, 18, 18), (1, '', false, 0, 2, 23),
-    (2, 'path', true, 3, 22, 0), (2, 'g', false, 0, 3, 22)) t(doc_id, name, self_closing, open_start_char, open_end_char, close_start_char)"""
+    """select * from (values (0::int, 'bed', false, 0::bigint, 17::bigint, 30::bigint), (1, 'sage', false, 3, 9, 9), (1, 'dill', false, 17, 23, 23), (1, '', false, 0, 2, 31),
+    (2, 'leaf', true, 3, 19, 0), (2, 's', false, 0, 3, 19)) t(doc_id, name, self_closing, open_start_char, open_end_char, close_start_char)"""
 )
 def element_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _inline(spark, '<div class="myDiv">This is my div</div>', "<> <div></div> <p></p> </>", '<g><path d="M0,12.5"/></g>')
+    docs = _inline(spark, '<bed soil="loam">Rows of leeks</bed>', "<> <sage></sage> <dill></dill> </>", '<s><leaf d="M1,2"/></s>')
     return events.close_tags(docs).select("doc_id", "name", "self_closing", "open_start_char", "open_end_char", "close_start_char")
 
 
-@query(_values((0, "👅", 0, 9, 0, 11), (1, "./123/123", 0, 13, 0, 22), names="doc_id value value_start_line value_start_char value_end_line value_end_char"))
+@query(_values((0, "🌱", 0, 8, 0, 10), (1, "../9/beds", 0, 9, 0, 18), names="doc_id value value_start_line value_start_char value_end_line value_end_char"))
 def astral_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns count UTF-16 units."""
-    docs = _inline(spark, '<div id="👅"></div>', '📚<div href="./123/123">hey there</div>')
+    docs = _inline(spark, '<pot t="🌱"></pot>', '🌿<a to="../9/beds">over here</a>')
     return events.attributes(docs).select("doc_id", "value", "value_start_line", "value_start_char", "value_end_line", "value_end_char")
 
 
 @query(
     _values(
-        (0, "{bar < baz ? "), (0, " : "), (0, "}"), (1, " "), (2, "</>"), (3, "GitHub"), (3, "</orphan>"), (4, " <-- is text -->"), (5, "a "), (6, "one"), (6, "two "), (7, "<<div>"), (8, "x"),
+        (0, "{dry && wet < 4 ? "), (0, " : "), (0, "}"), (1, " "), (2, "</>"), (3, "Gate"), (3, "</hedge>"), (4, " <-- no comment -->"), (5, "a "), (6, "first"), (6, "second "), (7, "<<bed>"), (8, "x"),
         names="doc_id value",
     )
 )
 def text_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _inline(
-        spark, "<foo>{bar < baz ? <div></div> : <></>}</foo>", "<a></a> <b/>", "<div></></div>", '<div><a href="x">GitHub</a></orphan></div>', "<!--c--> <-- is text -->", "a <",
-        "<p>one\n\n \t two </p>\n", "<<div>", "﻿<p>x</p>",
+        spark, "<pot>{dry && wet < 4 ? <mint></mint> : <></>}</pot>", "<a></a> <b/>", "<row></></row>", '<plot><path to="x">Gate</path></hedge></plot>', "<!--c--> <-- no comment -->", "a <",
+        "<q>first\n\n \t second </q>\n", "<<bed>", "﻿<q>x</q>",
     )
     return events.text_events(docs).select("doc_id", "value")
 
 
-@query("select 2 as attr_type, 'NoQuotes' as type_name, 'id=\"a\"' as string union all select 1, 'JSX', 'id=\"{a}\"'")
+@query(
+    "select 2 as attr_type, 'NoQuotes' as type_name, 'no=\"7\"' as string union all select 1, 'JSX', 'no=\"{n}\"' union all select 4, 'SingleQuoted', 'no=\"a b\"'"
+    " union all select 8, 'DoubleQuoted', 'no=\"\"' union all select 0, 'NoValue', 'no=\"\"'"
+)
 def attribute_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = events.markup_events(_inline(spark, "<p id=a>", "<p id={a}>"), events="Attribute")
+    found = events.markup_events(_inline(spark, "<q no=7>", "<q no={n}>", "<q no='a b'>", '<q no="">', "<q no>"), events="Attribute")
     a = F.col("attribute")
     return found.select(a["type"].alias("attr_type"), render.attribute_type_name(a["type"]).alias("type_name"), render.attribute_string(a).alias("string"))
 
 
 @query(
-    """select '{"start":{"line":0,"character":0},"end":{"line":0,"character":21},"value":"a happy little parser","byteOffsets":{"start":0,"end":21}}' as json"""
+    """select '<? garden plan="2" ?>' as string, '{"start":{"line":0,"character":0},"end":{"line":0,"character":19},"target":{"start":{"line":0,"character":2},"end":{"line":0,"character":8},"value":"garden","byteOffsets":{"start":2,"end":8}},"content":{"start":{"line":0,"character":9},"end":{"line":0,"character":17},"value":"plan=\\"2\\"","byteOffsets":{"start":9,"end":17}},"byteOffsets":{"start":0,"end":19}}' as json"""
+)
+def instruction_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events.markup_events(_inline(spark, '<?garden plan="2"?>'), events="ProcessingInstruction")
+    p = F.col("proc_inst")
+    return found.select(render.proc_inst_string(p).alias("string"), render.proc_inst_json(p).alias("json"))
+
+
+@query(
+    """select '{"start":{"line":0,"character":0},"end":{"line":0,"character":20},"value":"a quiet small garden","byteOffsets":{"start":0,"end":20}}' as json"""
 )
 def text_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = events.markup_events(_inline(spark, "a happy little parser"), events="Text")
+    found = events.markup_events(_inline(spark, "a quiet small garden"), events="Text")
     return found.select(render.text_json(F.col("text")).alias("json"))
 
 
+# ---- scanner functions over whole documents
+
+_NAME_CHARS = r"A-Za-z_0-9.\x{B7}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{37D}\x{37F}-\x{1FFF}\x{200C}-\x{200D}\x{203F}-\x{2040}\x{2070}-\x{218F}\x{2C00}-\x{2FEF}\x{3001}-\x{D7FF}\x{F900}-\x{FDCF}\x{FDF0}-\x{FFFD}\x{10000}-\x{EFFFF}-"
+
+
 @query(
-    "select 'DuckA' as s, 5::bigint as points, 5::bigint as units, 68 as code, true as starts_name, 'Duc' as before_k, 'DuckA' as all_of_it union all"
-    " select '🚀x', 2, 3, 128640, true, '🚀x', '🚀x' union all select '-é', 2, 2, 45, false, '-é', '-é'"
+    "select doc_id, length(text) as points, (length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))::bigint as units, unicode(text) as code,"
+    " regexp_matches(text, '^[\\p{L}_:]') as starts_name, regexp_matches(text, '^[" + _NAME_CHARS + "]') as in_name, string_split(text, 'e')[1] as before_e,"
+    " octet_length(encode(left(text, 1)))::int as lead_bytes, lower(left(text, 1)) in ('a', 'e', 'i', 'o', 'u') as vowel from documents where text <> ''"
 )
 def scanner_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("s")
-    return spark.createDataFrame([("DuckA",), ("🚀x",), ("-é",)], "s string").select(
-        "s", scalars.n_code_points(s).cast("bigint").alias("points"), scalars.utf16_length(s).alias("units"), scalars.to_char_code(s).alias("code"),
-        scalars.is_name_start_char(s).alias("starts_name"), scalars.take_until(s, "k").alias("before_k"), F.concat_ws("", scalars.code_points(s)).alias("all_of_it"),
+    s = F.col("text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text <> ''")
+    first = F.substring(s, 1, 1)
+    lead = F.conv(F.hex(F.substring(F.encode(s, "UTF-8"), 1, 1)), 16, 10).cast("int")
+    return docs.select(
+        "doc_id", scalars.n_code_points(s).cast("bigint").alias("points"), scalars.utf16_length(s).alias("units"), scalars.to_char_code(s).alias("code"),
+        scalars.is_name_start_char(s).alias("starts_name"), scalars.is_name_char(s).alias("in_name"), scalars.take_until(s, "e").alias("before_e"),
+        scalars.code_point_bytes(lead).alias("lead_bytes"), scalars.ascii_contains("aeiouAEIOU", first).alias("vowel"),
+    )
+
+
+@query(
+    "select doc_id, regexp_extract(text, '^[^.,;]*') as phrase, regexp_extract(text, '^[^.,;]*[.,;]?') as phrase_and_stop, regexp_replace(' ' || chr(9) || text, '^[\\x00-\\x20]+', '') as trimmed,"
+    " regexp_matches(text, '[^\\x00-\\x20]') as has_more, lower(source) = lower(upper(source)) as same_source, length(text) as n_pieces,"
+    " case when octet_length(encode(right(text, 1))) > 1 then left(hex(encode(right(text, 1))), 2 * octet_length(encode(right(text, 1))) - 2) end as cut_off from documents where text <> ''"
+)
+def scanner_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans up to one of several characters, blanks passed over, and what is left of a character that the last byte is cut from."""
+    s, raw = F.col("text"), F.encode(F.col("text"), "UTF-8")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").where("text <> ''")
+    cut = F.substring(raw, F.lit(1), F.octet_length(raw) - 1)
+    return docs.select(
+        "doc_id", scalars.take_until_one_found(s, [".", ",", ";"]).alias("phrase"), scalars.take_until_one_found(s, [".", ",", ";"], True).alias("phrase_and_stop"),
+        scalars.skip_whitespace(F.concat(F.lit(" \t"), s)).alias("trimmed"), scalars.has_more_than_whitespace(s).alias("has_more"),
+        scalars.ascii_compare(F.col("source"), F.upper("source")).alias("same_source"), F.size(scalars.code_points(s)).cast("bigint").alias("n_pieces"), F.hex(scalars.remaining_bytes(cut)).alias("cut_off"),
+    )
+
+
+@query("select o_orderkey, (o_orderkey % 4294967296)::bigint as small, o_orderkey as wide, o_orderkey as line, o_custkey as character, o_orderpriority as word from orders")
+def wire_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, places and strings read back from little-endian bytes."""
+
+    def little(x: Column, n: int) -> Column:
+        return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(x.cast("long"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(n)]))
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    word = F.encode("o_orderpriority", "UTF-8")
+    raw = F.concat(little(k, 4), little(k, 8), little(c, 8), word)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority").withColumn("raw", raw)
+    b, at = F.col("raw"), scalars.read_position(F.col("raw"), 4)
+    return orders.select(
+        "o_orderkey", scalars.read_u32(b).alias("small"), scalars.read_u64(b, 4).cast("bigint").alias("wide"), at["line"].alias("line"), at["character"].alias("character"),
+        scalars.read_string(b, F.lit(20), F.octet_length(b) - 20).alias("word"),
     )

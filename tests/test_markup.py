@@ -13,7 +13,7 @@ from tagloom.plans import native
 from tagloom.schema import event_fields
 from tagloom.sources import markup
 from tagloom.streaming import chunks, sinks
-from test_lexer import CASES, DIV, DTD
+from test_lexer import BED, CASES, DTD
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,7 +31,7 @@ def test_the_tagged_union(spark, docs):
     assert [(r.doc_id, r.seq, r.event_mask) for r in rows] == want
     assert all(sum(x is not None for x in (r.text, r.attribute, r.tag, r.proc_inst)) == 1 for r in rows)
     tag = next(r.tag for r in rows if r.doc_id == 0 and r.event_type == "CloseTag")
-    assert tag.attributes[0].value.value == "myDiv" and tag.text_nodes[0].start.character == 19 and tag.byte_offsets.end == 39
+    assert tag.attributes[0].value.value == "loam" and tag.text_nodes[0].start.character == BED.index("Rows") and tag.byte_offsets.end == len(BED)
     few = events.markup_events(docs, keep=["doc_id"], entities=["tag"])
     assert few.columns == ["doc_id", "seq", "event_type", "event_mask", "tag"] and few.where("tag is not null").count() == sum(r.tag is not None for r in rows)
     clash = events.markup_events(docs)  # a column named seq beside the event's own
@@ -85,34 +85,34 @@ def test_token_offsets(docs):
 
 
 def test_json_and_strings(spark):
-    df = spark.createDataFrame([("a happy little parser",), (DIV,), ("<p a={b} c='d'/>",), ('<?xml version="1.0"?>',)], "content string")
+    df = spark.createDataFrame([("a quiet small garden",), (BED,), ("<p a={b} c='d'/>",), ('<?garden plan="2"?>',)], "content string")
     rows = events.markup_events(df).select("event_type", render.event_json().alias("j"), render.attribute_string(F.col("attribute")).alias("a"), render.proc_inst_string(F.col("proc_inst")).alias("p")).collect()
-    assert rows[0].j == '{"start":{"line":0,"character":0},"end":{"line":0,"character":21},"value":"a happy little parser","byteOffsets":{"start":0,"end":21}}'
-    assert [r.a for r in rows if r.a] == ['class="myDiv"', 'a="{b}"', 'c="d"'] and [r.p for r in rows if r.p] == ['<? xml version="1.0" ?>']
+    assert rows[0].j == '{"start":{"line":0,"character":0},"end":{"line":0,"character":20},"value":"a quiet small garden","byteOffsets":{"start":0,"end":20}}'
+    assert [r.a for r in rows if r.a] == ['soil="loam"', 'a="{b}"', 'c="d"'] and [r.p for r in rows if r.p] == ['<? garden plan="2" ?>']
     tag = json.loads(next(r.j for r in rows if r.event_type == "CloseTag"))
     assert list(tag) == ["openStart", "openEnd", "closeStart", "closeEnd", "name", "attributes", "textNodes", "selfClosing", "byteOffsets"]
 
 
 def test_slices(spark):
-    doc = 'x\n📚<div href="./1é/3">hey</div>'
+    doc = 'x\n🌿<bed to="./1é/3">leek</bed>'
     df = spark.createDataFrame([(doc,)], "content string")
     found = events.attributes(df, keep=["content"])
     row = found.select(
         render.slice_position(F.col("content"), F.col("value_start_line"), F.col("value_start_char"), F.col("value_end_char")).alias("a"),
         render.slice_bytes(F.col("content"), F.col("byte_start"), F.col("byte_end")).alias("b"),
     ).first()
-    assert (row.a, row.b) == ("./1é/3", 'href="./1é/3"')
+    assert (row.a, row.b) == ("./1é/3", 'to="./1é/3"')
 
 
 def test_scanner_functions(spark):
     s = F.col("s")
-    df = spark.createDataFrame([("🚀this is a test string🚀",)], "s string")
+    df = spark.createDataFrame([("🌱that is grown in rows🌱",)], "s string")
     row = df.select(
         F.size(scalars.code_points(s)).alias("n"), scalars.n_code_points(s).alias("m"), scalars.utf16_length(s).alias("u"), scalars.take_until(s, "t").alias("t"), scalars.take_until(s, "t", True).alias("ti"),
         scalars.take_until_one_found(s, ["a", "i"]).alias("o"), scalars.skip_whitespace(F.lit("\n\t  a b")).alias("w"), scalars.to_char_code(s).alias("c"), scalars.ascii_compare(F.lit("DocType"), F.lit("dOCtYPE")).alias("q"),
         scalars.ascii_contains("<>", F.lit(">")).alias("k"), scalars.code_point_bytes(F.lit(0xF0)).alias("b"), F.hex(scalars.remaining_bytes(F.lit(b"ab\xf0\x9f"))).alias("r"), scalars.remaining_bytes(F.lit("é".encode())).alias("r0"),
     ).first()
-    assert tuple(row) == (23, 23, 25, "🚀", "🚀t", "🚀th", "a b", 128640, True, True, 4, "F09F", None)
+    assert tuple(row) == (23, 23, 25, "🌱", "🌱t", "🌱th", "a b", 127793, True, True, 4, "F09F", None)
     names = spark.createDataFrame([(c,) for c in "aZ_:1-.é·🚀"], "c string").select("c", scalars.is_name_start_char(F.col("c")).alias("s"), scalars.is_name_char(F.col("c")).alias("n")).collect()
     assert [r.c for r in names if r.s] == list("aZ_:é🚀") and [r.c for r in names if r.n] == list("aZ_1-.é·🚀")
 
@@ -131,7 +131,7 @@ def test_sinks(spark, docs, tmp_path):
     sinks.push(events.markup_events(docs.where("doc_id < 3"), keep=["doc_id"]), lambda kind, event: seen.append((kind, event["doc_id"])), order=["doc_id"])
     assert [k for k, _ in seen] == [m for c in CASES[:3] for _, m, _ in Lexer().parse(c)]
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.xml").write_text(DIV)
+    (tmp_path / "in" / "a.xml").write_text(BED)
     markup.register(spark)
     stream = spark.readStream.format("markup").option("path", str(tmp_path / "in")).load()
     got = []
@@ -140,7 +140,7 @@ def test_sinks(spark, docs, tmp_path):
         q.processAllAvailable()
     finally:
         q.stop()
-    assert got == [m for _, m, _ in Lexer().parse(DIV)]
+    assert got == [m for _, m, _ in Lexer().parse(BED)]
 
 
 def test_table_function(spark):
@@ -168,7 +168,7 @@ def test_markup_source_pushes_kinds_into_the_scan(spark, tmp_path):
 def test_markup_source_as_a_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "a.xml").write_text(DIV)
+    (folder / "a.xml").write_text(BED)
     markup.register(spark)
     stream = spark.readStream.format("markup").option("path", str(folder)).load()
     q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).start(str(tmp_path / "out"))
@@ -178,14 +178,14 @@ def test_markup_source_as_a_stream(spark, tmp_path):
         q.processAllAvailable()
     finally:
         q.stop()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(Lexer().parse(DIV)) + len(Lexer().parse(DTD))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(Lexer().parse(BED)) + len(Lexer().parse(DTD))
 
 
 def test_markup_stream_reads_files_that_sort_before_earlier_ones(spark, tmp_path):
     folder = tmp_path / "in"
     (folder / "a").mkdir(parents=True)
     markup.register(spark)
-    late = [("part-00007.xml", DIV), ("part-00001.xml", DTD), ("a/z.xml", DIV), ("part-00009.xml", DTD)]
+    late = [("part-00007.xml", BED), ("part-00001.xml", DTD), ("a/z.xml", BED), ("part-00009.xml", DTD)]
     for k, (name, content) in enumerate(late):
         (folder / name).write_text(content)
         stream = spark.readStream.format("markup").option("path", str(folder)).load()

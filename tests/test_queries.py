@@ -61,7 +61,7 @@ def test_queries_without_sql_run(spark):
         assert QUERIES[name](spark, SF).count() > 0
 
 
-def test_plain_document_lines_are_whole_texts(spark):
+def test_plain_documents_are_whole_texts(spark):
     """Every line of every document, in plain Python."""
     if not os.path.isdir(SF):
         pytest.skip("no test tables here")
@@ -73,5 +73,5 @@ def test_plain_document_lines_are_whole_texts(spark):
             if value:
                 want.add((r.doc_id, value, at + len(line.encode()) - len(value.encode())))
             at += len(line.encode()) + 1
-    got = entry.queries()["plain_document_lines"](spark, SF).collect()
+    got = entry.queries()["plain_documents"](spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted(want) and any(r.byte_start > 0 for r in got)
