@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ._base import file_size, open_file, own_dir, settle
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 64 << 20  # bytes of a generation of a worker's memory, two at most; what is forgotten is encoded again
+CACHE = 80 << 20  # bytes of a generation of a worker's memory, two at most; what is forgotten is encoded again
 LONG = 256  # characters; longer chunks (texts without blanks) are not remembered
 ENTRY = 180  # bytes that a remembered chunk takes besides its characters and ids
 BLOCK = 1 << 18  # ids of a block of a flat file
@@ -26,7 +26,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 NOT_LATIN = re.compile("[^\x00-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]")
 ENDING = re.compile(r"(?<=[a-zà-öø-ÿ])([,.])(?=\s|\Z)")
 ONE_PIECE = re.compile("[a-zß-öø-ÿ]+")
-AT_ONCE = 1 << 21  # characters whose chunks are learned together
+AT_ONCE = 1 << 23  # characters whose chunks are learned together
 END = 49407  # the vocabulary's end-of-text id, which ordinary text never has
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
@@ -117,20 +117,18 @@ class Encoder:
         # each distinct chunk is looked up once; its ids are then copied to where it stands
         lists = pc.ascii_split_whitespace(pa.array([x for _, x in latin], pa.string()))
         chunks = lists.flatten().dictionary_encode()
-        distinct, at = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        distinct = chunks.dictionary.to_pylist()
         long = self._learn(distinct)
         known = self.known
         found = [long[c] if c in long else known[c] if c else b"" for c in distinct] if long else [known[c] if c else b"" for c in distinct]
-        ids = np.frombuffer(b"".join(found), "<u4")
-        size = np.array([len(x) // 4 for x in found], np.int64)
-        start = np.cumsum(size) - size
-        each = size[at]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = ids[np.repeat(start[at] - (ends - each), each) + np.arange(total)].tobytes()
-        cuts = np.append(0, ends)[lists.offsets.to_numpy()] * 4
+        taken = pa.array(found, pa.large_binary()).take(chunks.indices)
+        _, places, flat = taken.buffers()
+        if flat is None:  # no text has a chunk
+            return
+        ends = np.frombuffer(places, np.int64)[: len(taken) + 1]
+        cuts, flat = ends[lists.offsets.to_numpy()], memoryview(flat)
         for (i, _), a, z in zip(latin, cuts[:-1].tolist(), cuts[1:].tolist()):
-            out[i] = flat[a:z]
+            out[i] = flat[a:z].tobytes()
 
     def each(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of a column of texts, null ones empty, a bounded number of characters at a time."""
