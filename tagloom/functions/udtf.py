@@ -1,17 +1,26 @@
-"""SQL table function: ``markup_events(content, mask)``."""
+"""SQL table functions: ``markup_events(content, mask)`` with flat rows, ``markup_entities`` with whole entities.
+
+They give rows, not Arrow tables: Spark has no lateral join with table functions of the latter kind.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
+from ..operators.events import event_columns
 from ..operators.lexer import Attr, Lexer, ProcInst, Tag, TextNode
-from ..schema import EventType, mask_of
+from ..schema import EventType, event_fields, mask_of
 
 DDL = (
     "seq bigint, event_type string, event_mask int, name string, value string, attr_type int, self_closing boolean, implicit boolean,"
     " start_line bigint, start_char bigint, end_line bigint, end_char bigint, byte_start bigint, byte_end bigint"
 )
+_KINDS = {"bigint": (pa.int64(), T.LongType()), "int": (pa.int32(), T.IntegerType()), "string": (pa.string(), T.StringType()), "boolean": (pa.bool_(), T.BooleanType())}
+FLAT_FIELDS = [(name, *_KINDS[kind]) for name, kind in (x.split() for x in DDL.split(", "))]
+PAYLOADS = ("full", "flat")
 
 
 def flat_row(seq: int, mask: int, e: object) -> tuple:
@@ -29,17 +38,61 @@ def flat_row(seq: int, mask: int, e: object) -> tuple:
     return (seq, kind, mask, e.name, None, None, e.self_closing, e.implicit, *e.open_start, *end, e.byte_start, e.byte_end)
 
 
+def payload_fields(payload: str) -> list[T.StructField]:
+    """Columns of an event: ``full`` has its entity as in ``schema.event_fields``, ``flat`` what ``DDL`` says."""
+    if payload not in PAYLOADS:
+        raise ValueError(f"a payload is one of {', '.join(PAYLOADS)}")
+    return event_fields() if payload == "full" else [T.StructField(name, kind) for name, _, kind in FLAT_FIELDS]
+
+
+def payload_columns(found: list, payload: str) -> list[pa.Array]:
+    """The same columns for lexed events, as Arrow arrays."""
+    if payload == "full":
+        return event_columns(found)
+    rows = list(zip(*[flat_row(*e) for e in found])) or [()] * len(FLAT_FIELDS)
+    return [pa.array(list(c), kind) for c, (_, kind, _) in zip(rows, FLAT_FIELDS)]
+
+
+def entity_row(seq: int, mask: int, e: object) -> tuple:
+    """An event as a row of ``event_fields``: of its four entity columns one is set."""
+    own = [_text_row(e), None, None, None] if isinstance(e, TextNode) else [None, None, None, None]
+    if isinstance(e, Attr):
+        own[1] = _attribute_row(e)
+    elif isinstance(e, Tag):
+        own[2] = (
+            e.name, [_attribute_row(x) for x in e.attributes], [_text_row(x) for x in e.text_nodes], e.self_closing,
+            e.open_start, e.open_end, e.close_start, e.close_end, (e.byte_start, e.byte_end),
+        )
+    elif isinstance(e, ProcInst):
+        own[3] = (e.start, e.end, _text_row(e.target), _text_row(e.content), (e.byte_start, e.byte_end))
+    return (seq, EventType(mask).name, mask, *own)
+
+
+def _text_row(x: TextNode) -> tuple:
+    return (x.start, x.end, x.value, (x.byte_start, x.byte_end))
+
+
+def _attribute_row(x: Attr) -> tuple:
+    return (_text_row(x.name), _text_row(x.value), x.type, (x.byte_start, x.byte_end))
+
+
 class _Events:
+    row = staticmethod(flat_row)
+
     def __init__(self):
         self.lexers: dict[int, Lexer] = {}
 
     def eval(self, content: str, mask: int):
         mask = mask_of(mask)
-        lexer = self.lexers.setdefault(mask, Lexer(mask))
-        for event in lexer.parse(content):
-            yield flat_row(*event)
+        for event in self.lexers.setdefault(mask, Lexer(mask)).parse(content):
+            yield self.row(*event)
+
+
+class _Entities(_Events):
+    row = staticmethod(entity_row)
 
 
-def register(spark: SparkSession, name: str = "markup_events") -> None:
+def register(spark: SparkSession, name: str = "markup_events", entities: str = "markup_entities") -> None:
     """Make ``SELECT .. FROM docs, LATERAL markup_events(docs.content, 1023)`` work in this session's SQL."""
     spark.udtf.register(name, udtf(_Events, returnType=DDL))
+    spark.udtf.register(entities, udtf(_Entities, returnType=T.StructType(event_fields())))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import TAG_KINDS, TEXT_KINDS, EventType, event_fields, mask_of
-from .lexer import EMPTY, Attr, Lexer, ProcInst, Tag, TextNode
+from .lexer import BARE, EMPTY, FLAT, FULL, OPEN, Attr, Lexer, ProcInst, Tag, TextNode
 
 AT_ONCE = 20_000  # events of a batch
 
@@ -189,15 +189,17 @@ _FLAT["Attribute"] = (
 _FLAT["ProcessingInstruction"] = (_instruction_columns, f"target string, content string, {_SPAN}")
 
 
-def _lexed(df: DataFrame, content: str, keep: list[str] | None, mask: int, compat: bool, columns: Callable[[list], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
-    """``keep`` and ``fields`` of each event: documents are lexed where they are, without a shuffle."""
+def _lexed(
+    df: DataFrame, content: str, keep: list[str] | None, lexer_of: Callable[[], Lexer], columns: Callable[[list], list[pa.Array]], fields: list[T.StructField], read: Callable = Lexer.parse
+) -> DataFrame:
+    """``keep`` and ``fields`` of what ``read`` gives of each document: they are lexed where they are, without a shuffle."""
     keep = [c for c in df.columns if c != content] if keep is None else keep
     slim = df.select(F.col(f"`{content}`").alias("__content"), *[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)])
     schema = T.StructType([*[T.StructField(f"__k{i}", slim.schema[f"__k{i}"].dataType) for i in range(len(keep))], *fields])
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexer = Lexer(mask, compat)
+        lexer = lexer_of()
         for b in batches:
             found: list = []
             rows: list[int] = []
@@ -207,7 +209,7 @@ def _lexed(df: DataFrame, content: str, keep: list[str] | None, mask: int, compa
                 return pa.RecordBatch.from_arrays([*[b.column(f"__k{i}").take(at) for i in range(len(keep))], *columns(found)], names)
 
             for i, x in enumerate(b.column("__content")):
-                own = lexer.parse(x.as_py() if x.is_valid else None)
+                own = read(lexer, x.as_py() if x.is_valid else None)
                 found += own
                 rows += [i] * len(own)
                 if len(found) >= AT_ONCE:
@@ -231,14 +233,16 @@ def markup_events(df: DataFrame, content: str = "content", keep: list[str] | Non
     """
     entities = tuple(entities)
     fields = [f for f in event_fields() if f.name not in ENTITIES or f.name in entities]
-    return _lexed(df, content, keep, mask_of(events), compat, lambda found: event_columns(found, entities), fields)
+    mask, detail = mask_of(events), FULL if entities else BARE
+    return _lexed(df, content, keep, lambda: Lexer(mask, compat, detail), lambda found: event_columns(found, entities), fields)
 
 
-def relation(df: DataFrame, kind: str, content: str = "content", keep: list[str] | None = None) -> DataFrame:
+def relation(df: DataFrame, kind: str, content: str = "content", keep: list[str] | None = None, compat: bool = False) -> DataFrame:
     """The events of one kind with flat columns: ``keep``, ``seq``, then the kind's own."""
     columns, ddl = _FLAT[kind]
     fields = [T.StructField("seq", T.LongType()), *T._parse_datatype_string(ddl)]
-    return _lexed(df, content, keep, mask_of(kind), False, lambda found: [_longs([n for n, _, _ in found]), *columns(found)], fields)
+    # older consumers get declarations with the code of CDATA: both are asked for by their own kind here
+    return _lexed(df, content, keep, lambda: Lexer(mask_of(kind), compat, FLAT), lambda found: [_longs([n for n, _, _ in found]), *columns(found)], fields)
 
 
 def text_events(df: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
@@ -297,15 +301,17 @@ def tag_attributes(events: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def unclosed_elements(df: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
-    """``keep, name, byte_start, byte_end`` of elements still open at a document's end, which have no closing event."""
-    keep = [c for c in df.columns if c != content] if keep is None else keep
-    both = markup_events(df, content, keep, ["OpenTag", "CloseTag"], entities=["tag"])
-    opened = both.where("event_type = 'OpenTag' and not tag.self_closing")
-    # an element's start is its own: a closing event has the start of its opening tag
-    closed = both.where("event_type = 'CloseTag' and not tag.self_closing")
-    slim = [*keep, F.col("tag.name").alias("name"), F.col("tag.byte_offsets.start").alias("byte_start"), F.col("tag.open_end").alias("open_end")]
-    cols = [*keep, "name", "byte_start"]
-    counted = opened.select(*slim, F.col("tag.byte_offsets.end").alias("byte_end"), F.lit(1).alias("n")).unionByName(
-        closed.select(*slim, F.lit(None).cast("bigint").alias("byte_end"), F.lit(-1).alias("n"))
-    )
-    return counted.groupBy(*cols).agg(F.max("byte_end").alias("byte_end"), F.sum("n").alias("n")).where("n > 0").select(*cols, "byte_end")
+    """``keep, name, byte_start, byte_end`` of elements still open at a document's end, which have no closing event.
+
+    They are what is left on the lexer's stack, so rows are documents, repeated or not, and nothing is shuffled.
+    """
+
+    def read(lexer: Lexer, text: bytes | str | None) -> list[tuple[str, int, int]]:
+        lexer.open_document(text)
+        return lexer.unclosed()
+
+    def columns(found: list[tuple[str, int, int]]) -> list[pa.Array]:
+        return [pa.array([x[0] for x in found], pa.string()), _longs([x[1] for x in found]), _longs([x[2] for x in found])]
+
+    fields = list(T._parse_datatype_string("name string, byte_start bigint, byte_end bigint"))
+    return _lexed(df, content, keep, lambda: Lexer(OPEN, False, FLAT), columns, fields, read)

@@ -1,7 +1,8 @@
 """The exact lexer: markup to events, one construct at a time, from wherever a text was cut.
 
 A construct (tag, comment, declaration, ...) is read whole or not at all, by searches for what ends it. If the end isn't
-there yet, the lexer keeps the text from the construct's start for the next piece, so results don't depend on cuts.
+there yet, the lexer keeps the text from the construct's start for later pieces, so results don't depend on cuts. Pieces
+without what the end needs are laid aside unread, so a long construct is read a few times, not once a piece.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import re
 from bisect import bisect_right
 from typing import NamedTuple
 
+import numpy as np
+
 from ..schema import ALL_EVENTS, AttributeType, EventType
 
 # Name characters of XML 1.0
@@ -37,6 +40,9 @@ _CLOSE_WORDS = re.compile(r" [\x00-\x20]*")
 TEXT, PI, DECLARATION, DOCTYPE, COMMENT = (int(e) for e in list(EventType)[:5])
 OPEN_START, ATTRIBUTE, OPEN, CLOSE, CDATA = (int(e) for e in list(EventType)[5:])
 
+FULL, FLAT, BARE = "full", "flat", "bare"  # what events hold: all, numbers instead of attributes and text nodes, nothing
+LARGE = 1 << 20  # characters of an open construct beyond which it is read again only when it has grown by half
+
 Pos = tuple[int, int]
 
 
@@ -94,13 +100,11 @@ class _Places:
         self.breaks = [m.start() for m in re.finditer("\n", text)] if "\n" in text else []
         self.plain = text.isascii()
         if not self.plain:
-            import numpy as np
-
             codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
             wide = (codes > 0xFFFF).astype(np.int64)
             size = 1 + (codes > 0x7F) + (codes > 0x7FF) + wide
-            self.bytes = [0, *np.cumsum(size).tolist()]
-            self.units = [0, *np.cumsum(1 + wide).tolist()]
+            self.bytes = np.append(0, np.cumsum(size))
+            self.units = np.append(0, np.cumsum(1 + wide))
 
     def at(self, i: int) -> tuple[Pos, int]:
         """(line, column) and byte offset of place ``i``."""
@@ -108,7 +112,7 @@ class _Places:
         if self.plain:
             byte, since = i, i - (self.breaks[row - 1] + 1 if row else 0)
         else:
-            byte, since = self.bytes[i], self.units[i] - (self.units[self.breaks[row - 1] + 1] if row else 0)
+            byte, since = int(self.bytes[i]), int(self.units[i] - (self.units[self.breaks[row - 1] + 1] if row else 0))
         return (self.line + row, since + (0 if row else self.column)), self.byte + byte
 
 
@@ -118,17 +122,20 @@ class Lexer:
     ``events`` chooses which are returned; it changes neither what they hold nor their numbers, which count all kinds. ``compat`` gives what
     older consumers expect: declarations with the code of CDATA, no '<' at the start of a text, ``<!>`` as a declaration
     up to the next '>', and nothing behind ``<![``, ``<!-`` or ``<!D`` that begins no CDATA, comment or doctype. The state
-    is plain data: a lexer can be pickled between writes.
+    is plain data: a lexer can be pickled between writes. ``detail`` says what tags hold (see ``FULL``).
     """
 
-    def __init__(self, events: int = int(ALL_EVENTS), compat: bool = False):
-        self.events, self.compat = events, compat
+    def __init__(self, events: int = int(ALL_EVENTS), compat: bool = False, detail: str = FULL):
+        self.events, self.compat, self.detail = events, compat, detail
         self.decoder = codecs.getincrementaldecoder("utf-8")("replace")
         self.reset()
 
     def reset(self) -> None:
         self.decoder.reset()
-        self.held = ""
+        self.held: list[str] = []  # pieces of what is open
+        self.size = self.tried = 0  # their characters, and those that the last reading saw
+        self.need: tuple[str, ...] = ("",)  # one of these has to come before what is open can end
+        self.tail = ""
         self.line, self.column, self.byte = 0, 0, 0
         self.seq = 0
         self.begun = False
@@ -136,7 +143,10 @@ class Lexer:
         self.stack: list[list] = []  # [name, attributes, text nodes, open_start, open_end, byte_start, byte_end]
 
     def write(self, chunk: bytes | str) -> list[Event]:
-        """Events that the text so far completes. Bytes may be cut anywhere, even within a character."""
+        """Events that the text so far completes. Bytes may be cut anywhere, even within a character.
+
+        Events of constructs beyond ``LARGE`` characters may come with a later piece, at the latest with ``end``.
+        """
         return self._read(self.decoder.decode(chunk) if isinstance(chunk, (bytes, bytearray)) else chunk, False)
 
     def end(self) -> list[Event]:
@@ -147,26 +157,49 @@ class Lexer:
 
     def parse(self, content: bytes | str | None) -> list[Event]:
         """All events of a whole document."""
+        out = self.open_document(content)
+        self.reset()
+        return out
+
+    def open_document(self, content: bytes | str | None) -> list[Event]:
+        """The same, after which ``unclosed`` tells what is still open in the document."""
         self.reset()
         if not content:
             return []
-        out = self._read(content if isinstance(content, str) else bytes(content).decode("utf-8", "replace"), True)
-        self.reset()
-        return out
+        return self._read(content if isinstance(content, str) else bytes(content).decode("utf-8", "replace"), True)
+
+    def unclosed(self) -> list[tuple[str, int, int]]:
+        """Name and first and last byte of the opening tag of each open element, outer ones first (if tags are asked for)."""
+        return [(own[0], own[5], own[6]) for own in self.stack]
 
     def _read(self, piece: str, final: bool) -> list[Event]:
-        s = self.held + piece if self.held else piece
         out: list[Event] = []
+        if self.held and not final and not self._worth(piece):
+            self.held.append(piece)
+            self.size += len(piece)
+            self.tail = (self.tail + piece)[-2:]
+            return out
+        s = "".join([*self.held, piece]) if self.held else piece
         if not s:
             return out
         self.places = places = _Places(s, self.line, self.column, self.byte)
         self.out = out
+        self.need = ("",)
         i = self._scan(s, final)
-        self.held = s[i:]
+        rest = s[i:]
+        self.held = [rest] if rest else []
+        self.size = self.tried = len(rest)
+        self.tail = rest[-2:]
         (self.line, self.column), self.byte = places.at(i)
         del self.places, self.out
         return out
 
+    def _worth(self, piece: str) -> bool:
+        """Whether what is open can end with ``piece``."""
+        if self.size > LARGE and self.size + len(piece) < 1.5 * self.tried:
+            return False
+        return any(x in piece or (len(x) > 1 and x in self.tail + piece[:2]) for x in self.need)
+
     def _scan(self, s: str, final: bool) -> int:
         """Reads constructs from the start of ``s``; the place up to which it has been read."""
         i, n = 0, len(s)
@@ -182,6 +215,7 @@ class Lexer:
             j = _TEXT_RUN.match(s, i).end()
             if j == n or (j == n - 1 and s[j] == "<"):  # what ends the text isn't there; a lone '<' at the end is nothing
                 if not final:
+                    self.need = ("<", "\n") if j == n else ("",)
                     break
                 self._emit_text(s, i, j)
                 return n
@@ -200,15 +234,21 @@ class Lexer:
         if self.compat and i < stop and s[i] == "<":
             i += 1
         if i < stop:
-            if self.events & (TEXT | CLOSE):
-                self._add_text(self._node(s, i, stop))
-            else:
-                self.seq += 1
-
-    def _add_text(self, node: TextNode) -> None:
-        if self.stack:
-            self.stack[-1][2].append(node)
-        self._emit(TEXT, node)
+            self._add_text(s, i, stop)
+
+    def _add_text(self, s: str, i: int, stop: int, value: str | None = None) -> None:
+        """A text, as an event and as a text node of the element that is open, where these are asked for."""
+        events, full = self.events, self.detail == FULL
+        inside = self.stack and events & CLOSE and self.detail != BARE
+        if inside and not full:
+            self.stack[-1][2] += 1
+        if events & TEXT or (inside and full):
+            node = None if self.detail == BARE else self._node(s, i, stop, value)
+            if inside and full:
+                self.stack[-1][2].append(node)
+            self._emit(TEXT, node)
+        else:
+            self.seq += 1
 
     def _emit(self, kind: int, entity: object) -> None:
         if self.events & kind:
@@ -219,9 +259,16 @@ class Lexer:
         (start, a), (end, b) = self.places.at(i), self.places.at(j)
         return TextNode(s[i:j] if value is None else value, start, end, a, b)
 
+    def _spanned(self, kind: int, s: str, i: int, j: int, value: str) -> None:
+        """An event whose entity is a text, if it is asked for."""
+        if self.events & kind:
+            self.out.append((self.seq, kind, None if self.detail == BARE else self._node(s, i, j, value)))
+        self.seq += 1
+
     def _construct(self, s: str, i: int) -> int | None:
         """Reads the construct at the '<' at ``i``; the place after it, or None if it isn't all there."""
         c = s[i + 1]
+        self.need = ("",)
         if c == "/":
             return self._close(s, i)
         if c == "!":
@@ -230,6 +277,7 @@ class Lexer:
             return self._instruction(s, i)
         if c == ">":
             return self._opened(s, i, "", (), False, i + 2)
+        self.need = (">",)  # before which no tag ends
         j = _TAG_NAME.match(s, i + 1).end()
         if j == len(s):
             return None
@@ -271,6 +319,7 @@ class Lexer:
             if q == '"' or q == "'":
                 e = s.find(q, v + 1)
                 if e == -1:
+                    self.need = (q,)
                     return None
                 out.append((i, j, v + 1, e, AttributeType.DoubleQuoted if q == '"' else AttributeType.SingleQuoted, e + 1))
                 i = e + 1
@@ -279,6 +328,7 @@ class Lexer:
                 while depth:
                     m = _BRACE.search(s, e + 1)
                     if m is None:
+                        self.need = ("}",)
                         return None
                     e = m.start()
                     depth += 1 if s[e] == "{" else -1
@@ -299,30 +349,51 @@ class Lexer:
                     i = e + 1
 
     def _opened(self, s: str, i: int, name: str, found: list | tuple, closing: bool, end: int) -> int:
-        at = self.places.at
-        (open_start, a), (open_end, z) = at(i), at(end)
-        events = self.events
-        attrs = []
-        for n0, n1, v0, v1, kind, e in found if events & (ATTRIBUTE | OPEN | CLOSE) else ():
-            value = EMPTY if kind == AttributeType.NoValue else self._node(s, v0, v1)
-            attrs.append(Attr(self._node(s, n0, n1), value, int(kind), at(n0)[1], at(e)[1]))
+        at, events, detail = self.places.at, self.events, self.detail
+        if detail == BARE:
+            for kind, n in ((OPEN_START, 1 if name else 0), (ATTRIBUTE, len(found)), (OPEN, 1), (CLOSE, int(closing))):
+                if events & kind:
+                    self.out += [(self.seq + k, kind, None) for k in range(n)]
+                self.seq += n
+            if not closing:
+                self.stack.append([name])
+            return end
+        attrs: list | range = []
+        if events & ATTRIBUTE or (detail == FULL and events & (OPEN | CLOSE)):
+            for n0, n1, v0, v1, kind, e in found:
+                value = EMPTY if kind == AttributeType.NoValue else self._node(s, v0, v1)
+                node = self._node(s, n0, n1)
+                attrs.append(Attr(node, value, int(kind), node.byte_start, at(e)[1]))
         if name:
-            self._emit(OPEN_START, Tag(name, (), (), False, open_start, NOWHERE, NOWHERE, NOWHERE, a, 0))
-        for x in attrs:
-            self._emit(ATTRIBUTE, x)
-        if not attrs:
-            self.seq += len(found)
-        tag = Tag(name, tuple(attrs), (), closing, open_start, open_end, NOWHERE, NOWHERE, a, z)
-        self._emit(OPEN, tag)
-        if closing:
-            self._emit(CLOSE, tag)
+            if events & OPEN_START:
+                open_start, a = at(i)
+                self.out.append((self.seq, OPEN_START, Tag(name, (), (), False, open_start, NOWHERE, NOWHERE, NOWHERE, a, 0)))
+            self.seq += 1
+        if events & ATTRIBUTE:
+            self.out += [(self.seq + k, ATTRIBUTE, x) for k, x in enumerate(attrs)]
+        self.seq += len(found)
+        if not events & (OPEN | CLOSE):
+            self.seq += 1 + closing
+            if not closing:
+                self.stack.append([name, (), [], NOWHERE, NOWHERE, 0, 0])
+            return end
+        (open_start, a), (open_end, z) = at(i), at(end)
+        own = tuple(attrs) if detail == FULL else range(len(found))
+        if events & OPEN or closing:
+            tag = Tag(name, own, (), closing, open_start, open_end, NOWHERE, NOWHERE, a, z)
+            self._emit(OPEN, tag)
+            if closing:
+                self._emit(CLOSE, tag)
+                return end
         else:
-            self.stack.append([name, tag.attributes, [], open_start, open_end, a, z])
+            self.seq += 1
+        self.stack.append([name, own, [] if detail == FULL else 0, open_start, open_end, a, z])
         return end
 
     def _close(self, s: str, i: int) -> int | None:
         j = s.find(">", i + 2)
         if j == -1:
+            self.need = (">",)
             return None
         words = [w for w in _CLOSE_WORDS.split(s[i + 2 : j]) if w]
         name = words[-1] if words else ""
@@ -330,27 +401,37 @@ class Lexer:
         while k >= 0 and stack[k][0] != name:
             k -= 1
         if k < 0:
-            self._add_text(self._node(s, i, j + 1, f"</{name}>"))
+            self._add_text(s, i, j + 1, f"</{name}>")
+            return j + 1
+        n = len(stack) - k
+        if not self.events & CLOSE or self.detail == BARE:
+            if self.events & CLOSE:
+                self.out += [(self.seq + x, CLOSE, None) for x in range(n)]
+            self.seq += n
+            del stack[k:]
             return j + 1
         (start, _), (end, byte) = self.places.at(i), self.places.at(j + 1)
         while len(stack) > k:
             own, attrs, texts, open_start, open_end, a, z = stack.pop()
             explicit = len(stack) == k
             where = (start, end, a, byte) if explicit else (NOWHERE, NOWHERE, a, z)
-            self._emit(CLOSE, Tag(own, attrs, tuple(texts), False, open_start, open_end, *where, not explicit))
+            nodes = tuple(texts) if self.detail == FULL else range(texts)
+            self._emit(CLOSE, Tag(own, attrs, nodes, False, open_start, open_end, *where, not explicit))
         return j + 1
 
     def _enclosed(self, s: str, i: int, kind: int, skip: int, stop: str) -> int | None:
         j = s.find(stop, i + skip)
         if j == -1:
+            self.need = (stop,)
             return None
         end = j + len(stop)
-        self._emit(kind, self._node(s, i, end, s[i + skip : j]))
+        self._spanned(kind, s, i, end, s[i + skip : j])
         return end
 
     def _declare(self, s: str, i: int, end: int, value: str) -> None:
         if self.events & DECLARATION:
-            self.out.append((self.seq, CDATA if self.compat else DECLARATION, self._node(s, i, end, value)))
+            node = None if self.detail == BARE else self._node(s, i, end, value)
+            self.out.append((self.seq, CDATA if self.compat else DECLARATION, node))
         self.seq += 1
 
     def _declared(self, s: str, i: int) -> int | None:
@@ -368,6 +449,7 @@ class Lexer:
             return None
         j = s.find(">", i + 3 if self.compat and head[2:3] == ">" else i + 2)
         if j == -1:
+            self.need = (">",)
             return None
         if self.compat and head[2:3] == ">":
             self._declare(s, i, j + 1, s[_BLANK.match(s, i + 3).end() : j] or ">")
@@ -380,6 +462,7 @@ class Lexer:
         return j + 1
 
     def _doctype(self, s: str, i: int) -> int | None:
+        self.need = (">",)
         start = _BLANK.match(s, i + 9).end()
         word = _WORD.match(s, start).end()
         at, inner = word, []
@@ -397,13 +480,17 @@ class Lexer:
             at = j + 1
         for a, z, value in inner:
             self._declare(s, a, z, value)
-        self._emit(DOCTYPE, self._node(s, i, at + 1, s[start:word]))
+        self._spanned(DOCTYPE, s, i, at + 1, s[start:word])
         return at + 1
 
     def _instruction(self, s: str, i: int) -> int | None:
         j = s.find(">", i + 2)
         if j == -1:
+            self.need = (">",)
             return None
+        if not self.events & PI or self.detail == BARE:
+            self._emit(PI, None)
+            return j + 1
         t = _PI_TARGET.match(s, i + 2).end()
         if t >= j:  # no blank: all up to the '>' is the target
             target, content = self._node(s, i + 2, j + 1), EMPTY

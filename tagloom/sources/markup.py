@@ -1,9 +1,9 @@
-"""The ``markup`` data source: files of markup as flat event rows, with the event kinds pushed into the scan.
+"""The ``markup`` data source: files of markup as event rows, with the event kinds pushed into the scan.
 
 ``spark.read.format("markup").option("path", folder).load()`` reads every file below a folder, each as a document. As a
 stream, files that appear are read once each, in whatever order of names; the offset has the names of all files read, so it
-grows with them. Files are opened by the session's Hadoop file systems where a path has a
-scheme (through ``binary_documents``), by the file system of the executors otherwise.
+grows with them. Files are read on the executors, small ones several to a task, in pieces and as Arrow batches. Paths with a
+scheme are opened by Arrow's file systems; ``binary_documents`` uses Spark's.
 """
 
 from __future__ import annotations
@@ -12,15 +12,20 @@ import glob
 import os
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
-from ..functions.udtf import DDL, flat_row
+from ..functions.udtf import payload_columns, payload_fields
 from ..operators.lexer import Lexer
 from ..schema import EventType, kinds_in, mask_of
 
 CHUNK = 1 << 16
-SCHEMA = f"path string, {DDL}"
+TASK_BYTES = 16 << 20  # of small files that one task reads
+AT_ONCE = 10_000  # events of a batch
 
 
 def binary_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -29,33 +34,86 @@ def binary_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.selectExpr("path", "content")
 
 
-def _files(path: str) -> list[str]:
-    if os.path.isfile(path):
-        return [path]
-    pattern = os.path.join(path, "**", "*") if os.path.isdir(path) else path
-    return sorted(f for f in glob.glob(pattern, recursive=True) if os.path.isfile(f))
+def _system(path: str) -> tuple[fs.FileSystem | None, str]:
+    """Arrow's file system for a path with a scheme; none for a path of this machine."""
+    if path.startswith("file:"):
+        return None, "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (None, path)
 
 
-def read_file(path: str, mask: int, chunk: int = CHUNK) -> Iterator[tuple]:
-    """Rows of a file's events, read in pieces: memory holds a piece and what it leaves open."""
-    lexer = Lexer(mask)
-    with open(path, "rb") as f:
+def _files(path: str) -> dict[str, int]:
+    """Files below a path (or that a pattern names) with their sizes, in the order of their names."""
+    system, at = _system(path)
+    if system is not None:
+        prefix = path[: len(path) - len(at)]
+        info = system.get_file_info(at)
+        found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(at, allow_not_found=True, recursive=True))
+        return {prefix + f.path: f.size for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File}
+    if os.path.isfile(at):
+        return {at: os.path.getsize(at)}
+    pattern = os.path.join(glob.escape(at), "**", "*") if os.path.isdir(at) else at
+    return {f: os.path.getsize(f) for f in sorted(glob.glob(pattern, recursive=True)) if os.path.isfile(f)}
+
+
+def _pieces(path: str, chunk: int) -> Iterator[bytes]:
+    system, at = _system(path)
+    with open(at, "rb") if system is None else system.open_input_stream(at) as f:
         while piece := f.read(chunk):
-            for event in lexer.write(piece):
-                yield (path, *flat_row(*event))
-    for event in lexer.end():
-        yield (path, *flat_row(*event))
+            yield piece
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+def read_files(paths: list[str], mask: int, chunk: int = CHUNK, payload: str = "full") -> Iterator[pa.RecordBatch]:
+    """Batches of the files' events, ``path`` first; memory holds a batch, a piece and what it leaves open."""
+    names = ["path", *[f.name for f in payload_fields(payload)]]
+    lexer = Lexer(mask)
+    found: list = []
+    owners: list[tuple[str, int]] = []
+
+    def flush() -> pa.RecordBatch:
+        of = np.repeat(np.array([p for p, _ in owners], object), [n for _, n in owners])
+        return pa.RecordBatch.from_arrays([pa.array(of, pa.string()), *payload_columns(found, payload)], names)
+
+    for path in paths:
+        lexer.reset()
+        for piece in _with_end(_pieces(path, chunk)):
+            own = lexer.end() if piece is None else lexer.write(piece)
+            if own:
+                found += own
+                owners.append((path, len(own)))
+            if len(found) >= AT_ONCE:
+                yield flush()
+                found, owners = [], []
+    if found:
+        yield flush()
+
+
+def _with_end(pieces: Iterator[bytes]) -> Iterator[bytes | None]:
+    yield from pieces
+    yield None
+
+
+class _Group(InputPartition):
+    def __init__(self, paths: list[str]):
+        super().__init__(paths)
+        self.paths = paths
+
+
+def _grouped(files: dict[str, int], task_bytes: int) -> list[InputPartition]:
+    """Files in order, as many to a group as ``task_bytes`` allow; one file is never split, as it is one document."""
+    out: list[list[str]] = []
+    held = task_bytes + 1
+    for path, size in files.items():
+        if held + size > task_bytes:
+            out.append([])
+            held = 0
+        out[-1].append(path)
+        held += size
+    return [_Group(g) for g in out]
 
 
 class MarkupReader(DataSourceReader):
-    def __init__(self, path: str, mask: int, chunk: int):
-        self.path, self.mask, self.chunk = path, mask, chunk
+    def __init__(self, path: str, mask: int, chunk: int, payload: str = "full", task_bytes: int = TASK_BYTES):
+        self.path, self.mask, self.chunk, self.payload, self.task_bytes = path, mask, chunk, payload, task_bytes
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Takes conditions on ``event_type`` and ``event_mask``; Spark evaluates the others."""
@@ -70,60 +128,73 @@ class MarkupReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in _files(self.path)] if self.mask else []
+        return _grouped(_files(self.path), self.task_bytes) if self.mask else []
 
-    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
-        if isinstance(partition, _File):
-            yield from read_file(partition.path, self.mask, self.chunk)
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, _Group):
+            yield from read_files(partition.paths, self.mask, self.chunk, self.payload)
 
 
-class MarkupStreamReader(SimpleDataSourceStreamReader):
-    """Files in the order of their names; the offset has all that were read, whatever name or time a later one has.
+class MarkupStreamReader(DataSourceStreamReader):
+    """The offset has all files that were there, so a later one is new whatever its name or time.
 
-    Offsets of earlier versions have the last name read (``after``); what sorts up to it counts as read.
+    The driver lists files; tasks read them. Offsets of earlier versions have the last name read (``after``): what sorts up
+    to it counts as read.
     """
 
-    def __init__(self, path: str, mask: int, chunk: int):
-        self.path, self.mask, self.chunk = path, mask, chunk
+    def __init__(self, path: str, mask: int, chunk: int, payload: str = "full", task_bytes: int = TASK_BYTES):
+        self.path, self.mask, self.chunk, self.payload, self.task_bytes = path, mask, chunk, payload, task_bytes
+        self.seen: set[str] = set()
 
     def initialOffset(self) -> dict:
-        return {"after": "", "seen": []}
+        return {"seen": []}
+
+    def latestOffset(self) -> dict:
+        self.seen.update(_files(self.path))  # a file that is gone stays read
+        return {"seen": sorted(self.seen)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        after, seen = start.get("after", ""), set(start.get("seen", ()))
+        new = {p for p in end.get("seen", ()) if p > after and p not in seen}
+        there = _files(self.path)
+        if end.get("after", "") > after:  # a batch that an earlier version planned
+            new |= {p for p in there if after < p <= end["after"]}
+        gone = new - set(there)
+        if gone:
+            raise FileNotFoundError(f"files of a planned batch are gone: {', '.join(sorted(gone)[:5])}")
+        return _grouped({p: size for p, size in there.items() if p in new}, self.task_bytes)
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        after, seen = start["after"], set(start.get("seen", ()))
-        new = [p for p in _files(self.path) if p > after and p not in seen]
-        end = {"after": after, "seen": sorted(seen.union(new))} if new else start
-        return self.readBetweenOffsets(start, end), end
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        assert isinstance(partition, _Group)
+        yield from read_files(partition.paths, self.mask, self.chunk, self.payload)
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        after, seen = start["after"], set(start.get("seen", ()))
-        new = [p for p in end.get("seen", ()) if p not in seen]
-        if end["after"] > after:  # a batch that an earlier version planned
-            new = [p for p in _files(self.path) if after < p <= end["after"]]
-        return iter([row for p in new for row in read_file(p, self.mask, self.chunk)])
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class MarkupSource(DataSource):
-    """Options: ``path``, ``events`` (a mask, or kinds' names with commas), ``chunk`` (bytes of a piece)."""
+    """Options: ``path``, ``events`` (a mask, or kinds' names with commas), ``payload`` (``full``: whole entities, or ``flat``),
+    ``chunk`` (bytes of a piece), ``taskBytes`` (of small files that a task reads)."""
 
     @classmethod
     def name(cls) -> str:
         return "markup"
 
-    def schema(self) -> str:
-        return SCHEMA
+    def schema(self) -> T.StructType:
+        return T.StructType([T.StructField("path", T.StringType()), *payload_fields(self.options.get("payload", "full"))])
 
-    def _arguments(self) -> tuple[str, int, int]:
+    def _arguments(self) -> tuple[str, int, int, str, int]:
         if "path" not in self.options:
             raise ValueError("the markup source needs a path")
         events = self.options.get("events")
         mask = mask_of(None if events is None else int(events) if events.isdigit() else [e.strip() for e in events.split(",")])
-        return self.options["path"], mask, int(self.options.get("chunk", CHUNK))
+        o = self.options
+        return o["path"], mask, int(o.get("chunk", CHUNK)), o.get("payload", "full"), int(o.get("taskBytes", TASK_BYTES))
 
     def reader(self, schema) -> DataSourceReader:
         return MarkupReader(*self._arguments())
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return MarkupStreamReader(*self._arguments())
 
 
@@ -133,4 +204,4 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(MarkupSource)
 
 
-__all__ = ["MarkupSource", "binary_documents", "kinds_in", "read_file", "register"]
+__all__ = ["MarkupSource", "binary_documents", "kinds_in", "read_files", "register"]

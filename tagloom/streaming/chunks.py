@@ -1,8 +1,8 @@
 """Documents that arrive in chunks: keyed state holds each one's lexer from chunk to chunk.
 
 Chunks are ``(doc_id, seq, chunk, is_last)``: bytes, cut anywhere, numbered from 0. Their events equal those of the whole
-document. Chunks that come ahead of their turn wait in the state; a document's state goes with its last chunk, or after
-``idle_ms`` without a chunk.
+document. Chunks that come ahead of their turn wait in the state. Of a finished document the state keeps a mark, so that a
+late copy of one of its chunks begins nothing anew; all goes after ``idle_ms`` without a chunk, if that is set.
 """
 
 from __future__ import annotations
@@ -11,22 +11,24 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.udtf import DDL, flat_row
+from ..functions.udtf import payload_columns, payload_fields
 from ..operators.lexer import Lexer
 from ..schema import mask_of
 
-COLUMNS = [x.split()[0] for x in DDL.split(", ")]
+DONE = -1  # the number of the next chunk of a document that has ended
 
 
 class ChunkProcessor(StatefulProcessor):
     """A lexer a document; ``waiting`` maps numbers of chunks that came early to their bytes."""
 
-    def __init__(self, mask: int, key: str, idle_ms: int | None):
-        self.mask, self.key, self.idle_ms = mask, key, idle_ms
+    def __init__(self, mask: int, key: str, idle_ms: int | None, payload: str = "full"):
+        self.mask, self.key, self.idle_ms, self.payload = mask, key, idle_ms, payload
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -36,6 +38,11 @@ class ChunkProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if self.lexer.exists():
             state, at, last = self.lexer.get()
+            if int(at) == DONE:
+                for _ in rows:  # copies of chunks that were read
+                    pass
+                yield self._frame(key, [])
+                return
             lexer, at, last = pickle.loads(state), int(at), int(last)
         else:
             lexer, at, last = Lexer(self.mask), 0, -1
@@ -53,14 +60,14 @@ class ChunkProcessor(StatefulProcessor):
             at += 1
         if last >= 0 and at > last:
             out += lexer.end()
-            self.lexer.clear()
+            self.lexer.update((b"", DONE, last))
             self.waiting.clear()
         else:
             self.lexer.update((pickle.dumps(lexer), at, last))
-            if self.idle_ms:
-                for t in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(t)
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        if self.idle_ms:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -69,21 +76,21 @@ class ChunkProcessor(StatefulProcessor):
         yield self._frame(key, [])
 
     def _frame(self, key, events: list) -> pd.DataFrame:
-        rows = [(key[0], *flat_row(*e)) for e in events]
-        frame = pd.DataFrame(rows, columns=[self.key, *COLUMNS])
-        return frame.astype({"attr_type": "Int32", "event_mask": "int32"}) if len(frame) else frame
+        names = [f.name for f in payload_fields(self.payload)]
+        frame = pa.Table.from_arrays(payload_columns(events, self.payload), names).to_pandas(integer_object_nulls=True)
+        frame.insert(0, self.key, [key[0]] * len(events))
+        return frame
 
     def close(self) -> None:
         pass
 
 
-def chunked_events(chunks: DataFrame, key: str = "doc_id", events=None, idle_ms: int | None = None) -> DataFrame:
-    """Flat event rows of a stream of chunks, in append mode. Needs the RocksDB state store."""
-    kind = chunks.schema[key].dataType.simpleString()
+def chunked_events(chunks: DataFrame, key: str = "doc_id", events=None, idle_ms: int | None = None, payload: str = "full") -> DataFrame:
+    """Event rows of a stream of chunks (see ``payload_fields``), in append mode. Needs the RocksDB state store."""
+    schema = T.StructType([T.StructField(key, chunks.schema[key].dataType), *payload_fields(payload)])
     slim = chunks.select(key, "seq", "chunk", "is_last")
-    return slim.groupBy(key).transformWithStateInPandas(
-        ChunkProcessor(mask_of(events), key, idle_ms), f"{key} {kind}, {DDL}", "append", "ProcessingTime" if idle_ms else "none"
-    )
+    processor = ChunkProcessor(mask_of(events), key, idle_ms, payload)
+    return slim.groupBy(key).transformWithStateInPandas(processor, schema, "append", "ProcessingTime" if idle_ms else "none")
 
 
 def cut_documents(df: DataFrame, key: str, content: str, size: int) -> DataFrame:

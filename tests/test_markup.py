@@ -143,10 +143,14 @@ def test_sinks(spark, docs, tmp_path):
     assert got == [m for _, m, _ in Lexer().parse(BED)]
 
 
-def test_table_function(spark):
+def test_table_function(spark, docs):
     udtf.register(spark)
     rows = spark.sql("select name, value, attr_type, byte_start, byte_end from markup_events('<p a=\"b\">c</p>', 64 + 1)").collect()
     assert [tuple(r) for r in rows] == [("a", "b", 8, 3, 8), (None, "c", None, 9, 10)]
+    docs.select("doc_id", "content").createOrReplaceTempView("some_docs")
+    got = spark.sql("select d.doc_id, e.* from some_docs d, lateral markup_entities(d.content, 1023) e")
+    want = events.markup_events(docs, keep=["doc_id"])
+    assert got.schema.names == want.schema.names and got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
 def test_markup_source_pushes_kinds_into_the_scan(spark, tmp_path):
@@ -196,30 +200,128 @@ def test_markup_stream_reads_files_that_sort_before_earlier_ones(spark, tmp_path
             q.stop()
         got = spark.read.parquet(str(tmp_path / "out")).groupBy("path").count().collect()
         assert {r["path"]: r["count"] for r in got} == {str(folder / n): len(Lexer().parse(c)) for n, c in late[: k + 1]}
-    reader = markup.MarkupStreamReader(str(folder), 1023, 64)
-    old = {"after": str(folder / "part-00001.xml")}
-    rows, end = reader.read(old)
-    rows = list(rows)
-    assert {r[0] for r in rows} == {str(folder / "part-00007.xml"), str(folder / "part-00009.xml")}
-    assert list(reader.readBetweenOffsets(old, end)) == rows and reader.read(end)[1] == end
-    assert {r[0] for r in reader.readBetweenOffsets(reader.initialOffset(), old)} == {str(folder / "a/z.xml"), str(folder / "part-00001.xml")}
+    reader = markup.MarkupStreamReader(str(folder), 1023, 64, "flat", 1)
+    old, end = {"after": str(folder / "part-00001.xml")}, reader.latestOffset()
+    new = [p.paths for p in reader.partitions(old, end)]
+    assert new == [[str(folder / "part-00007.xml")], [str(folder / "part-00009.xml")]] and reader.partitions(end, end) == []
+    assert [p.paths for p in reader.partitions(reader.initialOffset(), old)] == [[str(folder / "a/z.xml")], [str(folder / "part-00001.xml")]]
+    (folder / "part-00007.xml").unlink()
+    assert reader.latestOffset() == end
+    with pytest.raises(FileNotFoundError):
+        reader.partitions(reader.initialOffset(), end)
+
+
+def test_markup_source_gives_whole_entities(spark, tmp_path):
+    """A large generated document and small ones: the source's entities are the lexer's, by batch and by stream alike."""
+    big = "<list>" + "".join(f'<plant no="{k}" name=\'é{k}\'>row {k}<mark/> of <b>bed</b>\n  next</plant>' for k in range(3000)) + "</list>"
+    for k, c in enumerate([*CASES, big]):
+        (tmp_path / f"d{k:03}.xml").write_bytes(c.encode())
+    markup.register(spark)
+    docs = spark.createDataFrame([(f"{tmp_path}/d{k:03}.xml", c) for k, c in enumerate([*CASES, big])], "path string, content string")
+    want = events.markup_events(docs)
+    got = spark.read.format("markup").option("path", str(tmp_path)).option("chunk", "1000").load()
+    assert got.schema == want.schema and got.rdd.getNumPartitions() == 1
+    split = spark.read.format("markup").option("path", f"file://{tmp_path}").option("taskBytes", "300").load()
+    assert split.rdd.getNumPartitions() > 5
+    count = want.count()
+    for df in (got, split):
+        assert df.count() == count and df.exceptAll(want).count() == 0
+    stream = spark.readStream.format("markup").option("path", str(tmp_path)).option("events", "CloseTag").load()
+    q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path.parent / "c9")).trigger(availableNow=True).start(str(tmp_path.parent / "out9"))
+    q.awaitTermination(120)
+    closed = spark.read.parquet(str(tmp_path.parent / "out9"))
+    assert closed.count() == want.where("event_type = 'CloseTag'").count() and closed.exceptAll(want).count() == 0
 
 
 @pytest.mark.parametrize("size", [7, 64])
 def test_chunks_in_a_stream_equal_whole_documents(spark, docs, tmp_path, size):
+    payload = "flat" if size == 7 else "full"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     cut = chunks.cut_documents(docs.select("doc_id", "content"), "doc_id", "content", size)
     for k, late in enumerate((1, 0)):  # odd chunks come before even ones
         cut.where(F.col("seq") % 2 == late).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         del k
     stream = spark.readStream.schema(cut.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = chunks.chunked_events(stream)
+    out = chunks.chunked_events(stream, payload=payload)
     q = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
     q.awaitTermination(300)
-    got = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "seq", "event_mask", "value", "byte_start").collect()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    if payload == "full":
+        whole = events.markup_events(docs, keep=["doc_id"])
+        assert found.count() == whole.count() and found.exceptAll(whole).count() == 0
+        return
+    got = found.select("doc_id", "seq", "event_mask", "value", "byte_start").collect()
     want = []
     for i, c in enumerate(CASES):
         for n, m, e in Lexer().parse(c):
             r = udtf.flat_row(n, m, e)
             want.append((i, n, m, r[4], r[12]))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+class _Handle:
+    """State of one key in memory, as a stateful processor sees it."""
+
+    def __init__(self):
+        self.values, self.maps, self.timers = {}, {}, []
+
+    def getValueState(self, name, _):
+        store = self.values
+
+        class Value:
+            exists = lambda self: name in store
+            get = lambda self: store[name]
+            clear = lambda self: store.pop(name, None)
+
+            def update(self, v):
+                store[name] = v
+
+        return Value()
+
+    def getMapState(self, name, *_):
+        store = self.maps.setdefault(name, {})
+
+        class Map:
+            containsKey = lambda self, k: k in store
+            getValue = lambda self, k: store[k]
+            removeKey = lambda self, k: store.pop(k)
+            clear = lambda self: store.clear()
+
+            def updateValue(self, k, v):
+                store[k] = v
+
+        return Map()
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+    def registerTimer(self, t):
+        self.timers.append(t)
+
+
+class _Clock:
+    def __init__(self, now):
+        self.getCurrentProcessingTimeInMs = lambda: now
+
+
+def test_late_copies_of_chunks_and_idle_documents():
+    import pandas as pd
+
+    def rows(*numbered):
+        return iter([pd.DataFrame([(n, c, last) for n, c, last in numbered], columns=["seq", "chunk", "is_last"])])
+
+    handle = _Handle()
+    p = chunks.ChunkProcessor(1023, "doc_id", 500, "flat")
+    p.init(handle)
+    feed = lambda now, *numbered: [len(f) for f in p.handleInputRows((7,), rows(*numbered), _Clock(now))]
+    raw = BED.encode()
+    n = len(Lexer().parse(BED))
+    assert feed(0, (1, raw[9:], True)) == [0] and feed(10, (0, raw[:9], False)) == [n]
+    assert handle.timers == [510] and not handle.maps["waiting"]
+    assert feed(20, (0, raw[:9], False), (1, raw[9:], True)) == [0] and feed(30, (1, raw[9:], True)) == [0]
+    assert [len(f) for f in p.handleExpiredTimer((7,), _Clock(600), None)] == [0] and not handle.values
+    assert feed(700, (0, raw[:9], False)) == [2] or handle.values  # after its time it is a new document
+    assert handle.timers[-1] == 1200
