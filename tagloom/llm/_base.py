@@ -13,6 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 2000  # whole texts of an Arrow batch; Spark's own default holds five times as much in every worker
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold ``BATCH_ROWS`` rows at most: rows here are whole documents."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by any path that Spark's reader opens."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

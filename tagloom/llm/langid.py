@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._base import settle
+from ._base import settle, text_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -167,10 +167,11 @@ def labelled_windows(df: DataFrame, doc: str = "doc_id", text: str = "text", lan
     langs = sorted(r["lang"] for r in counts.collect())
     if not langs:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    # rows far beyond a language's border stay where they are, so that no window sees many more than are chosen
+    # rows far beyond a language's border stay where they are, so that no window sees many more than are chosen; counts are a
+    # row a language, of which the network has an output each
     h = F.xxhash64(F.lit(SEED), "doc")
     place = F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(2**63))), 11) / F.lit(2.0**53)
-    near = rows.join(counts, "lang").where(place < F.lit(1.5 * size) / F.col("n")).select("doc", "lang", h.alias("h"))
+    near = rows.join(F.broadcast(counts), "lang").where(place < F.lit(1.5 * size) / F.col("n")).select("doc", "lang", h.alias("h"))
     ranked = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc"))).where(F.col("r") <= size)
     chosen = settle(ranked.select("doc", "lang"))
     texts = df.select(k.alias("doc"), y.alias("lang"), F.col(f"`{text}`").alias("text")).where("text is not null")
@@ -245,6 +246,7 @@ def identify(df: DataFrame, net: Network | None, doc: str = "doc_id", text: str
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Repeated rows are rows; an
     empty table has an empty result. Columns besides ``doc`` and ``text`` are not looked at.
     """
+    text_batches(df.sparkSession)
     slim = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     kind = slim.schema["doc"].dataType.simpleString()
 
@@ -263,6 +265,7 @@ def keep_identified(df: DataFrame, net: Network | None, text: str = "text", leas
 
     Texts mostly of letters that no learned text has are in no known language, whatever their score.
     """
+    text_batches(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

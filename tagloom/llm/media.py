@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._base import text_batches
+
 UNIT = 64  # bytes of an access unit of stored payloads
 KEY_EVERY = 16  # every so many units is a sync sample
 UNITS_A_CHUNK = 64
@@ -383,6 +385,7 @@ def text_media(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
 
     Equal texts have equal containers, repeated rows one each; an empty table has an empty result.
     """
+    text_batches(df.sparkSession)
     slim = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     kind = slim.schema["doc"].dataType.simpleString()
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import settle
+from ._base import settle, text_batches
 from .tokens import VOCABULARY, encoder
 
 CAPACITY = 2048
@@ -83,6 +83,7 @@ def token_pieces(df: DataFrame, doc: str = "doc_id", text: str = "text", capacit
 
     Null and empty texts are the ``end`` id alone.
     """
+    text_batches(df.sparkSession)
     slim = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     kind = slim.schema["doc"].dataType.simpleString()
     tail = np.array([end], "<u4").tobytes()

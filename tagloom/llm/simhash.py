@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import arrow_groups, settle
+from ._base import arrow_groups, settle, text_batches
 from .components import connected_components
 
 SEED = 42
@@ -44,6 +44,7 @@ def fingerprint(text: str | bytes | None, words: int = WORDS) -> int:
 
 def fingerprints(df: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``doc, text_hash, fp`` (signed 64 bits each) of every row; null texts have no words."""
+    text_batches(df.sparkSession)
     t = F.col(f"`{text}`")
     slim = df.select(F.col(f"`{doc}`").alias("doc"), _text_hash(t).alias("text_hash"), t.alias("text"))
     kind = slim.schema["doc"].dataType.simpleString()

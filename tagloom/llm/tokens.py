@@ -12,10 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import file_size, open_file, own_dir, settle
+from ._base import file_size, open_file, own_dir, settle, text_batches
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 80 << 20  # bytes of a generation of a worker's memory, two at most; what is forgotten is encoded again
+CACHE = 64 << 20  # bytes of a generation of a worker's memory, two at most; what is forgotten is encoded again
 LONG = 256  # characters; longer chunks (texts without blanks) are not remembered
 ENTRY = 180  # bytes that a remembered chunk takes besides its characters and ids
 BLOCK = 1 << 18  # ids of a block of a flat file
@@ -189,6 +189,7 @@ def write_token_files(
     document: such texts raise an error. Null texts are empty: a separator alone. Read the list once (settle it): every
     reading writes files anew.
     """
+    text_batches(df.sparkSession)
     slim = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     kind = slim.schema["doc"].dataType.simpleString()
 

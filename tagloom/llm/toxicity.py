@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import least_hashes, settle
+from ._base import least_hashes, settle, text_batches
 
 SAMPLE = 4000  # labelled documents of each class at most: the bound of what is fitted on
 GRADES = 3
@@ -242,6 +242,7 @@ def score_documents(df: DataFrame, model: Model, doc: str = "doc_id", text: str
 
     Null and empty texts have no features: they are scored by the cuts alone. Repeated rows are rows.
     """
+    text_batches(df.sparkSession)
     slim = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     kind = slim.schema["doc"].dataType.simpleString()
     names = ["doc", "severity", "grade", "p_toxic", "toxic"]
@@ -257,6 +258,7 @@ def score_documents(df: DataFrame, model: Model, doc: str = "doc_id", text: str
 
 def drop_toxic(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df``, all columns, that are not over ``threshold``."""
+    text_batches(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
