@@ -1,8 +1,9 @@
 """Events by Catalyst alone: tokens by one regular expression, relations by projections over them.
 
 For documents within the expression's grammar these equal the exact lexer's (braces of expression attributes may nest
-four deep). They carry no positions but byte offsets, run inside whole-stage code and need neither Python nor a shuffle,
-except ``token_offsets``, whose running sums are a window over each document's tokens.
+``DEPTH`` deep). They need neither Python nor a shuffle. What runs over a document's tokens in order (places, the stack of
+open elements) is folded inside its row, by blocks of about the square root of their number: a fold copies what it has
+gathered with each step, and by blocks that is little.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import NAME_START
 
+DEPTH = 32
 _BRACES = r"\{[^{}]*+\}"
-for _ in range(3):
+for _ in range(DEPTH - 1):
     _BRACES = rf"\{{(?:[^{{}}]++|{_BRACES})*+\}}"
 
 # one alternative for each kind of token, in order; what begins but doesn't end is a lone '<'
@@ -197,13 +199,8 @@ def processing_instructions(df: DataFrame, content: str = "content", keep: list[
     return _of_kind(df, content, keep, t.startswith("<?"), target.alias("target"), value.alias("content"))
 
 
-# the stack of open elements, folded over a document's tags inside its row
-_FOLD = """
-aggregate(
-  t,
-  struct(cast(array() as array<struct<n:string,i:bigint>>) as st,
-         cast(array() as array<struct<name:string,open_no:bigint,close_no:bigint,implicit:boolean>>) as closed,
-         cast(array() as array<struct<name:string,at:bigint>>) as orphans),
+# one tag's step of the stack of open elements; of an outer fold over blocks of tags, each block's results are one entry
+_STEP = """
   (acc, x) -> case
     when x.k = 's' then struct(acc.st as st, array_append(acc.closed, struct(x.n as name, x.i as open_no, x.i as close_no, false as implicit)) as closed, acc.orphans as orphans)
     when x.k = 'o' then struct(array_append(acc.st, struct(x.n as n, x.i as i)) as st, acc.closed as closed, acc.orphans as orphans)
@@ -214,10 +211,44 @@ aggregate(
         (y, k) -> struct(y.n as name, y.i as open_no, x.i as close_no, k + 1 < cast(array_position(transform(reverse(acc.st), y -> y.n), x.n) as int) as implicit))) as closed,
       acc.orphans as orphans)
     else struct(acc.st as st, acc.closed as closed, array_append(acc.orphans, struct(x.n as name, x.i as at)) as orphans)
-  end)
+  end
+"""
+_CLOSED, _ORPHAN = "struct<name:string,open_no:bigint,close_no:bigint,implicit:boolean>", "struct<name:string,at:bigint>"
+_FOLD = f"""
+aggregate(
+  transform(sequence(0, cast(floor((size(t) - 1) / __w) as int)), b -> slice(t, b * __w + 1, __w)),
+  struct(cast(array() as array<struct<n:string,i:bigint>>) as st, cast(array() as array<array<{_CLOSED}>>) as closed, cast(array() as array<array<{_ORPHAN}>>) as orphans),
+  (all, part) -> element_at(transform(
+    array(aggregate(part, struct(all.st as st, cast(array() as array<{_CLOSED}>) as closed, cast(array() as array<{_ORPHAN}>) as orphans), {_STEP})),
+    r -> struct(r.st as st, array_append(all.closed, r.closed) as closed, array_append(all.orphans, r.orphans) as orphans)), 1),
+  all -> struct(all.st as st, flatten(all.closed) as closed, flatten(all.orphans) as orphans))
 """
 
 
+def _width(array: Column) -> Column:
+    """Elements of a block: the square root of an array's, one at least."""
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(array)))).cast("int")
+
+
+def _bind(value: str, name: str, body: str) -> str:
+    """``body`` with ``value`` evaluated once: a lambda's variable is, while a column may be put in wherever it is used."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _before(array: str, merge: str, zero: str) -> str:
+    """For each element of an array what all elements before it come to, by ``merge`` of a and x.
+
+    Blocks are merged first, then the blocks before each block, then each element's own block up to it.
+    """
+    fold = f"aggregate({{0}}, {{1}}, (a, x) -> {merge})"
+    each = fold.format("slice(block, 1, j)", "element_at(pre, k + 1)")
+    body = f"flatten(transform(blocks, (block, k) -> transform(block, (y, j) -> {each})))"
+    body = _bind(f"transform(sums, (y, b) -> {fold.format('slice(sums, 1, b)', zero)})", "pre", body)
+    body = _bind(f"transform(blocks, block -> {fold.format('block', zero)})", "sums", body)
+    body = _bind("transform(sequence(0, cast((size(v) - 1) div w as int)), b -> slice(v, b * w + 1, w))", "blocks", body)
+    return _bind(array, "v", _bind("cast(ceil(sqrt(size(v))) as int)", "w", body))
+
+
 def _folded(df: DataFrame, content: str, keep: list[str] | None) -> tuple[DataFrame, list[str]]:
     keep = [c for c in df.columns if c != content] if keep is None else keep
     found = df.select(*[F.col(f"`{c}`") for c in keep], token_array(content).alias("__all"))
@@ -228,7 +259,8 @@ def _folded(df: DataFrame, content: str, keep: list[str] | None) -> tuple[DataFr
         return F.struct(kind.alias("k"), F.when(closing, closing_name(x)).otherwise(tag_name(x)).alias("n"), i.cast("bigint").alias("i"), (closing | _is_open(x)).alias("tag"))
 
     tags = F.filter(F.transform("__all", entry), lambda x: x["tag"])
-    return found.select(*[F.col(f"`{c}`") for c in keep], tags.alias("t")).withColumn("__folded", F.expr(_FOLD)), keep
+    folded = found.select(*[F.col(f"`{c}`") for c in keep], tags.alias("t")).where("size(t) > 0")
+    return folded.withColumn("__w", _width(F.col("t"))).withColumn("__folded", F.expr(_FOLD)), keep
 
 
 def close_tags(df: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
@@ -253,34 +285,29 @@ def unclosed_elements(df: DataFrame, content: str = "content", keep: list[str] |
 
 
 def token_offsets(df: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
-    """``tokens`` with ``byte_start, byte_end, start_line, start_char``; ``keep`` must identify a document.
+    """``tokens`` with ``byte_start, byte_end, start_line, start_char``; rows are documents, repeated or not.
 
-    A document's sums run over its own tokens only. The byte order mark counts three bytes and a column.
+    Sums run over a document's tokens inside its row, without a shuffle. The byte order mark counts three bytes and a column.
     """
     keep = [c for c in df.columns if c != content] if keep is None else keep
-    cols = [F.col(f"`{c}`") for c in keep]
+    cols = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)]
     bom = F.col(f"`{content}`").cast("string").startswith("\ufeff")
-    marked = df.withColumn("__bom", F.when(bom, 1).otherwise(0))
-    out = tokens(marked, content, [*keep, "__bom"])
-    by = ", ".join(f"`{c}`" for c in keep)
-    over = f"over (partition by {by} order by token_no rows between unbounded preceding and 1 preceding)"
+    out = df.select(*cols, F.when(bom, 1).otherwise(0).alias("__bom"), token_array(content).alias("__t")).where("size(__t) > 0")
     units = "cast(octet_length(encode({0}, 'UTF-16LE')) / 2 as bigint)"
-    out = out.withColumns(
-        {
-            "__bytes": F.octet_length("token").cast("bigint"),
-            "__lines": (F.char_length("token") - F.char_length(F.translate("token", "\n", ""))).cast("bigint"),
-            "__units": F.expr(units.format("token")),
-            "__tail": F.expr(units.format("substring_index(token, '\n', -1)")),
-        }
-    )
-    out = out.selectExpr(
-        "*",
-        f"coalesce(sum(__bytes) {over}, 0L) + 3 * __bom as byte_start",
-        f"coalesce(sum(__lines) {over}, 0L) as start_line",
-        f"coalesce(sum(__units) {over}, 0L) as __before",
-        f"max(case when __lines > 0 then token_no end) {over} as __last",
-    )
-    # units before the last line break: of the token that holds it, all but what follows the break
-    out = out.selectExpr("*", f"max_by(__before + __units - __tail, case when __lines > 0 then token_no end) {over} as __broken")
-    start = F.when(F.col("__broken").isNull(), F.col("__before") + F.col("__bom")).otherwise(F.col("__before") - F.col("__broken"))
-    return out.select(*cols, "token_no", "token", "kind", "byte_start", (F.col("byte_start") + F.col("__bytes")).alias("byte_end"), "start_line", start.alias("start_char"))
+    # of each token, and of runs of tokens alike: bytes, line breaks, units, and units up to the last line break (-1: none)
+    breaks, tail = "cast(char_length(x) - char_length(translate(x, '\n', '')) as bigint)", units.format("substring_index(x, '\n', -1)")
+    last = f"if(contains(x, '\n'), {units.format('x')} - {tail}, -1L)"
+    measured = f"transform(__t, x -> struct(cast(octet_length(x) as bigint) as b, {breaks} as n, {units.format('x')} as u, {last} as last))"
+    out = out.withColumn("__m", F.expr(measured))
+    merge = "struct(a.b + x.b as b, a.n + x.n as n, a.u + x.u as u, if(x.last < 0, a.last, a.u + x.last) as last)"
+    sums = _before("__m", merge, "struct(0L as b, 0L as n, 0L as u, -1L as last)")
+    out = out.withColumn("__s", F.expr(sums))
+    zipped = F.arrays_zip("__t", F.transform("__m", lambda x: x["b"]).alias("__b"), "__s")
+    out = out.select(*[F.col(f"__k{i}") for i in range(len(keep))], "__bom", F.posexplode(zipped).alias("token_no", "x"))
+    x, bom = F.col("x"), F.col("__bom")
+    start = x["__s"]["b"] + 3 * bom
+    char = F.when(x["__s"]["last"] < 0, x["__s"]["u"] + bom).otherwise(x["__s"]["u"] - x["__s"]["last"])
+    return out.select(
+        *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.col("token_no").cast("bigint").alias("token_no"), x["__t"].alias("token"), token_kind(x["__t"]).alias("kind"),
+        start.alias("byte_start"), (start + x["__b"]).alias("byte_end"), x["__s"]["n"].alias("start_line"), char.alias("start_char"),
+    )

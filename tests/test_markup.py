@@ -84,6 +84,33 @@ def test_token_offsets(docs):
     assert {(r.doc_id, r.byte_start, r.start_line, r.start_char) for r in rows} == want
 
 
+def test_what_is_folded_in_rows_needs_no_shuffle(docs):
+    """Places and stacks are found inside a document's row; many documents, also equal ones, are rows of their own."""
+    twice = docs.select("doc_id", "content").unionAll(docs.select("doc_id", "content"))
+    for relation in (native.token_offsets, native.close_tags, native.orphan_closings, native.unclosed_elements, events.unclosed_elements):
+        out = relation(twice)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert _bag(out) == sorted(2 * _bag(relation(docs.select("doc_id", "content"))), key=str)
+    assert events.unclosed_elements(docs.select("content", "seq"), keep=[]).count() == events.unclosed_elements(docs.select("doc_id", "content")).count() > 0
+
+
+def test_many_tags_and_deep_braces(spark):
+    import time
+
+    n = 20_000
+    doc = "<a>" + "".join(f"<b{k % 7}>\nt</b{k % 7}><i/></z>" for k in range(n)) + "<p>"
+    braces = "<a b=" + "{x" * 30 + "}" * 30 + ">"
+    df = spark.createDataFrame([(1, doc), (2, braces), (3, None), (4, "")], "doc_id int, content string")
+    began = time.perf_counter()
+    closed = native.close_tags(df).orderBy("close_order").collect()
+    assert len(closed) == 2 * n and [r.close_no for r in closed] == sorted(r.close_no for r in closed)
+    assert native.orphan_closings(df).count() == n and {r.name for r in native.unclosed_elements(df).collect()} == {"a", "p"}
+    places = native.token_offsets(df.where("doc_id = 1")).where("kind = 'OpenTag'").select("byte_start", "start_line", "start_char").collect()
+    assert time.perf_counter() - began < 60
+    assert sorted(map(tuple, places)) == sorted((e.byte_start, *e.open_start) for _, _, e in Lexer(128).parse(doc))
+    assert [r.value for r in native.attributes(df.where("doc_id = 2")).collect()] == [("{x" * 30 + "}" * 30)[1:-1]]
+
+
 def test_json_and_strings(spark):
     df = spark.createDataFrame([("a quiet small garden",), (BED,), ("<p a={b} c='d'/>",), ('<?garden plan="2"?>',)], "content string")
     rows = events.markup_events(df).select("event_type", render.event_json().alias("j"), render.attribute_string(F.col("attribute")).alias("a"), render.proc_inst_string(F.col("proc_inst")).alias("p")).collect()
