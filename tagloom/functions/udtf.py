@@ -1,4 +1,4 @@
-"""SQL table functions: ``markup_events(content, mask)`` with flat rows, ``markup_entities`` with whole entities.
+"""SQL table functions: ``markup_events(content, mask[, compat])`` with flat rows, ``markup_entities`` with whole entities.
 
 They give rows, not Arrow tables: Spark has no lateral join with table functions of the latter kind.
 """
@@ -80,11 +80,11 @@ class _Events:
     row = staticmethod(flat_row)
 
     def __init__(self):
-        self.lexers: dict[int, Lexer] = {}
+        self.lexers: dict[tuple[int, bool], Lexer] = {}
 
-    def eval(self, content: str, mask: int):
-        mask = mask_of(mask)
-        for event in self.lexers.setdefault(mask, Lexer(mask)).parse(content):
+    def eval(self, content: str, mask: int, compat: bool = False):
+        key = mask_of(mask), bool(compat)
+        for event in self.lexers.setdefault(key, Lexer(*key)).parse(content):
             yield self.row(*event)
 
 

@@ -36,6 +36,9 @@ _WORD = re.compile(r"[^ \n\t\r>]*")
 _DOCTYPE_STOP = re.compile(r"[!>]")
 _KEYWORD = re.compile(r"(?:[> \-\[]|[^> \-\[]+)?")
 _CLOSE_WORDS = re.compile(r" [\x00-\x20]*")
+# the plainest tags and attributes, of which most documents are made, in one step
+_PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)>")
+_PLAIN_ATTR = re.compile(r'[\x00-\x20]*([A-Za-z][A-Za-z0-9_:.-]*)="([^"]*)"')
 
 TEXT, PI, DECLARATION, DOCTYPE, COMMENT = (int(e) for e in list(EventType)[:5])
 OPEN_START, ATTRIBUTE, OPEN, CLOSE, CDATA = (int(e) for e in list(EventType)[5:])
@@ -224,7 +227,13 @@ class Lexer:
                 self.skipping = True
                 i = j + 1
                 continue
-            after = self._construct(s, j)
+            m = _PLAIN_TAG.match(s, j)
+            if m is None:
+                after = self._construct(s, j)
+            elif m[1]:
+                after = self._closed(s, j, m[2], m.end())
+            else:
+                after = self._opened(s, j, m[2], (), False, m.end())
             if after is None:
                 return n if final else j
             i = after
@@ -291,6 +300,9 @@ class Lexer:
         """(places of attributes, self-closing, place after '>') of a tag from behind its name."""
         n, out = len(s), []
         while True:
+            while (m := _PLAIN_ATTR.match(s, i)) is not None:
+                i = m.end()
+                out.append((*m.span(1), *m.span(2), AttributeType.DoubleQuoted, i))
             i = _BLANK.match(s, i).end()
             if i == n:
                 return None
@@ -396,28 +408,31 @@ class Lexer:
             self.need = (">",)
             return None
         words = [w for w in _CLOSE_WORDS.split(s[i + 2 : j]) if w]
-        name = words[-1] if words else ""
+        return self._closed(s, i, words[-1] if words else "", j + 1)
+
+    def _closed(self, s: str, i: int, name: str, end: int) -> int:
+        """A closing tag between ``i`` and ``end``: of the nearest open element of that name, or else it is text."""
         stack, k = self.stack, len(self.stack) - 1
         while k >= 0 and stack[k][0] != name:
             k -= 1
         if k < 0:
-            self._add_text(s, i, j + 1, f"</{name}>")
-            return j + 1
+            self._add_text(s, i, end, f"</{name}>")
+            return end
         n = len(stack) - k
         if not self.events & CLOSE or self.detail == BARE:
             if self.events & CLOSE:
                 self.out += [(self.seq + x, CLOSE, None) for x in range(n)]
             self.seq += n
             del stack[k:]
-            return j + 1
-        (start, _), (end, byte) = self.places.at(i), self.places.at(j + 1)
+            return end
+        (start, _), (stop, byte) = self.places.at(i), self.places.at(end)
         while len(stack) > k:
             own, attrs, texts, open_start, open_end, a, z = stack.pop()
             explicit = len(stack) == k
-            where = (start, end, a, byte) if explicit else (NOWHERE, NOWHERE, a, z)
+            where = (start, stop, a, byte) if explicit else (NOWHERE, NOWHERE, a, z)
             nodes = tuple(texts) if self.detail == FULL else range(texts)
             self._emit(CLOSE, Tag(own, attrs, nodes, False, open_start, open_end, *where, not explicit))
-        return j + 1
+        return end
 
     def _enclosed(self, s: str, i: int, kind: int, skip: int, stop: str) -> int | None:
         j = s.find(stop, i + skip)

@@ -62,10 +62,10 @@ def _pieces(path: str, chunk: int) -> Iterator[bytes]:
             yield piece
 
 
-def read_files(paths: list[str], mask: int, chunk: int = CHUNK, payload: str = "full") -> Iterator[pa.RecordBatch]:
+def read_files(paths: list[str], mask: int, chunk: int = CHUNK, payload: str = "full", compat: bool = False) -> Iterator[pa.RecordBatch]:
     """Batches of the files' events, ``path`` first; memory holds a batch, a piece and what it leaves open."""
     names = ["path", *[f.name for f in payload_fields(payload)]]
-    lexer = Lexer(mask)
+    lexer = Lexer(mask, compat)
     found: list = []
     owners: list[tuple[str, int]] = []
 
@@ -112,8 +112,8 @@ def _grouped(files: dict[str, int], task_bytes: int) -> list[InputPartition]:
 
 
 class MarkupReader(DataSourceReader):
-    def __init__(self, path: str, mask: int, chunk: int, payload: str = "full", task_bytes: int = TASK_BYTES):
-        self.path, self.mask, self.chunk, self.payload, self.task_bytes = path, mask, chunk, payload, task_bytes
+    def __init__(self, path: str, mask: int, chunk: int, payload: str = "full", task_bytes: int = TASK_BYTES, compat: bool = False):
+        self.path, self.mask, self.chunk, self.payload, self.task_bytes, self.compat = path, mask, chunk, payload, task_bytes, compat
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Takes conditions on ``event_type`` and ``event_mask``; Spark evaluates the others."""
@@ -132,7 +132,7 @@ class MarkupReader(DataSourceReader):
 
     def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
         if isinstance(partition, _Group):
-            yield from read_files(partition.paths, self.mask, self.chunk, self.payload)
+            yield from read_files(partition.paths, self.mask, self.chunk, self.payload, self.compat)
 
 
 class MarkupStreamReader(DataSourceStreamReader):
@@ -142,8 +142,8 @@ class MarkupStreamReader(DataSourceStreamReader):
     to it counts as read.
     """
 
-    def __init__(self, path: str, mask: int, chunk: int, payload: str = "full", task_bytes: int = TASK_BYTES):
-        self.path, self.mask, self.chunk, self.payload, self.task_bytes = path, mask, chunk, payload, task_bytes
+    def __init__(self, path: str, mask: int, chunk: int, payload: str = "full", task_bytes: int = TASK_BYTES, compat: bool = False):
+        self.path, self.mask, self.chunk, self.payload, self.task_bytes, self.compat = path, mask, chunk, payload, task_bytes, compat
         self.seen: set[str] = set()
 
     def initialOffset(self) -> dict:
@@ -166,7 +166,7 @@ class MarkupStreamReader(DataSourceStreamReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         assert isinstance(partition, _Group)
-        yield from read_files(partition.paths, self.mask, self.chunk, self.payload)
+        yield from read_files(partition.paths, self.mask, self.chunk, self.payload, self.compat)
 
     def commit(self, end: dict) -> None:
         pass
@@ -174,7 +174,7 @@ class MarkupStreamReader(DataSourceStreamReader):
 
 class MarkupSource(DataSource):
     """Options: ``path``, ``events`` (a mask, or kinds' names with commas), ``payload`` (``full``: whole entities, or ``flat``),
-    ``chunk`` (bytes of a piece), ``taskBytes`` (of small files that a task reads)."""
+    ``chunk`` (bytes of a piece), ``taskBytes`` (of small files that a task reads), ``compat`` (``true``: see ``Lexer``)."""
 
     @classmethod
     def name(cls) -> str:
@@ -183,13 +183,13 @@ class MarkupSource(DataSource):
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField("path", T.StringType()), *payload_fields(self.options.get("payload", "full"))])
 
-    def _arguments(self) -> tuple[str, int, int, str, int]:
+    def _arguments(self) -> tuple[str, int, int, str, int, bool]:
         if "path" not in self.options:
             raise ValueError("the markup source needs a path")
         events = self.options.get("events")
         mask = mask_of(None if events is None else int(events) if events.isdigit() else [e.strip() for e in events.split(",")])
         o = self.options
-        return o["path"], mask, int(o.get("chunk", CHUNK)), o.get("payload", "full"), int(o.get("taskBytes", TASK_BYTES))
+        return o["path"], mask, int(o.get("chunk", CHUNK)), o.get("payload", "full"), int(o.get("taskBytes", TASK_BYTES)), o.get("compat", "false").lower() == "true"
 
     def reader(self, schema) -> DataSourceReader:
         return MarkupReader(*self._arguments())

@@ -27,8 +27,8 @@ DONE = -1  # the number of the next chunk of a document that has ended
 class ChunkProcessor(StatefulProcessor):
     """A lexer a document; ``waiting`` maps numbers of chunks that came early to their bytes."""
 
-    def __init__(self, mask: int, key: str, idle_ms: int | None, payload: str = "full"):
-        self.mask, self.key, self.idle_ms, self.payload = mask, key, idle_ms, payload
+    def __init__(self, mask: int, key: str, idle_ms: int | None, payload: str = "full", compat: bool = False):
+        self.mask, self.key, self.idle_ms, self.payload, self.compat = mask, key, idle_ms, payload, compat
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -45,7 +45,7 @@ class ChunkProcessor(StatefulProcessor):
                 return
             lexer, at, last = pickle.loads(state), int(at), int(last)
         else:
-            lexer, at, last = Lexer(self.mask), 0, -1
+            lexer, at, last = Lexer(self.mask, self.compat), 0, -1
         for part in rows:
             for seq, chunk, is_last in zip(part["seq"], part["chunk"], part["is_last"]):
                 seq = int(seq)
@@ -85,11 +85,11 @@ class ChunkProcessor(StatefulProcessor):
         pass
 
 
-def chunked_events(chunks: DataFrame, key: str = "doc_id", events=None, idle_ms: int | None = None, payload: str = "full") -> DataFrame:
+def chunked_events(chunks: DataFrame, key: str = "doc_id", events=None, idle_ms: int | None = None, payload: str = "full", compat: bool = False) -> DataFrame:
     """Event rows of a stream of chunks (see ``payload_fields``), in append mode. Needs the RocksDB state store."""
     schema = T.StructType([T.StructField(key, chunks.schema[key].dataType), *payload_fields(payload)])
     slim = chunks.select(key, "seq", "chunk", "is_last")
-    processor = ChunkProcessor(mask_of(events), key, idle_ms, payload)
+    processor = ChunkProcessor(mask_of(events), key, idle_ms, payload, compat)
     return slim.groupBy(key).transformWithStateInPandas(processor, schema, "append", "ProcessingTime" if idle_ms else "none")
 
 

@@ -178,6 +178,8 @@ def test_table_function(spark, docs):
     got = spark.sql("select d.doc_id, e.* from some_docs d, lateral markup_entities(d.content, 1023) e")
     want = events.markup_events(docs, keep=["doc_id"])
     assert got.schema.names == want.schema.names and got.count() == want.count() and got.exceptAll(want).count() == 0
+    older = spark.sql("select value, event_mask from markup_events('<q>< 3</q><!p q>', 5, true)").collect()
+    assert [tuple(r) for r in older] == [(" 3", 1), ("q", 512)]
 
 
 def test_markup_source_pushes_kinds_into_the_scan(spark, tmp_path):
@@ -253,6 +255,8 @@ def test_markup_source_gives_whole_entities(spark, tmp_path):
     count = want.count()
     for df in (got, split):
         assert df.count() == count and df.exceptAll(want).count() == 0
+    older = spark.read.format("markup").option("path", str(tmp_path)).option("compat", "true").load()
+    assert older.exceptAll(events.markup_events(docs, compat=True)).count() == 0 and older.exceptAll(want).count() > 0
     stream = spark.readStream.format("markup").option("path", str(tmp_path)).option("events", "CloseTag").load()
     q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path.parent / "c9")).trigger(availableNow=True).start(str(tmp_path.parent / "out9"))
     q.awaitTermination(120)
