@@ -537,21 +537,27 @@ def deduce(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     that occur on two pages and on ``support`` of those pages at least are kept. A kind that all pages of a host are of
     is the host's.
     """
+    return _deduce(pages, support)[0]
+
+
+def _deduce(pages: DataFrame, support: float) -> tuple[DataFrame, DataFrame]:
+    """The template's tokens, and ``host, kind`` of all pages."""
     vectors = settle(
         page_tokens(pages)
         .withColumn("kind", F.explode(F.array(F.lit(0).cast("long"), "kind")))
         .groupBy("host", "kind", "token")
         .agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.sum("page_hash").alias("sig"), F.avg("place").alias("place"))
-        .where("pages >= 2")
+        .where((F.col("pages") >= 2) | (F.col("token") == ROOT))
     )
-    counts = vectors.where(F.col("token") == ROOT).selectExpr("host", "kind", "pages as n_kind")
+    counts = vectors.where((F.col("token") == ROOT) & (F.col("pages") >= 2)).selectExpr("host", "kind", "pages as n_kind")
     hosts = counts.where("kind = 0").selectExpr("host", "n_kind as n_host")
     counts = counts.join(hosts, "host").where("kind = 0 or n_kind < n_host").select("host", "kind", "n_kind")
     kept = settle(vectors.where(F.col("token") != ROOT).join(counts, ["host", "kind"]).where(F.col("pages") >= F.col("n_kind") * support).drop("n_kind"))
     cls = F.xxhash64("pages", "total", "sig")
     sizes = kept.groupBy("host", "kind", cls.alias("class")).agg(F.count("*").alias("size")).where("size >= 2")
     found = kept.select("host", "kind", "token", cls.alias("class"), "place", "pages").join(sizes, ["host", "kind", "class"])
-    return settle(found.select("host", "kind", "token", "class", "place", "pages"))
+    found = settle(found.select("host", "kind", "token", "class", "place", "pages"))
+    return found, vectors.where((F.col("token") == ROOT) & (F.col("kind") != 0)).select("host", "kind")
 
 
 def add_kind(rows: DataFrame) -> DataFrame:
@@ -570,11 +576,12 @@ def extract_main_text(df: DataFrame, page: str = "page_id", url: str = "url", ht
 
     Null pages are empty; pages without a host have no template; repeated rows are rows and count as pages of their
     host; an empty table has an empty result. Templates are broadcast up to a checked number of tokens; beyond it they
-    come by joins on the host and on its kind of page, whose arrays hold no more tokens than twice a page's.
+    come by a join on the host and kind of page, whose arrays hold no more tokens than twice a page's; pages are shuffled once
+    for it, and parsed twice.
     """
     host = F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
     rows = df.select(F.col(f"`{page}`").alias("page"), F.col(f"`{url}`").alias("url"), host.alias("host"), F.col(f"`{html}`").alias("html"))
-    tokens = deduce(rows.where("host <> ''"))
+    tokens, kinds = _deduce(rows.where("host <> ''"), SUPPORT)
     few = tokens.count() <= BROADCAST_TOKENS
     known: dict[tuple[str, int], dict] = {}
     if few:
@@ -584,7 +591,9 @@ def extract_main_text(df: DataFrame, page: str = "page_id", url: str = "url", ht
         part = F.collect_list(F.struct("token", "class", "place", "pages"))
         of_host = tokens.where("kind = 0").groupBy("host").agg(part.alias("of_host"))
         of_kind = tokens.where("kind <> 0").groupBy("host", "kind").agg(part.alias("of_kind"))
-        rows = add_kind(rows).join(of_host, "host", "left").join(of_kind, ["host", "kind"], "left").select("page", "url", "host", "html", "of_host", "of_kind")
+        # templates are put together by host and kind first, so that pages are shuffled once
+        known_kinds = settle(kinds.join(of_host, "host", "left").join(of_kind, ["host", "kind"], "left").where("of_host is not null or of_kind is not null"))
+        rows = add_kind(rows).join(known_kinds, ["host", "kind"], "left").select("page", "url", "host", "html", "of_host", "of_kind")
     shared = df.sparkSession.sparkContext.broadcast(known)
     kind = rows.schema["page"].dataType.simpleString()
 
