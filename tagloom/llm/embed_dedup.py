@@ -21,7 +21,7 @@ from .components import connected_components
 
 COSINE = 0.95
 PIVOTS = 1024  # at least; their number follows the square root of the vectors', up to what POINT_VALUES allows
-POINT_VALUES = 1 << 22  # numbers of all reference points of a dimension: what is broadcast is bounded by it
+POINT_VALUES = 1 << 22  # numbers of all reference points: what is broadcast is bounded by it
 NEAREST = (6, 8, 10, 12, 16, 20, 24, 32, 48)
 FIRST = 3  # nearest points, of which one of two candidates has one among the other's
 LEAST_RECALL = 0.93  # of them; where no description finds as many, the cloud is too narrow for one
@@ -216,16 +216,18 @@ def _apart(points: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray]:
 def fit_indices(nodes: DataFrame, short: bool, cosine: float = COSINE, pivots: int = PIVOTS) -> dict[int, Index]:
     """Indices by dimension, each from the vectors with the least hashes, four for each reference point.
 
-    Sampled are the dimensions that hold a thousandth of all vectors or more. Vectors of a dimension without an index meet
-    in one list, by blocks, which is exact and quadratic.
+    Sampled are the dimensions that hold a 64th of all vectors or more; they share ``POINT_VALUES``, so that all indices
+    together stay as large as one. Vectors of a dimension without an index meet in one list, by blocks, which is exact and
+    quadratic.
     """
     width = 4 if short else 8
     dims = nodes.groupBy((F.octet_length("vec") / width).cast("int").alias("d")).agg(F.count("*").alias("n"))
     total = dims.agg(F.sum("n")).first()[0] or 0
     out = {}
-    for r in dims.where(F.col("n") * 1000 >= total).collect():
+    common = dims.where(F.col("n") * 64 >= total).collect()
+    for r in common:
         wanted = max(pivots, 1 << (int(r["n"] ** 0.5)).bit_length())
-        wanted = max(64, min(wanted, POINT_VALUES // r["d"], 1 << 15))
+        wanted = max(64, min(wanted, POINT_VALUES // (r["d"] * len(common)), 1 << 15))
         rows = nodes.where(F.octet_length("vec") == r["d"] * width).select("vec")
         sample = least_hashes(rows, ["vec"], 4 * wanted, SEED, r["n"]).collect()
         index = fit_index(_matrix([bytes(x["vec"]) for x in sample], short), r["n"], cosine, wanted)

@@ -197,6 +197,30 @@ def test_recall_on_clouds_with_links(spark, dims, mean_cosine, clusters, short):
     assert (found <= n).all() and found.sum() >= 0.9 * n.sum() and found[1600:2000].sum() >= 0.9 * n[1600:2000].sum()
 
 
+def test_vectors_of_many_lengths(spark):
+    """Each length has an index of its own, a rare one none; unlike lengths never link."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for d, n in ((16, 900), (24, 700), (40, 12)):
+        base = normed(rng.normal(size=(n, d)))
+        near = normed(base[: n // 3] + rng.normal(size=(n // 3, d)) * 0.05 / np.sqrt(d))
+        rows += [v.tolist() for v in np.concatenate([base, near])]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>")
+    n, pairs = [0] * len(rows), []
+    for d in (16, 24, 40):
+        at = [i for i, v in enumerate(rows) if len(v) == d]
+        x = np.array([rows[i] for i in at])
+        close = x @ x.T >= 0.95
+        np.fill_diagonal(close, False)
+        for i, c in zip(at, close):
+            n[i] = int(c.sum())
+        pairs += [(at[i], at[j]) for i, j in zip(*np.nonzero(close))]
+    got = {r.vec_id: r for r in embed_dedup.near_vectors(df).collect()}
+    assert all(got[i].n_links <= n[i] for i in got) and sum(r.n_links for r in got.values()) >= 0.98 * sum(n) > 0
+    want = roots(len(rows), pairs)
+    assert sum(got[i].component_id == want[i] for i in got) >= 0.98 * len(rows)
+
+
 def test_lists_in_blocks_find_the_same(spark):
     """Long lists cut into pairs of blocks: each link is counted once, whatever the blocks."""
     rng = np.random.default_rng(5)
