@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -58,7 +59,7 @@ def _file_system(path: str) -> tuple[fs.FileSystem, str]:
         return fs.LocalFileSystem(), path
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
 
 
 def open_file(path: str, mode: str) -> pa.NativeFile:
