@@ -143,6 +143,7 @@ class Lexer:
         self.seq = 0
         self.begun = False
         self.skipping = False  # after a line break: blanks are passed over
+        self.open_names: dict[str, int] = {}  # how many elements of a name are open
         self.stack: list[list] = []  # [name, attributes, text nodes, open_start, open_end, byte_start, byte_end]
 
     def write(self, chunk: bytes | str) -> list[Event]:
@@ -368,7 +369,7 @@ class Lexer:
                     self.out += [(self.seq + k, kind, None) for k in range(n)]
                 self.seq += n
             if not closing:
-                self.stack.append([name])
+                self._push([name])
             return end
         attrs: list | range = []
         if events & ATTRIBUTE or (detail == FULL and events & (OPEN | CLOSE)):
@@ -387,7 +388,7 @@ class Lexer:
         if not events & (OPEN | CLOSE):
             self.seq += 1 + closing
             if not closing:
-                self.stack.append([name, (), [], NOWHERE, NOWHERE, 0, 0])
+                self._push([name, (), [], NOWHERE, NOWHERE, 0, 0])
             return end
         (open_start, a), (open_end, z) = at(i), at(end)
         own = tuple(attrs) if detail == FULL else range(len(found))
@@ -399,9 +400,13 @@ class Lexer:
                 return end
         else:
             self.seq += 1
-        self.stack.append([name, own, [] if detail == FULL else 0, open_start, open_end, a, z])
+        self._push([name, own, [] if detail == FULL else 0, open_start, open_end, a, z])
         return end
 
+    def _push(self, own: list) -> None:
+        self.stack.append(own)
+        self.open_names[own[0]] = self.open_names.get(own[0], 0) + 1
+
     def _close(self, s: str, i: int) -> int | None:
         j = s.find(">", i + 2)
         if j == -1:
@@ -413,11 +418,17 @@ class Lexer:
     def _closed(self, s: str, i: int, name: str, end: int) -> int:
         """A closing tag between ``i`` and ``end``: of the nearest open element of that name, or else it is text."""
         stack, k = self.stack, len(self.stack) - 1
-        while k >= 0 and stack[k][0] != name:
-            k -= 1
-        if k < 0:
+        if not self.open_names.get(name):
             self._add_text(s, i, end, f"</{name}>")
             return end
+        while stack[k][0] != name:
+            k -= 1
+        for own in stack[k:]:
+            left = self.open_names[own[0]] - 1
+            if left:
+                self.open_names[own[0]] = left
+            else:
+                del self.open_names[own[0]]
         n = len(stack) - k
         if not self.events & CLOSE or self.detail == BARE:
             if self.events & CLOSE:
