@@ -15,13 +15,24 @@ from pyspark.sql import functions as F
 
 
 BATCH_ROWS = 2000  # whole texts of an Arrow batch; Spark's own default holds five times as much in every worker
+BATCH_BYTES = 8 << 20  # of an Arrow batch, beyond which it ends whatever its rows
+READ_ROWS = 32  # whole texts that a task's Parquet reader decodes at once; Spark's own default is 4,096
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of this session hold ``BATCH_ROWS`` rows at most: rows here are whole documents."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Bound what tasks of this session hold at once, in rows and bytes: rows here are whole documents.
+
+    Arrow batches hold ``BATCH_ROWS`` rows and about ``BATCH_BYTES``, Parquet readers ``READ_ROWS`` rows; lower settings stay.
+    """
+    bounds = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS,
+        "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
+        "spark.sql.parquet.columnarReaderBatchSize": READ_ROWS,
+    }
+    parsed = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in bounds.items():
+        if not 0 < parsed(spark.conf.get(key)) <= most:
+            spark.conf.set(key, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

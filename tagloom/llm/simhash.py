@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,9 @@ DISTANCE = 3
 SEGMENTS, WIDTH = 4, 16
 BLOCK = 2048  # fingerprints of a key that one group holds; larger keys are cut into pairs of blocks
 SHINGLES_AT_ONCE = 1 << 15
+BYTES_AT_ONCE = 1 << 17  # whose words are at hand at once
 BROADCAST_KEYS = 20_000
+_gap = re.compile(rb"[ \t-\r]")
 
 
 def fingerprint(text: str | bytes | None, words: int = WORDS) -> int:
@@ -28,20 +31,32 @@ def fingerprint(text: str | bytes | None, words: int = WORDS) -> int:
     A-Z are lower-cased; words are runs of bytes other than ASCII white space; repeats of a shingle count.
     """
     raw = text.encode() if isinstance(text, str) else text or b""
-    w = raw.lower().split()
-    if not w:
-        return 0
-    if len(w) < words:
-        return xxhash.xxh64_intdigest(b" ".join(w), SEED)
-    n, ones = len(w) - words + 1, np.zeros(64, np.int64)
-    for a in range(0, n, SHINGLES_AT_ONCE):
-        part = w[a : a + SHINGLES_AT_ONCE + words - 1]
-        grams = zip(*[part[k:] for k in range(words)])
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    held: list[bytes] = []
+    n, ones = 0, np.zeros(64, np.int64)
+    for part in _word_pieces(raw):
+        held += part
+        for a in range(0, len(held) - words + 1, SHINGLES_AT_ONCE):
+            some = held[a : a + SHINGLES_AT_ONCE + words - 1]
+            grams = zip(*[some[k:] for k in range(words)])
+            h = np.array([xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams], np.uint64)
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            n += len(h)
+        held = held[max(0, len(held) - words + 1) :]
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(held), SEED) if held else 0
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def _word_pieces(raw: bytes) -> Iterator[list[bytes]]:
+    """The lower-cased words of ``BYTES_AT_ONCE`` after another; a piece ends at white space."""
+    at = 0
+    while at < len(raw):
+        gap = _gap.search(raw, at + BYTES_AT_ONCE)
+        end = gap.start() if gap else len(raw)
+        yield raw[at:end].lower().split()
+        at = end
+
+
 def fingerprints(df: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``doc, text_hash, fp`` (signed 64 bits each) of every row; null texts have no words."""
     text_batches(df.sparkSession)

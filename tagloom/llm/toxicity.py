@@ -25,7 +25,9 @@ LONG = 64
 PREFIXES = (4, 5, 6, 7)
 LEVELS = (1, 2, 4)  # occurrences at which a beginning counts anew
 SEED = 4
+PIECE = 1 << 17  # characters whose words are at hand at once
 _word = re.compile(r"\w+")
+_gap = re.compile(r"\s")
 
 
 def word_bases(word: str) -> tuple[str, ...]:
@@ -47,7 +49,15 @@ def _reached(base: str, n: int) -> list[str]:
 
 
 def text_words(text: str | None) -> Counter:
-    return Counter(_word.findall(text.lower())) if text else Counter()
+    """Occurrences of a text's words, counted piece by piece; pieces end at white space, where words and lower case do."""
+    words: Counter = Counter()
+    at, size = 0, len(text or "")
+    while at < size:
+        gap = _gap.search(text, at + PIECE)
+        end = gap.start() if gap else size
+        words.update(_word.findall(text[at:end].lower()))
+        at = end
+    return words
 
 
 @dataclass
@@ -131,7 +141,7 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Model:
 
 
 def _nothing() -> Model:
-    """Without both classes there is nothing to learn: no weights, and nothing is toxic."""
+    """Without both classes, or features that part them, there is nothing to learn: no weights, and nothing is toxic."""
     return Model({}, np.arange(GRADES - 1) + 8.0)
 
 
@@ -145,6 +155,8 @@ def solve(chosen: list[str], rows: list[list[int]], markers: np.ndarray, toxic:
     y = severity_grades(markers, toxic)
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     cols = np.array([c for r in rows for c in r], np.int64)
+    if not len(cols):
+        return _nothing()
     n, k = len(rows), len(chosen)
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     spread = float((weight**2).mean())
@@ -179,7 +191,7 @@ def solve(chosen: list[str], rows: list[list[int]], markers: np.ndarray, toxic:
         g_cut = np.array([lower[y == c + 1].sum() - upper[y == c].sum() for c in range(GRADES - 1)])
         cuts = cuts - step * g_cut
         cuts[1] = max(cuts[1], cuts[0] + 0.1)
-    return Model({f: float(w[c]) for c, f in enumerate(chosen) if w[c]}, cuts)
+    return Model({f: float(w[c]) for c, f in enumerate(chosen) if w[c]}, cuts) if w.any() else _nothing()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", size: int = SAMPLE) -> DataFrame:
@@ -205,6 +217,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, **names: str)
     standard deviations or more, all of them (each is in five documents of the bounded sample or more), and for each
     document of the sample which of them it has.
     """
+    text_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, size=size, **names)
     found = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n = [found.get(0, 0), found.get(1, 0)]
