@@ -1,4 +1,4 @@
-"""Training-data operators: ten operators over documents, pages and embeddings.
+"""Training-data operators: thirteen operators over documents, pages and embeddings.
 
 Nothing outside this subpackage imports it; its queries are in ``queries``.
 """

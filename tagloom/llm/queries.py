@@ -1,4 +1,4 @@
-"""The ten operators' queries, each over its whole table, and their SQL where DuckDB can express it."""
+"""The operators' queries, each over its whole table, and their SQL where DuckDB can express it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, html_main, langid, media, mixing, packing, sharding, simhash, tokens, toxicity
+from . import codes, embed_dedup, html_main, langid, media, mixing, packing, quality, resampling, sharding, simhash, tokens, toxicity
 from ._base import table
 
 
@@ -53,6 +53,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit_on(docs))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_media_columns, op2_simhash_near_dedup, op3_embedding_near_dedup, op4_toxicity, op5_token_counts,
-        op6_sharding, op7_best_fit_packing, op8_html_extraction, op9_temperature_mixing, op10_language_id, pipeline,
+        op6_sharding, op7_best_fit_packing, op8_html_extraction, op9_temperature_mixing, op10_language_id,
+        op11_importance_resampling, op12_quality_rules, op13_vector_codes, pipeline,
     )
 }
 
