@@ -62,6 +62,12 @@ def _pieces(path: str, chunk: int) -> Iterator[bytes]:
             yield piece
 
 
+def open_input(path: str):  # noqa: ANN201 - a binary file, of Python or of Arrow
+    """A file for reading with seeks."""
+    system, at = _system(path)
+    return open(at, "rb") if system is None else system.open_input_file(at)
+
+
 def read_files(paths: list[str], mask: int, chunk: int = CHUNK, payload: str = "full", compat: bool = False) -> Iterator[pa.RecordBatch]:
     """Batches of the files' events, ``path`` first; memory holds a batch, a piece and what it leaves open."""
     names = ["path", *[f.name for f in payload_fields(payload)]]
