@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import render, scalars
 from .functions.udtf import register as register_udtf
-from .operators import events
+from .operators import blocks, events, structure
 from .plans import native
 from .schema import EventType
 
@@ -428,6 +428,131 @@ def paragraphs_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langs.join(counts, "page_id").groupBy("lang").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_paragraphs"))
 
 
+# ---- structure: parents, and ranges within ranges
+
+_PARENTS = f"""{_FOLD}, {_PLACES.lstrip()},
+parents as (
+  select page_id, t[pos].i as token_no, len(st)::bigint as depth, st[len(st)].n as parent_name, st[len(st)].i as parent_no from walked where pos <= len(t) and t[pos].t not like '</%')"""
+
+
+@query(
+    f"""with recursive {_PARENTS}
+  select p.page_id, regexp_extract(x.token, '^<([^>/ \\n\\t\\r]*)', 1) as name, x.byte_start, x.byte_end, depth, parent_name, y.byte_start as parent_start
+  from parents p join places x on x.page_id = p.page_id and x.token_no = p.token_no left join places y on y.page_id = p.page_id and y.token_no = p.parent_no"""
+)
+def element_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every opening tag with its depth and the element it stands in."""
+    return structure.element_parents(_pages(spark, sf_dir), "html")
+
+
+@query(
+    f"""with recursive {_FOLD}, {_PLACES.lstrip()}, {_TEXT_PLACES.lstrip()},
+  spans as (
+    select d.page_id, c.name as name, a.byte_start as a, if(c.implicit or c.open_no = c.close_no, a.byte_end, z.byte_end) as z from (select page_id, unnest(closed) as c from done) d
+    join places a on a.page_id = d.page_id and a.token_no = d.c.open_no join places z on z.page_id = d.page_id and z.token_no = d.c.close_no)
+  select s.page_id, s.name as element, s.a as element_start, count(*) as n_texts, sum(t.b1 - t.b0)::bigint as text_bytes
+  from spans s join text_places t on s.page_id = t.page_id and s.a <= t.b0 and t.b1 <= s.z group by all"""
+)
+def texts_within_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join by containment: all texts of each closed element, however deep they stand."""
+    pages = _pages(spark, sf_dir)
+    elements = events.close_tags(pages, "html").select("page_id", "name", "byte_start", "byte_end")
+    texts = events.text_events(pages, "html").select("page_id", "byte_start", "byte_end")
+    found = structure.contained(elements, texts, ["page_id"])
+    n = (F.col("inner.byte_end") - F.col("inner.byte_start")).alias("n")
+    found = found.select("page_id", F.col("outer.name").alias("element"), F.col("outer.byte_start").alias("element_start"), n)
+    return found.groupBy("page_id", "element", "element_start").agg(F.count("*").alias("n_texts"), F.sum("n").alias("text_bytes"))
+
+
+@query(
+    f"""with recursive {_PARENTS},
+  spans as (
+    select d.page_id, c.name as name, a.token_no as token_no, a.byte_start as a, z.byte_end as z from (select page_id, unnest(closed) as c from done) d
+    join places a on a.page_id = d.page_id and a.token_no = d.c.open_no join places z on z.page_id = d.page_id and z.token_no = d.c.close_no where not c.implicit)
+  select s.page_id, s.name as ancestor, x.name as descendant, count(*) as n, max(q.depth - p.depth)::bigint as levels from spans s
+  join spans x on s.page_id = x.page_id and s.a <= x.a and x.z <= s.z and (s.a, s.z) <> (x.a, x.z)
+  join parents p on p.page_id = s.page_id and p.token_no = s.token_no join parents q on q.page_id = x.page_id and q.token_no = x.token_no group by all"""
+)
+def descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements within elements, counted by both names, with the most levels between them."""
+    pages = _pages(spark, sf_dir)
+    closed = events.close_tags(pages, "html").where("not implicit").select("page_id", "name", "byte_start", "byte_end")
+    depths = structure.element_parents(pages, "html").select("page_id", "byte_start", "depth")
+    spans = closed.join(depths, ["page_id", "byte_start"])
+    found = structure.contained(spans, spans, ["page_id"])
+    levels = F.max(F.col("inner.depth") - F.col("outer.depth")).alias("levels")
+    return found.groupBy("page_id", F.col("outer.name").alias("ancestor"), F.col("inner.name").alias("descendant")).agg(F.count("*").alias("n"), levels)
+
+
+# ---- one document of all pages, lexed by blocks
+
+_ONE = "pages as (select 0 as page_id, string_agg(html, '' order by page_id) as html from pages)"
+_ONE_TOKENS = f"{_ONE}, {_TOKENS.lstrip()}"
+_ONE_FOLD = f"""{_ONE}, {_OFFSETS.lstrip()},
+tags as materialized (
+  select row_number() over (order by token_no) as pos, token, byte_start, (byte_start + octet_length(encode(token)))::bigint as byte_end, regexp_extract(token, '^</?([^>/ \\n\\t\\r]*)', 1) as n
+  from offsets where regexp_matches(token, '^</?[A-Za-z_:]')),
+walked(pos, st, closed) as (
+  select 0::bigint, cast([] as struct(n varchar, a bigint)[]), cast([] as struct(n varchar, a bigint)[])
+  union all
+  select x.pos,
+    case when x.token like '</%' then case when k is null then st else st[:len(st) - k] end when x.token like '%/>' then st else list_append(st, {{'n': x.n, 'a': x.byte_start}}) end,
+    case when x.token like '</%' and k is not null then list_reverse(st)[:k] when x.token like '%/>' then [{{'n': x.n, 'a': x.byte_start}}] else [] end
+  from (select x.*, st, nullif(coalesce(list_position(list_reverse(list_transform(st, lambda y: y.n)), x.n), 0), 0) as k from walked w join tags x on x.pos = w.pos + 1) x)"""
+
+
+def _one_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as one document: their pieces of 1,000 characters are its blocks, in the order of pages."""
+    pieces = blocks.text_blocks(_pages(spark, sf_dir), ["page_id"], "html", 1000)
+    document = pieces.select(F.lit(0).alias("document"), (F.col("page_id") * (1 << 20) + F.col("block_no")).alias("block_no"), "text")
+    return blocks.split_documents(document, ["document"])
+
+
+@query(
+    f"with {_ONE}, {_OFFSETS.lstrip()} select regexp_extract(token, '^<([^>/ \\n\\t\\r]*)', 1) as name,"
+    " len(regexp_extract_all(token, ' [^= >]+=\"[^\"]*\"'))::bigint as n_attributes, byte_start, (byte_start + octet_length(encode(token)))::bigint as byte_end"
+    " from offsets where regexp_matches(token, '^<[A-Za-z_:]')"
+)
+def one_document_open_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blocks.split_relation(_one_document(spark, sf_dir), ["document"], "OpenTag")
+    return found.select("name", "n_attributes", "byte_start", "byte_end")
+
+
+@query(f"with recursive {_ONE_FOLD} select c.n as name, c.a as byte_start, row_number() over (partition by pos order by c.a desc) < len(closed) as implicit from (select pos, closed, unnest(closed) as c from walked)")
+def one_document_close_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that close anywhere in the document, each with its first byte: nesting goes across all blocks."""
+    return blocks.split_relation(_one_document(spark, sf_dir), ["document"], "CloseTag").select("name", "byte_start", "implicit")
+
+
+@query(
+    f"with recursive {_ONE_FOLD} select x.n as name, x.byte_start, len(w.st)::bigint as depth, w.st[len(w.st)].n as parent_name, w.st[len(w.st)].a as parent_start"
+    " from tags x join walked w on w.pos = x.pos - 1 where x.token not like '</%'"
+)
+def one_document_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.split_parents(_one_document(spark, sf_dir), ["document"]).drop("document", "byte_end")
+
+
+@query(
+    f"""with recursive {_ONE_FOLD}, n as (
+  select 128 as event_mask, count(*) as n from tags where token not like '</%'
+  union all select 32, count(*) from tags where token not like '</%'
+  union all select 256, sum(len(closed)) from walked
+  union all select 16, count(*) from offsets where token like '<!--%'
+  union all select 8, count(*) from offsets where lower(token) like '<!doctype%'
+  union all select 64, sum(len(regexp_extract_all(token, ' ([^= >]+)="([^"]*)"'))) from tags where token not like '</%'
+  union all select 1, (select count(*) from tags x join walked w on w.pos = x.pos where x.token like '</%' and len(w.closed) = 0) + count(*) from (
+    select case when k = 1 then l[k] else regexp_replace(l[k], '^[\\x00-\\x20]+', '') end as v from (
+      select l, unnest(range(1, len(l) + 1)) as k from (select string_split(token, chr(10)) as l from offsets where token not like '<%'))) where v <> '')
+select event_mask, n::bigint as n, (select sum(n) from n)::bigint as n_all, (select sum(n) - 1 from n)::bigint as last_seq from n"""
+)
+def one_document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kinds of events of the one document, counted; events are numbered through from 0."""
+    found = blocks.split_events(_one_document(spark, sf_dir), ["document"])
+    by_kind = found.groupBy("event_mask").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+    total = by_kind.agg(F.sum("n").alias("n_all"), F.max("last").alias("last_seq"))
+    return by_kind.drop("last").crossJoin(F.broadcast(total))
+
+
 # ---- inline documents: kinds that the tables don't have
 
 
