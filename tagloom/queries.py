@@ -1,4 +1,4 @@
-"""Queries over ``pages``, ``documents`` and inline documents, with the SQL that DuckDB answers alike."""
+"""Queries over ``pages``, ``documents`` and documents written from other tables, with the SQL that DuckDB answers alike."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import render, scalars
+from .functions import render, scalars, writer
 from .functions.udtf import register as register_udtf
 from .operators import blocks, events, structure
 from .plans import native
-from .schema import EventType
+from .schema import AttributeType, EventType
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -553,139 +553,185 @@ def one_document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_kind.drop("last").crossJoin(F.broadcast(total))
 
 
-# ---- inline documents: kinds that the tables don't have
+# ---- documents written from the tables: kinds that pages don't have
 
 
-def _inline(spark: SparkSession, *docs: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(docs)), "doc_id int, content string")
+def _rows(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _values(*rows: tuple, names: str) -> str:
-    def lit(v) -> str:
-        return "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-
-    def cast(v, name: str) -> str:
-        kind = "::bigint" if isinstance(v, int) and not isinstance(v, bool) and not name.endswith(("_id", "_type")) else "::int" if isinstance(v, int) and not isinstance(v, bool) else ""
-        return f"{lit(v)}{kind}"
-
-    cols = names.split()
-    return f"select * from (values {', '.join('(' + ', '.join(cast(v, c) for v, c in zip(r, cols)) + ')' for r in rows)}) t({', '.join(cols)})"
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn of a conversation as an element with its text as CDATA, behind which is what ends a section."""
+    turns = _rows(spark, sf_dir, "conversations")
+    said = F.concat("text", F.lit("]]>"), "role")
+    return turns.select("conv_id", "turn", writer.element("turn", [writer.attribute("by", F.col("role"))], writer.cdata(said)).alias("content"))
 
 
 @query(
-    _values(
-        (0, 'sow if "t > 8" & "w < 3", else [wait] ', 0, 5, 0, 55), (1, "", 0, 5, 0, 17), (1, "leek", 0, 17, 0, 33),
-        names="doc_id value start_line start_char end_line end_char",
-    )
-)
+    """with turns as (
+  select conv_id, turn, text, role, len('<turn by="' || role || '">') as c0, string_split(text, chr(10)) as l from conversations where text is not null and role is not null),
+placed as (select *, (len(l) - 1)::bigint as n, case when len(l) > 1 then len(l[-1]) else c0 + 9 + len(text) end + 5 as c1 from turns)
+select conv_id, turn, text || ']]' as value, 0::bigint as start_line, c0::bigint as start_char, n as end_line, c1::bigint as end_char from placed
+union all select conv_id, turn, '>' || role, n, c1::bigint, n, (c1 + 9 + 1 + len(role) + 3)::bigint from placed"""
+)
 def cdata_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _inline(spark, '<row><![CDATA[sow if "t > 8" & "w < 3", else [wait] ]]></row>', "<row><![CDATA[]]><![cdata[leek]]></row>", "<q><![CDATA[has no end ]] ></q>")
-    return events.cdata(docs).drop("seq", "byte_start", "byte_end")
+    return events.cdata(_turns(spark, sf_dir)).drop("seq", "byte_start", "byte_end")
+
+
+@query("select conv_id, turn, text || ']]>' || role as said, role as by from conversations where text is not null and role is not null")
+def turns_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was written is read back: sections joined in their order, and the attribute."""
+    turns, keys = _turns(spark, sf_dir), ["conv_id", "turn"]
+    parts = native.cdata(turns).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("token_no", "value"))).alias("x"))
+    said = parts.select(*keys, F.array_join(F.transform("x", lambda x: x["value"]), "").alias("said"))
+    return said.join(native.attributes(turns).select(*keys, F.col("value").alias("by")), keys)
+
+
+def _ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as an instruction: with content, as nothing but a target, or cut short by its content's '>'."""
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    whole = writer.instruction("ledger", F.concat(F.lit("order="), k, F.lit(" customer="), c))
+    kind = F.when(F.col("o_orderkey") % 3 == 0, whole).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("<?"), k, F.lit("?>")))
+    short = F.concat(F.lit("<?sum "), k, F.lit(">"), c, F.lit("?>"))
+    return _rows(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderstatus", F.coalesce(kind, short)).alias("content"))
+
 
+_LEDGER = """
+  select o_orderkey, octet_length(encode(o_orderstatus))::bigint as byte_start,
+    case o_orderkey % 3 when 0 then 'ledger' when 1 then o_orderkey::varchar || '?>' else 'sum' end as target,
+    case o_orderkey % 3 when 0 then 'order=' || o_orderkey || ' customer=' || o_custkey when 1 then '' else left(o_orderkey::varchar, len(o_orderkey::varchar) - 1) end as content,
+    case o_orderkey % 3 when 0 then 11 + len('order=' || o_orderkey || ' customer=' || o_custkey) when 1 then 4 + len(o_orderkey::varchar) else 7 + len(o_orderkey::varchar) end as size
+  from orders"""
 
-@query(_values((0, "garden", 'plan="2" scale="1:50"', 0, 32), (1, ">", "", 2, 5), (2, "r?>", "", 0, 5), (3, "t", "", 0, 6), names="doc_id target content byte_start byte_end"))
+
+@query(f"select o_orderkey, target, content, byte_start, (byte_start + size)::bigint as byte_end from ({_LEDGER})")
 def processing_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _inline(spark, '<?garden plan="2" scale="1:50"?>', "p <?>", "<?r?>", "<?t u>v?>")
-    return events.processing_instructions(docs).select("doc_id", "target", "content", "byte_start", "byte_end")
+    return events.processing_instructions(_ledgers(spark, sf_dir)).select("o_orderkey", "target", "content", "byte_start", "byte_end")
 
 
-@query(_values((0, "garden", 'plan="2"'), (1, ">", ""), (2, "r?>", ""), (3, "t", ""), names="doc_id target content"))
+@query(f"select o_orderkey, target, content from ({_LEDGER})")
 def processing_instruction_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _inline(spark, '<?garden plan="2"?>', "p <?>", "<?r?>", "<?t u>v?>")
-    return native.processing_instructions(docs).drop("token_no")
+    return native.processing_instructions(_ledgers(spark, sf_dir)).drop("token_no")
+
 
+def _catalogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part as a doctype with two declarations, and two more behind it."""
+    inner = [writer.declaration("ENTITY", F.concat(F.lit("name '"), "p_name", F.lit("'"))), writer.declaration("ELEMENT", F.concat("p_brand", F.lit(" (size,"), "p_type", F.lit("*)")))]
+    outer = F.concat(writer.declaration("ATTLIST", F.concat(F.lit("size "), F.col("p_size").cast("string"))), F.lit("\n<!"), F.lower("p_type"), F.lit(">"))
+    return _rows(spark, sf_dir, "part").select("p_partkey", F.concat(writer.doctype(F.concat(F.lit("part"), F.col("p_partkey").cast("string")), *inner), outer).alias("content"))
 
-_DTD = '<!DOCTYPE catalogue [\n  <!ENTITY pH "acid to neutral">\n  <!ELEMENT catalogue (herb*,shrub?)>\n]><!ELEMENT q (r)><!sow><![if SUN]><catalogue/>'
-_DECLARED = [(0, 'ENTITY pH "acid to neutral"'), (0, "ELEMENT catalogue (herb*,shrub?)"), (0, "q (r)"), (0, ">"), (0, "if SUN]")]
 
+_DECLARED = """select p_partkey, unnest(['ENTITY name ''' || p_name || '''', 'ELEMENT ' || p_brand || ' (size,' || p_type || '*)', 'size ' || p_size, '>']) as value from part"""
 
-@query(_values(*_DECLARED, names="doc_id value"))
+
+@query(_DECLARED)
 def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.declarations(_inline(spark, _DTD)).select("doc_id", "value")
+    return events.declarations(_catalogues(spark, sf_dir)).select("p_partkey", "value")
 
 
-@query(_values(*_DECLARED, names="doc_id value"))
+@query(_DECLARED)
 def declaration_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return native.declarations(_inline(spark, _DTD)).select("doc_id", "value")
+    return native.declarations(_catalogues(spark, sf_dir)).select("p_partkey", "value")
+
 
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as a tag with attributes in every form; every other one ends in a slash that its last value takes."""
+    k, c, p = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderpriority")
+    parts = [
+        writer.attribute("key", k), writer.attribute("of:customer", c, AttributeType.SingleQuoted), writer.attribute("note", F.concat(F.lit('"'), p, F.lit('"'))),
+        writer.attribute("both", F.concat(F.lit("'"), p, F.lit('"'), k)), writer.attribute("open", F.when(F.col("o_orderstatus") == "O", F.lit("yes"))), writer.attribute("bare"),
+    ]
+    slash = F.when(F.col("o_orderkey") % 2 == 0, F.lit("/>")).otherwise(F.lit(">"))
+    nested = F.concat(F.lit("\nrule={x => { return "), k, F.lit(" } }once="), c, slash)
+    return _rows(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("<order"), *parts, nested).alias("content"))
 
-_ATTR_DOCS = (
-    '<gate locked paint="dark-green"></gate>', "<page kind='plan' no=77></page>", "<Gate open={() => { return { key: [1] } } }></Gate>",
-    '<plant key-no="k_77"lot="5" hardy />', "<q xmlns:bot='urn:plants:list'></q>", '<b *each="plants" (pick)="go(row)"> </b>',
-    "<a b=c/><a/b c><seed dry/>", '<bed\n   depth    =     "0.4"  >\n</bed>',
-)
-_ATTRS = (
-    (0, "locked", "", 0), (0, "paint", "dark-green", 8), (1, "kind", "plan", 4), (1, "no", "77", 2), (2, "open", "() => { return { key: [1] } } ", 1), (3, "key-no", "k_77", 8),
-    (3, "lot", "5", 8), (3, "hardy", "", 0), (4, "xmlns:bot", "urn:plants:list", 4), (5, "*each", "plants", 8), (5, "(pick)", "go(row)", 8),
-    (6, "b", "c/", 2), (6, "c", "", 0), (6, "dry/", "", 0), (7, "depth", "0.4", 8),
-)
 
+_FORMS = """select o_orderkey, unnest([
+    {'n': 'key', 'v': o_orderkey::varchar, 't': 8}, {'n': 'of:customer', 'v': o_custkey::varchar, 't': 4}, {'n': 'note', 'v': '"' || o_orderpriority || '"', 't': 4},
+    {'n': 'both', 'v': '''' || o_orderpriority || '"' || o_orderkey, 't': 1}, {'n': 'open', 'v': if(o_orderstatus = 'O', 'yes', ''), 't': if(o_orderstatus = 'O', 8, 0)}, {'n': 'bare', 'v': '', 't': 0},
+    {'n': 'rule', 'v': 'x => { return ' || o_orderkey || ' } ', 't': 1}, {'n': 'once', 'v': o_custkey || if(o_orderkey % 2 = 0, '/', ''), 't': 2}]) as a from orders"""
 
-@query(_values(*_ATTRS, names="doc_id name value attr_type"))
+
+@query(f"select o_orderkey, a.n as name, a.v as value, a.t::int as attr_type from ({_FORMS})")
 def attribute_syntaxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.attributes(_inline(spark, *_ATTR_DOCS)).select("doc_id", "name", "value", "attr_type")
+    return events.attributes(_forms(spark, sf_dir)).select("o_orderkey", "name", "value", "attr_type")
 
 
-@query(_values(*_ATTRS, names="doc_id name value attr_type"))
+@query(f"select o_orderkey, a.n as name, a.v as value, a.t::int as attr_type from ({_FORMS})")
 def attribute_syntax_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return native.attributes(_inline(spark, *_ATTR_DOCS)).select("doc_id", "name", "value", "attr_type")
+    return native.attributes(_forms(spark, sf_dir)).select("o_orderkey", "name", "value", "attr_type")
 
 
 @query(
-    """select * from (values (0::int, 'bed', false, 0::bigint, 17::bigint, 30::bigint), (1, 'sage', false, 3, 9, 9), (1, 'dill', false, 17, 23, 23), (1, '', false, 0, 2, 31),
-    (2, 'leaf', true, 3, 19, 0), (2, 's', false, 0, 3, 19)) t(doc_id, name, self_closing, open_start_char, open_end_char, close_start_char)"""
+    f"select o_orderkey, a.t::int as attr_type, ['NoValue', 'JSX', 'NoQuotes', '', 'SingleQuoted', '', '', '', 'DoubleQuoted'][a.t + 1] as type_name,"
+    f" a.n || '=\"' || if(a.t = 1, '{{' || a.v || '}}', a.v) || '\"' as string from ({_FORMS})"
 )
-def element_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _inline(spark, '<bed soil="loam">Rows of leeks</bed>', "<> <sage></sage> <dill></dill> </>", '<s><leaf d="M1,2"/></s>')
-    return events.close_tags(docs).select("doc_id", "name", "self_closing", "open_start_char", "open_end_char", "close_start_char")
+def attribute_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events.markup_events(_forms(spark, sf_dir), events="Attribute", entities=["attribute"])
+    a = F.col("attribute")
+    return found.select("o_orderkey", a["type"].alias("attr_type"), render.attribute_type_name(a["type"]).alias("type_name"), render.attribute_string(a).alias("string"))
 
 
-@query(_values((0, "🌱", 0, 8, 0, 10), (1, "../9/beds", 0, 9, 0, 18), names="doc_id value value_start_line value_start_char value_end_line value_end_char"))
-def astral_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns count UTF-16 units."""
-    docs = _inline(spark, '<pot t="🌱"></pot>', '🌿<a to="../9/beds">over here</a>')
-    return events.attributes(docs).select("doc_id", "value", "value_start_line", "value_start_char", "value_end_line", "value_end_char")
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer as a fragment: an element with a text, a blank, an empty element."""
+    name, at = F.col("c_name"), F.col("c_nationkey").cast("string")
+    card = writer.fragment(writer.element("card", [writer.attribute("nation", at)], writer.text(name)), F.lit(" "), writer.tag(F.lower("c_mktsegment"), closed=True))
+    return _rows(spark, sf_dir, "customer").select("c_custkey", card.alias("content"))
 
 
 @query(
-    _values(
-        (0, "{dry && wet < 4 ? "), (0, " : "), (0, "}"), (1, " "), (2, "</>"), (3, "Gate"), (3, "</hedge>"), (4, " <-- no comment -->"), (5, "a "), (6, "first"), (6, "second "), (7, "<<bed>"), (8, "x"),
-        names="doc_id value",
-    )
-)
-def text_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _inline(
-        spark, "<pot>{dry && wet < 4 ? <mint></mint> : <></>}</pot>", "<a></a> <b/>", "<row></></row>", '<plot><path to="x">Gate</path></hedge></plot>', "<!--c--> <-- no comment -->", "a <",
-        "<q>first\n\n \t second </q>\n", "<<bed>", "﻿<q>x</q>",
-    )
-    return events.text_events(docs).select("doc_id", "value")
+    """with cards as (select *, len('<card nation="' || c_nationkey || '">') as tag, len(lower(c_mktsegment)) + 4 as segment from customer),
+placed as (select *, 2 + tag + len(c_name) + 7 as behind from cards)
+select c_custkey, 'card' as name, false as self_closing, 2::bigint as open_start_char, (2 + tag)::bigint as open_end_char, (2 + tag + len(c_name))::bigint as close_start_char from placed
+union all select c_custkey, lower(c_mktsegment), true, (behind + 1)::bigint, (behind + 1 + segment)::bigint, 0 from placed
+union all select c_custkey, '', false, 0, 2, (behind + 1 + segment)::bigint from placed"""
+)
+def element_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.close_tags(_cards(spark, sf_dir)).select("c_custkey", "name", "self_closing", "open_start_char", "open_end_char", "close_start_char")
 
 
 @query(
-    "select 2 as attr_type, 'NoQuotes' as type_name, 'no=\"7\"' as string union all select 1, 'JSX', 'no=\"{n}\"' union all select 4, 'SingleQuoted', 'no=\"a b\"'"
-    " union all select 8, 'DoubleQuoted', 'no=\"\"' union all select 0, 'NoValue', 'no=\"\"'"
+    """select s_suppkey, '🎏' || s_nationkey as value, 0::bigint as value_start_line, (2 * (s_suppkey % 4) + 12)::bigint as value_start_char, 0::bigint as value_end_line,
+    (2 * (s_suppkey % 4) + 14 + len(s_nationkey::varchar))::bigint as value_end_char, (4 * (s_suppkey % 4) + 6)::bigint as byte_start from supplier"""
 )
-def attribute_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = events.markup_events(_inline(spark, "<q no=7>", "<q no={n}>", "<q no='a b'>", '<q no="">', "<q no>"), events="Attribute")
-    a = F.col("attribute")
-    return found.select(a["type"].alias("attr_type"), render.attribute_type_name(a["type"]).alias("type_name"), render.attribute_string(a).alias("string"))
+def astral_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns count UTF-16 units, offsets bytes: characters beyond the first plane before and within a value."""
+    flag = writer.attribute("flag", F.concat(F.lit("🎏"), F.col("s_nationkey").cast("string")), AttributeType.JSX)
+    content = F.concat(F.expr("repeat('🐚', cast(s_suppkey % 4 as int))"), writer.tag("port", flag))
+    found = events.attributes(_rows(spark, sf_dir, "supplier").select("s_suppkey", content.alias("content")))
+    return found.select("s_suppkey", "value", "value_start_line", "value_start_char", "value_end_line", "value_end_char", "byte_start")
+
+
+@query(
+    """select s_suppkey, unnest([s_name || ' < ' || s_nationkey, s_nationkey || ' ', '<<' || s_name || '>', '</quay' || chr(10) || '>', s_nationkey || '; ']) as value from supplier"""
+)
+def text_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts by lines; '<' that begins nothing; what closes nothing; an end that is the beginning of nothing."""
+    name, at = F.col("s_name"), F.col("s_nationkey").cast("string")
+    content = F.concat(name, F.lit(" < "), at, F.lit("\n\n\t"), at, F.lit(" <pier><<"), name, F.lit("></quay\n>\n</pier>"), at, F.lit("; <"))
+    return events.text_events(_rows(spark, sf_dir, "supplier").select("s_suppkey", content.alias("content"))).select("s_suppkey", "value")
 
 
 @query(
-    """select '<? garden plan="2" ?>' as string, '{"start":{"line":0,"character":0},"end":{"line":0,"character":19},"target":{"start":{"line":0,"character":2},"end":{"line":0,"character":8},"value":"garden","byteOffsets":{"start":2,"end":8}},"content":{"start":{"line":0,"character":9},"end":{"line":0,"character":17},"value":"plan=\\"2\\"","byteOffsets":{"start":9,"end":17}},"byteOffsets":{"start":0,"end":19}}' as json"""
+    """with l as (select *, 'order=' || o_orderkey || ' customer=' || o_custkey as c from orders where o_orderkey % 3 = 0)
+  select o_orderkey, '<? ledger ' || c || ' ?>' as string, to_json({'start': {'line': 0, 'character': 1}, 'end': {'line': 0, 'character': 12 + len(c)},
+    'target': {'start': {'line': 0, 'character': 3}, 'end': {'line': 0, 'character': 9}, 'value': 'ledger', 'byteOffsets': {'start': 3, 'end': 9}},
+    'content': {'start': {'line': 0, 'character': 10}, 'end': {'line': 0, 'character': 10 + len(c)}, 'value': c, 'byteOffsets': {'start': 10, 'end': 10 + len(c)}},
+    'byteOffsets': {'start': 1, 'end': 12 + len(c)}})::varchar as json from l"""
 )
 def instruction_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = events.markup_events(_inline(spark, '<?garden plan="2"?>'), events="ProcessingInstruction")
+    found = events.markup_events(_ledgers(spark, sf_dir), events="ProcessingInstruction", entities=["proc_inst"])
     p = F.col("proc_inst")
-    return found.select(render.proc_inst_string(p).alias("string"), render.proc_inst_json(p).alias("json"))
+    return found.where(p["target"]["value"] == "ledger").select("o_orderkey", render.proc_inst_string(p).alias("string"), render.proc_inst_json(p).alias("json"))
 
 
 @query(
-    """select '{"start":{"line":0,"character":0},"end":{"line":0,"character":20},"value":"a quiet small garden","byteOffsets":{"start":0,"end":20}}' as json"""
+    """with cards as (select *, 2 + len('<card nation="' || c_nationkey || '">') as a, 2 + len('<card nation="' || c_nationkey || '">') + len(c_name) as z from customer)
+  select c_custkey, to_json({'start': {'line': 0, 'character': a}, 'end': {'line': 0, 'character': z}, 'value': c_name, 'byteOffsets': {'start': a, 'end': z}})::varchar as json from cards"""
 )
 def text_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = events.markup_events(_inline(spark, "a quiet small garden"), events="Text")
-    return found.select(render.text_json(F.col("text")).alias("json"))
+    found = events.markup_events(_cards(spark, sf_dir), events="Text", entities=["text"]).where("text.value <> ' '")
+    return found.select("c_custkey", render.text_json(F.col("text")).alias("json"))
 
 
 # ---- scanner functions over whole documents
