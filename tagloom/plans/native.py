@@ -1,7 +1,8 @@
 """Events by Catalyst alone: tokens by one regular expression, relations by projections over them.
 
-For documents within the expression's grammar these equal the exact lexer's (braces of expression attributes may nest
-``DEPTH`` deep). They need neither Python nor a shuffle. What runs over a document's tokens in order (places, the stack of
+For documents within the expression's grammar these equal the exact lexer's. They need neither Python nor a shuffle.
+Braces of expression attributes may nest to any depth: where they nest deeper than ``DEPTH``, which a regular expression
+can follow, each brace gets a mark with its depth first, and a pair is a brace and the next one with an equal mark. What runs over a document's tokens in order (places, the stack of
 open elements) is folded inside its row, by blocks of about the square root of their number: a fold copies what it has
 gathered with each step, and by blocks that is little.
 """
@@ -13,35 +14,84 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import NAME_START
 
-DEPTH = 32
-_BRACES = r"\{[^{}]*+\}"
+DEPTH = 8
+# fixed values: characters that no text is to hold; one that does is followed by another mark, so marks stay apart
+MARK, MARK_END, ESCAPED = "\ufdd0", "\ufdd1", "\ufdd2"
+_NESTED = r"\{[^{}]*+\}"
 for _ in range(DEPTH - 1):
-    _BRACES = rf"\{{(?:[^{{}}]++|{_BRACES})*+\}}"
+    _NESTED = rf"\{{(?:[^{{}}]++|{_NESTED})*+\}}"
+
+
+def _marked_braces(group: int) -> str:
+    """Marked braces: a brace, its mark, and what follows up to an equal mark and a brace."""
+    return rf"\{{({MARK}\d++{MARK_END})(?s:.*?)\{group}\}}"
+
 
 # one alternative for each kind of token, in order; what begins but doesn't end is a lone '<'
-TOKEN = "|".join(
-    [
+def _token(braces: str) -> str:
+    kinds = [
         r"<!--.*?-->",
         r"(?i:<!\[CDATA\[).*?\]\]>",
-        r"(?i:<!doctype)[^!>]*+(?:![^>]*+>[^!>]*+)*+>",
+        r"(?i:<!doctype)[\x00-\x20]*+[^ \n\t\r>]*+[^!>]*+(?:![^>]*+>[^!>]*+)*+>",
         r"<!(?!--|(?i:\[CDATA\[|doctype))[^>]*+>",
         r"<\?[^>]*+>",
         r"</[^>]*+>",
         r"<>",
-        rf"<[{NAME_START}](?:=[\x00-\x20]*+\"[^\"]*+\"|=[\x00-\x20]*+'[^']*+'|=[\x00-\x20]*+{_BRACES}|[^>=]++|=)*+>",
+        rf"<[{NAME_START}](?:=[\x00-\x20]*+\"[^\"]*+\"|=[\x00-\x20]*+'[^']*+'|=[\x00-\x20]*+{braces}|[^>=]++|=(?![\x00-\x20]*+[{{\"']))*+>",
         rf"(?:[^<]++|<<|<(?![!/?>{NAME_START}<])(?!\z))(?:[^<]++|<<|<(?![!/?>{NAME_START}<])(?!\z))*+",
         r"<",
     ]
-)
-TOKEN = f"(?s){TOKEN}"
-ATTRIBUTE = (
-    r"([^=>\x00-\x20/][^=> \t\n]*+|(?==))(?:[\x00-\x20]*+=[\x00-\x20]*+(?:\"([^\"]*+)\"|'([^']*+)'|(" + _BRACES + r")|([^> \t\n\"'{=][^> \t\n]*+)|(?=>)|=)|(?=[\x00-\x20>]))"
-)
+    return "(?s)" + "|".join(kinds)
+
+
+def _attribute(braces: str) -> str:
+    """An attribute, or a slash and the character that goes with it."""
+    return (
+        r"(?s)/[^>]|([^=>\x00-\x20/][^=> \t\n]*+|(?==))(?:[\x00-\x20]*+=[\x00-\x20]*+(?:\"([^\"]*+)\"|'([^']*+)'|"
+        + braces
+        + r"|([^> \t\n\"'{=][^> \t\n]*+)|(?=>)|=)|(?=[\x00-\x20>]))"
+    )
+
+
+def _deep(text: Column) -> Column:
+    """Whether braces may nest deeper than ``DEPTH``: a text without that many opening ones cannot."""
+    return F.char_length(text) - F.char_length(F.translate(text, "{", "")) > DEPTH
+
+
+def _bind(value: str, name: str, body: str) -> str:
+    """``body`` with ``value`` evaluated once: a lambda's variable is, while a column may be put in wherever it is used."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _before(array: str, merge: str, zero: str) -> str:
+    """For each element of an array what all elements before it come to, by ``merge`` of a and x.
+
+    Blocks are merged first, then the blocks before each block, then each element's own block up to it.
+    """
+    fold = f"aggregate({{0}}, {{1}}, (a, x) -> {merge})"
+    each = fold.format("slice(block, 1, j)", "element_at(pre, k + 1)")
+    body = f"flatten(transform(blocks, (block, k) -> transform(block, (y, j) -> {each})))"
+    body = _bind(f"transform(sums, (y, b) -> {fold.format('slice(sums, 1, b)', zero)})", "pre", body)
+    body = _bind(f"transform(blocks, block -> {fold.format('block', zero)})", "sums", body)
+    body = _bind("transform(sequence(0, cast((size(v) - 1) div w as int)), b -> slice(v, b * w + 1, w))", "blocks", body)
+    return _bind(array, "v", _bind("cast(ceil(sqrt(size(v))) as int)", "w", body))
+
 
+def _mark(text: str) -> str:
+    """A text with a mark at each brace: how deep its pair lies, from running sums over the braces before it."""
+    pieces = f"regexp_extract_all(replace({text}, '{MARK}', '{MARK}{ESCAPED}'), '[{{}}]|[^{{}}]++', 0)"
+    steps = "transform(ps, x -> case x when '{' then 1 when '}' then -1 else 0 end)"
+    mark = f"case x when '{{' then concat('{{{MARK}', 1000000000 + d[i], '{MARK_END}') when '}}' then concat('{MARK}', 999999999 + d[i], '{MARK_END}}}') else x end"
+    marked = f"concat_ws('', transform(ps, (x, i) -> {mark}))"
+    return _bind(pieces, "ps", f"if(size(ps) = 0, '', {_bind(_before(steps, 'a + x', '0'), 'd', marked)})")
 
-def _text(content: str) -> Column:
-    """The document without its byte order mark."""
-    return F.regexp_replace(F.col(f"`{content}`").cast("string"), r"^\x{FEFF}", "")
+
+def _unmark(text: Column) -> Column:
+    return F.replace(F.regexp_replace(text, f"{MARK}[0-9]+{MARK_END}", ""), F.lit(f"{MARK}{ESCAPED}"), F.lit(MARK))
+
+
+def _without_bom(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\x{FEFF}", "")
 
 
 def token_array(content: str = "content") -> Column:
@@ -51,8 +101,11 @@ def token_array(content: str = "content") -> Column:
         lone = F.array_position(found, "<")
         return F.when(lone > 0, F.slice(found, 1, (lone - 1).cast("int"))).otherwise(found)
 
+    text = F.col(f"`{content}`").cast("string")
+    plain = F.regexp_extract_all(_without_bom(text), F.lit(_token(_NESTED)), F.lit(0))
+    marked = F.regexp_extract_all(_without_bom(F.expr(_mark(f"cast(`{content}` as string)"))), F.lit(_token(_marked_braces(1))), F.lit(0))
+    found = F.when(_deep(text), F.transform(marked, _unmark)).otherwise(plain)
     # bound to a lambda's variable the expression is evaluated once, wherever it is used
-    found = F.regexp_extract_all(_text(content), F.lit(TOKEN), F.lit(0))
     return F.element_at(F.transform(F.array(found), ended), 1)
 
 
@@ -80,7 +133,7 @@ def tokens(df: DataFrame, content: str = "content", keep: list[str] | None = Non
 
 
 def _of_kind(df: DataFrame, content: str, keep: list[str] | None, test: Column, *columns: Column) -> DataFrame:
-    """``keep`` and ``columns`` of tokens that pass ``test`` on ``token``: others are filtered in the array."""
+    """``keep`` and ``columns`` of tokens that pass ``test`` on ``token``: each token is a row first, and rows are filtered."""
     keep = [c for c in df.columns if c != content] if keep is None else keep
     out = df.select(*[F.col(f"`{c}`") for c in keep], F.posexplode_outer(token_array(content)).alias("token_no", "token")).where(test)
     return out.select(*[F.col(f"`{c}`") for c in keep], F.col("token_no").cast("bigint").alias("token_no"), *columns)
@@ -100,23 +153,38 @@ def _is_open(token: Column) -> Column:
     return (token == "<>") | token.rlike(f"^<[{NAME_START}]")
 
 
-def _attribute_tokens(token: Column) -> Column:
+def _attribute_tokens(token: str = "token") -> Column:
     """Everything between a tag's name and its end, as attributes in order."""
-    inner = F.regexp_extract(token, r"(?s)^<[^>/ \n\t\r]*+(.*)$", 1)
-    inner = F.regexp_replace(inner, r"^/[^>]", "")
-    return F.regexp_extract_all(inner, F.lit(f"(?s){ATTRIBUTE}"), F.lit(0))
 
+    def found(text: Column, braces: str) -> Column:
+        inner = F.regexp_extract(text, r"(?s)^<[^>/ \n\t\r]*+(.*)$", 1)
+        return F.filter(F.regexp_extract_all(inner, F.lit(_attribute(braces)), F.lit(0)), lambda x: ~x.startswith("/"))
+
+    marked = F.transform(found(F.expr(_mark(token)), _marked_braces(4)), _unmark)
+    return F.when(_deep(F.col(token)), marked).otherwise(found(F.col(token), _NESTED))
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def self_closing(token: str = "token") -> str:
+    """SQL over a token's name: a slash before the '>', unless it belongs to the name of an attribute without a value."""
 
-def self_closing(token: Column) -> Column:
-    """A slash before the '>', unless it belongs to the name of an attribute without a value."""
-    bare = F.regexp_replace(token, r"(?s)=[\x00-\x20]*+(?:\"[^\"]*+\"|'[^']*+')", "=''")
-    return token.endswith("/>") & ~bare.rlike(r"(?s)[\x00-\x20][^=> \t\n/\"'][^=> \t\n\"']*/>$")
+    def bare(text: str, braces: str) -> str:
+        value = rf"(?s)=[\x00-\x20]*+(?:\"[^\"]*+\"|'[^']*+'|{braces})"
+        return f"regexp_replace({text}, {_quoted(value)}, {_quoted(chr(61) + chr(39) * 2)})"
+
+    deep = f"char_length({token}) - char_length(translate({token}, '{{', '')) > {DEPTH}"
+    values = f"if({deep}, {bare(_mark(token), _marked_braces(1))}, {bare(token, _NESTED)})"
+    named = r"(?s)[\x00-\x20][^=> \t\n/\"'][^=> \t\n\"']*/>$"
+    return f"(endswith({token}, '/>') and not rlike({values}, {_quoted(named)}))"
 
 
 def open_tags(df: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
     """``keep, token_no, name, self_closing``."""
     t = F.col("token")
-    return _of_kind(df, content, keep, _is_open(t), tag_name(t).alias("name"), self_closing(t).alias("self_closing"))
+    return _of_kind(df, content, keep, _is_open(t), tag_name(t).alias("name"), F.expr(self_closing()).alias("self_closing"))
 
 
 def open_tag_counts(df: DataFrame, content: str = "content") -> DataFrame:
@@ -128,7 +196,7 @@ def attributes(df: DataFrame, content: str = "content", keep: list[str] | None =
     """``keep, token_no, tag_name, attr_no, name, value, attr_type``."""
     keep = [c for c in df.columns if c != content] if keep is None else keep
     t = F.col("token")
-    tags = _of_kind(df, content, keep, _is_open(t) & t.rlike(r"[\x00-\x20/]"), tag_name(t).alias("tag_name"), _attribute_tokens(t).alias("__found"))
+    tags = _of_kind(df, content, keep, _is_open(t) & t.rlike(r"[\x00-\x20/]"), tag_name(t).alias("tag_name"), _attribute_tokens().alias("__found"))
     cols = [F.col(f"`{c}`") for c in keep]
     found = tags.select(*cols, "token_no", "tag_name", F.posexplode_outer("__found").alias("attr_no", "a")).where("a is not null")
     a = F.col("a")
@@ -182,7 +250,7 @@ def doctypes(df: DataFrame, content: str = "content", keep: list[str] | None = N
 def declarations(df: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
     """``keep, token_no, value``: those inside a doctype with their keyword, others without it."""
     t = F.col("token")
-    behind = F.regexp_extract_all(F.regexp_replace(t, r"^(?i:<!doctype)", ""), F.lit(r"(?s)!([^>]*+)>"), F.lit(1))
+    behind = F.regexp_extract_all(F.regexp_replace(t, r"^(?i:<!doctype)[\x00-\x20]*+[^ \n\t\r>]*+", ""), F.lit(r"(?s)!([^>]*+)>"), F.lit(1))
     bare = F.regexp_extract(t, r"(?s)^<!(?:[> \-\[]|[^> \-\[]+)?[\x00-\x20]*+([^>]*)>$", 1)
     alone = F.array(F.when((bare == "") & (t != "<!>"), ">").otherwise(bare))
     doctype = t.rlike(r"^(?i:<!doctype)")
@@ -230,35 +298,19 @@ def _width(array: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(array)))).cast("int")
 
 
-def _bind(value: str, name: str, body: str) -> str:
-    """``body`` with ``value`` evaluated once: a lambda's variable is, while a column may be put in wherever it is used."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
-def _before(array: str, merge: str, zero: str) -> str:
-    """For each element of an array what all elements before it come to, by ``merge`` of a and x.
-
-    Blocks are merged first, then the blocks before each block, then each element's own block up to it.
-    """
-    fold = f"aggregate({{0}}, {{1}}, (a, x) -> {merge})"
-    each = fold.format("slice(block, 1, j)", "element_at(pre, k + 1)")
-    body = f"flatten(transform(blocks, (block, k) -> transform(block, (y, j) -> {each})))"
-    body = _bind(f"transform(sums, (y, b) -> {fold.format('slice(sums, 1, b)', zero)})", "pre", body)
-    body = _bind(f"transform(blocks, block -> {fold.format('block', zero)})", "sums", body)
-    body = _bind("transform(sequence(0, cast((size(v) - 1) div w as int)), b -> slice(v, b * w + 1, w))", "blocks", body)
-    return _bind(array, "v", _bind("cast(ceil(sqrt(size(v))) as int)", "w", body))
-
-
 def _folded(df: DataFrame, content: str, keep: list[str] | None) -> tuple[DataFrame, list[str]]:
     keep = [c for c in df.columns if c != content] if keep is None else keep
     found = df.select(*[F.col(f"`{c}`") for c in keep], token_array(content).alias("__all"))
 
-    def entry(x: Column, i: Column) -> Column:
-        closing = x.startswith("</")
-        kind = F.when(closing, "c").when(self_closing(x), "s").otherwise("o")
-        return F.struct(kind.alias("k"), F.when(closing, closing_name(x)).otherwise(tag_name(x)).alias("n"), i.cast("bigint").alias("i"), (closing | _is_open(x)).alias("tag"))
+    def entry(x: Column, closed: Column) -> Column:
+        closing = x["t"].startswith("</")
+        kind = F.when(closing, "c").when(closed, "s").otherwise("o")
+        return F.struct(kind.alias("k"), F.when(closing, closing_name(x["t"])).otherwise(tag_name(x["t"])).alias("n"), x["i"].alias("i"))
 
-    tags = F.filter(F.transform("__all", entry), lambda x: x["tag"])
+    placed = F.transform("__all", lambda x, i: F.struct(x.alias("t"), i.cast("bigint").alias("i")))
+    found = found.withColumn("__tags", F.filter(placed, lambda x: x["t"].startswith("</") | _is_open(x["t"])))
+    closed = F.expr(f"transform(transform(__tags, tok -> tok.t), tok -> {self_closing('tok')})")
+    tags = F.zip_with("__tags", closed, entry)
     folded = found.select(*[F.col(f"`{c}`") for c in keep], tags.alias("t")).where("size(t) > 0")
     return folded.withColumn("__w", _width(F.col("t"))).withColumn("__folded", F.expr(_FOLD)), keep
 

@@ -31,7 +31,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages, dealt evenly where one small file would be one task."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
-    return pages.repartition(spark.sparkContext.defaultParallelism) if pages.rdd.getNumPartitions() == 1 else pages
+    return pages.repartition(spark.sparkContext.defaultParallelism) if len(pages.inputFiles()) == 1 else pages
 
 
 # ---- the SQL side: tokens of well-formed-enough pages

@@ -43,7 +43,9 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tagloom-")
         spark.sparkContext.setCheckpointDir(found)
-    return f"{found}/tagloom-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())  # a path without a scheme is of the default file system
+    return f"{path.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()}/tagloom-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame) -> DataFrame:
