@@ -2,7 +2,7 @@
 
 ``spark.read.format("markup").option("path", folder).load()`` reads every file below a folder, each as a document. As a
 stream, files that appear are read once each, in whatever order of names; the offset has the names of all files read, so it
-grows with them. Files are read on the executors, small ones several to a task, in pieces and as Arrow batches. Paths with a
+grows with them: where files come without end, ``stream_documents`` has Spark keep the log. Files are read on the executors, small ones several to a task, in pieces and as Arrow batches. Paths with a
 scheme are opened by Arrow's file systems; ``binary_documents`` uses Spark's.
 """
 
@@ -34,6 +34,18 @@ def binary_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.selectExpr("path", "content")
 
 
+def stream_documents(spark: SparkSession, path: str, max_files: int = 1000, max_age: str = "7d") -> DataFrame:
+    """``path, content`` of files as they appear below ``path``, each once, ``max_files`` a batch at most.
+
+    Admission is Spark's: the checkpoint's log of files, which it compacts, so an offset is a number however many files
+    there were. The driver remembers files for ``max_age`` behind the newest one; what appears with an older time is
+    passed over. Events of such a stream come by ``operators.events`` like those of any other.
+    """
+    kinds = "path string, modificationTime timestamp, length bigint, content binary"
+    options = {"recursiveFileLookup": "true", "maxFilesPerTrigger": str(max_files), "maxFileAge": max_age}
+    return spark.readStream.format("binaryFile").options(**options).schema(kinds).load(path).select("path", "content")
+
+
 def _system(path: str) -> tuple[fs.FileSystem | None, str]:
     """Arrow's file system for a path with a scheme; none for a path of this machine."""
     if path.startswith("file:"):
@@ -210,4 +222,4 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(MarkupSource)
 
 
-__all__ = ["MarkupSource", "binary_documents", "kinds_in", "read_files", "register"]
+__all__ = ["MarkupSource", "binary_documents", "kinds_in", "read_files", "register", "stream_documents"]

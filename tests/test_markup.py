@@ -1,5 +1,6 @@
 """Events in Spark: relations, the Catalyst-only path against the lexer, sources, SQL and streams."""
 
+import datetime
 import json
 import os
 import random
@@ -174,21 +175,73 @@ def test_numbers_in_bytes(spark):
     assert (row.a, int(row.c), tuple(row.p), int(row.m), row.s) == (7, 2**40 + 5, (2**40 + 5, 3), 2**64 - 1, "né")
 
 
-def test_sinks(spark, docs, tmp_path):
-    seen = []
-    sinks.push(events.markup_events(docs.where("doc_id < 3"), keep=["doc_id"]), lambda kind, event: seen.append((kind, event["doc_id"])), order=["doc_id"])
-    assert [k for k, _ in seen] == [m for c in CASES[:3] for _, m, _ in Lexer().parse(c)]
+def _journal(folder):
+    """An opener whose handlers write a file for each batch and partition, and skip those that are there."""
+
+    class Handler:
+        def __init__(self, path):
+            self.path, self.seen = path, []
+
+        def __call__(self, kind, row):
+            self.seen.append([row["doc_id"] if "doc_id" in row else row["path"], row["seq"], kind])
+
+        def close(self):
+            with open(self.path, "w") as f:
+                json.dump(self.seen, f)
+
+    def opener(batch, partition):
+        path = f"{folder}/{batch}-{partition}.json"
+        return None if os.path.exists(path) else Handler(path)
+
+    return opener
+
+
+def test_push_handles_documents_whole_and_in_order(spark, docs, tmp_path):
+    folder = tmp_path / "handled"
+    folder.mkdir()
+    rows = events.markup_events(docs, keep=["doc_id"])
+    for _ in range(2):  # the second time all is there already
+        sinks.push(rows, _journal(str(folder)), ["doc_id"])
+    parts = [json.loads(p.read_text()) for p in folder.iterdir()]
+    assert len(parts) > 1
+    found = {}
+    for part in parts:
+        assert part == sorted(part)
+        for doc, seq, kind in part:
+            found.setdefault(doc, []).append((seq, kind))
+        assert not any(doc in {d for d, _, _ in other} for other in parts if other is not part for doc, _, _ in part)
+    assert found == {i: [(n, m) for n, m, _ in Lexer().parse(c)] for i, c in enumerate(CASES) if Lexer().parse(c)}
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.xml").write_text(ONE)
-    markup.register(spark)
-    stream = spark.readStream.format("markup").option("path", str(tmp_path / "in")).load()
-    got = []
-    q = sinks.push_stream(stream, lambda kind, event: got.append(kind), str(tmp_path / "c"), order=["path"])
+    (tmp_path / "streamed").mkdir()
+    stream = events.markup_events(markup.stream_documents(spark, str(tmp_path / "in")), keep=["path"])
+    q = sinks.push_stream(stream, _journal(str(tmp_path / "streamed")), str(tmp_path / "c"), ["path"])
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    assert got == [m for _, m, _ in Lexer().parse(ONE)]
+    got = [x for p in (tmp_path / "streamed").iterdir() for x in json.loads(p.read_text())]
+    assert [m for _, _, m in got] == [m for _, m, _ in Lexer().parse(ONE)]
+
+
+def test_streams_of_many_files_have_offsets_of_one_size(spark, tmp_path):
+    folder, wrote = tmp_path / "in", 0
+    folder.mkdir()
+
+    def run():
+        stream = events.markup_events(markup.stream_documents(spark, str(folder), max_files=400), keep=["path"], events="OpenTag", entities=[])
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(300)
+
+    for more in (700, 500):  # the second run begins anew from the checkpoint
+        for k in range(wrote, wrote + more):
+            (folder / f"{k * 7919 % 10_000:05}.xml").write_text(f"<fen no='{k}'/>")
+        wrote += more
+        run()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.count() == found.select("path").distinct().count() == wrote
+    sizes = {p.stat().st_size for p in (tmp_path / "c" / "offsets").iterdir() if not p.name.startswith(".")}
+    assert len(sizes) >= 1 and max(sizes) - min(sizes) < 64
 
 
 def test_table_function(spark, docs):
@@ -356,7 +409,7 @@ class _Handle:
 
 class _Clock:
     def __init__(self, now):
-        self.getCurrentProcessingTimeInMs = lambda: now
+        self.getCurrentProcessingTimeInMs = self.getCurrentWatermarkInMs = lambda: now
 
 
 def test_late_copies_of_chunks_and_idle_documents():
@@ -377,3 +430,45 @@ def test_late_copies_of_chunks_and_idle_documents():
     assert [len(f) for f in p.handleExpiredTimer((7,), _Clock(600), None)] == [0] and not handle.values
     assert feed(700, (0, raw[:9], False)) == [2] or handle.values  # after its time it is a new document
     assert handle.timers[-1] == 1200
+
+
+def test_state_goes_when_the_watermark_has_passed(spark, tmp_path):
+    """Finished documents and such as wait for a lost chunk: no state is left, and late copies give nothing."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = lambda minute: datetime.datetime(2024, 5, 1, 0, minute)
+    batches = [
+        [(1, 0, b"<fen>", False, at(0)), (1, 1, b"</fen>", True, at(1)), (2, 0, b"<moor>", False, at(1)), (2, 2, b"</moor>", True, at(2))],  # of 2 a chunk is lost
+        [(3, 0, b"<tarn/>", True, at(40))],
+        [(4, 0, b"<bog/>", True, at(41))],
+        [(1, 0, b"<fen>", False, at(0)), (2, 1, b"late", False, at(1)), (5, 0, b"<lea/>", True, at(59))],
+        [(6, 0, b"<lea/>", True, at(59))],
+    ]
+    schema = "doc_id bigint, seq bigint, chunk binary, is_last boolean, ts timestamp"
+    progress = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = chunks.chunked_events(stream, payload="flat", event_time="ts", delay="10 minutes", idle_ms=60_000)
+        q = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(300)
+        progress.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted((r.doc_id, r.seq, r.event_type) for r in spark.read.parquet(str(tmp_path / "out")).where("event_type in ('OpenTag', 'CloseTag')").collect())
+    assert [(d, k) for d, _, k in got] == [(1, "OpenTag"), (1, "CloseTag"), (2, "OpenTag"), *[(d, k) for d in (3, 4, 5, 6) for k in ("OpenTag", "CloseTag")]]
+    assert progress[-1] <= 2 * progress[0], progress  # that of 5 and 6 at most
+
+
+def test_late_chunks_in_their_own_time():
+    import pandas as pd
+
+    def rows(*numbered):
+        return iter([pd.DataFrame([(n, c, last, pd.Timestamp(t, unit="ms")) for n, c, last, t in numbered], columns=["seq", "chunk", "is_last", "ts"])])
+
+    handle = _Handle()
+    p = chunks.ChunkProcessor(1023, "doc_id", 500, "flat", False, "ts")
+    p.init(handle)
+    feed = lambda mark, *numbered: [len(f) for f in p.handleInputRows((7,), rows(*numbered), _Clock(mark))]
+    assert feed(0, (1, b"</a>", True, 2000)) == [0] and handle.timers == [2500]
+    assert feed(100, (0, b"<a>", False, 1000)) == [3] and handle.timers == [2500]  # an earlier chunk shortens nothing
+    assert feed(2000, (0, b"<a>", False, 1500)) == [0] and feed(2100, (0, b"<a>", False, 3000)) == [0] and handle.timers == [3500]
+    assert [len(f) for f in p.handleExpiredTimer((7,), _Clock(3600), None)] == [0] and not handle.values
+    assert feed(3600, (0, b"<a>", False, 3500)) == [0] and not handle.values
