@@ -47,16 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
     is missing too; on a cluster that is an error, as its machines share no temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="tagloom-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    if not found and held.isDefined():
+        found = held.get()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="tagloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    # a path without a scheme is of the default file system, which need not be the machine's: workers are told which
+    return path.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
 
 
 def own_dir(spark: SparkSession) -> str:

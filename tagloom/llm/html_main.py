@@ -70,6 +70,7 @@ class Element:
     aside: int  # 1 beside the content, 2 a header, which an article may have for its own heading, 3 a weak hint, 0 neither
     main: int  # 3 article, 2 main or article body, 1 a class that says content, 0 none
     link: bool
+    named: bool = False  # beside the content by nothing but the words of a class or an id, and these not of others' texts
 
 
 @dataclass(slots=True)
@@ -85,8 +86,9 @@ class Item:
     close: int = -1  # of an opening tag: where its element ends
 
 
-def _describe(name: str, attrs: str) -> tuple[str, int, int]:
-    """Label for paths, whether it is beside the content, and how much it says that it holds the content."""
+def _describe(name: str, attrs: str) -> tuple[str, int, int, bool]:
+    """Label for paths, whether it is beside the content, how much it says that it holds the content, and ``Element.named``."""
+    by_name = False
     label, aside, main = name, int(name in NOT_CONTENT) or 2 * (name == "header"), 3 if name == "article" else 2 if name == "main" else 0
     if attrs:
         named = []
@@ -110,7 +112,8 @@ def _describe(name: str, attrs: str) -> tuple[str, int, int]:
         if named and aside != 1 and name not in ("html", "body") and name not in HEADINGS:
             found = [_hint(value, main) for value in named]
             aside = 1 if 1 in found else 2 if aside or 2 in found else max(found)
-    return label, aside, main
+            by_name = aside == 1 and not any({w.lower() for w in _WORD.findall(v)} & OTHERS_WORDS for v in named)
+    return label, aside, main, by_name
 
 
 def _hint(value: str, main: int) -> int:
@@ -181,9 +184,9 @@ def tokenize(page: str) -> list[Item]:
                 if own in CLOSES_P:
                     break
         attrs = m[3] if m[2] else m[6]
-        label, aside, main = _describe(name, attrs)
+        label, aside, main, named = _describe(name, attrs)
         up = stack[-1][0]
-        e = Element(name, xxhash.xxh64_intdigest(label, up.path), aside, main, up.link or name == "a")
+        e = Element(name, xxhash.xxh64_intdigest(label, up.path), aside, main, up.link or name == "a", named)
         out.append(Item("o", e.path & _MASK, name, element=e, depth=len(stack)))
         if name in VOID or (attrs and attrs.endswith("/") and name not in BLOCKS and name not in RAW):
             out[-1].close = len(out)
@@ -196,6 +199,7 @@ def tokenize(page: str) -> list[Item]:
     text(end)
     shut(1)
     free_forms(out)
+    free_parts(out)
     return out
 
 
@@ -339,6 +343,24 @@ def free_forms(items: list[Item]) -> None:
                 x.element.aside = 0
 
 
+def free_parts(items: list[Item]) -> None:
+    """Inside an article or main element, what holds its first heading or most of its text is no aside, whatever its class is called."""
+    sums: list[int] = []
+    upto = -1
+    for at, x in enumerate(items):
+        if x.kind != "o" or at < upto or x.element.main < 2 or x.element.aside == 1:
+            continue
+        upto = x.close
+        parts = [k for k in range(at + 1, x.close) if items[k].kind == "o" and items[k].element.named]
+        if not parts:
+            continue
+        sums = sums or list(accumulate((len(y.text.strip()) if y.kind == "t" else 0 for y in items), initial=0))
+        heading = next((k for k in range(at + 1, x.close) if items[k].kind == "o" and items[k].name == "h1"), -1)
+        for k in parts:
+            if k < heading < items[k].close or sums[max(items[k].close, k)] - sums[k] > HOLDS * (sums[x.close] - sums[at]):
+                items[k].element.aside = 0
+
+
 def page_kind(items: list[Item]) -> int:
     """What a page is among its host's: the path of the element that says most that it is the content, or of the body."""
     rank, kind = 0, ROOT
@@ -452,6 +474,7 @@ def _choose(items: list[Item], fixed: set[int], own: set[int]) -> list[tuple[int
             if x.kind == "o" and x.element.main == rank and at >= upto and at not in beside and x.element.aside in (0, WEAK) and x.close > at + 1:
                 spans.append((at + 1, x.close))
                 upto = x.close
+        spans = _headed(items, spans) if rank == 3 else spans
         framed = [s for s in spans if s[0] - 1 in fixed]
         if framed and len(framed) < len(spans):  # tags of the template itself outrank those that only this page has, unless one holds more
             most = sum(map(length, framed))
@@ -466,6 +489,22 @@ def _choose(items: list[Item], fixed: set[int], own: set[int]) -> list[tuple[int
     return chosen
 
 
+def _headed(items: list[Item], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Articles without those of another element that has none with a heading, where another's have: readers' texts beside the article."""
+    homes: dict[int, list[tuple[int, int]]] = {}
+    open_at: list[int] = []
+    starts = {a - 1: (a, z) for a, z in spans}
+    for at, x in enumerate(items):
+        while open_at and items[open_at[-1]].close <= at:
+            open_at.pop()
+        if at in starts:
+            homes.setdefault(open_at[-1] if open_at else -1, []).append(starts[at])
+        if x.kind == "o" and x.close > at:
+            open_at.append(at)
+    headed = [own for own in homes.values() if any(items[k].kind == "o" and items[k].name == "h1" for a, z in own for k in range(a, z))]
+    return sorted(s for own in headed for s in own) if headed else spans
+
+
 def _beside(items: list[Item]) -> set[int]:
     """Opening tags inside elements beside the content; a form around a whole page doesn't make it so."""
     out: set[int] = set()

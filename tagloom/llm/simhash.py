@@ -22,6 +22,7 @@ BLOCK = 2048  # fingerprints of a key that one group holds; larger keys are cut
 SHINGLES_AT_ONCE = 1 << 15
 BYTES_AT_ONCE = 1 << 17  # whose words are at hand at once
 BROADCAST_KEYS = 20_000
+NODES_A_TASK = 10_000  # fingerprints of which one task makes keys
 _gap = re.compile(rb"[ \t-\r]")
 
 
@@ -165,6 +166,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Dat
     """
     if distance > DISTANCE:
         raise ValueError("the chains' budgets hold for up to 3 bits")
+    # a node becomes 35 rows or so, so a small table of nodes is dealt to as many tasks as its keys need
+    nodes = nodes.repartition(-(-nodes.count() // NODES_A_TASK) or 1, "fp")
     hot = settle(_hot_keys(nodes, block))
     few = hot.count() <= BROADCAST_KEYS
     keyed = _ring_keys(nodes).join(F.broadcast(hot) if few else hot, "key", "left")

@@ -248,3 +248,30 @@ LONG = " ".join(f"long story {k}" for k in range(40))
 )
 def test_a_small_article_displaces_no_larger_element(body, want):
     assert main_text(WRAP.format(body)) == want
+
+
+BODY = "<p>First paragraph of the story, long enough to say something.</p><p>Second paragraph of it.</p>"
+TOLD = "First paragraph of the story, long enough to say something. Second paragraph of it."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<article><h1>Head</h1><div class='widget text-block'>{BODY}</div></article>", f"Head {TOLD}"),
+        (f"<article><div class='banner-title'><h1>Head</h1></div>{BODY}</article>", f"Head {TOLD}"),
+        (f"<article><h1>Head</h1>{BODY}</article><div class='user-feedback'><article><p>I agree.</p></article><article><p>So do I, and at length.</p></article></div>", f"Head {TOLD}"),
+        # parts of one element stay, headed or not; comments inside an article go, however long
+        (f"<main><article><h1>Head</h1><p>One.</p></article><article>{BODY}</article></main>", f"Head One. {TOLD}"),
+        (f"<article><h1>Head</h1>{BODY}<div class='comments'>{BODY * 5}</div></article>", f"Head {TOLD}"),
+        (f"<article><h1>Head</h1>{BODY}<div class='sidebar'><p>See also.</p></div></article>", f"Head {TOLD}"),
+        (f"<div class='a'><article>{BODY}</article></div><div class='b'><article><p>Third.</p></article></div>", f"{TOLD} Third."),
+    ],
+)
+def test_parts_of_articles_and_articles_beside(page, want):
+    assert main_text(f"<html><body>{page}</body></html>") == want
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(1, "http://h.example/1", f"<article>{BODY}</article>", "x", 2, 3), (2, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, template int, kind int")
+    assert sorted(map(tuple, html_main.extract_main_text(df).collect())) == [(1, "http://h.example/1", TOLD, len(TOLD)), (2, None, "", 0)]

@@ -137,7 +137,9 @@ def test_the_rest_stands_without_this_subpackage(tmp_path):
     shutil.copytree(os.path.join(root, "tagloom"), tmp_path / "tagloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     shutil.copytree(os.path.join(root, "tests"), tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    env = {**os.environ, "PYTHONPATH": ""}
+    # what the caller put on the path stays, but for this repository
+    kept = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and os.path.realpath(p) != os.path.realpath(root)]
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join(kept)}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
     some = ["tests/test_lexer.py", "tests/test_markup.py::test_the_tagged_union", "tests/test_queries.py::test_entry", "tests/test_queries.py::test_query_equals_its_sql"]
     subprocess.run([sys.executable, "-m", "pytest", "-x", "-q", "-p", "no:cacheprovider", *some], cwd=tmp_path, env=env, check=True)
