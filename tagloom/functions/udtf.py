@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
-from ..operators.events import event_columns
+from ..operators.events import ENTITIES, event_columns
 from ..operators.lexer import Attr, Lexer, ProcInst, Tag, TextNode
 from ..schema import EventType, event_fields, mask_of
 
@@ -45,12 +45,15 @@ def payload_fields(payload: str) -> list[T.StructField]:
     return event_fields() if payload == "full" else [T.StructField(name, kind) for name, _, kind in FLAT_FIELDS]
 
 
-def payload_columns(found: list, payload: str) -> list[pa.Array]:
-    """The same columns for lexed events, as Arrow arrays."""
-    if payload == "full":
-        return event_columns(found)
+def payload_columns(found: list, payload: str, columns: list[str] | None = None) -> dict[str, pa.Array]:
+    """The same columns for lexed events, as Arrow arrays: those that are asked for, if it is said."""
+    names = [f.name for f in payload_fields(payload) if columns is None or f.name in columns]
+    if payload == "full" or not set(names) - {"seq", "event_type", "event_mask"}:
+        entities = tuple(e for e in ENTITIES if e in names)
+        built = dict(zip(["seq", "event_type", "event_mask", *entities], event_columns(found, entities)))
+        return {c: built[c] for c in names}
     rows = list(zip(*[flat_row(*e) for e in found])) or [()] * len(FLAT_FIELDS)
-    return [pa.array(list(c), kind) for c, (_, kind, _) in zip(rows, FLAT_FIELDS)]
+    return {name: pa.array(list(c), kind) for c, (name, kind, _) in zip(rows, FLAT_FIELDS) if name in names}
 
 
 def entity_row(seq: int, mask: int, e: object) -> tuple:

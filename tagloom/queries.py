@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import render, scalars, writer
 from .functions.udtf import register as register_udtf
-from .operators import blocks, events, structure
+from .operators import blocks, events, slices, structure
 from .plans import native
 from .schema import AttributeType, EventType
 
@@ -280,18 +280,17 @@ def lossless_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slices_of_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of an entity is found again by its byte offsets."""
     pages = _pages(spark, sf_dir)
-    cut = render.slice_bytes(F.col("html"), F.col("byte_start"), F.col("byte_end"))
-    found = [kind(pages, "html", ["page_id", "html"]).select("page_id", cut.alias("slice")) for kind in (events.doctypes, events.comments)]
-    return found[0].unionByName(found[1])
+    spans = [kind(pages, "html").select("page_id", "byte_start", "byte_end") for kind in (events.doctypes, events.comments)]
+    return slices.slices(pages, spans[0].unionByName(spans[1]), ["page_id"], "html", ("byte_start", "byte_end")).select("page_id", "slice")
 
 
 @query(f"with {_PLACES}, {_ATTRIBUTE_PLACES.lstrip()} select page_id, name, value, '\"' || value || '\"' as quoted from attribute_places")
 def slices_of_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of an attribute's value is found again by its line and columns, with the quotes around it one column further."""
-    found = events.attributes(_pages(spark, sf_dir), "html", ["page_id", "html"])
-    at = [F.col(f"value_{x}") for x in ("start_line", "start_char", "end_char")]
-    value = render.slice_position(F.col("html"), *at)
-    return found.select("page_id", "name", value.alias("value"), render.slice_position(F.col("html"), at[0], at[1] - 1, at[2] + 1).alias("quoted"))
+    pages = _pages(spark, sf_dir)
+    spans = events.attributes(pages, "html").select("page_id", "name", F.col("value_start_line").alias("line"), (F.col("value_start_char") - 1).alias("a"), (F.col("value_end_char") + 1).alias("z"))
+    found = slices.slices(pages, spans, ["page_id"], "html", ("line", "a", "z"), "quoted")
+    return found.select("page_id", "name", F.expr("substring(quoted, 2, char_length(quoted) - 2)").alias("value"), "quoted")
 
 
 @query(

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 from ..functions.udtf import payload_columns, payload_fields
-from ..operators.lexer import Lexer
+from ..operators.lexer import BARE, FLAT, FULL, Lexer
 from ..schema import EventType, kinds_in, mask_of
 
 CHUNK = 1 << 16
@@ -80,16 +80,27 @@ def open_input(path: str):  # noqa: ANN201 - a binary file, of Python or of Arro
     return open(at, "rb") if system is None else system.open_input_file(at)
 
 
-def read_files(paths: list[str], mask: int, chunk: int = CHUNK, payload: str = "full", compat: bool = False) -> Iterator[pa.RecordBatch]:
-    """Batches of the files' events, ``path`` first; memory holds a batch, a piece and what it leaves open."""
-    names = ["path", *[f.name for f in payload_fields(payload)]]
-    lexer = Lexer(mask, compat)
+def detail_of(columns: list[str], payload: str) -> str:
+    """What a lexer has to build for these columns: nothing, nodes without their lists, or whole entities."""
+    if set(columns) <= {"path", "seq", "event_type", "event_mask"}:
+        return BARE
+    return FULL if payload == "full" and "tag" in columns else FLAT
+
+
+def read_files(paths: list[str], mask: int, chunk: int = CHUNK, payload: str = "full", compat: bool = False, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of the files' events, ``path`` first or the ``columns`` that are asked for; what isn't, isn't built.
+
+    Memory holds a batch, a piece and what it leaves open.
+    """
+    names = columns or ["path", *[f.name for f in payload_fields(payload)]]
+    lexer = Lexer(mask, compat, detail_of(names, payload))
     found: list = []
     owners: list[tuple[str, int]] = []
 
     def flush() -> pa.RecordBatch:
         of = np.repeat(np.array([p for p, _ in owners], object), [n for _, n in owners])
-        return pa.RecordBatch.from_arrays([pa.array(of, pa.string()), *payload_columns(found, payload)], names)
+        built = {"path": pa.array(of, pa.string()), **payload_columns(found, payload, names)}
+        return pa.RecordBatch.from_arrays([built[c] for c in names], names)
 
     for path in paths:
         lexer.reset()
@@ -130,8 +141,8 @@ def _grouped(files: dict[str, int], task_bytes: int) -> list[InputPartition]:
 
 
 class MarkupReader(DataSourceReader):
-    def __init__(self, path: str, mask: int, chunk: int, payload: str = "full", task_bytes: int = TASK_BYTES, compat: bool = False):
-        self.path, self.mask, self.chunk, self.payload, self.task_bytes, self.compat = path, mask, chunk, payload, task_bytes, compat
+    def __init__(self, path: str, mask: int, chunk: int, payload: str = "full", task_bytes: int = TASK_BYTES, compat: bool = False, columns: list[str] | None = None):
+        self.path, self.mask, self.chunk, self.payload, self.task_bytes, self.compat, self.columns = path, mask, chunk, payload, task_bytes, compat, columns
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Takes conditions on ``event_type`` and ``event_mask``; Spark evaluates the others."""
@@ -150,7 +161,7 @@ class MarkupReader(DataSourceReader):
 
     def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
         if isinstance(partition, _Group):
-            yield from read_files(partition.paths, self.mask, self.chunk, self.payload, self.compat)
+            yield from read_files(partition.paths, self.mask, self.chunk, self.payload, self.compat, self.columns)
 
 
 class MarkupStreamReader(DataSourceStreamReader):
@@ -160,8 +171,8 @@ class MarkupStreamReader(DataSourceStreamReader):
     to it counts as read.
     """
 
-    def __init__(self, path: str, mask: int, chunk: int, payload: str = "full", task_bytes: int = TASK_BYTES, compat: bool = False):
-        self.path, self.mask, self.chunk, self.payload, self.task_bytes, self.compat = path, mask, chunk, payload, task_bytes, compat
+    def __init__(self, path: str, mask: int, chunk: int, payload: str = "full", task_bytes: int = TASK_BYTES, compat: bool = False, columns: list[str] | None = None):
+        self.path, self.mask, self.chunk, self.payload, self.task_bytes, self.compat, self.columns = path, mask, chunk, payload, task_bytes, compat, columns
         self.seen: set[str] = set()
 
     def initialOffset(self) -> dict:
@@ -184,7 +195,7 @@ class MarkupStreamReader(DataSourceStreamReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         assert isinstance(partition, _Group)
-        yield from read_files(partition.paths, self.mask, self.chunk, self.payload, self.compat)
+        yield from read_files(partition.paths, self.mask, self.chunk, self.payload, self.compat, self.columns)
 
     def commit(self, end: dict) -> None:
         pass
@@ -192,7 +203,9 @@ class MarkupStreamReader(DataSourceStreamReader):
 
 class MarkupSource(DataSource):
     """Options: ``path``, ``events`` (a mask, or kinds' names with commas), ``payload`` (``full``: whole entities, or ``flat``),
-    ``chunk`` (bytes of a piece), ``taskBytes`` (of small files that a task reads), ``compat`` (``true``: see ``Lexer``)."""
+    ``chunk`` (bytes of a piece), ``taskBytes`` (of small files that a task reads), ``compat`` (``true``: see ``Lexer``).
+
+    A read with a ``schema`` of some of the columns has these alone, and only what they need is built."""
 
     @classmethod
     def name(cls) -> str:
@@ -209,11 +222,18 @@ class MarkupSource(DataSource):
         o = self.options
         return o["path"], mask, int(o.get("chunk", CHUNK)), o.get("payload", "full"), int(o.get("taskBytes", TASK_BYTES)), o.get("compat", "false").lower() == "true"
 
-    def reader(self, schema) -> DataSourceReader:
-        return MarkupReader(*self._arguments())
+    def _columns(self, schema: T.StructType) -> list[str]:
+        whole = {f.name: f.dataType for f in self.schema()}
+        wrong = [f.name for f in schema if whole.get(f.name) != f.dataType]
+        if wrong:
+            raise ValueError(f"the markup source has no such columns: {', '.join(wrong)}")
+        return schema.fieldNames()
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return MarkupReader(*self._arguments(), self._columns(schema))
 
-    def streamReader(self, schema) -> DataSourceStreamReader:
-        return MarkupStreamReader(*self._arguments())
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+        return MarkupStreamReader(*self._arguments(), self._columns(schema))
 
 
 def register(spark: SparkSession) -> None:

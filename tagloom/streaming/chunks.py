@@ -94,8 +94,7 @@ class ChunkProcessor(StatefulProcessor):
         yield self._frame(key, [])
 
     def _frame(self, key, events: list) -> pd.DataFrame:
-        names = [f.name for f in payload_fields(self.payload)]
-        frame = pa.Table.from_arrays(payload_columns(events, self.payload), names).to_pandas(integer_object_nulls=True)
+        frame = pa.Table.from_pydict(payload_columns(events, self.payload)).to_pandas(integer_object_nulls=True)
         frame.insert(0, self.key, [key[0]] * len(events))
         return frame
 

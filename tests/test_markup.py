@@ -7,10 +7,12 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.functions import render, scalars, udtf
-from tagloom.operators import events
-from tagloom.operators.lexer import Lexer
+from tagloom.operators import events, slices
+from tagloom.operators import lexer as lexer_module
+from tagloom.operators.lexer import Attr, Lexer
 from tagloom.plans import native
 from tagloom.schema import event_fields
 from tagloom.sources import markup
@@ -152,6 +154,23 @@ def test_slices(spark):
     assert (row.a, row.b) == ("é/🦆", "to='é/🦆'")
 
 
+def test_slices_meet_their_document_once(spark):
+    texts = [(k, s.text) for k, s in enumerate(SHEETS)]
+    docs = spark.createDataFrame([*texts, (900, None), (None, "x")], "doc_id bigint, content string")
+    at = events.attributes(docs).selectExpr("doc_id", "name", "value", "value_start_line as line", "value_start_char as a", "value_end_char as z", "byte_start", "byte_end", "attr_type")
+    found = slices.slices(docs, at, ["doc_id"], "content", ("line", "a", "z"))
+    rows = found.where("attr_type <> 0 and not contains(value, '\n')").collect()
+    assert len(rows) > 50 and all(r.slice == r.value for r in rows)
+    rows = slices.slices(docs, at, ["doc_id"], "content", ("byte_start", "byte_end"), "whole").collect()
+    by_id = dict(texts)
+    assert found.columns == [*at.columns, "slice"] and all(r.whole == by_id[r.doc_id].encode()[r.byte_start : r.byte_end].decode() and r.whole.startswith(r.name) for r in rows)
+    odd = spark.createDataFrame([(0, None, 2), (900, 0, 1), (None, 0, 1), (901, 0, 1), (0, 0, 0), (0, 10**9, 10**9 + 1)], "doc_id bigint, a bigint, z bigint")
+    got = slices.slices(docs, odd, ["doc_id"], "content", ("a", "z")).collect()
+    assert sorted([(r.doc_id, r.a, r.slice) for r in got], key=str) == sorted([(0, None, None), (900, 0, None), (None, 0, None), (901, 0, None), (0, 0, ""), (0, 10**9, "")], key=str)
+    plan = slices.slices(docs, at, ["doc_id"], "content", ("line", "a", "z"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_scanner_functions(spark):
     s = F.col("s")
     df = spark.createDataFrame([("🦆waters of the low fen🦆",)], "s string")
@@ -272,6 +291,32 @@ def test_markup_source_pushes_kinds_into_the_scan(spark, tmp_path):
     assert markup.binary_documents(spark, str(tmp_path)).count() == sum(map(bool, CASES))  # empty files have no row
 
 
+def test_the_read_schema_decides_what_is_built(spark, tmp_path, monkeypatch):
+    for k, c in enumerate(CASES):
+        (tmp_path / f"d{k:03}.xml").write_bytes(c.encode())
+    markup.register(spark)
+    for payload, parts in (("full", ["tag", "text, event_type", "seq, event_mask, path", "attribute, proc_inst"]), ("flat", ["name", "value, byte_end, path", "event_type"])):
+        source = spark.read.format("markup").option("path", str(tmp_path)).option("payload", payload)
+        whole = source.load()
+        for part in parts:
+            fields = [whole.schema[c] for c in part.split(", ")]
+            some = source.schema(T.StructType(fields)).load()
+            assert some.columns == part.split(", ") and some.exceptAll(whole.select(*some.columns)).count() == 0 and some.count() == whole.count()
+    with pytest.raises(Exception, match="no such columns"):
+        source.schema("title string").load().collect()
+    built = []
+    monkeypatch.setattr(lexer_module, "Attr", lambda *a: built.append(a) or Attr(*a))
+    paths = [str(p) for p in tmp_path.iterdir()]
+
+    def count(*columns):
+        built.clear()
+        for _ in markup.read_files(paths, 128, payload="flat" if columns == ("name",) else "full", columns=list(columns)):
+            pass
+        return len(built)
+
+    assert count("name") == count("text", "seq") == count("event_type") == 0 < count("tag")
+
+
 def test_markup_source_as_a_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
