@@ -20,6 +20,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
 SAMPLE = 400  # labelled documents of a language that are fitted on, at most, whole
+SAMPLE_BYTES = 8 << 20  # of windows of a language that the network is fitted on, at most
+MOST_LANGUAGES = 1000
 EPOCHS = 6
 FOLDS = 5
 SEED = 10
@@ -155,7 +157,10 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
 
 
 def labelled_windows(df: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", size: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """All windows of at most ``size`` documents of each language, never of held-out ones.
+    """The windows of at most ``size`` documents of each language, never of held-out ones, and of these ``SAMPLE_BYTES`` at most.
+
+    What goes to the driver is thus bounded for each language, however long its texts are: beyond the bound it is the windows
+    with the least hashes. More than ``MOST_LANGUAGES`` labels are an error, as each is an output of the network.
 
     Identifiers are chosen first, those with the least hashes in their language, all languages in one pass; texts come by a
     broadcast of the chosen. Of several rows with an identifier and a language the least text stands for all.
@@ -164,7 +169,9 @@ def labelled_windows(df: DataFrame, doc: str = "doc_id", text: str = "text", lan
     fit = k.isNotNull() & y.isNotNull() & (F.pmod(F.crc32(k.cast("string").cast("binary")), F.lit(FOLDS)) != 0) & (F.trim(y) != "")
     rows = settle(df.where(fit).select(k.alias("doc"), y.alias("lang")).distinct())
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    langs = sorted(r["lang"] for r in counts.collect())
+    langs = sorted(r["lang"] for r in counts.limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages are no labels that a network can learn")
     if not langs:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
     # rows far beyond a language's border stay where they are, so that no window sees many more than are chosen; counts are a
@@ -184,7 +191,13 @@ def labelled_windows(df: DataFrame, doc: str = "doc_id", text: str = "text", lan
                     cut = [w.tobytes() for w in windows(t.encode())]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(cut), pa.string()), pa.array(cut, pa.binary())], ["lang", "window"])
 
-    got = picked.mapInArrow(run, "lang string, window binary").orderBy("lang", "window").collect()
+    cut = settle(picked.mapInArrow(run, "lang string, window binary"))
+    many = cut.groupBy("lang").agg(F.count("*").alias("n"))
+    least = W.partitionBy("lang").orderBy(F.xxhash64(F.lit(SEED), "window"), "window")
+    cut = cut.join(F.broadcast(many), "lang")
+    few, more = cut.where(F.col("n") <= SAMPLE_BYTES // WINDOW), cut.where(F.col("n") > SAMPLE_BYTES // WINDOW)
+    more = more.withColumn("r", F.row_number().over(least)).where(F.col("r") <= SAMPLE_BYTES // WINDOW)
+    got = sorted(few.select("lang", "window").unionByName(more.select("lang", "window")).collect(), key=lambda r: (r.lang, bytes(r.window)))
     x = np.frombuffer(b"".join(bytes(r.window) for r in got), np.uint8).reshape(-1, WINDOW)
     return x, np.array([langs.index(r.lang) for r in got], np.int64), langs
 

@@ -233,3 +233,16 @@ def test_every_window_counts(net):
     n[-1] = len(raw) - langid.WINDOW * (len(w) - 1)
     mean = (net.probabilities(w) * n[:, None]).sum(0) / n.sum()
     assert langs[0] == net.langs[int(mean.argmax())] and abs(scores[0] - mean.max()) < 1e-6
+
+
+def test_the_sample_of_windows_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(k, f"{'abcdefgh'[k % 8]} word {k} " * 400, "xy"[k % 2]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    x, y, langs = langid.labelled_windows(df)
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 9 * langid.WINDOW)
+    few, labels, same = langid.labelled_windows(df)
+    assert langs == same == ["x", "y"] and len(x) > 100 and len(few) == 18 and sorted(labels) == [0] * 9 + [1] * 9
+    assert {bytes(w) for w in few} <= {bytes(w) for w in x}
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        langid.labelled_windows(df)

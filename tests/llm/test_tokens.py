@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tagloom.llm import packing, tokens
 
@@ -182,3 +183,32 @@ def test_odd_documents_are_packed(spark):
     for bad in (None, 0, 101):
         with pytest.raises(Exception, match="a piece has"):
             packing.best_fit(spark.createDataFrame([(bad,)], "length bigint"), capacity=100).collect()
+
+
+def test_plain_online_packing_of_the_table_closes_the_fullest(spark, sf):
+    """Arrivals one by one into so few bins that these fill up: against a plain list of open bins, last filled last."""
+    pieces = packing.token_pieces(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).cache()
+    rows = sorted(packing.best_fit(pieces, open_bins=12, window=1, group=10**9).collect(), key=lambda r: (r.sequence_id, r.offset))
+    order = F.xxhash64(F.lit(packing.SEED), *pieces.columns)
+    arrivals = [r.length for r in pieces.orderBy(order).collect()]
+    bins, made, closed = [], [], 0
+    for length in arrivals:
+        fit = [b for b in reversed(bins) if b[0] >= length]  # of equals the one that was filled last
+        if fit:
+            b = min(fit, key=lambda b: b[0])
+            bins = [x for x in bins if x is not b]
+        else:
+            if len(bins) == 12 and length < 2048:  # a full bin takes no place
+                fullest = min(reversed(bins), key=lambda b: b[0])
+                bins = [x for x in bins if x is not fullest]
+                closed += 1
+            b = [2048, []]
+            made.append(b)
+        b[0] -= length
+        b[1].append(length)
+        if b[0]:
+            bins.append(b)
+    got = defaultdict(list)
+    for r in rows:
+        got[r.sequence_id].append(r.length)
+    assert closed > 100 and sorted(map(sorted, got.values())) == sorted(sorted(b[1]) for b in made)
