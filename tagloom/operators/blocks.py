@@ -30,6 +30,7 @@ from .events import _FLAT, AT_ONCE, _longs
 from .lexer import BARE, CLOSE, FLAT, Lexer
 
 BLOCK = 1 << 20  # characters, or bytes of a file
+BLOCKS_A_TASK = 8
 
 # ---- blocks
 
@@ -71,7 +72,13 @@ def file_blocks(spark: SparkSession, path: str | list[str], size: int = BLOCK) -
                 text = raw[first:last].decode("utf-8", "replace")
                 yield pa.RecordBatch.from_arrays([pa.array([path]), _longs([no]), pa.array([text], pa.string())], ["path", "block_no", "text"])
 
-    return ranges.repartition(F.col("path"), F.col("block_no")).mapInArrow(run, "path string, block_no bigint, text string")
+    # ranges are small rows with much work: a stated number of tasks is not put together at run time
+    n = ranges.agg(F.count("*")).first()[0]
+    return ranges.repartition(_tasks(n), F.col("path"), F.col("block_no")).mapInArrow(run, "path string, block_no bigint, text string")
+
+
+def _tasks(n_blocks: int) -> int:
+    return max(1, -(-n_blocks // BLOCKS_A_TASK))
 
 
 # ---- places and states
@@ -153,6 +160,7 @@ def _segments(blocks: DataFrame, keys: list[str]) -> DataFrame:
         F.struct(F.col("block_no").alias("segment"), F.col("block_no").alias("at"), F.col("tail").alias("piece"), place.alias("place")),
     )
     found = own.select(*keys, F.explode(pieces).alias("p")).select(*keys, "p.*").where("piece is not null and segment is not null and (piece <> '' or place is not null)")
+    found = found.repartition(_tasks(read.count()), *keys, "segment")
     whole = found.groupBy(*keys, "segment").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("x"), F.max("place").alias("place"))
     return whole.select(*keys, "segment", F.concat_ws("", F.transform("x", lambda x: x["piece"])).alias("text"), "place.*")
 
