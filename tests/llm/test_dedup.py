@@ -291,3 +291,24 @@ def test_links_near_the_threshold_are_found(spark):
     print("recall of pairs", found[:1200].sum(), n[:1200].sum(), "of clusters", found[1200:2000].sum(), n[1200:2000].sum())
     assert (found <= n).all()
     assert found[:1200].sum() >= 0.9 * n[:1200].sum() and found[1200:].sum() >= 0.9 * n[1200:].sum()
+
+
+def test_links_among_vectors_of_the_table(spark, sf):
+    """The table's vectors with scaled and slightly turned copies of themselves, which the table alone has none of."""
+    rng = np.random.default_rng(9)
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    more = [(10_000 + k, 3.5 * v) for k, v in rows[:60]]
+    for k, v in rows[60:260]:
+        side = rng.normal(size=len(v))
+        side -= side @ v / (v @ v) * v
+        cos = rng.uniform(0.952, 0.99)
+        more.append((20_000 + k, cos * v / np.linalg.norm(v) + np.sqrt(1 - cos * cos) * side / np.linalg.norm(side)))
+    ids, x = zip(*(rows + more))
+    unit = np.array(x) / np.linalg.norm(x, axis=1)[:, None]
+    want = {(a, b) for a, b in zip(*np.nonzero(unit @ unit.T >= 0.95)) if a < b}
+    df = spark.createDataFrame([(int(i), [float(y) for y in v]) for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_vectors(df).collect()}
+    ends = sum(n for n, _ in got.values())
+    assert len(want) >= 260 and 0.9 * 2 * len(want) <= ends <= 2 * len(want)
+    found = sum(got[ids[a]][1] == got[ids[b]][1] for a, b in want)
+    assert found >= 0.95 * len(want)
