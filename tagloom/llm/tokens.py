@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +23,14 @@ DTYPE = "<u2"  # of ids in files: the vocabulary's are below 65,536
 SUPER = 1024  # blocks that are summed at the first level of the prefix scan
 
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-NOT_LATIN = re.compile("[^\x00-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]")
-ENDING = re.compile(r"(?<=[a-zà-öø-ÿ])([,.])(?=\s|\Z)")
+NOT_LATIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]")
 ONE_PIECE = re.compile("[a-zß-öø-ÿ]+")
 AT_ONCE = 1 << 23  # characters whose chunks are learned together
+IN_A_ROW = 1 << 14  # words that are encoded as one text
+BETWEEN = "\x1c"  # parts texts that are looked through together; none of these has it
 END = 49407  # the vocabulary's end-of-text id, which ordinary text never has
 
+_blank, _small, _stop = (np.isin(np.arange(256), list(x.encode("latin-1"))) for x in ("\t\n\v\f\r " + BETWEEN, "abcdefghijklmnopqrstuvwxyz", ",."))
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -40,17 +42,12 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 class _Known(dict):
-    """Ids by chunk in two generations: what is still asked for moves from the older one to the younger."""
+    """Ids by chunk in two generations: what is asked for again is kept anew, in the younger one."""
 
     def __init__(self, older: dict):
         super().__init__()
         self.older, self.size = older, 0
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.older[chunk]
-        self.size += ENTRY + len(chunk) + len(ids) if chunk.isascii() else _held([chunk], [ids])
-        return ids
-
     def keep(self, chunks: list[str], ids: list[bytes]) -> None:
         self.update(zip(chunks, ids))
         self.size += _held(chunks, ids)
@@ -58,7 +55,29 @@ class _Known(dict):
 
 def _held(chunks: list[str], ids: list[bytes]) -> int:
     """Bytes that chunks and their ids take at most: a character has one, or up to four beyond ASCII."""
-    return ENTRY * len(chunks) + sum(len(c) if c.isascii() else 4 * len(c) for c in chunks) + sum(map(len, ids))
+    wide = sum(map(len, filterfalse(str.isascii, chunks)))
+    return ENTRY * len(chunks) + sum(map(len, chunks)) + 3 * wide + sum(map(len, ids))
+
+
+def latin_chunks(texts: list[str]) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Chunks of texts without separators U+001C to U+001F, in lower case, and how many of them end before each text and all.
+
+    White space parts chunks, as does the beginning of a comma or full stop behind a small letter and before white space.
+    All is told from the bytes at once.
+    """
+    raw = np.frombuffer(BETWEEN.join([*texts, ""]).lower().encode(), np.uint8)
+    blank = _blank[raw]
+    stops = np.flatnonzero(_stop[raw])
+    stops = stops[blank[stops + 1]]  # a blank ends every text
+    last, lead = raw[stops - 1], raw[stops - 2]
+    small = _small[last] | (lead == 0xC3) & (last >= 0xA0) & (last <= 0xBF) & (last != 0xB7)
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    begins[stops[small]] = True
+    held = ~blank
+    starts = np.append(np.flatnonzero(begins[held]), np.count_nonzero(held)).astype(np.int64)
+    chunks = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(raw[held]))
+    return chunks, np.append(0, np.searchsorted(np.flatnonzero(begins), np.flatnonzero(raw == ord(BETWEEN))))
 
 
 class Encoder:
@@ -91,10 +110,10 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         latin, others, size = [], [], 0
         for i, text in enumerate(texts):
-            if ODD_SPACE.search(text):
+            if "<|" not in text and NOT_LATIN.search(text) is None:
+                latin.append((i, text))
+            elif ODD_SPACE.search(text):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            elif "<|" not in text and NOT_LATIN.search(text) is None:
-                latin.append((i, ENDING.sub(r" \1", text.lower())))
             else:
                 others.append((i, text.split()))
             size += len(text)
@@ -115,18 +134,17 @@ class Encoder:
         if not latin:
             return
         # each distinct chunk is looked up once; its ids are then copied to where it stands
-        lists = pc.ascii_split_whitespace(pa.array([x for _, x in latin], pa.string()))
-        chunks = lists.flatten().dictionary_encode()
-        distinct = chunks.dictionary.to_pylist()
+        chunks, bounds = latin_chunks([x for _, x in latin])
+        chunks = chunks.dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
         long = self._learn(distinct)
-        known = self.known
-        found = [long[c] if c in long else known[c] if c else b"" for c in distinct] if long else [known[c] if c else b"" for c in distinct]
+        found = [long[c] if c in long else self.known[c] for c in distinct] if long else list(map(self.known.__getitem__, distinct))
         taken = pa.array(found, pa.large_binary()).take(chunks.indices)
         _, places, flat = taken.buffers()
         if flat is None:  # no text has a chunk
             return
         ends = np.frombuffer(places, np.int64)[: len(taken) + 1]
-        cuts, flat = ends[lists.offsets.to_numpy()], memoryview(flat)
+        cuts, flat = ends[bounds], memoryview(flat)
         for (i, _), a, z in zip(latin, cuts[:-1].tolist(), cuts[1:].tolist()):
             out[i] = flat[a:z].tobytes()
 
@@ -156,11 +174,15 @@ class Encoder:
                 chunks = [c for c in chunks if len(c) <= LONG]
             known.keep(chunks, ids)
 
-        new = [c for c in asked if c not in known and c not in older]
+        unknown = [c for c in asked if c not in known]
+        again = [c for c in unknown if c in older]
+        known.keep(again, [older[c] for c in again])
+        new = [c for c in unknown if c not in known] if again else unknown
         words = [c for c in new if ONE_PIECE.fullmatch(c)]
-        for a in range(0, len(words), 4096):
-            part = words[a : a + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        for a in range(0, len(words), IN_A_ROW):
+            part = words[a : a + IN_A_ROW]
+            row = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(row.ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             assert len(stops) == len(part)
             raw = ids.tobytes()
