@@ -165,6 +165,7 @@ def labelled_windows(df: DataFrame, doc: str = "doc_id", text: str = "text", lan
     Identifiers are chosen first, those with the least hashes in their language, all languages in one pass; texts come by a
     broadcast of the chosen. Of several rows with an identifier and a language the least text stands for all.
     """
+    text_batches(df.sparkSession)  # before the texts are read here, not only where the network is applied
     k, y = F.col(f"`{doc}`"), F.col(f"`{lang}`")
     fit = k.isNotNull() & y.isNotNull() & (F.pmod(F.crc32(k.cast("string").cast("binary")), F.lit(FOLDS)) != 0) & (F.trim(y) != "")
     rows = settle(df.where(fit).select(k.alias("doc"), y.alias("lang")).distinct())

@@ -46,6 +46,16 @@ def test_the_toxicity_stage_reads_long_texts_in_a_small_heap(tmp_path):
     assert int(done.stdout.split("rows ")[1]) == 600  # 20 labels teach nothing, so nothing goes
 
 
+def test_the_language_stage_learns_from_long_texts_in_a_small_heap(tmp_path):
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    (tmp_path / "documents.parquet").mkdir()
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))} | {"PYTHONPATH": root}
+    code = CODE.replace('["toxicity"]', '["language_id"]')
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path)], cwd=root, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split("rows ")[1]) == 600
+
+
 def test_labels_that_teach_nothing_call_nothing_toxic():
     texts = [f"some words {k}" for k in range(20)]
     model = toxicity.fit(texts, np.arange(20) % 2 == 1)
