@@ -8,13 +8,15 @@
    element here, and elements that are still open. A second scan resolves these against what is open before.
 4. Segments are lexed with their place, their stack and their first event's number.
 
-A task holds a block or a segment, which is a block and the rest of its last construct, and the elements open there.
+A task holds a block or a segment, which is a block and the rest of its last construct, and of the elements open there
+those that it closes, and the one that these stand in.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from typing import Any, NamedTuple
 
 import pyarrow as pa
@@ -81,6 +83,12 @@ def _tasks(n_blocks: int) -> int:
     return max(1, -(-n_blocks // BLOCKS_A_TASK))
 
 
+def _tasks_of(read: DataFrame) -> int:
+    """Tasks by the characters of blocks, which may be far smaller than ``BLOCK``; no fewer than there are cores, if blocks suffice."""
+    n, size = read.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return max(_tasks(-(-size // BLOCK)), min(_tasks(n), read.sparkSession.sparkContext.defaultParallelism))
+
+
 # ---- places and states
 
 
@@ -97,54 +105,84 @@ def _measured(text: str) -> _Measure:
     return _Measure(len(text.encode()), text.count("\n"), len(tail.encode("utf-16-le")) // 2)
 
 
+def _further(m: _Measure, n: _Measure) -> _Measure:
+    return _Measure(m.bytes + n.bytes, m.breaks + n.breaks, n.tail if n.breaks else m.tail + n.tail)
+
+
 def _after(a: tuple[states.Block, _Measure], b: tuple[states.Block, _Measure]) -> tuple[states.Block, _Measure]:
-    (x, m), (y, n) = a, b
-    return states.compose(x, y), _Measure(m.bytes + n.bytes, m.breaks + n.breaks, n.tail if n.breaks else m.tail + n.tail)
+    return states.compose(a[0], b[0]), _further(a[1], b[1])
+
+
+class _Read(NamedTuple):
+    """What is known of a block, or of consecutive ones, wherever they stand."""
+
+    number: int
+    block: states.Block
+    size: _Measure
+
+
+def _joined(run: Iterable[_Read]) -> _Read:
+    return reduce(lambda a, b: _Read(a.number, *_after(a[1:], b[1:])), run)
+
+
+class _Place(NamedTuple):
+    """State and place where a block begins, and the last block before it where a segment does."""
+
+    state: str
+    at: _Measure
+    owner: int
+
+
+def _places(before: _Place | None, run: Iterable[_Read]) -> Iterator[_Place | None]:
+    """The place of each block; None of a document's first, where a segment begins whatever the block holds."""
+    for number, block, size in run:
+        yield before
+        state, at, owner = before or ("T", _Measure(), number)
+        way = block.way(state)
+        before = _Place(way.end, _further(at, size), owner if way.last is None else way.last)
+
+
+def _cut(before: _Place | None, own: _Read) -> tuple:
+    if before is None:
+        return 0, False, 0, 0, 0, None
+    way = own.block.way(before.state)
+    return way.cut, way.skipping, *before.at, before.owner
 
 
 def _summaries(df: DataFrame, keys: list[str], order: str, of: Callable[[dict], Any]) -> DataFrame:
-    """``keys, order, summary``: what ``of`` gives of each row, pickled."""
-    schema = T.StructType([*[df.schema[k] for k in [*keys, order]], T.StructField("summary", T.BinaryType())])
+    """``keys, order, size, summary``: what ``of`` gives of each row, pickled, and its characters."""
+    schema = T.StructType([*[df.schema[k] for k in [*keys, order]], T.StructField("size", T.LongType()), T.StructField("summary", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [pickle.dumps(of(r)) for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in [*keys, order]], pa.array(own, pa.binary())], schema.names)
+            rows = b.to_pylist()
+            own = [pickle.dumps(of(r)) for r in rows]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in [*keys, order]], _longs([len(r["text"]) for r in rows]), pa.array(own, pa.binary())], schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def _placed(read: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, block_no, cut, skipping, byte, line, column``: where a block begins, and where in it a segment does (-1: nowhere)."""
+    """``keys, block_no, cut, skipping, byte, line, column, owner``: where a block begins, where in it a segment does (-1: nowhere), and the segment before that."""
     by = [*keys, "block_no"]
-    start = (states.UNCHANGED, _Measure())
-    both = read.join(exclusive_scan(read, keys, "block_no", start, start, _after), by)
-    more = "cut int, skipping boolean, byte bigint, line bigint, column bigint"
+    more = "cut int, skipping boolean, byte bigint, line bigint, column bigint, owner bigint"
     schema = T.StructType([*[read.schema[k] for k in by], *T._parse_datatype_string(more)])
+    kinds = [pa.int32(), pa.bool_(), *[pa.int64()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for own, before in zip(b.column("summary").to_pylist(), b.column("before").to_pylist()):
-                ways, place = pickle.loads(before)
-                way = pickle.loads(own)[0].way(ways.way("T").end)
-                found.append((way.cut, way.skipping, place.bytes, place.breaks, place.tail))
-            kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-            columns = [pa.array(x, k) for x, k in zip(zip(*found), kinds)] if found else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in by], *columns], schema.names)
+            found = [pickle.loads(x) for x in b.column("before").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in by], *[pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)]], schema.names)
 
-    return both.mapInArrow(run, schema)
+    return exclusive_scan(read, keys, "block_no", _joined, _places, _cut).mapInArrow(run, schema)
 
 
-def _segments(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, segment, text, skipping, byte, line, column``: the document again, as runs of whole constructs."""
+def _segments(blocks: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """``keys, segment, text, skipping, byte, line, column``: the document again, as runs of whole constructs; and in how many tasks."""
     by = [*keys, "block_no"]
-    read = written(_summaries(blocks, keys, "block_no", lambda r: (states.read_block(r["text"]), _measured(r["text"]))))
-    cols = ", ".join(f"`{k}`" for k in keys)
-    placed = _placed(read, keys).selectExpr("*", f"row_number() over (partition by {cols} order by block_no) = 1 as first")
-    placed = placed.withColumns({"cut": F.when(F.col("first"), 0).otherwise(F.col("cut")), "skipping": ~F.col("first") & F.col("skipping")})
-    owner = f"last_value(if(cut >= 0, block_no, null)) ignore nulls over (partition by {cols} order by block_no rows between unbounded preceding and 1 preceding)"
-    placed = written(placed.withColumn("owner", F.expr(owner)))
+    read = written(_summaries(blocks, keys, "block_no", lambda r: _Read(r["block_no"], states.read_block(r["text"], r["block_no"]), _measured(r["text"]))))
+    tasks = _tasks_of(read)
+    placed = _placed(read, keys)
     own = blocks.join(placed, by)
     head = F.when(F.col("cut") < 0, F.col("text")).otherwise(F.expr("substring(text, 1, cut)"))
     own = own.withColumns({"head": head, "tail": F.when(F.col("cut") >= 0, F.expr("substring(text, cut + 1)"))})
@@ -160,9 +198,9 @@ def _segments(blocks: DataFrame, keys: list[str]) -> DataFrame:
         F.struct(F.col("block_no").alias("segment"), F.col("block_no").alias("at"), F.col("tail").alias("piece"), place.alias("place")),
     )
     found = own.select(*keys, F.explode(pieces).alias("p")).select(*keys, "p.*").where("piece is not null and segment is not null and (piece <> '' or place is not null)")
-    found = found.repartition(_tasks(read.count()), *keys, "segment")
+    found = found.repartition(tasks, *keys, "segment")
     whole = found.groupBy(*keys, "segment").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("x"), F.max("place").alias("place"))
-    return whole.select(*keys, "segment", F.concat_ws("", F.transform("x", lambda x: x["piece"])).alias("text"), "place.*")
+    return whole.select(*keys, "segment", F.concat_ws("", F.transform("x", lambda x: x["piece"])).alias("text"), "place.*"), tasks
 
 
 # ---- nesting
@@ -178,45 +216,105 @@ class Level(NamedTuple):
 
 
 class Nesting(NamedTuple):
-    """What a run of constructs does to a stack of open elements. At a document's start (``root``) nothing is open below."""
+    """What a run of constructs does to a stack of open elements. At a document's start (``root``) nothing is open below.
+
+    What is known before a run may leave out the elements that lie below all that the run closes: ``below`` is their number.
+    """
 
     root: bool
     levels: tuple[Level, ...]
+    below: int = 0
 
 
 NOTHING = Nesting(False, (Level(None, 0, 0, ()),))
 START = NOTHING._replace(root=True)
 
 
+class _Stack:
+    """A nesting that others are put behind, in time by what they hold and close, not by what is open."""
+
+    def __init__(self, begun: Nesting) -> None:
+        self.root, self.below = begun.root, begun.below
+        *self.levels, (self.closing, self.texts, self.events, opened) = begun.levels
+        self._open(opened)
+
+    def _open(self, opened: Iterable[tuple]) -> None:
+        self.opened: list[tuple] = []
+        self.names: dict[str, int] = {}  # how many elements of a name are open
+        self._push(opened)
+
+    def _push(self, opened: Iterable[tuple]) -> None:
+        for own in opened:
+            self.opened.append(own)
+            self.names[own[0]] = self.names.get(own[0], 0) + 1
+
+    def nesting(self) -> Nesting:
+        return Nesting(self.root, (*self.levels, Level(self.closing, self.texts, self.events, tuple(self.opened))), self.below)
+
+    def add(self, b: Nesting) -> Nesting:
+        """Puts ``b`` behind. What was there before, at a document's start: all that ``b`` closes, and the element that lies below."""
+        events, low = self.events, len(self.opened)  # elements up to there are as they were, but for the texts of the last
+        was: list[tuple] = []  # those beyond, inner ones first
+        last: tuple | None = None  # the last as it was
+
+        def add_texts(n: int) -> None:
+            nonlocal last
+            if n and self.opened:
+                if len(self.opened) == low and last is None:
+                    last = self.opened[-1]
+                name, own, had, *rest = self.opened[-1]
+                self.opened[-1] = (name, own, had + n, *rest)
+            else:
+                self.texts += n
+
+        for level in b.levels:
+            name = level.closing
+            if name is not None:
+                if self.names.get(name):
+                    at = len(self.opened) - 1
+                    while self.opened[at][0] != name:
+                        at -= 1
+                    self.events += len(self.opened) - at
+                    for own in self.opened[at:]:
+                        self.names[own[0]] -= 1
+                    if at < low:
+                        was += [last or self.opened[low - 1], *reversed(self.opened[at : low - 1])]
+                        low, last = at, None
+                    del self.opened[at:]
+                elif self.root:  # it closes nothing and is a text
+                    self.events += 1
+                    add_texts(1)
+                else:
+                    self.levels.append(Level(self.closing, self.texts, self.events, tuple(self.opened)))
+                    self.closing, self.texts, self.events = name, 0, 0
+                    self._open(())
+                    low = 0
+            add_texts(level.texts)
+            self.events += level.events
+            self._push(level.opened)
+        if low:
+            was.append(last or self.opened[low - 1])
+        return Nesting(True, (Level(None, 0, events, tuple(reversed(was))),), self.below + max(0, low - 1))
+
+
 def nested(a: Nesting, b: Nesting) -> Nesting:
     """``a`` and ``b`` behind it. Closing tags of ``b`` take elements of ``a`` that no open question lies above."""
-    *levels, (closing, texts, events, opened) = a.levels
-    opened = list(opened)
-
-    def add_texts(n: int) -> None:
-        nonlocal texts
-        if n and opened:
-            name, own, had, *rest = opened[-1]
-            opened[-1] = (name, own, had + n, *rest)
-        else:
-            texts += n
-
-    for level in b.levels:
-        if level.closing is not None:
-            at = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == level.closing), None)
-            if at is not None:
-                events += len(opened) - at
-                del opened[at:]
-            elif a.root:  # it closes nothing and is a text
-                events += 1
-                add_texts(1)
-            else:
-                levels.append(Level(closing, texts, events, tuple(opened)))
-                closing, texts, events, opened = level.closing, 0, 0, []
-        add_texts(level.texts)
-        events += level.events
-        opened += level.opened
-    return Nesting(a.root, (*levels, Level(closing, texts, events, tuple(opened))))
+    return _joined_nestings([a, b])
+
+
+def _joined_nestings(run: Iterable[Nesting]) -> Nesting:
+    run = iter(run)
+    stack = _Stack(next(run))
+    for b in run:
+        stack.add(b)
+    return stack.nesting()
+
+
+def _open_before(before: Nesting | None, run: Iterable[Nesting]) -> Iterator[Nesting]:
+    """Of what is open before each of consecutive segments, as much as it closes or writes into."""
+    stack = _Stack(before or START)
+    for own in run:
+        yield stack.add(own)
 
 
 class _Folder(Lexer):
@@ -257,7 +355,7 @@ def _begin(lexer: Lexer, row: dict, before: Nesting = START) -> None:
     lexer.skipping = row["skipping"]
     lexer.byte, lexer.line, lexer.column = row["byte"], row["line"], row["column"]
     (level,) = before.levels
-    lexer.seq = level.events
+    lexer.seq, lexer.below = level.events, before.below
     for own in level.opened:
         lexer._push(list(own))
 
@@ -274,10 +372,12 @@ def split_documents(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """
     blocks = blocks.select(*keys, F.col("block_no").cast("bigint").alias("block_no"), "text").where("text <> '' and block_no is not null")
     blocks = blocks.select(*[F.struct(F.col(f"`{k}`").alias("of")).alias(k) for k in keys], "block_no", "text")  # nulls join and group like other values
-    segments = written(_segments(blocks, keys))
+    segments, tasks = _segments(blocks, keys)
+    segments = written(segments)
     nestings = written(_summaries(segments, keys, "segment", lambda r: _Folder().nesting(r)))
-    before = exclusive_scan(nestings, keys, "segment", NOTHING, START, nested)
-    out = written(segments.join(before, [*keys, "segment"]))
+    before = exclusive_scan(nestings, keys, "segment", _joined_nestings, _open_before)
+    by = [*keys, "segment"]
+    out = written(segments.repartition(tasks, *by).join(before.hint("merge"), by))  # in these tasks, however small either side is
     return out.select(*[F.col(k)["of"].alias(k) for k in keys], *[c for c in out.columns if c not in keys])
 
 

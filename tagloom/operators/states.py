@@ -32,6 +32,7 @@ class Way(NamedTuple):
     end: str
     cut: int
     skipping: bool  # whether blanks behind that place are passed over
+    last: int | None = None  # the number of the last block with such a place
 
 
 @dataclass
@@ -55,12 +56,17 @@ class Block:
 def compose(a: Block, b: Block) -> Block:
     """What ``a`` and ``b`` behind it do together (places are those in ``a``, or -1)."""
 
+    known: dict[Way, Way] = {}
+
     def on(way: Way) -> Way:
-        return way._replace(end=b.way(way.end).end)
+        if way not in known:
+            end, _, _, last = b.way(way.end)
+            known[way] = Way(end, way.cut, way.skipping, way.last if last is None else last)
+        return known[way]
 
     closed = [(most, on(way)) for most, way in a.closed]
     reached = closed[-1][0] if closed else 0
-    closed += [(most - a.net, Way(way.end, -1, False)) for most, way in b.closed if most - a.net > reached]
+    closed += [(most - a.net, Way(way.end, -1, False, way.last)) for most, way in b.closed if most - a.net > reached]
     return Block({s: on(w) for s, w in a.ways.items()}, closed, a.net + b.net)
 
 
@@ -70,8 +76,8 @@ UNCHANGED = Block({s: Way(s, -1, False) for s in PLAIN}, [], 0)
 class _Reader:
     """Readings of one block's text from any state and place, each step once."""
 
-    def __init__(self, text: str):
-        self.s, self.n = text, len(text)
+    def __init__(self, text: str, number: int):
+        self.s, self.n, self.number = text, len(text), number
         self.known: dict[tuple[str, int], Way] = {}
         self.name = (1, 0)  # where an attribute's name was found to go on, and its end
 
@@ -84,7 +90,7 @@ class _Reader:
         way = self.known.get((state, i)) or Way(state, -1, False)
         for state, i, j, ended, skipping in reversed(path):
             if ended:
-                way = Way(way.end, j, skipping)
+                way = Way(way.end, j, skipping, self.number)
             if state in ("T", "S", "A"):  # where readings meet
                 self.known[state, i] = way
         return way
@@ -181,9 +187,9 @@ class _Reader:
         return f"J{depth}", n, False
 
 
-def read_block(text: str) -> Block:
+def read_block(text: str, number: int = 0) -> Block:
     """The ways of a block from all states."""
-    reader = _Reader(text)
+    reader = _Reader(text, number)
     ways = {s: reader.way(s, 0) for s in PLAIN}
     closed: list[tuple[int, Way]] = []
     depth, drops = 0, 0

@@ -23,7 +23,7 @@ class ParentLexer(Lexer):
 
     def _opened(self, s: str, i: int, name: str, found: list | tuple, closing: bool, end: int) -> int:
         over = self.stack[-1] if self.stack else None
-        self.parents.append((name, self.places.at(i)[1], self.places.at(end)[1], len(self.stack), over and over[0], over and over[5]))
+        self.parents.append((name, self.places.at(i)[1], self.places.at(end)[1], self.below + len(self.stack), over and over[0], over and over[5]))
         return super()._opened(s, i, name, found, closing, end)
 
     def document(self, content: bytes | str | None) -> list[tuple]:

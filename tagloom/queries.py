@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import render, scalars, writer
@@ -548,8 +548,8 @@ def one_document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All kinds of events of the one document, counted; events are numbered through from 0."""
     found = blocks.split_events(_one_document(spark, sf_dir), ["document"])
     by_kind = found.groupBy("event_mask").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
-    total = by_kind.agg(F.sum("n").alias("n_all"), F.max("last").alias("last_seq"))
-    return by_kind.drop("last").crossJoin(F.broadcast(total))
+    kinds = Window.partitionBy()  # a row for each kind
+    return by_kind.select("event_mask", "n", F.sum("n").over(kinds).alias("n_all"), F.max("last").over(kinds).alias("last_seq"))
 
 
 # ---- documents written from the tables: kinds that pages don't have

@@ -1,5 +1,6 @@
 """One document over many tasks: any cuts give the events of the whole document."""
 
+import pickle
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import blocks, events, states
 from tagloom.operators.lexer import FLAT, Lexer
+from tagloom.plans import prefix
 from tagloom.schema import EventType
 
 # pieces of all constructs, whole and broken, so that cuts and joins of them meet every state
@@ -125,3 +127,40 @@ def test_files_by_ranges(spark, tmp_path):
     got = blocks.split_relation(blocks.split_documents(found, ["path"]), ["path"], "CloseTag")
     want = events.relation(spark.createDataFrame(list(texts.items()), "path string, content string"), "CloseTag")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_what_is_known_before_a_segment_is_what_it_closes():
+    place = {"skipping": False, "byte": 0, "line": 0, "column": 0}
+    own = [blocks._Folder().nesting({"text": x, **place}) for x in ["<html><body>"] * 3000 + ["<p>t</p></x>"] * 100 + ["</body>", "t</html></body>"]]
+    before = list(blocks._open_before(None, own))
+    assert [len(b.levels[0].opened) for b in before] == [0, *[1] * 3099, 2, 3]
+    assert before[-1].below == 5996 and [x[0] for x in before[-1].levels[0].opened] == ["html", "body", "html"]
+    # in runs it is the same
+    whole = list(blocks._open_before(None, [blocks._joined_nestings(own[a : a + 64]) for a in range(0, len(own), 64)]))
+    assert [x for k, b in enumerate(whole) for x in blocks._open_before(b, own[64 * k : 64 * k + 64])] == before
+
+
+def test_runs_of_a_scan_follow_rows_not_numbers(spark):
+    n = 4 * prefix.WIDTH
+    df = spark.range(n).selectExpr("0 as document", "id * 1000000007 as block_no", "cast('' as binary) as summary")
+    one = pickle.dumps(1)
+    df = df.withColumn("summary", F.lit(bytearray(one)))
+    folded = spark.sparkContext.accumulator(0)
+
+    def fold(run):
+        folded.add(1)
+        return sum(run)
+
+    def walk(before, run):
+        for x in run:
+            yield before or 0
+            before = (before or 0) + x
+
+    got = prefix.exclusive_scan(df, ["document"], "block_no", fold, walk).orderBy("block_no").collect()
+    assert [pickle.loads(r.before) for r in got] == list(range(n))
+    assert folded.value < n / 8  # a run for each number's range would be one for each row
+
+
+def test_small_blocks_are_not_tasks_of_a_few_rows(spark):
+    read = spark.range(100_000).selectExpr("id as block_no", "1000L as size")
+    assert blocks._tasks_of(read) <= 12 + spark.sparkContext.defaultParallelism
