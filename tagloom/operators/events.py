@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import TAG_KINDS, TEXT_KINDS, EventType, event_fields, mask_of
-from .lexer import BARE, EMPTY, FLAT, FULL, OPEN, Attr, Lexer, ProcInst, Tag, TextNode
+from .lexer import BARE, EMPTY, FLAT, FULL, OPEN, Attr, AttributeLexer, Lexer, ProcInst, Tag, TextNode
 
 AT_ONCE = 20_000  # events of a batch
 
@@ -159,6 +159,11 @@ def _attribute_columns(found: list) -> list[pa.Array]:
     ]
 
 
+def _value_columns(found: list) -> list[pa.Array]:
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int32())
+    return [pa.array(x, k) for x, k in zip(zip(*found), kinds)]
+
+
 def _instruction_columns(found: list) -> list[pa.Array]:
     items = [e for _, _, e in found]
     return [
@@ -283,8 +288,12 @@ def close_tags(df: DataFrame, content: str = "content", keep: list[str] | None =
     return relation(df, "CloseTag", content, keep)
 
 
-def attributes(df: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
-    return relation(df, "Attribute", content, keep)
+def attributes(df: DataFrame, content: str = "content", keep: list[str] | None = None, places: bool = True) -> DataFrame:
+    """Attributes; without ``places`` only ``keep, seq, name, value, attr_type``, and no place is looked up."""
+    if places:
+        return relation(df, "Attribute", content, keep)
+    fields = list(T._parse_datatype_string("seq bigint, name string, value string, attr_type int"))
+    return _lexed(df, content, keep, lambda: AttributeLexer(False), _value_columns, fields)
 
 
 def tag_attributes(events: DataFrame, keep: list[str]) -> DataFrame:

@@ -653,7 +653,7 @@ _FORMS = """select o_orderkey, unnest([
 
 @query(f"select o_orderkey, a.n as name, a.v as value, a.t::int as attr_type from ({_FORMS})")
 def attribute_syntaxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.attributes(_forms(spark, sf_dir)).select("o_orderkey", "name", "value", "attr_type")
+    return events.attributes(_forms(spark, sf_dir), places=False).drop("seq")
 
 
 @query(f"select o_orderkey, a.n as name, a.v as value, a.t::int as attr_type from ({_FORMS})")
